@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import token_counts, tokenizer_codec
-from .shared import table
+from .shared import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +20,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def shipped(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    "op6_byte_bpe": op6_byte_bpe,
-    "op10_token_counts": op10_token_counts,
+    query.__name__: shipped(query)
+    for query in (op6_byte_bpe, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {}
