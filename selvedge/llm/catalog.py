@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts, tokenizer_codec
+from . import fingerprints, license_scan, sharding, token_counts, tokenizer_codec
 from .shared import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.next_document_likeness(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scanned(table(spark, sf_dir, "documents")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_codec.round_trips(table(spark, sf_dir, "documents"))
 
 
+def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -30,7 +42,9 @@ def shipped(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {
     query.__name__: shipped(query)
-    for query in (op6_byte_bpe, op10_token_counts)
+    for query in (op2_syncmer_fingerprints, op3_license_scan, op6_byte_bpe, op7_rendezvous_shards, op10_token_counts)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_rendezvous_shards": sharding.oracle(),
+}
