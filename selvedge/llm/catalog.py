@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, license_scan, sharding, token_counts, tokenizer_codec
+from . import fingerprints, license_scan, near_dedup, sharding, token_counts, tokenizer_codec
 from .shared import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scanned(table(spark, sf_dir, "documents")))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_codec.round_trips(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def shipped(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {
     query.__name__: shipped(query)
-    for query in (op2_syncmer_fingerprints, op3_license_scan, op6_byte_bpe, op7_rendezvous_shards, op10_token_counts)
+    for query in (op2_syncmer_fingerprints, op3_license_scan, op4_near_duplicates, op6_byte_bpe, op7_rendezvous_shards, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
