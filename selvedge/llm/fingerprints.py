@@ -69,15 +69,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union))
 
 
-def written_as(hashes: np.ndarray) -> str:
-    return hashes.astype(">u4").tobytes().hex()
+def as_bytes(hashes: np.ndarray) -> bytes:
+    return hashes.astype(">u4").tobytes()
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 #: What a task of next_document_likeness() writes: its results, and the first and the last text it has (which meet other tasks' texts later).
-STEP = RESULT + ", task int, edge string, text string"
+STEP = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, task int, edge string, text string"
 NAMES = [x.split()[0] for x in STEP.split(", ")]
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
 
 
 def compared(doc_id: int | None, text: str, prints: np.ndarray, after: str, after_prints: np.ndarray) -> tuple:
@@ -85,7 +84,7 @@ def compared(doc_id: int | None, text: str, prints: np.ndarray, after: str, afte
     n = len(text)
     edited = (text[: n - n // 4] + after[: n // 4]).encode()
     edited_prints = fingerprint(edited)
-    return doc_id, n, hashlib.sha256(edited).hexdigest(), written_as(prints), written_as(edited_prints), likeness(prints, edited_prints), likeness(prints, after_prints)
+    return doc_id, n, hashlib.sha256(edited).digest(), as_bytes(prints), as_bytes(edited_prints), likeness(prints, edited_prints), likeness(prints, after_prints)
 
 
 def within_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +109,7 @@ def across_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text, after in zip(batch.column("doc_id").to_pylist(), texts_of(batch), texts_of(batch, "after"), strict=True):
             rows.append((*compared(doc_id, text, fingerprint(text.encode()), after, fingerprint(after.encode())), None, None, None))
-        yield as_batch(rows).select(NAMES[:7])
+        yield as_batch(rows)
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -130,8 +129,9 @@ def next_document_likeness(docs: DataFrame) -> DataFrame:
     # One row for each task that had rows: as many as Spark has partitions to schedule, not as many as there are documents.
     tasks = sorted(r.task for r in last.select("task").collect())
     follows = docs.sparkSession.createDataFrame(list(zip(tasks, tasks[1:] + tasks[:1], strict=True)), "task int, `to` int")
-    borders = last.join(follows, "task").join(first, "to").select("doc_id", "text", "after").mapInArrow(across_tasks, RESULT)
-    return steps.where("edge IS NULL").select(*NAMES[:7]).unionByName(borders)
+    borders = last.join(follows, "task").join(first, "to").select("doc_id", "text", "after").mapInArrow(across_tasks, STEP)
+    hexadecimal = [F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
+    return steps.where("edge IS NULL").unionByName(borders).select("doc_id", "n_chars", *hexadecimal, "near_edited", "near_next")
 
 
 def anchor_table(docs: DataFrame) -> DataFrame:
