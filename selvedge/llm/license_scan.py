@@ -5,12 +5,14 @@ A text becomes its lower-cased words with one space between them. A signature is
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What stands between words, A-Z not yet lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Phrases whose places are counted whatever the rules say, and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -34,7 +36,7 @@ NAMES = (
 CONDITIONS = (("by", "by", "attribution"), ("by-sa", "by sa", "attribution share ?alike"), ("by-nc", "by nc", "attribution non ?commercial"), ("by-nd", "by nd", "attribution no ?derivat(?:ive)?s?(?: works)?"), ("by-nc-sa", "by nc sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "by nc nd", "attribution non ?commercial no ?derivat(?:ive)?s?(?: works)?"))
 VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 #: Phrases that tell of a licence without naming one: label, keyword, regex.
-HINTS = (("public-domain", "public domain", "(?:in|into|to) the public domain"), ("public-domain", "cc0", "cc0(?: 1 0)?"), ("all-rights-reserved", "all rights", "all rights reserved"), ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"), ("spdx", "spdx", "spdx licen[cs]e identifier"), ("notice", "permission is hereby", "permission is hereby granted free of charge"), ("notice", "redistribution and use", "redistribution and use in source and binary forms"), ("notice", "without warranty", "without warranty of any kind"), ("notice", "as is", "provided as is"), ("non-commercial", "commercial use", "(?:for|non) (?:non ?)?commercial use only"), ("see-license", "license", "see (?:the )?licen[cs]e"), ("licensed", "licensed", "licen[cs]ed under"))
+HINTS = (("public-domain", "public domain", "(?:in|into|to) the public domain"), ("public-domain", "cc0", "cc0(?: 1 0)?"), ("all-rights-reserved", "all rights", "all rights reserved"), ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"), ("spdx", "spdx", "spdx licen[cs]e identifier"), ("notice", "permission is hereby", "permission is hereby granted free of charge"), ("notice", "redistribution and use", "redistribution and use in source and binary forms"), ("notice", "without warranty", "without warranty of any kind"), ("notice", "provided as is", "provided as is"), ("non-commercial", "commercial use", "(?:for|non) (?:non ?)?commercial use only"), ("see-license", "license", "see (?:the )?licen[cs]e"), ("licensed", "licensed", "licen[cs]ed under"))
 
 
 def signatures() -> list[tuple[str, int, str, str]]:
@@ -53,17 +55,20 @@ def signatures() -> list[tuple[str, int, str, str]]:
 
 #: How sure a detection is, by priority.
 SURE = (0.3, 0.6, 0.8, 1.0)
-KEYWORDS = sorted({keyword for _, _, keyword, _ in signatures()} | {phrase for phrase, _ in BASE})
+def anchors() -> list[str]:
+    """A few strings of which every signature's match has one: "licen" where the regex can't match without it, else its keyword after a space."""
 
+    def required(regex: str) -> str:
+        while (shorter := re.sub(r"\(\?:[^()]*\)\??", "", regex)) != regex:
+            regex = shorter
+        return regex
 
-def _words(keyword: str) -> str:
-    return keyword.replace(" ", GAP)
+    found = {"licen" if "licen[cs]e" in required(regex) else f" {keyword}" for _, _, keyword, regex in signatures()} | {f" {phrase}" for phrase, _ in BASE}
+    return sorted(x for x in found if not any(o != x and o in x for o in found))
 
 
-def _gate(text: Column) -> Column:
-    """Any keyword, its words with anything that isn't a word between them."""
-    heads = sorted({k for k in KEYWORDS if not any(o != k and k.startswith(o) for o in KEYWORDS)})
-    return text.rlike("(?i)" + "|".join(map(_words, heads)))
+def _gate(lowered: Column) -> Column:
+    return reduce(Column.__or__, [F.contains(lowered, F.lit(x)) for x in anchors()])
 
 
 def _n_spaces(x: str) -> str:
@@ -91,9 +96,14 @@ def scanned(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, base (array of phrase number, places, first and last start) and detections (array of first and last word, priority, number and label of the signatures that stay). Null texts are empty; texts without words have no detection; repeated rows and other columns change nothing."""
     rules = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(f" {keyword}").alias("keyword"), F.lit(f"(?<= ){regex}(?= )").alias("regex"), F.lit(number).alias("number")) for number, (label, priority, keyword, regex) in enumerate(signatures())])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lowered = F.translate(F.regexp_replace("text", GAP, " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(_gate(F.col("text")), F.concat(F.lit(" "), F.trim(lowered), F.lit(" "))).alias("norm"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim(F.regexp_replace(text, GAP, " ")).alias("words"))
+    rows = rows.select("doc_id", "words", F.lower(F.concat(F.lit(" "), "words")).alias("lowered"))
+    ascii_lowered = F.translate("words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = rows.select(
+        "doc_id",
+        F.when(F.col("words") == "", F.lit(0)).otherwise(F.expr(_n_spaces("words")) + 1).cast("long").alias("n_words"),
+        F.when(_gate(F.col("lowered")), F.concat(F.lit(" "), ascii_lowered, F.lit(" "))).alias("norm"),
+    )
     base = []
     for number, (phrase, _) in enumerate(BASE):
         parts = F.split("norm", f"(?<= ){phrase}(?= )")
