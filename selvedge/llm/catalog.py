@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, license_scan, near_dedup, sharding, token_counts, tokenizer_codec
+from . import fingerprints, language, license_scan, near_dedup, quality, sharding, token_counts, tokenizer_codec
 from .shared import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.next_document_likeness(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_codec.round_trips(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def shipped(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {
     query.__name__: shipped(query)
-    for query in (op2_syncmer_fingerprints, op3_license_scan, op4_near_duplicates, op6_byte_bpe, op7_rendezvous_shards, op10_token_counts)
+    for query in (op1_page_languages, op2_syncmer_fingerprints, op3_license_scan, op4_near_duplicates, op5_weak_label_quality, op6_byte_bpe, op7_rendezvous_shards, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
