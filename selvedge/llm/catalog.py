@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, license_scan, near_dedup, quality, sharding, token_counts, tokenizer_codec
+from . import ann, fingerprints, language, license_scan, near_dedup, packing, quality, sharding, token_counts, tokenizer_codec
 from .shared import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,14 @@ def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,18 @@ def shipped(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {
     query.__name__: shipped(query)
-    for query in (op1_page_languages, op2_syncmer_fingerprints, op3_license_scan, op4_near_duplicates, op5_weak_label_quality, op6_byte_bpe, op7_rendezvous_shards, op10_token_counts)
+    for query in (
+        op1_page_languages,
+        op2_syncmer_fingerprints,
+        op3_license_scan,
+        op4_near_duplicates,
+        op5_weak_label_quality,
+        op6_byte_bpe,
+        op7_rendezvous_shards,
+        op8_prefix_forest,
+        op9_retrieval_packing,
+        op10_token_counts,
+    )
 }
 
 ORACLES: dict[str, str] = {

@@ -31,6 +31,12 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (lengths[0] of them), then the same for the next start."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Merges:
     """The ranked pairs of a byte-level vocabulary file as arrays."""
 
@@ -39,9 +45,10 @@ class Merges:
             spec = json.load(file)
         vocab = spec["model"]["vocab"]
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.first = np.zeros(256, dtype=np.int32)
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.first, self.last = np.zeros(256, dtype=np.int32), np.zeros(256, dtype=np.int32)  # of the bytes within and at the end of a word
         for letter, byte in byte_letters().items():
-            self.first[byte] = vocab[letter]
+            self.first[byte], self.last[byte] = vocab[letter], vocab[letter + suffix]
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
         left, right = (np.array([vocab[p[i]] for p in pairs], dtype=np.int64) for i in (0, 1))
         self.size = max(vocab.values()) + 1
@@ -84,11 +91,18 @@ class Merges:
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """The number of symbols that remain of each word (none is empty)."""
+        return self.merged(words)[1]
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that remain of the words (none is empty), one word's after the other's, and their number for each word."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         result = lengths.copy()
-        symbols = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        content = np.frombuffer(b"".join(words), dtype=np.uint8)
+        symbols = self.first[content]
         owner = np.arange(len(words))  # of each sequence still in the array
+        done: list[tuple[np.ndarray, np.ndarray]] = []  # owners and symbols of those that have left it
         begins = np.concatenate(([0], np.cumsum(lengths)))
+        symbols[begins[1:] - 1] = self.last[content[begins[1:] - 1]]
         ranks = np.full(len(symbols), NONE, dtype=np.int32)  # of the pair that begins at each symbol
         inner = np.ones(len(symbols), dtype=bool)
         inner[begins[1:] - 1] = False
@@ -101,6 +115,7 @@ class Merges:
                 lengths = np.diff(begins)
                 result[owner[~alive]] = lengths[~alive]
                 keep = np.repeat(alive, lengths)
+                done.append((owner[~alive], symbols[~keep]))
                 symbols, ranks = symbols[keep], ranks[keep]
                 owner, lengths, lowest = owner[alive], lengths[alive], lowest[alive]
                 begins = np.concatenate(([0], np.cumsum(lengths)))
@@ -132,7 +147,11 @@ class Merges:
             ranks[changed] = NONE
             at = np.flatnonzero(changed & ~last)
             ranks[at] = self.ranks(symbols[at], symbols[at + 1])
-        return result
+        out = np.empty(result.sum(), dtype=np.int32)
+        places = np.concatenate(([0], np.cumsum(result)))[:-1]
+        for owner, symbols in done:
+            out[ragged(places[owner], result[owner])] = symbols
+        return out, result
 
 
 @functools.lru_cache(maxsize=2)
