@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,9 @@ def query(name: str, sql: str | None = None):
         return function
 
     return add
+
+
+def load() -> None:
+    """Import the modules whose queries register themselves."""
+    for name in ("rolls", "resolution", "papers"):
+        import_module(f"{__package__}.{name}")
