@@ -21,7 +21,7 @@ def nonempty(x: Column) -> Column:
 
 def field_value(x: Column) -> Column:
     """A captured value: stripped, without commas at its end; null if nothing is left."""
-    return nonempty(stripped(F.regexp_replace(stripped(x), ",+$", "")))
+    return nonempty(F.regexp_replace(x, r"(?U)^\s+|\s*,*\s*$", ""))
 
 
 def number(x: Column) -> Column:
@@ -95,7 +95,7 @@ def captured(text: Column, pattern: str) -> Column:
 
 def first_value(text: Column, patterns: tuple[str, ...]) -> Column:
     """The value of the first pattern that gives one."""
-    return F.coalesce(*[field_value(captured(text, p)) for p in patterns])
+    return F.coalesce(*[field_value(F.regexp_extract(text, f"(?im){p}", 1)) for p in patterns])
 
 
 def mixed(values: Column) -> Column:
