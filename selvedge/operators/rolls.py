@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.fixed import SUMMARY_ROW, SUPPLIER_CODES, WEIGHT_TOLERANCE, YARDS_PER_METER
 from ..functions.text import mixed, nonempty, stripped, yards
 
-#: Order of a document's rolls; every window below is within one document.
-IN_ORDER = Window.partitionBy("doc_id").orderBy("seq")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def in_order() -> WindowSpec:
+    """A document's rolls in order; every window here is within one document."""
+    return Window.partitionBy("doc_id").orderBy("seq")
+
+
+def so_far() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def explicit(x: Column) -> Column:
@@ -21,13 +26,13 @@ def explicit(x: Column) -> Column:
 
 def filled(rolls: DataFrame, *columns: str) -> DataFrame:
     """Ditto marks and blanks replaced by the last value above."""
-    return rolls.withColumns({c: F.last(explicit(F.col(c)), ignorenulls=True).over(SO_FAR) for c in columns})
+    return rolls.withColumns({c: F.last(explicit(F.col(c)), ignorenulls=True).over(so_far()) for c in columns})
 
 
 def sectioned(lines: DataFrame, text: str = "line", heading: str = r"^\s*PO\s*#?\s*[:.]?\s*([A-Z0-9-]+)\s*$") -> DataFrame:
     """Lines (doc_id, seq, line) with the value of the section heading above them; the headings themselves are left out."""
     found = nonempty(F.regexp_extract(text, heading, 1))
-    return lines.withColumn("heading", found).withColumn("section", F.last("heading", ignorenulls=True).over(SO_FAR)).where(F.col("heading").isNull()).drop("heading")
+    return lines.withColumn("heading", found).withColumn("section", F.last("heading", ignorenulls=True).over(so_far())).where(F.col("heading").isNull()).drop("heading")
 
 
 def without_summaries(rolls: DataFrame, label: str = "piece_number") -> DataFrame:
@@ -38,7 +43,7 @@ def without_summaries(rolls: DataFrame, label: str = "piece_number") -> DataFram
 def identified(rolls: DataFrame) -> DataFrame:
     """Each roll once; one without a number gets its place in the document."""
     once = rolls.dropDuplicates(["doc_id", "seq"])
-    return once.withColumn("piece_number", F.coalesce(nonempty(stripped(F.col("piece_number"))), F.row_number().over(IN_ORDER).cast("string")))
+    return once.withColumn("piece_number", F.coalesce(nonempty(stripped(F.col("piece_number"))), F.row_number().over(in_order()).cast("string")))
 
 
 def cents(x: str) -> Column:
@@ -111,10 +116,10 @@ def sheet_rows(lines: DataFrame, records: DataFrame) -> DataFrame:
     own = records.select("doc_id", *[F.col(c).alias(f"doc_{c}") for c in ("lot", "po_number", "color")])
     rows = lines.join(own, "doc_id")
     lot = F.coalesce(nonempty(F.col("lot")), nonempty(F.col("doc_lot")), F.lit(""))
-    rows = rows.withColumn("lot_value", lot).withColumn("lot_before", F.lag("lot_value").over(IN_ORDER))
+    rows = rows.withColumn("lot_value", lot).withColumn("lot_before", F.lag("lot_value").over(in_order()))
     shown = rows.select(
         "doc_id",
-        (F.row_number().over(IN_ORDER) + 8).cast("int").alias("row"),
+        (F.row_number().over(in_order()) + 8).cast("int").alias("row"),
         F.when((F.col("lot_before") != "") & (F.col("lot_before") == F.col("lot_value")), F.lit('"')).otherwise(F.col("lot_value")).alias("lot_no"),
         F.coalesce(nonempty(F.col("po_number")), F.col("doc_po_number"), F.lit("")).alias("po"),
         F.coalesce(nonempty(F.col("color")), F.col("doc_color"), F.lit("")).alias("shade"),
