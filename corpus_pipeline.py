@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selvedge.llm import language, near_dedup, packing, quality
-from selvedge.llm.shared import ship, table, written
+from selvedge.llm.shared import ids_for_join, ship, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document of the least doc_id."""
     ship(spark)
-    kept = near_dedup.near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    found = written(near_dedup.near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "near-duplicates")
+    removed = found.where("NOT kept").select(F.col("doc_id").alias("removed_id")).distinct()
+    kept = docs.join(ids_for_join(removed), docs["doc_id"].cast("long") == F.col("removed_id"), "left_anti")
+    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()  # rows that repeat a doc_id; most corpora have none
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

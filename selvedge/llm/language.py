@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches_by_bytes, documents, rows_at_most, written
+from .shared import batches_by_bytes, documents, ids_for_join, rows_at_most, written
 from .spans import LOWER, buffers, byte_class
 
 UNKNOWN = "und"
@@ -210,15 +210,9 @@ def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     return fused(written(evidence(page_rows(pages), model, markup=True), "page-evidence"), model).withColumnRenamed("id", "page_id")
 
 
-#: Rejected documents of which a task can hold all ids (8 bytes each); beyond it, the documents are dealt by doc_id.
-BROADCAST_IDS = 1_000_000
-
-
 def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows (with all their columns) whose language is one of those that the documents are labelled with, at a confidence of `least` or more. Rows without doc_id are judged like one document of that id."""
     model = trained(docs)
     judged = written(fused(written(evidence(document_rows(docs), model, markup=False), "evidence"), model).select("id", (F.coalesce((F.col("language") != UNKNOWN) & (F.col("confidence") >= least), F.lit(False))).alias("ok")), "languages")
     rejected = judged.where(~F.col("ok")).select(F.coalesce("id", F.lit(-(2**63)).cast("long")).alias("rejected_id")).distinct()
-    if rejected.count() <= BROADCAST_IDS:
-        rejected = F.broadcast(rejected)
-    return docs.join(rejected, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")) == F.col("rejected_id"), "left_anti")
+    return docs.join(ids_for_join(rejected), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")) == F.col("rejected_id"), "left_anti")

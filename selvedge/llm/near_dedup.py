@@ -3,7 +3,7 @@
 1. Each text becomes the set of its word shingles (64-bit hashes), the set a sketch: the hash range is cut into equal buckets, and of each bucket's least hash a register keeps the number of leading zeros and MANTISSA bits after them. Equal sets fall together by a 128-bit key of the set, so copies cost one row from then on.
 2. Bands of registers are the keys of buckets of sets. The number of bands is such that two sets at the threshold share none in one of a million cases.
 3. In the first bands, each bucket's least id is compared with the other members: the register estimate, corrected for chance collisions, discards pairs far below the threshold, and the rest is counted on the full sets. The links' connected components are found.
-4. Every bucket that still holds different components is then settled exactly: each pair of its members in different components is compared, inside tasks that hold two blocks of at most BLOCK members each and give out only links that join components. Buckets that have become one component need no more pairs, which spares large groups of copies their squares.
+4. Every bucket that still holds different components is then settled: each pair of its members in different components is compared, inside tasks that hold two blocks of about BLOCK members each; first by sketches, which gives out the members with any hopeful partner, then these on the full sets, which gives out only links that join components. Buckets that have become one component need no more pairs, which spares large groups of copies their squares.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import batches_by_bytes, documents, written
+from .shared import batches_by_bytes, documents, ids_for_join, sorted_groups, written
 from .spans import U64, mixed, word_hashes
 
 MANTISSA = 10
@@ -127,15 +127,27 @@ def signatures(docs: DataFrame, shape: Shape) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, shape: Shape) -> DataFrame:
-    """doc_id, sketch and hashes (8 bytes each, ascending) of the documents whose ids are asked for."""
+    """doc_id, sketch and hashes (8 bytes each, ascending) of the documents whose ids (doc_id) are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "text"):
             sets = shingle_sets(batch.column("text"), shape.shingle)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([row.tobytes() for row in registers(sets, shape)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "sketch", "hashes"])
 
-    wanted = documents(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return wanted.mapInArrow(run, "doc_id long, sketch binary, hashes binary")
+    wanted = documents(docs).join(ids_for_join(written(ids.distinct(), "wanted")), "doc_id", "left_semi")
+    return written(wanted.mapInArrow(run, "doc_id long, sketch binary, hashes binary").dropDuplicates(["doc_id"]), "full-sets")
+
+
+def hopeful_pairs(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
+    """The pairs (u, v) that the sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.select(["u", "v"]).filter(pa.array(hopeful(sketches(batch.column("a")), sketches(batch.column("b")), shape.percent)))
+
+    left, right = (sets.select(F.col("id").alias(end), F.col("sketch").alias(name)) for end, name in (("u", "a"), ("v", "b")))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
@@ -162,26 +174,45 @@ def sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.uint16).reshape(len(rows), -1)
 
 
+def partners(x: int, groups: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, largest: int, one_block: bool, percent: int) -> np.ndarray:
+    """Members of other groups that x is to be compared with: of the largest group all, of others those after x; between two blocks, only those of the other one. Those that sizes or sketches rule out are left out."""
+    others = (groups != groups[x]) & (one_block | (blocks != blocks[x])) & (100 * sizes >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes)
+    at = np.flatnonzero(others)
+    at = at[(groups[at] == largest) | (at > x)]
+    return at[hopeful(sketch[at], sketch[x][None, :], percent)] if len(at) else at
+
+
+def largest_group(groups: np.ndarray) -> int:
+    names, counts = np.unique(groups, return_counts=True)
+    return names[counts.argmax()]
+
+
+def with_partners(groups: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, one_block: bool, percent: int) -> np.ndarray:
+    """Which members have a partner at all."""
+    if len(groups) == 2:
+        fits = groups[0] != groups[1] and 100 * sizes.min() >= percent * sizes.max() and (one_block or blocks[0] != blocks[1])
+        return np.full(2, fits and bool(hopeful(sketch[0], sketch[1], percent)))
+    largest, out = largest_group(groups), np.zeros(len(groups), dtype=bool)
+    for x in np.flatnonzero(groups != largest):
+        at = partners(x, groups, blocks, sizes, sketch, largest, one_block, percent)
+        out[at] = True
+        out[x] |= len(at) > 0
+    return out
+
+
 def joined_within(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], one_block: bool, percent: int) -> list[tuple[int, int]]:
-    """Links between members of different groups; one for each member and group it touches. With two blocks, only between these."""
+    """Links between members of different groups; one for each member and group it touches."""
     sizes = np.array([len(s) for s in sets])
-    begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    begins = np.cumsum(sizes) - sizes
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    names, counts = np.unique(groups, return_counts=True)
-    largest = names[counts.argmax()]
-    flags = np.zeros(len(values), dtype=bool)
-    found = []
+    largest, flags, found = largest_group(groups), np.zeros(len(values), dtype=bool), []
     for x in np.flatnonzero(groups != largest):
-        others = (groups != groups[x]) & (one_block | (blocks != blocks[x]))
-        others &= (groups == largest) | (np.arange(len(ids)) > x)
-        others &= (100 * sizes >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes)
-        at = np.flatnonzero(others)
-        at = at[hopeful(sketch[at], sketch[x][None, :], percent)]
+        at = partners(x, groups, blocks, sizes, sketch, largest, one_block, percent)
         if not len(at):
             continue
         own = flat[begins[x] : begins[x] + sizes[x]]
         flags[own] = True
-        inter = np.add.reduceat(flags[flat], begins)[at] if len(at) > 32 else np.array([flags[flat[begins[y] : begins[y] + sizes[y]]].sum() for y in at])
+        inter = np.add.reduceat(flags[flat], begins, dtype=np.int64)[at] if len(at) > 32 else np.array([np.count_nonzero(flags[flat[begins[y] : begins[y] + sizes[y]]]) for y in at])
         flags[own] = False
         at = at[linked(inter, sizes[x], sizes[at], percent)]
         _, first = np.unique(groups[at], return_index=True)
@@ -189,21 +220,42 @@ def joined_within(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sketc
     return found
 
 
-def settled(members: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
-    """Links between the different components of each bucket (key, id, component, n_members): every pair of blocks of a bucket meets in one task."""
-    n_blocks = F.ceil(F.col("n_members") / F.lit(BLOCK)).cast("int")
-    dealt = members.join(sets, members["id"] == sets["doc_id"]).withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "sketch", "hashes")
+def dealt(members: DataFrame, more: DataFrame, *columns: str) -> DataFrame:
+    """Members (key, id, component) of buckets that hold different components, with columns of `more` (by id), once for each pair of blocks of their bucket, the pairs' rows together in one task."""
+    open_ = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n_members")).where("least <> most")
+    rows = members.join(open_.select("key", F.ceil(F.col("n_members") / BLOCK).cast("int").alias("n_blocks")), "key").join(more, "id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", *columns)
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
+
+
+def hopeful_members(members: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
+    """The members that the sketches leave a partner of another component in their bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in sorted_groups(batches, ["key", "low", "high"]):
+            low, high, groups, blocks, sizes = (table.column(c).to_numpy() for c in ("low", "high", "component", "block", "n_shingles"))
+            sketch = sketches(table.column("sketch"))
+            marks = [with_partners(groups[a:b], blocks[a:b], sizes[a:b], sketch[a:b], low[a] == high[a], shape.percent) for a, b in zip(begins, [*begins[1:], table.num_rows], strict=True)]
+            yield from table.select(["key", "id", "component"]).filter(pa.array(np.concatenate(marks))).combine_chunks().to_batches()
+
+    return dealt(members, sets.select("id", "n_shingles", "sketch"), "n_shingles", "sketch").mapInArrow(run, "key long, id long, component long").distinct()
+
 
-    def run(group: pa.Table) -> pa.Table:
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        sets = [np.frombuffer(x, dtype=U64) for x in group.column("hashes").to_pylist()]
-        ids, groups, blocks = (group.column(c).to_numpy() for c in ("id", "component", "block"))
-        found = joined_within(ids, groups, blocks, sketches(group.column("sketch")), sets, low == high, shape.percent)
-        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+def settled(members: DataFrame, full: DataFrame, shape: Shape) -> DataFrame:
+    """Links (u, v) between the different components of each bucket, on the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in sorted_groups(batches, ["key", "low", "high"]):
+            low, high, ids, groups, blocks = (table.column(c).to_numpy() for c in ("low", "high", "id", "component", "block"))
+            sketch, content = sketches(table.column("sketch")), table.column("hashes")
+            found = []
+            for a, b in zip(begins, [*begins[1:], table.num_rows], strict=True):
+                sets = [np.frombuffer(x, dtype=U64) for x in content.slice(a, b - a).to_pylist()]
+                found += joined_within(ids[a:b], groups[a:b], blocks[a:b], sketch[a:b], sets, low[a] == high[a], shape.percent)
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
 
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, "u long, v long").distinct()
+    return dealt(members, full.withColumnRenamed("doc_id", "id"), "sketch", "hashes").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -213,19 +265,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     shape = Shape(shingle, percent)
     signs = written(signatures(docs, shape), "signatures")
-    sets = signs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"))
+    sets = signs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     sets = written(sets, "sets")
     rows = sets.select("id", "n_shingles", F.posexplode("bands").alias("band", "key")).where("key IS NOT NULL")
     buckets = rows.groupBy("key").agg(F.count("*").alias("n_members"), F.min(F.struct("id", "n_shingles")).alias("least")).where("n_members > 1")
     members = written(rows.join(buckets, "key"), "members")
     pairs = members.where((F.col("band") < FIRST_BANDS) & (F.col("id") != F.col("least.id")) & (100 * F.least("n_shingles", "least.n_shingles") >= percent * F.greatest("n_shingles", "least.n_shingles")))
-    pairs = pairs.select(F.col("least.id").alias("u"), F.col("id").alias("v")).distinct()
-    full = written(full_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), shape), "full-sets")
+    pairs = written(hopeful_pairs(pairs.select(F.col("least.id").alias("u"), F.col("id").alias("v")).distinct(), sets, shape), "pairs")
+    full = full_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")), shape)
     first = components(verified(pairs, full, shape))
 
     placed = members.select("key", "id").join(first, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n_members")).where("least <> most").select("key", "n_members")
-    more = settled(placed.join(open_, "key"), full, shape)
+    unsettled = written(hopeful_members(placed, sets, shape), "unsettled")
+    full = full_sets(docs, unsettled.select(F.col("id").alias("doc_id")), shape)
+    more = settled(unsettled, full, shape)
     found = components(more.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
     classes = sets.join(found, F.col("id") == F.col("node"), "left").select("key1", "key2", "n_shingles", F.coalesce("component", "id").alias("component_id"), "n_copies")

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids that may be sent to every task: 8 bytes each.
+BROADCAST_IDS = 1_000_000
+
+
+def ids_for_join(ids: DataFrame) -> DataFrame:
+    """A frame of distinct ids, marked to be sent to every task if it has BROADCAST_IDS rows at most; else it is joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def rows_at_most(df: DataFrame, bound: int) -> list:
     """Collect a frame that must have no more rows than a proven bound."""
     rows = df.limit(bound + 1).collect()
@@ -83,3 +93,24 @@ def batches_by_bytes(batches: Iterator[pa.RecordBatch], name: str, most: int = 4
             total += int(size)
         if at < batch.num_rows:
             yield batch.slice(at)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups from batches that come in order of the keys, with the places where the groups begin. A group that goes on in the next batch waits for it."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        changed = np.zeros(table.num_rows - 1, dtype=bool)
+        for key in keys:
+            values = table.column(key).to_numpy()
+            changed |= values[1:] != values[:-1]
+        begins = [0, *(np.flatnonzero(changed) + 1).tolist()]
+        rest = table.slice(begins[-1])
+        if len(begins) > 1:
+            yield table.slice(0, begins[-1]), begins[:-1]
+    if rest is not None and rest.num_rows:
+        yield rest, [0]
