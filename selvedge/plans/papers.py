@@ -266,9 +266,9 @@ def number_clean(spark, sf_dir):
     return frame(spark, sf_dir, NUMBERS).select("o_orderkey", T.clean_number(F.col("raw")).alias("value"))
 
 
-@query("coerce_numbers", rf"WITH n AS ({duck(NUMBERS)}), s AS (SELECT *, regexp_replace(raw, '[,\s]', '', 'g') AS x FROM n), v AS (SELECT *, CASE WHEN regexp_matches(x, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$') THEN try_cast(x AS DOUBLE) END AS d FROM s) SELECT o_orderkey, raw, CAST(trunc(d) AS INTEGER) AS pieces, d AS meters FROM v")
+@query("coerce_numbers", rf"WITH n AS ({duck(NUMBERS)}), s AS (SELECT *, regexp_replace(raw, '[,\s]', '', 'g') AS x FROM n), v AS (SELECT *, CASE WHEN regexp_matches(x, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$') THEN try_cast(x AS DOUBLE) END AS d FROM s) SELECT o_orderkey, raw, CAST(CAST(trunc(d) AS INTEGER) AS VARCHAR) AS pieces, d AS meters FROM v")
 def coerce_numbers(spark, sf_dir):
-    return frame(spark, sf_dir, NUMBERS).select("o_orderkey", "raw", T.coerced(F.col("raw"), whole=True).alias("pieces"), T.coerced(F.col("raw")).alias("meters"))
+    return frame(spark, sf_dir, NUMBERS).select("o_orderkey", "raw", T.coerced(F.col("raw"), whole=True).cast("string").alias("pieces"), T.coerced(F.col("raw")).alias("meters"))
 
 
 @query("clean_strings", "SELECT o_orderkey, o_orderpriority AS value FROM orders")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fixed import SUMMARY_ROW
+from ..operators import extraction as X
 from ..operators import rolls as R
 from ..sources.rendered import ROLLS, duck, frame
 from .registry import query
@@ -183,3 +184,22 @@ def split_shade_lot(spark, sf_dir):
 @query("rolls_to_lines", f"{WITH_ROLLS} SELECT doc_id, seq, lot, po_number, piece_number, meters, CAST(CAST(round(meters * 109361) AS BIGINT) / 100000 AS DOUBLE) AS length_yds, net_weight, color, CAST(NULL AS VARCHAR) AS quality FROM rolls")
 def rolls_to_lines(spark, sf_dir):
     return rolls(spark, sf_dir).select("doc_id", "seq", "lot", "po_number", "piece_number", "meters", (F.round(F.col("meters") * 109361).cast("long") / 100000).alias("length_yds"), "net_weight", "color", F.lit(None).cast("string").alias("quality"))
+
+
+def roll_texts(spark, sf_dir):
+    """The rolls of each order as text: a section for each PO, ditto marks, totals."""
+    own = rolls(spark, sf_dir)
+    order = Window.partitionBy("doc_id", "po_number").orderBy("seq")
+    lot = F.when(F.lag("lot").over(order) == F.col("lot"), F.lit('"')).otherwise(F.col("lot"))
+    money = F.format_string("%.2f", F.col("net_weight"))
+    own = own.withColumn("line", F.concat_ws("   ", lot, "piece_number", "color", F.concat(F.col("meters").cast("int").cast("string"), F.lit(" m")), money))
+    section = own.groupBy("doc_id", "po_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("body"), F.count("*").alias("n"))
+    text = F.concat(F.lit("PO # "), "po_number", F.lit("\nLot No   Roll No   Shade   Length (M)   Net Weight\n"), "body", F.lit("\nTotal   "), F.col("n").cast("string"), F.lit("   rolls\n"))
+    return section.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("po_number", text.alias("text")))), lambda x: x["text"]), "\n").alias("full_text"))
+
+
+@query("roll_extraction", f"{WITH_ROLLS} SELECT doc_id, lot, po_number, piece_number, color, CAST(meters AS DOUBLE) AS meters, CAST(round(net_weight * 100) AS BIGINT) AS cents FROM rolls")
+def roll_extraction(spark, sf_dir):
+    """Text and back again."""
+    found = X.extracted(X.lines_of(roll_texts(spark, sf_dir)))
+    return found.select("doc_id", "lot", "po_number", "piece_number", "color", "meters", F.round(F.col("net_weight") * 100).cast("long").alias("cents"))

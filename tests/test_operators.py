@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from selvedge.api import Shipments
 from selvedge.functions import text as T
-from selvedge.operators import checks, evidence, feedback, fields, pages, rates, responses, rolls, tables
+from selvedge.operators import checks, evidence, extraction, feedback, fields, pages, rates, responses, rolls, tables
 from selvedge.sources import readers
 from selvedge.streaming import ingest
 
@@ -184,3 +184,25 @@ def test_ocr_coalesce(spark):
     ocr = spark.createDataFrame([("d", 1, "tiny", "text of the image"), ("d", 2, "direct text that is long enough", "x")], "doc_id string, page_number int, direct_text string, image_text string")
     got = pages.ocr_filled(own, ocr).orderBy("page_number").collect()
     assert [(r.page_type, r.raw_text) for r in got] == [("item_table", "text of the image"), ("header", "enough text to be a page")]
+
+
+def test_two_sections_of_rolls(spark):
+    text = """SHIPMENT OF DENIM
+PO # 140928
+LOT NO   Roll No   Shade   Length(mts)   Weight (Nett kgs)
+072168 / 002   559988021   A   60.00-FULL   30.60
+"   559988022   A   1,059.06   29.9
+Total   2   rolls
+PO # 140929
+Lot No | Roll No | Shade | Length (m) | Net Wt
+072168 / 003 |  | B | 85 m | 40
+" | 17 | " | 1.245,50 | 41
+GRAND TOTAL | 4"""
+    frame = spark.createDataFrame([("d", text), ("e", "no table at all"), ("f", None)], "doc_id string, full_text string")
+    got = extraction.extracted(extraction.lines_of(frame)).orderBy("doc_id", "seq").collect()
+    assert [(r.lot, r.po_number, r.piece_number, r.color, r.meters, r.net_weight) for r in got] == [
+        ("072168 / 002", "140928", "559988021", "A", 60.0, 30.6),
+        ("072168 / 002", "140928", "559988022", "A", 1059.06, 29.9),
+        ("072168 / 003", "140929", "3", "B", 85.0, 40.0),
+        ("072168 / 003", "140929", "17", "B", 1245.5, 41.0),
+    ]
