@@ -49,7 +49,7 @@ class Texts:
 
     def per_text(self, values: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
         """Sums of one value for each byte (or whatever begins count) over each text."""
-        sums = np.concatenate(([0], np.cumsum(values, dtype=np.float64)))
+        sums = np.concatenate(([0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)))
         begins = self.offsets if begins is None else begins
         return sums[begins[1:]] - sums[begins[:-1]]
 
