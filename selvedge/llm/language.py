@@ -88,9 +88,9 @@ def trained(docs: DataFrame, label: str = "lang") -> TextModel:
 
     rows = rows_at_most(some.mapInArrow(run, "language string, cells array<int>, counts array<int>"), 2 * SAMPLE + 1000)
     languages = sorted({r["language"] for r in rows})
-    counts = np.full((len(languages) + 1, CELLS), 0.1)
-    for r in rows:
-        counts[languages.index(r["language"]), r["cells"]] += r["counts"]
+    counts = np.ones((len(languages) + 1, CELLS))
+    for r in rows:  # a trigram that a text repeats counts by the logarithm, lest a few texts make a language
+        counts[languages.index(r["language"]), r["cells"]] += np.log1p(r["counts"])
     counts[-1] = 1.0
     return TextModel([*languages, UNKNOWN], np.log(counts / counts.sum(1, keepdims=True)))
 
