@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .shared import documents, texts_of, written
 from .spans import U64, mixed
 
-#: Bytes of a k-mer and of an s-mer (one 64-bit word), s-mers in a k-mer, hashes in a fingerprint.
-K, S, SIZE = 20, 8, 64
+#: Bytes of a k-mer and of an s-mer (8 at most), s-mers in a k-mer, hashes in a fingerprint.
+K, S, SIZE = 12, 6, 64
 WINDOW = K - S + 1
 #: Long texts are searched in blocks of so many k-mers, which overlap by K - 1 bytes.
 BLOCK = 1 << 16
@@ -26,16 +26,17 @@ BLOCK = 1 << 16
 
 def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) - K + 1
-    words = np.ndarray((n + K - S,), dtype="<u8", buffer=data, strides=(1,))
-    order = words * U64(0x9E3779B97F4A7C15)
+    padded = np.concatenate((data, np.zeros(8 - S, dtype=np.uint8)))
+    order = np.ndarray((n + K - S,), dtype="<u8", buffer=padded, strides=(1,)) & U64((1 << 8 * S) - 1)
+    order *= U64(0x9E3779B97F4A7C15)
     order ^= order >> U64(29)
     order *= U64(0xBF58476D1CE4E5B9)
-    least = np.minimum(order[:-1], order[1:])
-    least = np.minimum(least[:-2], least[2:])
-    least = np.minimum(least[:-4], least[4:])
-    least = np.minimum(least[: n], least[WINDOW - 8 : WINDOW - 8 + n])
+    least, width = order, 1
+    while 2 * width <= WINDOW:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    least = np.minimum(least[:n], least[WINDOW - width : WINDOW - width + n])
     at = np.flatnonzero((order[:n] == least) | (order[WINDOW - 1 : WINDOW - 1 + n] == least))
-    hashes = mixed(order[at] ^ (order[at + 8] * U64(0xD6E8FEB86659FD93)) ^ (order[at + K - S] * U64(0xA5CB9243F2CED5C1)))
+    hashes = mixed(order[at] ^ (order[at + (K - S) // 2] * U64(0xD6E8FEB86659FD93)) ^ (order[at + K - S] * U64(0xA5CB9243F2CED5C1)))
     return at, (hashes >> U64(32)).astype(np.uint32)
 
 
@@ -122,7 +123,7 @@ def next_document_likeness(docs: DataFrame) -> DataFrame:
 
     The texts are dealt once, by range of doc_id, and each task walks its own range; the pairs that two tasks share are formed afterwards from the tasks' first and last texts. Null texts are empty; a null doc_id comes before all others; rows of equal doc_id are ordered by text. Other columns are ignored. An empty table gives an empty result, and a single document is its own next one.
     """
-    ranged = documents(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ranged = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     steps = written(ranged.mapInArrow(within_task, STEP), "fingerprints")
     first = steps.where("edge = 'first'").select(F.col("task").alias("to"), F.col("text").alias("after"))
     last = steps.where("edge = 'last'").select("task", "doc_id", "text")
