@@ -139,15 +139,16 @@ def full_sets(docs: DataFrame, ids: DataFrame, shape: Shape) -> DataFrame:
 
 
 def hopeful_pairs(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
-    """The pairs (u, v) that the sketches don't rule out."""
+    """The pairs (u, v) that sizes and sketches don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield batch.select(["u", "v"]).filter(pa.array(hopeful(sketches(batch.column("a")), sketches(batch.column("b")), shape.percent)))
 
-    left, right = (sets.select(F.col("id").alias(end), F.col("sketch").alias(name)) for end, name in (("u", "a"), ("v", "b")))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    left, right = (sets.select(F.col("id").alias(end), F.col("sketch").alias(name), F.col("n_shingles").alias(f"{name}_size")) for end, name in (("u", "a"), ("v", "b")))
+    alike = 100 * F.least("a_size", "b_size") >= shape.percent * F.greatest("a_size", "b_size")
+    return pairs.join(left, "u").join(right, "v").where(alike).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
@@ -267,11 +268,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signs = written(signatures(docs, shape), "signatures")
     sets = signs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     sets = written(sets, "sets")
-    rows = sets.select("id", "n_shingles", F.posexplode("bands").alias("band", "key")).where("key IS NOT NULL")
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n_members"), F.min(F.struct("id", "n_shingles")).alias("least")).where("n_members > 1")
+    rows = sets.select("id", F.posexplode("bands").alias("band", "key")).where("key IS NOT NULL")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n_members"), F.min("id").alias("least")).where("n_members > 1")
     members = written(rows.join(buckets, "key"), "members")
-    pairs = members.where((F.col("band") < FIRST_BANDS) & (F.col("id") != F.col("least.id")) & (100 * F.least("n_shingles", "least.n_shingles") >= percent * F.greatest("n_shingles", "least.n_shingles")))
-    pairs = written(hopeful_pairs(pairs.select(F.col("least.id").alias("u"), F.col("id").alias("v")).distinct(), sets, shape), "pairs")
+    pairs = members.where((F.col("band") < FIRST_BANDS) & (F.col("id") != F.col("least"))).select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
+    pairs = written(hopeful_pairs(pairs, sets, shape), "pairs")
     full = full_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")), shape)
     first = components(verified(pairs, full, shape))
 
