@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches_by_bytes, documents, ids_for_join, rows_at_most, written
+from .shared import batches_by_bytes, documents, ids_for_join, sample_at_most, sample_of, written
 from .spans import LOWER, buffers, byte_class
 
 UNKNOWN = "und"
@@ -77,20 +78,21 @@ class TextModel:
 def trained(docs: DataFrame, label: str = "lang") -> TextModel:
     """A text model from documents with a label: a sample of about SAMPLE of them, chosen by a hash of doc_id. Without labelled texts, UNKNOWN is the only language."""
     known = docs.where(F.col(label).isNotNull() & (F.col(label) != ""))
-    n = known.count()
-    some = documents(known, F.col(label).alias("language")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, n))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "text"):
             cells, begins = trigrams(batch.column("text"))
             counted = [np.unique(cells[a:b], return_counts=True) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("language"), pa.array([x for x, _ in counted], pa.list_(pa.int32())), pa.array([x for _, x in counted], pa.list_(pa.int32()))], names=["language", "cells", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("language"), pa.array([x for x, _ in counted], pa.list_(pa.int32())), pa.array([x for _, x in counted], pa.list_(pa.int32()))], names=["doc_id", "language", "cells", "counts"])
 
-    rows = rows_at_most(some.mapInArrow(run, "language string, cells array<int>, counts array<int>"), 2 * SAMPLE + 1000)
-    languages = sorted({r["language"] for r in rows})
+    some = sample_of(documents(known, F.col(label).alias("language")), SAMPLE, known.count())
+    rows = sample_at_most(some.mapInArrow(run, "doc_id long, language string, cells array<int>, counts array<int>"), SAMPLE)
+    languages = sorted(set(rows.column("language").to_pylist()))
     counts = np.ones((len(languages) + 1, CELLS))
-    for r in rows:  # a trigram that a text repeats counts by the logarithm, lest a few texts make a language
-        counts[languages.index(r["language"]), r["cells"]] += np.log1p(r["counts"])
+    for k, language in enumerate(languages):  # a trigram that a text repeats counts by the logarithm, lest a few texts make a language
+        own = rows.filter(pc.equal(rows.column("language"), language))
+        cells, seen = (pc.list_flatten(own.column(c)).to_numpy() for c in ("cells", "counts"))
+        counts[k] += np.bincount(cells, np.log1p(seen), minlength=CELLS)
     counts[-1] = 1.0
     return TextModel([*languages, UNKNOWN], np.log(counts / counts.sum(1, keepdims=True)))
 

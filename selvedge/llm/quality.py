@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .shared import batches_by_bytes, documents, rows_at_most
+from .shared import batches_by_bytes, documents, rows_at_most, sample_at_most, sample_of
 from .spans import LOWER, U64, buffers, byte_class, span_hashes, word_spans
 
 #: Rows of the sample that the scorer is fitted on, at most (about so many of a larger table), and hashed weights.
@@ -173,8 +173,7 @@ class Scorer:
 
 
 def sample_bags(docs: DataFrame, n_docs: int) -> DataFrame:
-    """pattern, features and shares of about SAMPLE documents, chosen by a hash of doc_id."""
-    some = documents(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, n_docs))))
+    """doc_id, pattern, features and shares of about SAMPLE documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "text"):
@@ -185,9 +184,9 @@ def sample_bags(docs: DataFrame, n_docs: int) -> DataFrame:
                 flat = (features[:, a:b] + np.arange(3)[:, None] * WEIGHTS).ravel()
                 ids, counts = np.unique(flat, return_counts=True)
                 bags.append((ids, counts / max(1, b - a)))
-            yield pa.RecordBatch.from_arrays([pa.array(patterns), pa.array([x for x, _ in bags], pa.list_(pa.int32())), pa.array([x for _, x in bags], pa.list_(pa.float32()))], names=["pattern", "features", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(patterns), pa.array([x for x, _ in bags], pa.list_(pa.int32())), pa.array([x for _, x in bags], pa.list_(pa.float32()))], names=["doc_id", "pattern", "features", "shares"])
 
-    return some.mapInArrow(run, "pattern long, features array<int>, shares array<float>")
+    return sample_of(documents(docs), SAMPLE, n_docs).mapInArrow(run, "doc_id long, pattern long, features array<int>, shares array<float>")
 
 
 def fitted(docs: DataFrame) -> Scorer:
@@ -198,29 +197,27 @@ def fitted(docs: DataFrame) -> Scorer:
     counted.sort(key=lambda r: r["pattern"])
     patterns, counts = np.array([r["pattern"] for r in counted]), np.array([r["count"] for r in counted], dtype=np.float64)
     good, _, _ = label_model(patterns, counts)
-    posterior = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    rows = sorted(rows_at_most(sample_bags(docs, int(counts.sum())), 2 * SAMPLE + 1000), key=lambda r: (r["pattern"], r["features"]))
-    return Scorer(posterior, *regression([r for r in rows if r["features"]], posterior))
-
-
-def regression(rows: list, posterior: dict[int, float]) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, both classes of equal weight, by full-batch steps scaled for each weight."""
-    weights, bias = np.zeros(3 * WEIGHTS), 0.0
-    if rows:
-        ids = np.concatenate([np.asarray(r["features"], dtype=np.int64) for r in rows])
-        shares = np.concatenate([np.asarray(r["shares"], dtype=np.float64) for r in rows])
-        owner = np.repeat(np.arange(len(rows)), [len(r["features"]) for r in rows])
-        target = np.array([posterior.get(r["pattern"], 0.5) for r in rows])
-        balance = 0.5 * target / max(target.sum(), 1e-9) + 0.5 * (1 - target) / max((1 - target).sum(), 1e-9)
-        squares, bias_square = np.full(len(weights), 1e-12), 1e-12
-        for _ in range(ROUNDS):
-            z = np.bincount(owner, weights[ids] * shares, minlength=len(rows)) + bias
-            error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) * balance
-            slope = np.bincount(ids, error[owner] * shares, minlength=len(weights)) + DECAY * weights
-            squares += slope**2
-            weights -= STEP * slope / np.sqrt(squares)
-            bias_square += error.sum() ** 2
-            bias -= STEP * error.sum() / np.sqrt(bias_square)
+    bags = sample_at_most(sample_bags(docs, int(counts.sum())), SAMPLE)
+    sizes = pc.list_value_length(bags.column("features")).to_numpy()
+    ids, shares = (pc.list_flatten(bags.column(c)).to_numpy() for c in ("features", "shares"))
+    target = good[np.searchsorted(patterns, bags.column("pattern").to_numpy())]
+    some = sizes > 0
+    return Scorer(dict(zip(patterns.tolist(), good.tolist(), strict=True)), *regression(np.repeat(np.arange(some.sum()), sizes[some]), ids, shares, target[some]))
+
+
+def regression(owner: np.ndarray, ids: np.ndarray, shares: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels, both classes of equal weight, by full-batch steps scaled for each weight. Entry k says that text owner[k] has feature ids[k] in shares[k] of its words."""
+    weights, bias, n = np.zeros(3 * WEIGHTS), 0.0, len(target)
+    balance = 0.5 * target / max(target.sum(), 1e-9) + 0.5 * (1 - target) / max((1 - target).sum(), 1e-9)
+    squares, bias_square = np.full(len(weights), 1e-12), 1e-12
+    for _ in range(ROUNDS if n else 0):
+        z = np.bincount(owner, weights[ids] * shares, minlength=n) + bias
+        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) * balance
+        slope = np.bincount(ids, error[owner] * shares, minlength=len(weights)) + DECAY * weights
+        squares += slope**2
+        weights -= STEP * slope / np.sqrt(squares)
+        bias_square += error.sum() ** 2
+        bias -= STEP * error.sum() / np.sqrt(bias_square)
     return weights.reshape(3, WEIGHTS).astype(np.float32), float(bias)
 
 

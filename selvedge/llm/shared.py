@@ -18,8 +18,14 @@ from pyspark.sql import functions as F
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of an Arrow batch, in place of the session's default of 64 MB: what a task holds outside its heap, and its Python worker.
+ARROW_BATCH = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this library to the executors, once for each application, so that their Python workers can import it."""
+    """Send this library to the executors, once for each application, so that their Python workers can import it; and where the session has the default size of Arrow batches, make it ARROW_BATCH."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH))
     application = spark.sparkContext.applicationId
     if application not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -33,9 +39,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints. Only where none is named (single-machine tests) is a local one set."""
+    """The folder that the cluster names for checkpoints. Where none is named, a local one is set on a single machine, as in tests; on a cluster that is an error. What is written there is scratch, to be deleted with the folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -65,13 +73,26 @@ def ids_for_join(ids: DataFrame) -> DataFrame:
 
 
 def rows_at_most(df: DataFrame, bound: int) -> list:
-    """Collect a frame that must have no more rows than a proven bound."""
-    rows = df.limit(bound + 1).collect()
+    """Collect a frame that has no more rows than a proven bound."""
+    rows = df.collect()
     if len(rows) > bound:
-        raise ValueError(f"more than {bound} rows")
+        raise ValueError(f"{len(rows)} rows, more than {bound}")
     return rows
 
 
+def sample_of(df: DataFrame, bound: int, n: int, key: str = "doc_id") -> DataFrame:
+    """About `bound` rows of n, chosen by a hash of a key."""
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, bound / max(1, n))))
+
+
+def sample_at_most(sample: DataFrame, bound: int, key: str = "doc_id") -> pa.Table:
+    """A sample on the driver, in order of the key. If one key has so many rows that they exceed twice the bound, the rest of the rows by the key's hash is left out."""
+    sample = written(sample, "sample")
+    if sample.count() > 2 * bound + 1000:
+        sample = sample.orderBy(F.xxhash64(key)).limit(2 * bound)
+    return sample.toArrow().sort_by(key).combine_chunks()
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return pc.fill_null(batch.column(name), "").to_pylist()
 
