@@ -34,7 +34,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
         frequencies = np.zeros(code.library.get_vocab_size(), dtype=np.int32)
         tail = np.array([end], dtype=code.kind).tobytes()
         size = code.kind.itemsize
-        for batch in batches_by_bytes(batches, "text"):
+        for batch in batches_by_bytes(batches, "text", 1 << 19):
             ids, places = code.encode(batch.column("text"))
             content, rows = ids.tobytes(), []
             for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):

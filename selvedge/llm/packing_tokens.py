@@ -16,7 +16,7 @@ from .spans import LOWER, U64, buffers, byte_class, span_hashes
 from .token_counts import merges, ragged
 
 #: A worker remembers so many distinct parts (by their 64-bit hash); when there are more, it starts anew.
-KEPT = 2_000_000
+KEPT = 500_000
 NOT_SPACE = ~byte_class((0x20, 0x20), (0x09, 0x0D))
 ASCII_LETTER = byte_class((65, 90), (97, 122))
 PUNCTUATION = byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
