@@ -26,7 +26,8 @@ def _score(text: str, words) -> str:
 
 
 def papers(spark, sf_dir):
-    return frame(spark, sf_dir, PAPERS)
+    """Papers dealt by document, as pages would be: a table in one file would leave all patterns to one task, and what groups by document needs no other shuffle."""
+    return frame(spark, sf_dir, PAPERS).repartition("doc_id")
 
 
 def cells(spark, sf_dir):
