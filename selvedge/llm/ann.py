@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by cosine, from a hash-prefix forest.
 
-A tree gives each vector a long hash string: its symbols are the places and signs of the largest coordinates of the vector under random rotations, so that near vectors often share them. The forest of some rows is a sorted array of strings for each tree. A query descends each tree to the rows that share the longest prefix with it, then ascends all trees together, symbol by symbol, until the trees have enough candidates; these are ranked by the exact cosine in double precision.
+A tree gives each vector a long hash string: its symbols are the places and signs of the largest coordinates of the vector under random rotations, so that near vectors often share them. The forest of some rows is a sorted array of strings for each tree. A query descends each tree to the rows that share the longest prefix with it, then ascends all trees together, symbol by symbol, until the trees have enough different candidates (else all rows are candidates); these are ranked by the exact cosine in double precision.
 
-Rows are dealt into shards by a hash of vec_id, each with a forest of its own, and queries into blocks; a task holds one shard and one block, and gives out TOP rows for each query. Every bucket is taken whole, so near-identical vectors in any number do no harm.
+Rows of one length are dealt into shards by a hash of vec_id, each with a forest of its own, and queries into blocks; a task holds one shard and one block, and gives out TOP rows for each query. Every bucket is taken whole, so near-identical vectors in any number do no harm.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, SYMBOLS, MOST_AXES = 64, 3, 64
-#: A query ascends until its trees have this share of the shard's rows together (counted with repeats).
-SHARE = 0.15
+#: A query ascends until its trees have this share of the shard's rows together, and so many at least: different rows, its own not counted.
+SHARE, LEAST = 0.15, 256
 SHARD_ROWS, BLOCK_ROWS = 4096, 4096
 
 
@@ -63,18 +63,21 @@ class Forest:
     def search(self, ids: np.ndarray, queries: np.ndarray, top: int) -> list[tuple[int, int, float]]:
         keys = strings(queries)
         levels = [self.ranges(keys, level) for level in range(SYMBOLS, 0, -1)]
-        enough = max(top + 1, SHARE * len(self.ids))
+        enough = max(top, LEAST, SHARE * len(self.ids))
         found = []
         for q in range(len(queries)):
-            wanted = None
+            others = self.ids != ids[q]
+            at = np.flatnonzero(others)
             for low, high in levels:
-                if (high[:, q] - low[:, q]).sum() >= enough:
-                    wanted = np.zeros(len(self.ids), dtype=bool)
-                    for order, a, b in zip(self.order, low[:, q].tolist(), high[:, q].tolist(), strict=True):
-                        wanted[order[a:b]] = True
+                if (high[:, q] - low[:, q]).sum() < enough:  # repeats can only make it fewer
+                    continue
+                wanted = np.zeros(len(self.ids), dtype=bool)
+                for order, a, b in zip(self.order, low[:, q].tolist(), high[:, q].tolist(), strict=True):
+                    wanted[order[a:b]] = True
+                wanted &= others
+                if wanted.sum() >= enough:
+                    at = np.flatnonzero(wanted)
                     break
-            at = np.arange(len(self.ids)) if wanted is None else np.flatnonzero(wanted)
-            at = at[self.ids[at] != ids[q]]
             if not len(at):
                 continue
             norm = np.sqrt((queries[q] * queries[q]).sum())
@@ -109,12 +112,13 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     asked = F.col("vec_id") % every == 0
-    n_rows, n_asked = rows.agg(F.count("*"), F.count_if(asked)).first()
-    n_shards, n_blocks = max(1, -(-n_rows // SHARD_ROWS)), max(1, -(-n_asked // BLOCK_ROWS))
     rows = rows.withColumn("dim", F.size("vector"))
+    # D lengths need D * D / 2 components at least, so this table is small beside the rows.
+    lengths = rows.groupBy("dim").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("n_shards"), F.greatest(F.lit(1), F.ceil(F.count_if(asked) / BLOCK_ROWS)).alias("n_blocks"))
+    rows = rows.join(F.broadcast(lengths), "dim")
     hashed = F.xxhash64("vec_id")
-    index = rows.withColumn("shard", F.pmod(hashed, F.lit(n_shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    queries = rows.where(asked).withColumn("block", F.pmod(F.shiftrightunsigned(hashed, 20), F.lit(n_blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
+    index = rows.withColumn("shard", F.pmod(hashed, F.col("n_shards"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).drop("n_shards", "n_blocks")
+    queries = rows.where(asked).withColumn("block", F.pmod(F.shiftrightunsigned(hashed, 20), F.col("n_blocks"))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_shards") - 1))).drop("n_shards", "n_blocks")
 
     def run(own: pa.Table, block: pa.Table) -> pa.Table:
         found = Forest(*matrix(own)).search(*matrix(block), top) if own.num_rows and block.num_rows else []
@@ -122,6 +126,7 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
         return pa.table({"query_id": pa.array(query_id, pa.int64()), "vec_id": pa.array(vec_id, pa.int64()), "score": pa.array(score, pa.float64())})
 
     keys = ("dim", "shard", "block")
+    index, queries = (df.select(*[F.col(c).alias(c) for c in ("vec_id", "vector", *keys)]) for df in (index, queries))
     found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

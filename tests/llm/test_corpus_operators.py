@@ -219,6 +219,42 @@ def test_nearest(spark):
     assert ann.nearest(frame.limit(0)).count() == 0
 
 
+def share_found(rows, top=5):
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    units = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    cosines = units @ units.T
+    np.fill_diagonal(cosines, -2.0)
+    least = np.sort(cosines, axis=1)[:, -top]
+    got = ann.Forest(ids, vectors).search(ids, vectors, top)
+    assert len(got) == top * len(rows)  # no query loses rows that exist
+    return sum(score >= least[q] - 1e-6 for q, _, score in got) / len(got)  # of equal scores any will do
+
+
+@pytest.mark.parametrize("n", [50, 200, 400, 1000])
+def test_small_shards(n):
+    rng = np.random.default_rng(n)
+    assert share_found([(i, rng.normal(size=64).astype(np.float32).tolist()) for i in range(n)]) > 0.9
+
+
+@pytest.mark.parametrize("copies", [2, 3, 4, 5])
+def test_groups_of_copies(copies):
+    rng = np.random.default_rng(copies)
+    centres = rng.normal(size=(40, 64))
+    bases = centres[rng.integers(0, 40, 2000 // copies)] + rng.normal(size=(2000 // copies, 64))
+    assert share_found([(i, bases[i % len(bases)].astype(np.float32).tolist()) for i in range(len(bases) * copies)]) > 0.9
+
+
+def test_rare_length_has_its_own_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 64)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=3 if i % 100 == 0 else 16).astype(np.float32).tolist()) for i in range(1000)]
+    got = collections.defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 50, 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    expected = brute_nearest(rows, 50, 5)
+    assert {q: [i for i, _ in x] for q, x in expected.items()} == got  # shards of 64 rows are searched whole
+
+
 @needs_tables
 def test_recall_on_the_table(spark):
     vectors = table(spark, SMALL.replace("0.001", "0.01"), "embeddings")
