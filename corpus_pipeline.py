@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selvedge.llm import language, near_dedup, packing, quality
-from selvedge.llm.shared import ids_for_join, ship, table, written
+from selvedge.llm.shared import ids_for_join, row_key, ship, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +25,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document of the least doc_id."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document of the least doc_id, those without one last. Rows are told apart by doc_id and text together, so that different texts of one doc_id, or without any, are judged each for itself."""
     ship(spark)
-    found = written(near_dedup.near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "near-duplicates")
-    removed = found.where("NOT kept").select(F.col("doc_id").alias("removed_id")).distinct()
-    kept = docs.join(ids_for_join(removed), docs["doc_id"].cast("long") == F.col("removed_id"), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()  # rows that repeat a doc_id; most corpora have none
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    key = row_key(docs, "doc_id", "text")
+    found = near_dedup.near_duplicates(docs.select(key.alias("doc_id"), "text"), shingle=5, percent=80)
+    found = written(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"), "kept"), "near-duplicates")
+    linked = found.where("NOT kept").select("key", "component").distinct()
+    members = written(linked.unionByName(linked.select(F.col("component").alias("key"), "component").distinct()), "members")
+    ids = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id")).join(members, "key")
+    least = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")).select(F.col("least.key").alias("key"))
+    removed = written(members.join(least, "key", "left_anti").select(F.col("key").alias("removed_key")), "removed")
+    kept = docs.join(ids_for_join(removed), key == F.col("removed_key"), "left_anti")
+    repeated = found.groupBy("key").count().where("count > 1").limit(1).count()  # rows that repeat a doc_id and its text; most corpora have none
+    return kept.withColumn("row key", row_key(kept, "doc_id", "text")).dropDuplicates(["row key"]).drop("row key") if repeated else kept
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

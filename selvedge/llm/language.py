@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches_by_bytes, documents, ids_for_join, sample_at_most, sample_of, written
+from .shared import batches_by_bytes, documents, ids_for_join, row_key, sample_at_most, sample_of, written
 from .spans import LOWER, buffers, byte_class
 
 UNKNOWN = "und"
@@ -197,10 +197,14 @@ def page_rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("id"), markup.alias("content"), host.alias("host"), F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1).alias("domain"), declared.alias("declared"), F.pmod(F.xxhash64(suffix), F.lit(SUFFIXES)).cast("int").alias("suffix"))
 
 
+def document_key(docs: DataFrame) -> Column:
+    return row_key(docs, "doc_id", "text", "lang", "source")
+
+
 def document_rows(docs: DataFrame) -> DataFrame:
-    """Rows for evidence() from documents: lang is what is declared, source the host (and its own domain); there is no address."""
+    """Rows for evidence() from documents: id is document_key(), lang is what is declared, source the host (and its own domain); there is no address."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"), source.alias("host"), F.lit("").alias("domain"), code(F.col("lang").cast("string")).alias("declared"), F.lit(0).alias("suffix"))
+    return docs.select(document_key(docs).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"), source.alias("host"), F.lit("").alias("domain"), code(F.col("lang").cast("string")).alias("declared"), F.lit(0).alias("suffix"))
 
 
 def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -213,8 +217,8 @@ def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows (with all their columns) whose language is one of those that the documents are labelled with, at a confidence of `least` or more. Rows without doc_id are judged like one document of that id."""
+    """The rows (with all their columns) whose language is one of those that the documents are labelled with, at a confidence of `least` or more. Each row is judged by its own text, whatever its doc_id."""
     model = trained(docs)
     judged = written(fused(written(evidence(document_rows(docs), model, markup=False), "evidence"), model).select("id", (F.coalesce((F.col("language") != UNKNOWN) & (F.col("confidence") >= least), F.lit(False))).alias("ok")), "languages")
-    rejected = judged.where(~F.col("ok")).select(F.coalesce("id", F.lit(-(2**63)).cast("long")).alias("rejected_id")).distinct()
-    return docs.join(ids_for_join(rejected), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")) == F.col("rejected_id"), "left_anti")
+    rejected = judged.where(~F.col("ok")).select(F.col("id").alias("rejected_key")).distinct()
+    return docs.join(ids_for_join(rejected), document_key(docs) == F.col("rejected_key"), "left_anti")

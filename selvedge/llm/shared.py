@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -72,6 +72,11 @@ def ids_for_join(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def row_key(df: DataFrame, *columns: str) -> Column:
+    """A 64-bit hash of some columns, never null: rows that differ in them have different keys, but for chance (of 10 million different rows, two share a key in about 3 cases of a million)."""
+    return F.xxhash64(*[x for c in columns for x in (df[c].isNull(), df[c])])
+
+
 def rows_at_most(df: DataFrame, bound: int) -> list:
     """Collect a frame that has no more rows than a proven bound."""
     rows = df.collect()

@@ -281,6 +281,25 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in whole.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_stages_tell_rows_of_one_id_apart(spark):
+    """Several rows without an id, and several texts of one id: each is judged for itself by every stage."""
+    rng = random.Random(4)
+    base = [" ".join(rng.choice(["the", "river", "house", "old", "green", "walks", "and", "morning", "they", "stone"]) for _ in range(60)) for _ in range(5)]
+    near = base[1] + " indeed"
+    fine = [(None, base[0]), (None, base[1]), (7, base[2]), (7, base[3]), (3, base[4]), (9, near), (None, base[0])]
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in fine], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_each(spark, frame, SMALL)
+    # base[1] has no id, so its near copy of id 9 stays in its place
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(None, base[0]), (7, base[2]), (7, base[3]), (3, base[4]), (9, near)]))
+    odd_ones = [(None, "", None, "junk", 0), (7, "", None, "junk", 0)]
+    both = frame.unionByName(spark.createDataFrame(odd_ones, frame.schema))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in corpus_pipeline.known_language(spark, both, SMALL).collect()))) == sorted(map(str, fine))
+    scorer = quality.fitted(both)
+    assert quality.accepted(both, scorer).count() == quality.scored(both, scorer).where("good").count()
+    assert {(r.doc_id, r.doc_tokens) for r in corpus_pipeline.sequences(spark, both, SMALL).collect()} >= {(None, 1), (7, 1)}
+    assert corpus_pipeline.sequences(spark, both, SMALL).where("start = 0").count() == len(fine) + 2
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_queries_run(spark, name):
