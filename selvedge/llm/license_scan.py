@@ -23,11 +23,11 @@ LATER = "(?: or (?:any )?later(?: version)?| or newer)?"
 NAMES = (
     ("gpl-1.0", "gpl", f"(?:gnu )?gpl{V}1(?: 0)?"), ("gpl-2.0", "gpl", f"(?:gnu )?gpl{V}2(?: 0)?{LATER}"), ("gpl-3.0", "gpl", f"(?:gnu )?gpl{V}3(?: 0)?{LATER}"), ("gpl-2.0", "gplv2", f"gplv2{LATER}"), ("gpl-3.0", "gplv3", f"gplv3{LATER}"),
     ("gpl-1.0", "general public", f"(?:gnu )?general public licen[cs]e{V}1(?: 0)?"), ("gpl-2.0", "general public", f"(?:gnu )?general public licen[cs]e{V}2(?: 0)?{LATER}"), ("gpl-3.0", "general public", f"(?:gnu )?general public licen[cs]e{V}3(?: 0)?{LATER}"), ("gpl", "general public", "(?:gnu )?general public licen[cs]e"),
-    ("lgpl-2.0", "lesser", f"(?:gnu )?(?:lesser|library) general public licen[cs]e{V}2(?: 0)?{LATER}"), ("lgpl-2.1", "lesser", f"(?:gnu )?(?:lesser|library) general public licen[cs]e{V}2 1{LATER}"), ("lgpl-3.0", "lesser", f"(?:gnu )?lesser general public licen[cs]e{V}3(?: 0)?{LATER}"), ("lgpl", "lesser", "(?:gnu )?lesser general public licen[cs]e"), ("lgpl-2.1", "lgpl", f"(?:gnu )?lgpl{V}2 1{LATER}"), ("lgpl-3.0", "lgpl", f"(?:gnu )?lgpl{V}3(?: 0)?{LATER}"),
+    ("lgpl-2.0", "general public", f"(?:gnu )?(?:lesser|library) general public licen[cs]e{V}2(?: 0)?{LATER}"), ("lgpl-2.1", "general public", f"(?:gnu )?(?:lesser|library) general public licen[cs]e{V}2 1{LATER}"), ("lgpl-3.0", "lesser", f"(?:gnu )?lesser general public licen[cs]e{V}3(?: 0)?{LATER}"), ("lgpl", "lesser", "(?:gnu )?lesser general public licen[cs]e"), ("lgpl-2.1", "lgpl", f"(?:gnu )?lgpl{V}2 1{LATER}"), ("lgpl-3.0", "lgpl", f"(?:gnu )?lgpl{V}3(?: 0)?{LATER}"),
     ("agpl-3.0", "affero", f"(?:gnu )?affero general public licen[cs]e{V}3(?: 0)?{LATER}"), ("agpl", "affero", "(?:gnu )?affero general public licen[cs]e"), ("agpl-3.0", "agpl", f"(?:gnu )?agpl{V}3(?: 0)?{LATER}"), ("gfdl", "free documentation", "(?:gnu )?free documentation licen[cs]e"),
     ("apache-1.0", "apache", f"apache(?: software)? licen[cs]e{V}1(?: 0)?"), ("apache-1.1", "apache", f"apache(?: software)? licen[cs]e{V}1 1"), ("apache-2.0", "apache", f"apache(?: software)? licen[cs]e{V}2(?: 0)?"), ("apache", "apache", "apache(?: software)? licen[cs]e"), ("apache-2.0", "apache", "apache 2(?: 0)?(?: licen[cs]e)?"),
     ("mit", "mit", "(?:the )?mit licen[cs]e"), ("mit", "mit", "mit style licen[cs]e"), ("mit", "expat", "expat licen[cs]e"), ("x11", "x11", "x11 licen[cs]e"), ("isc", "isc", "isc licen[cs]e"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|2 clause bsd|bsd 2 clause)(?: licen[cs]e)?"), ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|3 clause bsd|bsd 3 clause)(?: licen[cs]e)?"), ("bsd-4-clause", "bsd", "(?:original bsd|4 clause bsd|bsd 4 clause)(?: licen[cs]e)?"), ("bsd", "bsd", "bsd(?: style)? licen[cs]e"), ("0bsd", "0bsd", "0bsd"),
+    ("bsd-2-clause", "bsd", "(?:simplified bsd|2 clause bsd|bsd 2 clause)(?: licen[cs]e)?"), ("bsd-2-clause", "freebsd", "freebsd(?: licen[cs]e)?"), ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|3 clause bsd|bsd 3 clause)(?: licen[cs]e)?"), ("bsd-4-clause", "bsd", "(?:original bsd|4 clause bsd|bsd 4 clause)(?: licen[cs]e)?"), ("bsd", "bsd", "bsd(?: style)? licen[cs]e"), ("0bsd", "0bsd", "0bsd"),
     ("mpl-1.0", "mozilla", f"mozilla public licen[cs]e{V}1(?: 0)?"), ("mpl-1.1", "mozilla", f"mozilla public licen[cs]e{V}1 1"), ("mpl-2.0", "mozilla", f"mozilla public licen[cs]e{V}2(?: 0)?"), ("mpl", "mozilla", "mozilla public licen[cs]e"), ("mpl-2.0", "mpl", "mpl 2(?: 0)?"),
     ("epl-1.0", "eclipse", f"eclipse public licen[cs]e{V}1(?: 0)?"), ("epl-2.0", "eclipse", f"eclipse public licen[cs]e{V}2(?: 0)?"), ("epl", "eclipse", "eclipse public licen[cs]e"), ("edl-1.0", "eclipse", "eclipse distribution licen[cs]e"), ("cddl-1.0", "common development", "common development and distribution licen[cs]e"), ("cpl-1.0", "common public", "common public licen[cs]e"), ("eupl", "european union", "european union public licen[cs]e"),
     ("artistic-1.0", "artistic", f"artistic licen[cs]e{V}1(?: 0)?"), ("artistic-2.0", "artistic", f"artistic licen[cs]e{V}2(?: 0)?"), ("artistic", "artistic", "artistic licen[cs]e"), ("zlib", "zlib", "zlib(?: libpng)? licen[cs]e"), ("bsl-1.0", "boost", "boost software licen[cs]e"), ("python-2.0", "python software", "python software foundation licen[cs]e"), ("psf", "psf", "psf licen[cs]e"), ("php-3.01", "php", "php licen[cs]e"), ("ruby", "ruby", "ruby licen[cs]e"), ("openssl", "openssl", "openssl licen[cs]e"), ("wtfpl", "wtfpl", "wtfpl"), ("unlicense", "unlicense", "the unlicense"), ("ofl-1.1", "open font", "(?:sil )?open font licen[cs]e"), ("odbl-1.0", "open database", "open database licen[cs]e"), ("odc-by", "open data commons", "open data commons attribution licen[cs]e"), ("ms-pl", "microsoft public", "microsoft public licen[cs]e"), ("ms-rl", "microsoft reciprocal", "microsoft reciprocal licen[cs]e"), ("ogl-uk", "open government", "open government licen[cs]e"), ("bsl-1.1", "business source", "business source licen[cs]e"), ("sspl-1.0", "server side", "server side public licen[cs]e"), ("elastic-2.0", "elastic", "elastic licen[cs]e"), ("openrail", "openrail", "openrail(?: m)?"), ("postgresql", "postgresql", "postgresql licen[cs]e"), ("ncsa", "ncsa", "ncsa(?: open source)? licen[cs]e"), ("lppl", "latex", "latex project public licen[cs]e"), ("proprietary", "proprietary", "proprietary licen[cs]e"),
@@ -36,7 +36,7 @@ NAMES = (
 CONDITIONS = (("by", "by", "attribution"), ("by-sa", "by sa", "attribution share ?alike"), ("by-nc", "by nc", "attribution non ?commercial"), ("by-nd", "by nd", "attribution no ?derivat(?:ive)?s?(?: works)?"), ("by-nc-sa", "by nc sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "by nc nd", "attribution non ?commercial no ?derivat(?:ive)?s?(?: works)?"))
 VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 #: Phrases that tell of a licence without naming one: label, keyword, regex.
-HINTS = (("public-domain", "public domain", "(?:in|into|to) the public domain"), ("public-domain", "cc0", "cc0(?: 1 0)?"), ("all-rights-reserved", "all rights", "all rights reserved"), ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"), ("spdx", "spdx", "spdx licen[cs]e identifier"), ("notice", "permission is hereby", "permission is hereby granted free of charge"), ("notice", "redistribution and use", "redistribution and use in source and binary forms"), ("notice", "without warranty", "without warranty of any kind"), ("notice", "provided as is", "provided as is"), ("non-commercial", "commercial use", "(?:for|non) (?:non ?)?commercial use only"), ("see-license", "license", "see (?:the )?licen[cs]e"), ("licensed", "licensed", "licen[cs]ed under"))
+HINTS = (("public-domain", "public domain", "(?:in|into|to) the public domain"), ("public-domain", "cc0", "cc0(?: 1 0)?"), ("all-rights-reserved", "all rights", "all rights reserved"), ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"), ("spdx", "spdx", "spdx licen[cs]e identifier"), ("notice", "permission is hereby", "permission is hereby granted free of charge"), ("notice", "redistribution and use", "redistribution and use in source and binary forms"), ("notice", "without warranty", "without warranty of any kind"), ("notice", "provided as is", "provided as is"), ("non-commercial", "use only", "(?:for|non) (?:non ?)?commercial use only"), ("see-license", "licen", "see (?:the )?licen[cs]e"), ("licensed", "licen", "licen[cs]ed under"))
 
 
 def signatures() -> list[tuple[str, int, str, str]]:

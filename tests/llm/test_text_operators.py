@@ -188,6 +188,50 @@ def test_license_scan(spark):
     assert license_scan.scanned(empty(spark)).count() == 0
 
 
+def alternatives(regex):
+    """Every string that a signature's regex matches; of a class of characters its ends."""
+    import itertools
+    from re import _parser
+
+    def of(tokens):
+        return ["".join(x) for x in itertools.product(*[one(*t) for t in tokens])]
+
+    def one(op, value):
+        op = str(op)
+        if op == "LITERAL":
+            return [chr(value)]
+        if op == "IN":
+            return [chr(c) for kind, v in value for c in ([v] if str(kind) == "LITERAL" else v)]
+        if op == "SUBPATTERN":
+            return of(value[3])
+        if op == "BRANCH":
+            return [x for branch in value[1] for x in of(branch)]
+        assert op == "MAX_REPEAT", op
+        low, high, inner = value
+        return ["".join(x) for n in range(low, high + 1) for x in itertools.product(of(inner), repeat=n)]
+
+    return of(_parser.parse(regex))
+
+
+def test_license_keywords_are_in_every_alternative():
+    for _, _, keyword, regex in [*{s[3]: s for s in license_scan.signatures() if s[1] < 2}.values()]:
+        assert all(f" {keyword}" in f" {x} " for x in alternatives(regex)), (keyword, regex)
+
+
+def test_license_alternatives_without_gate(spark, monkeypatch):
+    """The scan against all regexes with no keyword, over a text of every fifth alternative and of those that keywords once missed."""
+    texts = ["GNU Library General Public License version 2", "FreeBSD License", "for noncommercial use only", "see the licence", "licenced under"]
+    texts += [x for _, priority, _, regex in license_scan.signatures() if priority < 2 for x in alternatives(regex)[::5]]
+    rules = license_scan.signatures()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.digest(license_scan.scanned(frame)).collect()}
+    assert "lgpl-2.0" in got[0].labels and "bsd-2-clause" in got[1].labels
+    monkeypatch.setattr(license_scan, "signatures", lambda: [(label, priority, "", regex) for label, priority, _, regex in rules])
+    for i, text in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.n_detections) == brute_license(text), text
+
+
 def test_license_gate_covers_signatures():
     """Whatever a signature can match has an anchor of the gate."""
     for _, _, keyword, regex in license_scan.signatures():
