@@ -6,6 +6,7 @@ For each row: how likely its text is in each language (naive Bayes over hashed b
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,15 +14,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import batches_by_bytes, documents, ids_for_join, row_key, sample_at_most, sample_of, written
+from .shared import batches_by_bytes, documents, ids_for_join, row_key, written
 from .spans import LOWER, buffers, byte_class
 
 UNKNOWN = "und"
-#: Labelled texts that the text model is trained on, at most (about so many of a larger table), and hashed trigrams.
-SAMPLE, CELLS = 3000, 1 << 14
+#: Labelled texts that the text model is trained on (about so many of a larger table), so many of each label at least (all, where it has fewer), and hashed trigrams.
+SAMPLE, LEAST, CELLS = 3000, 100, 1 << 14
 #: A trigram counts as this share of an independent observation.
 TEMPER = 0.2
 #: Weight of a domain's prior in its hosts', and of the general one in its domains'.
@@ -76,8 +77,9 @@ class TextModel:
 
 
 def trained(docs: DataFrame, label: str = "lang") -> TextModel:
-    """A text model from documents with a label: a sample of about SAMPLE of them, chosen by a hash of doc_id. Without labelled texts, UNKNOWN is the only language."""
-    known = docs.where(F.col(label).isNotNull() & (F.col(label) != ""))
+    """A text model from documents with a label. Its languages are all labels of all documents; each is sampled at a rate of its own, SAMPLE's share but LEAST texts at least, chosen by a hash of doc_id and text. Without labelled texts, UNKNOWN is the only language."""
+    known = documents(docs.where(F.col(label).isNotNull() & (F.col(label) != "")), F.col(label).alias("language"))
+    known = known.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "text"):
@@ -85,9 +87,19 @@ def trained(docs: DataFrame, label: str = "lang") -> TextModel:
             counted = [np.unique(cells[a:b], return_counts=True) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("language"), pa.array([x for x, _ in counted], pa.list_(pa.int32())), pa.array([x for _, x in counted], pa.list_(pa.int32()))], names=["doc_id", "language", "cells", "counts"])
 
-    some = sample_of(documents(known, F.col(label).alias("language")), SAMPLE, known.count())
-    rows = sample_at_most(some.mapInArrow(run, "doc_id long, language string, cells array<int>, counts array<int>"), SAMPLE)
-    languages = sorted(set(rows.column("language").to_pylist()))
+    labels = known.groupBy("language").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()  # one row for each label, as the model has
+    total = sum(r["n"] for r in labels)
+    quota = {r["language"]: max(LEAST, math.ceil(SAMPLE * r["n"] / total)) for r in labels}
+    # The row of the least place is in the sample whatever the rate.
+    bounds = [(r["language"], max(int((1 << 30) * min(1.0, quota[r["language"]] / r["n"])), r["first"] + 1), 2 * quota[r["language"]]) for r in labels]
+    bounds = docs.sparkSession.createDataFrame(bounds, "language string, bound long, most long")
+    some = known.join(F.broadcast(bounds), "language").where("place < bound").select("doc_id", "text", "language")
+    some = written(some.mapInArrow(run, "doc_id long, language string, cells array<int>, counts array<int>"), "sample")
+    if some.count() > 2 * sum(quota.values()):  # a text that is repeated very often is chosen with all its rows
+        order = Window.partitionBy("language").orderBy(F.xxhash64("doc_id", "cells"))
+        some = some.join(F.broadcast(bounds), "language").withColumn("number", F.row_number().over(order)).where("number <= most").select("doc_id", "language", "cells", "counts")
+    rows = some.toArrow().sort_by("doc_id").combine_chunks()
+    languages = sorted(quota)
     counts = np.ones((len(languages) + 1, CELLS))
     for k, language in enumerate(languages):  # a trigram that a text repeats counts by the logarithm, lest a few texts make a language
         own = rows.filter(pc.equal(rows.column("language"), language))

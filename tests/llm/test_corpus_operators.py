@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,15 @@ def test_language_odd_rows(spark):
     assert language.in_known_language(empty(spark)).count() == 0
 
 
+def test_rare_label_has_a_class(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    rows = [(i, f"the cat and the dog sat on the mat number {i}", "en") for i in range(3000)] + [(4000, "l'élève naïf était là où ça va", "fr"), (4001, "où est l'élève", "fr")]
+    model = language.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "fr", language.UNKNOWN]
+    logs, _ = model.likelihoods(pa.array(["l'élève est là", "the dog and the cat"]))
+    assert logs.argmax(axis=1).tolist() == [1, 0]
+
+
 def test_priors_are_smoothed(spark):
     rows = [("h1", "d", [0.0, 1.0])] * 30 + [("h2", "d", [1.0, 0.0])] + [("h3", "e", [1.0, 0.0])] * 30
     found = spark.createDataFrame(rows, "host string, domain string, text_p array<double>")
