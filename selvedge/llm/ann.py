@@ -1,93 +1,105 @@
 """Approximate nearest neighbours by cosine, from a hash-prefix forest.
 
-A tree gives each vector a long hash string: its symbols are the places and signs of the largest coordinates of the vector under random rotations, so that near vectors often share them. The forest of some rows is a sorted array of strings for each tree. A query descends each tree to the rows that share the longest prefix with it, then ascends all trees together, symbol by symbol, until the trees have enough different candidates (else all rows are candidates); these are ranked by the exact cosine in double precision.
+1. Equal vectors become one entry. Each of TREES trees gives an entry a long hash string: first the cross-polytope symbol of a random rotation (place and sign of the largest coordinate), then PAIRS symbols of two bits, each of two more directions.
+2. A tree is the sorted array of its strings. It is cut into parts of about PART_ROWS entries (by quantiles of a sample of strings, and only where there are more), so a task holds one part of one tree, and no task meets all entries or all queries.
+3. A query descends each tree to its place in the sorted array. Its longest-prefix matches stand beside it: each tree gives WINDOW entries on either side with the number of symbols that they share.
+4. All trees then ascend together, symbol by symbol from the longest match, until the entries found come to BUDGET different ones; an entry's level is taken whole. So every query looks at about BUDGET entries, however many there are.
+5. Candidates meet their vectors in shards of SHARD_ROWS entries and get the exact cosine in double precision.
 
-Rows of one length are dealt into shards by a hash of vec_id, each with a forest of its own, and queries into blocks; a task holds one shard and one block, and gives out TOP rows for each query. Every bucket is taken whole, so near-identical vectors in any number do no harm.
+Work and shuffle are in proportion to the rows: TREES strings for each, and BUDGET candidates for each query. An entry at a part's border sees the window's inner half only.
 """
 
 from __future__ import annotations
 
 import functools
-import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-TREES, SYMBOLS, MOST_AXES = 64, 3, 64
-#: A query ascends until its trees have this share of the shard's rows together, and so many at least: different rows, its own not counted.
-SHARE, LEAST = 0.15, 256
-SHARD_ROWS, BLOCK_ROWS = 4096, 4096
+from .shared import written
+from .spans import U64, mixed
 
+TREES, AXES, PAIRS = 224, 64, 28
+#: Entries on either side that a tree gives, and different entries after which the trees stop ascending.
+WINDOW, BUDGET = 16, 4096
+#: Entries of a tree in one task, about, and of a shard of vectors. Strings sampled for each cut.
+PART_ROWS, SHARD_ROWS, SAMPLED = 1 << 18, 1024, 256
+#: Rows that are hashed at a time.
+HASHED = 4096
 
-@functools.lru_cache(maxsize=8)
-def rotations(dim: int, trees: int, symbols: int) -> np.ndarray:
-    """For each tree and symbol, some random directions at right angles (columns)."""
-    rng = np.random.default_rng([dim, trees, symbols])
-    axes = min(dim, MOST_AXES)
-    return np.stack([np.linalg.qr(rng.normal(size=(dim, axes)))[0] for _ in range(trees * symbols)]).astype(np.float32)
 
+@functools.lru_cache(maxsize=2)
+def directions(dim: int) -> np.ndarray:
+    """For each tree, AXES directions (fewer in fewer dimensions) of the first symbol and 2 * PAIRS of the others, at right angles as far as the dimension allows."""
+    rng = np.random.default_rng(dim)
 
-def symbol_bits(dim: int) -> int:
-    return max(1, math.ceil(math.log2(2 * min(dim, MOST_AXES))))
+    def some(n: int) -> np.ndarray:
+        blocks = [np.linalg.qr(rng.normal(size=(dim, min(dim, n))))[0] for _ in range(-(-n // dim))]
+        return np.concatenate(blocks, axis=1)[:, :n]
 
+    return np.stack([np.concatenate((some(min(dim, AXES)), some(2 * PAIRS)), axis=1) for _ in range(TREES)]).astype(np.float32)
 
-def strings(vectors: np.ndarray, trees: int = TREES, symbols: int = SYMBOLS) -> np.ndarray:
-    """The hash strings (tree, vector) as integers, the first symbol highest."""
-    units = (vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))).astype(np.float32)
-    bits = symbol_bits(vectors.shape[1])
-    out = np.zeros((trees, len(vectors)), dtype=np.int64)
-    for i, rotation in enumerate(rotations(vectors.shape[1], trees, symbols)):
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component is between 0.5 and 1: squares neither overflow nor vanish, and cosines stay the same."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
+def strings(vectors: np.ndarray) -> np.ndarray:
+    """The hash strings (tree, vector) as 63-bit integers, the first symbol highest."""
+    units = scaled(vectors)
+    units = (units / np.sqrt((units * units).sum(axis=1, keepdims=True))).astype(np.float32)
+    axes, n = min(vectors.shape[1], AXES), len(vectors)
+    out = np.empty((TREES, n), dtype=np.int64)
+    packed = np.empty((n, 8), dtype=np.uint8)
+    bits = np.empty((n, PAIRS, 2), dtype=bool)
+    for tree, rotation in enumerate(directions(vectors.shape[1])):
         turned = units @ rotation
-        place = np.abs(turned).argmax(axis=1)
-        out[i // symbols] = (out[i // symbols] << bits) | (2 * place + (turned[np.arange(len(turned)), place] > 0))
+        place = np.abs(turned[:, :axes]).argmax(axis=1)
+        packed[:, 0] = 2 * place + (turned[np.arange(n), place] > 0)
+        pairs = turned[:, axes:].reshape(n, PAIRS, 2)
+        first, second = pairs[:, :, 0], pairs[:, :, 1]
+        np.greater(np.abs(second), np.abs(first), out=bits[:, :, 0])
+        bits[:, :, 1] = np.where(bits[:, :, 0], second, first) > 0
+        packed[:, 1:] = np.packbits(bits.reshape(n, 2 * PAIRS), axis=1)
+        out[tree] = packed.view(">i8").ravel()
     return out
 
 
-class Forest:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.norms = np.sqrt((vectors * vectors).sum(axis=1))
-        keys = strings(vectors)
-        self.order = keys.argsort(axis=1, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, axis=1)
-        self.bits = symbol_bits(vectors.shape[1])
-
-    def ranges(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each tree and query, the part of the sorted array that shares the first `level` symbols."""
-        shift = self.bits * (SYMBOLS - level)
-        both = [np.searchsorted(own >> shift, asked >> shift, side) for own, asked in zip(self.keys, keys, strict=True) for side in ("left", "right")]
-        return np.stack(both[::2]), np.stack(both[1::2])
-
-    def search(self, ids: np.ndarray, queries: np.ndarray, top: int) -> list[tuple[int, int, float]]:
-        keys = strings(queries)
-        levels = [self.ranges(keys, level) for level in range(SYMBOLS, 0, -1)]
-        enough = max(top, LEAST, SHARE * len(self.ids))
-        found = []
-        for q in range(len(queries)):
-            others = self.ids != ids[q]
-            at = np.flatnonzero(others)
-            for low, high in levels:
-                if (high[:, q] - low[:, q]).sum() < enough:  # repeats can only make it fewer
-                    continue
-                wanted = np.zeros(len(self.ids), dtype=bool)
-                for order, a, b in zip(self.order, low[:, q].tolist(), high[:, q].tolist(), strict=True):
-                    wanted[order[a:b]] = True
-                wanted &= others
-                if wanted.sum() >= enough:
-                    at = np.flatnonzero(wanted)
-                    break
-            if not len(at):
-                continue
-            norm = np.sqrt((queries[q] * queries[q]).sum())
-            score = (self.vectors[at] * queries[q]).sum(axis=1) / (self.norms[at] * norm)
-            if len(at) > top:
-                near = score >= np.partition(score, len(at) - top)[len(at) - top]
-                at, score = at[near], score[near]
-            best = np.lexsort((self.ids[at], -score))[:top]
-            found += [(int(ids[q]), int(self.ids[at[i]]), float(score[i])) for i in best]
-        return found
+def shared_symbols(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols two strings have in common before the first that differs."""
+    _, length = np.frexp((a ^ b).astype(np.float64))
+    return np.maximum(0, 1 + (2 * PAIRS - length) // 2).astype(np.int8)
+
+
+def matches(keys: np.ndarray, ids: np.ndarray, asked: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids asked for, and for each its longest-prefix matches in a sorted array of strings: ids and symbols shared (-1 where the array ends). Equal strings stand in an order of the tree's own."""
+    order = np.lexsort((mixed(ids.view(U64) ^ U64(tree + 1 << 40)), keys))
+    keys, ids, at = keys[order], ids[order], np.flatnonzero(asked[order])
+    places = at[:, None] + np.concatenate((np.arange(-WINDOW, 0), np.arange(1, WINDOW + 1)))
+    inside = (places >= 0) & (places < len(keys))
+    places = np.clip(places, 0, len(keys) - 1)
+    return ids[at], ids[places], np.where(inside, shared_symbols(keys[places], keys[at][:, None]), -1).astype(np.int8)
+
+
+def ascended(ids: np.ndarray, levels: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
+    """The different ids whose longest match over all trees has `level` symbols or more, and that level: the highest at which they are `budget`, else 0."""
+    order = np.lexsort((-levels, ids))
+    ids, levels = ids[order], levels[order]
+    first = np.concatenate(([True], ids[1:] != ids[:-1]))
+    ids, levels = ids[first], levels[first]
+    found = np.cumsum(np.bincount(levels, minlength=PAIRS + 2)[::-1])
+    level = max(0, PAIRS + 1 - int(np.searchsorted(found, budget)))
+    return ids[levels >= level], level
+
+
+def shards_of(ids: np.ndarray, n: int) -> np.ndarray:
+    return (mixed(ids.view(U64)) % U64(n)).astype(np.int32)
 
 
 def usable(vectors: Column) -> Column:
@@ -96,37 +108,146 @@ def usable(vectors: Column) -> Column:
     return vectors.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(vectors, lambda x: x != 0)
 
 
-def matrix(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids, ascending, and their vectors."""
-    ids = group.column("vec_id").to_numpy()
-    flat = group.column("vector").combine_chunks()
-    flat = np.concatenate([c.flatten().to_numpy() for c in (flat.chunks if isinstance(flat, pa.ChunkedArray) else [flat])])
-    ids, first = np.unique(ids, return_index=True)
-    return ids, flat.reshape(group.num_rows, -1)[first]
+def matrix(column: pa.Array) -> np.ndarray:
+    """A row of doubles for each of some lists of equal length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def blobs(entries: DataFrame, cuts: dict[int, np.ndarray]) -> DataFrame:
+    """The strings of entries (rep, dim, vector, asked) by dim, tree and part: keys, ids and flags, some rows of a task together. cuts: for lengths of several parts, where they begin (tree, part)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = batch.filter(pa.array(dims == dim))
+                for start in range(0, own.num_rows, HASHED):
+                    yield hashed(own.slice(start, HASHED), dim)
+
+    def hashed(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
+        ids, asked = batch.column("rep").to_numpy(), batch.column("asked").to_numpy(zero_copy_only=False)
+        rows = []
+        for tree, keys in enumerate(strings(matrix(batch.column("vector")))):
+            parts = np.searchsorted(cuts[dim][tree], keys, side="right") if dim in cuts else np.zeros(len(keys), dtype=np.int64)
+            order = np.argsort(parts, kind="stable")
+            begins = np.flatnonzero(np.diff(parts[order], prepend=-1)).tolist()
+            for a, b in zip(begins, [*begins[1:], len(order)], strict=True):
+                at = order[a:b]
+                rows.append((dim, tree, int(parts[at[0]]), keys[at].tobytes(), ids[at].tobytes(), asked[at].tobytes()))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] * 3 + [pa.binary()] * 3, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["dim", "tree", "part", "keys", "ids", "flags"])
+
+    return entries.select("rep", "dim", "vector", "asked").mapInArrow(run, "dim int, tree int, part int, keys binary, ids binary, flags binary")
+
+
+def joined(group: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(name).to_pylist()), dtype=kind)
+
+
+def quantiles(n_parts: int) -> Callable[[pa.Table], pa.Table]:
+    """Where a tree's parts begin, by a sample of its strings."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys = np.sort(joined(group, "keys", "<i8"))
+        cuts = keys[np.arange(1, n_parts) * len(keys) // n_parts]
+        return pa.table({"tree": pa.array([group.column("tree")[0].as_py()], pa.int32()), "cuts": pa.array([cuts.tolist()], pa.list_(pa.int64()))})
+
+    return run
+
+
+def part_cuts(entries: DataFrame) -> dict[int, np.ndarray]:
+    """For each length with more than PART_ROWS entries, where each tree's parts begin: quantiles of a sample's strings. One row for each PART_ROWS entries at most comes to the driver, and TREES numbers for each cut."""
+    sizes = entries.groupBy("dim").count().where(F.col("count") > PART_ROWS).collect()
+    out = {}
+    for dim, n in sizes:
+        n_parts = -(-n // PART_ROWS)
+        some = entries.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLED * n_parts / n))))
+        found = blobs(some, {}).groupBy("tree").applyInArrow(quantiles(n_parts), "tree int, cuts array<long>").collect()
+        if found:
+            out[dim] = np.array([r["cuts"] for r in sorted(found, key=lambda r: r["tree"])], dtype=np.int64)
+    return out
 
-def nearest(vectors: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
-    """For each row whose vec_id is divisible by `every`: query_id, rank (from 1), vec_id and score (cosine) of its `top` nearest other rows that were found, nearest first, ties to the smaller vec_id.
 
-    Rows with a null vec_id and vectors that are null, empty, zero or hold a null or a non-finite component take no part; vectors of different length aren't compared. Rows that repeat a vec_id count once. Other columns are ignored.
+def candidates(entries: DataFrame, n_shards: int, budget: int) -> DataFrame:
+    """For each entry that is asked for: query, shard, ids (its candidates of that shard, itself included), level (symbols shared where the trees stopped), n_looked (candidates of all shards, without itself)."""
+
+    def search(group: pa.Table) -> pa.Table:
+        query, ids, levels = matches(joined(group, "keys", "<i8"), joined(group, "ids", "<i8"), joined(group, "flags", "?"), group.column("tree")[0].as_py())
+        return pa.table({"query": pa.array(query, pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary()), "levels": pa.array([x.tobytes() for x in levels], pa.binary())})
+
+    def ascend(group: pa.Table) -> pa.Table:
+        query = group.column("query")[0].as_py()
+        ids, levels = joined(group, "ids", "<i8"), joined(group, "levels", "i1")
+        found, level = ascended(ids[levels >= 0], levels[levels >= 0], budget) if (levels >= 0).any() else (ids[:0], 0)
+        every = np.append(found, np.int64(query))
+        shards = shards_of(every, n_shards)
+        order = np.argsort(shards, kind="stable")
+        begins = np.flatnonzero(np.diff(shards[order], prepend=-1)).tolist()
+        parts = [order[a:b] for a, b in zip(begins, [*begins[1:], len(order)], strict=True)]
+        k = len(parts)
+        return pa.table({"query": pa.array([query] * k, pa.int64()), "shard": pa.array([int(shards[p[0]]) for p in parts], pa.int32()), "ids": pa.array([every[p].tobytes() for p in parts], pa.binary()), "level": pa.array([level] * k, pa.int32()), "n_looked": pa.array([len(found)] * k, pa.int64())})
+
+    trees = blobs(entries, part_cuts(entries)).groupBy("dim", "tree", "part").applyInArrow(search, "query long, ids binary, levels binary")
+    return trees.groupBy("query").applyInArrow(ascend, "query long, shard int, ids binary, level int, n_looked long")
+
+
+def cosines(found: DataFrame, entries: DataFrame, n_shards: int, most: int) -> DataFrame:
+    """query, rep and score of each query's `most` nearest candidates of each shard, ties to the smaller rep; level and n_looked."""
+
+    def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("shard", pa.array(shards_of(batch.column("rep").to_numpy(), n_shards), pa.int32()))
+
+    def run(asked: pa.Table, own: pa.Table) -> pa.Table:
+        rows = []
+        reps, vectors, norms = own.column("rep").to_numpy(), {}, {}
+        dims, places = own.column("dim").to_numpy(), np.empty(own.num_rows, dtype=np.int64)
+        for dim in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == dim)
+            places[at] = np.arange(len(at))
+            vectors[dim] = scaled(matrix(own.column("vector").take(pa.array(at)).combine_chunks()))
+            norms[dim] = np.sqrt((vectors[dim] * vectors[dim]).sum(axis=1))
+        order = np.argsort(reps)
+        for query, ids, vector, level, n_looked in zip(*(asked.column(c).to_pylist() for c in ("query", "ids", "vector", "level", "n_looked")), strict=True):
+            mine = scaled(np.array([vector], dtype=np.float64))[0]
+            ids = np.frombuffer(ids, dtype="<i8")
+            at = places[order[np.searchsorted(reps, ids, sorter=order)]]
+            score = (vectors[len(mine)][at] * mine).sum(axis=1) / (norms[len(mine)][at] * np.sqrt((mine * mine).sum()))
+            if len(at) > most:
+                near = score >= np.partition(score, len(at) - most)[len(at) - most]
+                ids, score = ids[near], score[near]
+            best = np.lexsort((ids, -score))[:most]
+            rows += [(query, i, s, level, n_looked) for i, s in zip(ids[best].tolist(), score[best].tolist(), strict=True)]
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip((("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64()), ("level", pa.int32()), ("n_looked", pa.int64())), columns, strict=True)})
+
+    schema = StructType([*entries.schema.fields, StructField("shard", IntegerType())])
+    own = entries.mapInArrow(sharded, schema).select("shard", "rep", "dim", "vector")
+    asked = found.join(entries.where("asked").select(F.col("rep").alias("query"), "vector"), "query").select("shard", "query", "ids", "vector", "level", "n_looked")
+    return asked.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(run, "query long, rep long, score double, level int, n_looked long")
+
+
+def nearest(vectors: DataFrame, every: int = 50, top: int = 5, budget: int = BUDGET) -> DataFrame:
+    """For each row whose vec_id is divisible by `every`: query_id, rank (from 1), vec_id and score (cosine) of its `top` nearest other rows that were found, nearest first, ties to the smaller vec_id; level (symbols shared where the trees stopped) and n_looked (different vectors looked at).
+
+    Rows with a null vec_id and vectors that are null, empty, zero or hold a null or a non-finite component take no part; vectors of different length aren't compared. Rows that repeat a vec_id with an equal vector count once; of different vectors under one vec_id, the first by number of components and then by their order stands for it. Other columns are ignored.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    asked = F.col("vec_id") % every == 0
-    rows = rows.withColumn("dim", F.size("vector"))
-    # D lengths need D * D / 2 components at least, so this table is small beside the rows.
-    lengths = rows.groupBy("dim").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("n_shards"), F.greatest(F.lit(1), F.ceil(F.count_if(asked) / BLOCK_ROWS)).alias("n_blocks"))
-    rows = rows.join(F.broadcast(lengths), "dim")
-    hashed = F.xxhash64("vec_id")
-    index = rows.withColumn("shard", F.pmod(hashed, F.col("n_shards"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).drop("n_shards", "n_blocks")
-    queries = rows.where(asked).withColumn("block", F.pmod(F.shiftrightunsigned(hashed, 20), F.col("n_blocks"))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_shards") - 1))).drop("n_shards", "n_blocks")
-
-    def run(own: pa.Table, block: pa.Table) -> pa.Table:
-        found = Forest(*matrix(own)).search(*matrix(block), top) if own.num_rows and block.num_rows else []
-        query_id, vec_id, score = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(query_id, pa.int64()), "vec_id": pa.array(vec_id, pa.int64()), "score": pa.array(score, pa.float64())})
-
-    keys = ("dim", "shard", "block")
-    index, queries = (df.select(*[F.col(c).alias(c) for c in ("vec_id", "vector", *keys)]) for df in (index, queries))
-    found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    rows = rows.groupBy("vec_id").agg(F.min(F.struct(F.size("vector").alias("dim"), "vector")).alias("v")).select("vec_id", F.col("v.dim").alias("dim"), F.col("v.vector").alias("vector"))
+    rows = written(rows.select("vec_id", "dim", "vector", F.xxhash64("vector").alias("same"), F.xxhash64(F.lit(1), "vector").alias("too"), (F.col("vec_id") % every == 0).alias("asked")), "vectors")
+    reps = rows.groupBy("same", "too").agg(F.min("vec_id").alias("rep"), F.max("asked").alias("asked"))
+    places = rows.where("asked").join(reps, ["same", "too"]).select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query"))
+    entries = rows.drop("asked").join(reps.withColumnRenamed("rep", "vec_id"), ["vec_id", "same", "too"]).select(F.col("vec_id").alias("rep"), "dim", "vector", "asked")
+    entries = written(entries, "entries")
+    n_shards = max(1, -(-entries.count() // SHARD_ROWS))
+
+    # One more than asked for, since a query's own row is among them.
+    first = Window.partitionBy("same", "too").orderBy("vec_id")
+    members = rows.select("same", "too", "vec_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= top + 1).join(reps, ["same", "too"]).select("rep", "vec_id")
+    by_rep = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+    best = cosines(candidates(entries, n_shards, budget), entries, n_shards, top + 1).withColumn("n", F.row_number().over(by_rep)).where(F.col("n") <= top + 1)
+    by_row = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    best = best.drop("n").join(members, "rep").withColumn("n", F.row_number().over(by_row)).where(F.col("n") <= top + 1)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    found = places.join(best.drop("n", "rep"), "query").where("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return found.select("query_id", "rank", "vec_id", "score", "level", "n_looked")

@@ -229,32 +229,88 @@ def test_nearest(spark):
     assert ann.nearest(frame.limit(0)).count() == 0
 
 
-def share_found(rows, top=5):
+def share_found(spark, rows, top=5, every=10):
     ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
     units = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-    cosines = units @ units.T
-    np.fill_diagonal(cosines, -2.0)
-    least = np.sort(cosines, axis=1)[:, -top]
-    got = ann.Forest(ids, vectors).search(ids, vectors, top)
-    assert len(got) == top * len(rows)  # no query loses rows that exist
-    return sum(score >= least[q] - 1e-6 for q, _, score in got) / len(got)  # of equal scores any will do
-
-
-@pytest.mark.parametrize("n", [50, 200, 400, 1000])
-def test_small_shards(n):
+    asked = ids % every == 0
+    cosines = units[asked] @ units.T
+    cosines[np.arange(asked.sum()), np.flatnonzero(asked)] = -2.0
+    least = dict(zip(ids[asked].tolist(), np.sort(cosines, axis=1)[:, -top]))
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), every, top).collect()
+    assert len(got) == top * len(least)  # no query loses rows that exist
+    assert all(r.vec_id != r.query_id for r in got) and len({(r.query_id, r.vec_id) for r in got}) == len(got)
+    return sum(r.score >= least[r.query_id] - 1e-6 for r in got) / len(got)  # of equal scores any will do
+
+
+@pytest.mark.parametrize("n", [50, 200, 1000])
+def test_small_tables(spark, n):
     rng = np.random.default_rng(n)
-    assert share_found([(i, rng.normal(size=64).astype(np.float32).tolist()) for i in range(n)]) > 0.9
+    assert share_found(spark, [(i, rng.normal(size=64).astype(np.float32).tolist()) for i in range(n)]) > 0.9
 
 
-@pytest.mark.parametrize("copies", [2, 3, 4, 5])
-def test_groups_of_copies(copies):
+@pytest.mark.parametrize("copies", [2, 3, 5])
+def test_groups_of_copies(spark, copies):
     rng = np.random.default_rng(copies)
     centres = rng.normal(size=(40, 64))
     bases = centres[rng.integers(0, 40, 2000 // copies)] + rng.normal(size=(2000 // copies, 64))
-    assert share_found([(i, bases[i % len(bases)].astype(np.float32).tolist()) for i in range(len(bases) * copies)]) > 0.9
+    assert share_found(spark, [(i, bases[i % len(bases)].astype(np.float32).tolist()) for i in range(len(bases) * copies)]) > 0.9
+
+
+def test_a_third_are_near_copies(spark, monkeypatch):
+    """Trees cut into several parts, and one very common vector with small changes."""
+    monkeypatch.setattr(ann, "PART_ROWS", 700)
+    rng = np.random.default_rng(8)
+    common = rng.normal(size=32)
+    rows = [(i, (common + 0.05 * rng.normal(size=32) if i % 3 == 0 else rng.normal(size=32)).astype(np.float32).tolist()) for i in range(3000)]
+    assert share_found(spark, rows, every=50) > 0.9
+
+
+def test_budget_bounds_what_is_looked_at(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=24).astype(np.float32).tolist()) for i in range(4000)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 100, 5, budget=400).collect()
+    assert len(got) == 5 * 40 and all(400 <= r.n_looked < 2000 for r in got) and all(r.level > 0 for r in got)
+
+
+def test_ascent_by_definition():
+    """Against a plain walk over prefixes: all trees at one level, the first level with enough different ids."""
+    rng = np.random.default_rng(3)
+    keys, ids = rng.integers(0, 2**63, (5, 40)), np.arange(40)
+    keys[:, :20] = keys[:, :1] ^ rng.integers(0, 2**40, (5, 20))
+    flags = ids == 7
+
+    def prefix(key, n):
+        return key >> (2 * ann.PAIRS - 2 * (n - 1)) if n else 0
+
+    found = [ann.matches(keys[t], ids, flags, t) for t in range(5)]
+    every, levels = (np.concatenate([f[k].ravel() for f in found]) for k in (1, 2))
+    every, levels = every[levels >= 0], levels[levels >= 0]
+    for budget in (1, 5, 15, 30, 100):
+        got, level = ann.ascended(every, levels, budget)
+        for n in range(ann.PAIRS + 1, -1, -1):
+            expected = {int(i) for t in range(5) for i in ids if i != 7 and prefix(keys[t][i], n) == prefix(keys[t][7], n) and i in found[t][1]}
+            if len(expected) >= budget or n == 0:
+                break
+        assert (set(got.tolist()), level) == (expected, n)
+
+
+def test_extreme_components(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=8) * 10.0 ** rng.choice([-200, 0, 200])).tolist()) for i in range(120)] + [(50, [1e-320] + [0.0] * 7)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    first = {}
+    for i, v in sorted(rows, key=lambda r: (r[0], r[1])):
+        first.setdefault(i, np.array(v) / np.abs(v).max())
+    got = collections.defaultdict(list)
+    for r in ann.nearest(frame, 50, 5).orderBy("query_id", "rank").collect():
+        assert np.isfinite(r.score)
+        got[r.query_id].append((r.vec_id, pytest.approx(r.score)))
+    for q in (0, 50, 100):
+        scores = sorted((-(first[q] @ v) / np.sqrt((first[q] @ first[q]) * (v @ v)), i) for i, v in first.items() if i != q)[:5]
+        assert [(i, -s) for s, i in scores] == got[q]
 
 
-def test_rare_length_has_its_own_shards(spark, monkeypatch):
+def test_rare_length(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD_ROWS", 64)
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(size=3 if i % 100 == 0 else 16).astype(np.float32).tolist()) for i in range(1000)]
@@ -262,7 +318,7 @@ def test_rare_length_has_its_own_shards(spark, monkeypatch):
     for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 50, 5).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     expected = brute_nearest(rows, 50, 5)
-    assert {q: [i for i, _ in x] for q, x in expected.items()} == got  # shards of 64 rows are searched whole
+    assert {q: [i for i, _ in x] for q, x in expected.items()} == got  # so few rows are all looked at
 
 
 @needs_tables
