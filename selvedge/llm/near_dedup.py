@@ -2,8 +2,8 @@
 
 1. Each text becomes the set of its word shingles (64-bit hashes), the set a sketch: the hash range is cut into equal buckets, and of each bucket's least hash a register keeps the number of leading zeros and MANTISSA bits after them. Equal sets fall together by a 128-bit key of the set, so copies cost one row from then on.
 2. Bands of registers are the keys of buckets of sets. The number of bands is such that two sets at the threshold share none in one of a million cases.
-3. In the first bands, each bucket's least id is compared with the other members: the register estimate, corrected for chance collisions, discards pairs far below the threshold, and the rest is counted on the full sets. The links' connected components are found.
-4. Every bucket that still holds different components is then settled: each pair of its members in different components is compared, inside tasks that hold two blocks of about BLOCK members each; first by sketches, which gives out the members with any hopeful partner, then these on the full sets, which gives out only links that join components. Buckets that have become one component need no more pairs, which spares large groups of copies their squares.
+3. In the first bands, each bucket's least set is compared with the other members: the register estimate, corrected for chance collisions, discards pairs far below the threshold, and the rest is counted on the full sets. A bucket's members stream past its least set in parts of BLOCK, so no task holds a large group and no row carries two sets. The links' connected components are found.
+4. Every bucket that still holds different components is then settled: each member outside the bucket's largest component is compared with the members of other components, inside tasks that hold a block of about BLOCK of the former and one of the latter; first by sketches, which gives out the members with any hopeful partner, then these on the full sets, which gives out only links that join components. Buckets that have become one component need no more pairs, and a large one with a few strays costs a row for each member.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -25,7 +25,7 @@ MANTISSA = 10
 CHANCE = 1 / 3 / (1 << MANTISSA)
 #: Pairs whose estimate is so many standard deviations below the threshold are not verified.
 DEVIATIONS = 6
-#: Bands whose buckets are compared with their least member first, and members of a block afterwards.
+#: Bands whose buckets are compared with their least member first, and members of a block.
 FIRST_BANDS, BLOCK = 6, 512
 MULTIPLIERS = mixed(np.arange(1, 65, dtype=U64) * U64(0xA24BAED4963EE407)) | U64(1)
 
@@ -118,56 +118,85 @@ def signatures(docs: DataFrame, shape: Shape) -> DataFrame:
             sketch = registers(sets, shape)
             keys, full = band_keys(sketch, shape)
             sizes = [len(s) for s in sets]
-            key1 = [int(s.sum(dtype=U64).view(np.int64)) for s in sets]
-            key2 = [int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)) if len(s) else 0 for s in sets]
+            key1, key2 = set_keys(sets)
             bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * shape.bands, pa.array(keys.view(np.int64).ravel(), mask=~full.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array([row.tobytes() for row in sketch], pa.binary()), bands], names=["doc_id", "n_shingles", "key1", "key2", "sketch", "bands"])
 
     return documents(docs).mapInArrow(run, SIGNATURE)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, shape: Shape) -> DataFrame:
-    """doc_id, sketch and hashes (8 bytes each, ascending) of the documents whose ids (doc_id) are asked for."""
+def set_id(key1: Column | str, key2: Column | str, n_shingles: Column | str) -> Column:
+    """A set's id: 64 bits of its 128-bit key and size (of 10 million sets, two share one in about 3 cases of a million)."""
+    return F.xxhash64(key1, key2, n_shingles)
+
+
+def set_keys(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """The two halves of each set's key."""
+    return [int(s.sum(dtype=U64).view(np.int64)) for s in sets], [int(np.bitwise_xor.reduce(mixed(s)).view(np.int64)) if len(s) else 0 for s in sets]
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, shape: Shape) -> DataFrame:
+    """id, sketch and hashes (8 bytes each, ascending) of the sets that are asked for (id, and doc_id of a document that has the set). Of several texts of that doc_id, only the one with this very set counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "text"):
             sets = shingle_sets(batch.column("text"), shape.shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([row.tobytes() for row in registers(sets, shape)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "sketch", "hashes"])
+            key1, key2 = set_keys(sets)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([row.tobytes() for row in registers(sets, shape)], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "key1", "key2", "n_shingles", "sketch", "hashes"])
 
-    wanted = documents(docs).join(ids_for_join(written(ids.distinct(), "wanted")), "doc_id", "left_semi")
-    return written(wanted.mapInArrow(run, "doc_id long, sketch binary, hashes binary").dropDuplicates(["doc_id"]), "full-sets")
+    wanted = ids_for_join(written(wanted.select("doc_id", "id").distinct(), "wanted"))
+    some = documents(docs).join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, key1 long, key2 long, n_shingles long, sketch binary, hashes binary")
+    some = some.withColumn("id", set_id("key1", "key2", "n_shingles")).join(wanted, ["doc_id", "id"], "left_semi")
+    return written(some.select("id", "sketch", "hashes").dropDuplicates(["id"]), "full-sets")
+
+
+def streamed(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Columns of `sets` (by id) for pairs (u, v), in rows that follow one another in a task: u's row (v is null), then those of its partners. The partners of one u come in parts of about BLOCK, each after a row of u's own."""
+    many = written(pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_parts")).where("n_parts > 1"), "many")
+    pairs = pairs.join(ids_for_join(many), "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("n_parts", F.lit(1))).cast("int").alias("part"))
+    heads = pairs.select("u", "part").distinct().join(sets.select(F.col("id").alias("u"), *columns), "u").withColumn("v", F.lit(None).cast("long"))
+    tails = pairs.join(sets.select(F.col("id").alias("v"), *columns), "v")
+    rows = heads.unionByName(tails).select("u", "part", "v", *columns)
+    return rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
 
 
 def hopeful_pairs(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
     """The pairs (u, v) that sizes and sketches don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None
         for batch in batches:
-            if batch.num_rows:
-                yield batch.select(["u", "v"]).filter(pa.array(hopeful(sketches(batch.column("a")), sketches(batch.column("b")), shape.percent)))
+            if not batch.num_rows:
+                continue
+            sketch, sizes = sketches(batch.column("sketch")), batch.column("n_shingles").to_numpy()
+            if head is not None:  # the last batch's last u may go on
+                sketch, sizes = np.concatenate((head[0], sketch)), np.concatenate((head[1], sizes))
+            is_head = np.concatenate((np.ones(len(sizes) - batch.num_rows, dtype=bool), batch.column("v").is_null().to_numpy(zero_copy_only=False)))
+            at = np.maximum.accumulate(np.where(is_head, np.arange(len(sizes)), 0))
+            fine = ~is_head & (100 * np.minimum(sizes, sizes[at]) >= shape.percent * np.maximum(sizes, sizes[at]))
+            fine[fine] = hopeful(sketch[fine], sketch[at[fine]], shape.percent)
+            fine, head = fine[len(fine) - batch.num_rows :], (sketch[at[-1:]], sizes[at[-1:]])
+            yield batch.select(["u", "v"]).filter(pa.array(fine))
 
-    left, right = (sets.select(F.col("id").alias(end), F.col("sketch").alias(name), F.col("n_shingles").alias(f"{name}_size")) for end, name in (("u", "a"), ("v", "b")))
-    alike = 100 * F.least("a_size", "b_size") >= shape.percent * F.greatest("a_size", "b_size")
-    return pairs.join(left, "u").join(right, "v").where(alike).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return streamed(pairs, sets, "n_shingles", "sketch").mapInArrow(run, "u long, v long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
-    """The pairs (u, v) that are links, by estimate and then on the full sets."""
+def verified(pairs: DataFrame, full: DataFrame, shape: Shape) -> DataFrame:
+    """The pairs (u, v) that are links on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_by_bytes(batches, "b_hashes", 16 << 20):
-            at = np.flatnonzero(hopeful(sketches(batch.column("a_sketch")), sketches(batch.column("b_sketch")), shape.percent)) if batch.num_rows else []
-            a, b = batch.column("a_hashes"), batch.column("b_hashes")
+        head = None
+        for batch in batches_by_bytes(batches, "hashes", 16 << 20):
             found = []
-            for i in at:
-                x, y = (np.frombuffer(c[int(i)].as_py(), dtype=U64) for c in (a, b))
-                if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), shape.percent):
-                    found.append(int(i))
+            for i, (v, content) in enumerate(zip(batch.column("v").to_pylist(), batch.column("hashes"), strict=True)):
+                own = np.frombuffer(content.as_py(), dtype=U64)
+                if v is None:
+                    head = own
+                elif linked(len(np.intersect1d(head, own, assume_unique=True)), len(head), len(own), shape.percent):
+                    found.append(i)
             yield batch.select(["u", "v"]).take(pa.array(found, pa.int64()))
 
-    left = sets.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a_sketch"), F.col("hashes").alias("a_hashes"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b_sketch"), F.col("hashes").alias("b_hashes"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a_sketch", "a_hashes", "b_sketch", "b_hashes").mapInArrow(run, "u long, v long")
+    return streamed(pairs, full, "hashes").mapInArrow(run, "u long, v long")
 
 
 def sketches(column: pa.Array) -> np.ndarray:
@@ -175,40 +204,31 @@ def sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.uint16).reshape(len(rows), -1)
 
 
-def partners(x: int, groups: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, largest: int, one_block: bool, percent: int) -> np.ndarray:
-    """Members of other groups that x is to be compared with: of the largest group all, of others those after x; between two blocks, only those of the other one. Those that sizes or sketches rule out are left out."""
-    others = (groups != groups[x]) & (one_block | (blocks != blocks[x])) & (100 * sizes >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes)
-    at = np.flatnonzero(others)
-    at = at[(groups[at] == largest) | (at > x)]
+def partners(x: int, ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, guests: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """The guests that the host x is to be compared with: those of other groups, of its own block only those of higher id, without those that sizes or sketches rule out."""
+    fits = (groups[guests] != groups[x]) & ((blocks[guests] != blocks[x]) | (ids[guests] > ids[x])) & (100 * sizes[guests] >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes[guests])
+    at = guests[fits]
     return at[hopeful(sketch[at], sketch[x][None, :], percent)] if len(at) else at
 
 
-def largest_group(groups: np.ndarray) -> int:
-    names, counts = np.unique(groups, return_counts=True)
-    return names[counts.argmax()]
-
-
-def with_partners(groups: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, one_block: bool, percent: int) -> np.ndarray:
-    """Which members have a partner at all."""
-    if len(groups) == 2:
-        fits = groups[0] != groups[1] and 100 * sizes.min() >= percent * sizes.max() and (one_block or blocks[0] != blocks[1])
-        return np.full(2, fits and bool(hopeful(sketch[0], sketch[1], percent)))
-    largest, out = largest_group(groups), np.zeros(len(groups), dtype=bool)
-    for x in np.flatnonzero(groups != largest):
-        at = partners(x, groups, blocks, sizes, sketch, largest, one_block, percent)
+def with_partners(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, hosts: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows have a partner at all."""
+    guests, out = np.flatnonzero(~hosts), np.zeros(len(groups), dtype=bool)
+    for x in np.flatnonzero(hosts):
+        at = partners(x, ids, groups, blocks, sizes, guests, sketch, percent)
         out[at] = True
         out[x] |= len(at) > 0
     return out
 
 
-def joined_within(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], one_block: bool, percent: int) -> list[tuple[int, int]]:
-    """Links between members of different groups; one for each member and group it touches."""
+def joined_within(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, hosts: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different groups; one for each host and group it touches."""
     sizes = np.array([len(s) for s in sets])
     begins = np.cumsum(sizes) - sizes
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    largest, flags, found = largest_group(groups), np.zeros(len(values), dtype=bool), []
-    for x in np.flatnonzero(groups != largest):
-        at = partners(x, groups, blocks, sizes, sketch, largest, one_block, percent)
+    guests, flags, found = np.flatnonzero(~hosts), np.zeros(len(values), dtype=bool), []
+    for x in np.flatnonzero(hosts):
+        at = partners(x, ids, groups, blocks, sizes, guests, sketch, percent)
         if not len(at):
             continue
         own = flat[begins[x] : begins[x] + sizes[x]]
@@ -221,23 +241,41 @@ def joined_within(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sketc
     return found
 
 
+#: What tells one comparison of two blocks from the others.
+TOGETHER = ["key", "host_block", "guest_block"]
+
+
+def roles(members: DataFrame) -> DataFrame:
+    """Members (key, id, component) of buckets that hold different components, once for each comparison that they take part in: host_block and guest_block name it, host says on which side they are, block is a host's own block (else -1).
+
+    Hosts are the members outside the bucket's largest component. Each meets every member of that component once, and each pair of hosts meets once. With n members, r of them hosts, that is n + r rows up to a block of BLOCK hosts, and n * r / BLOCK beyond.
+    """
+    open_ = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    sizes = members.join(open_, "key").groupBy("key", "component").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"))
+    n_hosts = F.col("n") - F.col("n_largest")
+    buckets = buckets.select("key", "largest", n_hosts.alias("n_hosts"), F.ceil(n_hosts / BLOCK).cast("int").alias("n_blocks"), F.ceil(F.col("n") / BLOCK).cast("int").alias("n_guest_blocks"))
+    rows = members.join(buckets, "key").withColumn("host", F.col("component") != F.col("largest"))
+    rows = rows.withColumn("block", F.when(F.col("host"), F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")).otherwise(-1)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_guest_blocks")).cast("int"))
+    as_host = rows.where("host").select("key", "id", "component", "host", "block", F.col("block").alias("host_block"), F.explode(F.sequence(F.lit(0), F.col("n_guest_blocks") - 1)).alias("guest_block"))
+    as_guest = rows.where("NOT host OR n_hosts > 1").select("key", "id", "component", F.lit(False).alias("host"), "block", F.explode(F.sequence(F.greatest("block", F.lit(0)), F.col("n_blocks") - 1)).alias("host_block"), F.col("own").alias("guest_block"))
+    return as_host.unionByName(as_guest)
+
+
 def dealt(members: DataFrame, more: DataFrame, *columns: str) -> DataFrame:
-    """Members (key, id, component) of buckets that hold different components, with columns of `more` (by id), once for each pair of blocks of their bucket, the pairs' rows together in one task."""
-    open_ = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n_members")).where("least <> most")
-    rows = members.join(open_.select("key", F.ceil(F.col("n_members") / BLOCK).cast("int").alias("n_blocks")), "key").join(more, "id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", *columns)
-    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
+    """roles() with columns of `more` (by id), the rows of one comparison together in one task."""
+    rows = roles(members).join(more, "id").select(*TOGETHER, "id", "component", "block", "host", *columns)
+    return rows.repartition(*TOGETHER).sortWithinPartitions(*TOGETHER, "id", "host")
 
 
 def hopeful_members(members: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
     """The members that the sketches leave a partner of another component in their bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begins in sorted_groups(batches, ["key", "low", "high"]):
-            low, high, groups, blocks, sizes = (table.column(c).to_numpy() for c in ("low", "high", "component", "block", "n_shingles"))
-            sketch = sketches(table.column("sketch"))
-            marks = [with_partners(groups[a:b], blocks[a:b], sizes[a:b], sketch[a:b], low[a] == high[a], shape.percent) for a, b in zip(begins, [*begins[1:], table.num_rows], strict=True)]
+        for table, begins in sorted_groups(batches, TOGETHER):
+            ids, groups, blocks, sizes = (table.column(c).to_numpy() for c in ("id", "component", "block", "n_shingles"))
+            hosts, sketch = table.column("host").to_numpy(), sketches(table.column("sketch"))
+            marks = [with_partners(ids[a:b], groups[a:b], blocks[a:b], hosts[a:b], sizes[a:b], sketch[a:b], shape.percent) for a, b in zip(begins, [*begins[1:], table.num_rows], strict=True)]
             yield from table.select(["key", "id", "component"]).filter(pa.array(np.concatenate(marks))).combine_chunks().to_batches()
 
     return dealt(members, sets.select("id", "n_shingles", "sketch"), "n_shingles", "sketch").mapInArrow(run, "key long, id long, component long").distinct()
@@ -247,42 +285,46 @@ def settled(members: DataFrame, full: DataFrame, shape: Shape) -> DataFrame:
     """Links (u, v) between the different components of each bucket, on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begins in sorted_groups(batches, ["key", "low", "high"]):
-            low, high, ids, groups, blocks = (table.column(c).to_numpy() for c in ("low", "high", "id", "component", "block"))
-            sketch, content = sketches(table.column("sketch")), table.column("hashes")
+        for table, begins in sorted_groups(batches, TOGETHER):
+            ids, groups, blocks = (table.column(c).to_numpy() for c in ("id", "component", "block"))
+            hosts, sketch, content = table.column("host").to_numpy(), sketches(table.column("sketch")), table.column("hashes")
             found = []
             for a, b in zip(begins, [*begins[1:], table.num_rows], strict=True):
                 sets = [np.frombuffer(x, dtype=U64) for x in content.slice(a, b - a).to_pylist()]
-                found += joined_within(ids[a:b], groups[a:b], blocks[a:b], sketch[a:b], sets, low[a] == high[a], shape.percent)
+                found += joined_within(ids[a:b], groups[a:b], blocks[a:b], hosts[a:b], sketch[a:b], sets, shape.percent)
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
 
-    return dealt(members, full.withColumnRenamed("doc_id", "id"), "sketch", "hashes").mapInArrow(run, "u long, v long").distinct()
+    return dealt(members, full, "sketch", "hashes").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id that links lead to, itself included), kept (doc_id = component_id), n_copies (documents with the same set).
 
-    Texts are lower-cased (A-Z) and cut into words at white space; two are linked if 100 * intersection >= percent * union of their sets of `shingle` consecutive words. A text with fewer words has one shingle of all of them; a null, empty or blank text has none and links with nothing, not even with another such text. Rows that repeat come out as often as they went in. A null doc_id can't be linked: its component is null and it is kept. Other columns are ignored.
+    Texts are lower-cased (A-Z) and cut into words at white space; two are linked if 100 * intersection >= percent * union of their sets of `shingle` consecutive words. A text with fewer words has one shingle of all of them; a null, empty or blank text has none and links with nothing, not even with another such text. Rows that repeat come out as often as they went in; rows of one doc_id with different texts are linked each by its own text. A null doc_id can't be linked: its component is null and it is kept. Other columns are ignored.
     """
     shape = Shape(shingle, percent)
     signs = written(signatures(docs, shape), "signatures")
-    sets = signs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    sets = written(sets, "sets")
+    sets = signs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    sets = written(sets.withColumn("id", set_id("key1", "key2", "n_shingles")), "sets")
     rows = sets.select("id", F.posexplode("bands").alias("band", "key")).where("key IS NOT NULL")
     buckets = rows.groupBy("key").agg(F.count("*").alias("n_members"), F.min("id").alias("least")).where("n_members > 1")
     members = written(rows.join(buckets, "key"), "members")
     pairs = members.where((F.col("band") < FIRST_BANDS) & (F.col("id") != F.col("least"))).select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
-    pairs = written(hopeful_pairs(pairs, sets, shape), "pairs")
-    full = full_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")), shape)
+    pairs = written(hopeful_pairs(written(pairs, "first-pairs"), sets, shape), "pairs")
+    holders = sets.select("id", F.col("least_doc").alias("doc_id"))
+    full = full_sets(docs, holders.join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id"), shape)
     first = components(verified(pairs, full, shape))
 
     placed = members.select("key", "id").join(first, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     unsettled = written(hopeful_members(placed, sets, shape), "unsettled")
-    full = full_sets(docs, unsettled.select(F.col("id").alias("doc_id")), shape)
+    full = full_sets(docs, holders.join(unsettled.select("id").distinct(), "id"), shape)
     more = settled(unsettled, full, shape)
     found = components(more.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
-    classes = sets.join(found, F.col("id") == F.col("node"), "left").select("key1", "key2", "n_shingles", F.coalesce("component", "id").alias("component_id"), "n_copies")
+    # The components' ids are sets' ids so far.
+    classes = sets.join(found, F.col("id") == F.col("node"), "left").select("key1", "key2", "n_shingles", F.coalesce("component", "id").alias("component"), "least_doc", "n_copies")
+    heads = classes.groupBy("component").agg(F.min("least_doc").alias("component_id"))
+    classes = classes.join(heads, "component").select("key1", "key2", "n_shingles", "component_id", "n_copies")
     whole = signs.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

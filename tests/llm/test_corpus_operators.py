@@ -89,6 +89,35 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_texts_of_one_id_are_linked_each_for_itself(spark):
+    rng = random.Random(2)
+    base = [" ".join(f"v{rng.randrange(500)}" for _ in range(80)) for _ in range(3)]
+    rows = [(5, base[0]), (5, base[1]), (8, base[0] + " more"), (9, base[1] + " more"), (1, base[2]), (5, base[2])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (8, 5, False), (9, 5, False)]
+
+
+@pytest.mark.parametrize("strays", [1, 30])
+def test_large_buckets_cost_a_row_for_each_member(spark, monkeypatch, strays):
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    n = 4000
+    members = spark.range(n).select(F.lit(7).cast("long").alias("key"), "id", F.when(F.col("id") < strays, F.col("id")).otherwise(n - 1).alias("component"))
+    rows = near_dedup.roles(members).collect()
+    assert len(rows) < 2 * n
+    met = collections.Counter()
+    together = collections.defaultdict(list)
+    for r in rows:
+        together[r.host_block, r.guest_block].append(r)
+    for group in together.values():
+        assert sum(r.host for r in group) <= 2 * 64 and sum(not r.host for r in group) <= 2 * 64
+        for x in group:
+            for y in group:
+                if x.host and not y.host and x.component != y.component and (x.block != y.block or y.id > x.id):
+                    met[min(x.id, y.id), max(x.id, y.id)] += 1
+    expected = {(a, b) for a in range(strays) for b in range(a + 1, n)}
+    assert set(met) == expected and set(met.values()) == {1}
+
+
 def test_estimates():
     shape = near_dedup.Shape(3, 85)
     rng = np.random.default_rng(1)
