@@ -34,12 +34,31 @@ SUFFIXES = 1 << 12
 
 #: Letters in lower case (A-Z only); everything else a space.
 LETTERS = np.where(byte_class((65, 90), (97, 122), (128, 255)), LOWER, 0x20).astype(np.uint8)
-HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|aside|footer|header)\b.*?</\1\s*>|<[^>]*>")
+#: Elements whose content isn't the page's text, and what ends them.
+OPENING = re.compile(r"(?i)<(?:(!--)|(script|style|nav|aside|footer|header)\b)")
+CLOSING = {"!--": re.compile("-->"), **{name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "nav", "aside", "footer", "header")}}
 
 
 def visible(markup: str | None) -> str:
-    """The text of a page's body, without menus, scripts, comments and tags."""
-    return html.unescape(HIDDEN.sub(" ", markup or ""))
+    """The text of a page's body, without menus, scripts, comments and tags. What is opened and never closed counts as a tag alone. Each closing is sought from its opening on and, once there is none, never again, so the time is in proportion to the page's length."""
+    markup = markup or ""
+    parts, at, unclosed = [], 0, set()
+    while (start := markup.find("<", at)) >= 0:
+        opening, end = OPENING.match(markup, start), 0
+        if opening and (name := (opening[1] or opening[2]).lower()) not in unclosed:
+            closing = CLOSING[name].search(markup, opening.end())
+            if closing:
+                end = closing.end()
+            else:
+                unclosed.add(name)
+        if not end:
+            end = markup.find(">", start) + 1
+            if not end:
+                break
+        parts.append(markup[at:start])
+        at = end
+    parts.append(markup[at:])
+    return html.unescape(" ".join(parts))
 
 
 def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +96,8 @@ class TextModel:
 
 
 def trained(docs: DataFrame, label: str = "lang") -> TextModel:
-    """A text model from documents with a label. Its languages are all labels of all documents; each is sampled at a rate of its own, SAMPLE's share but LEAST texts at least, chosen by a hash of doc_id and text. Without labelled texts, UNKNOWN is the only language."""
-    known = documents(docs.where(F.col(label).isNotNull() & (F.col(label) != "")), F.col(label).alias("language"))
+    """A text model from documents with a label. Its languages are the primary parts (tag()) of all labels of all documents; each is sampled at a rate of its own, SAMPLE's share but LEAST texts at least, chosen by a hash of doc_id and text. Without labelled texts, UNKNOWN is the only language."""
+    known = documents(docs, tag(F.col(label).cast("string")).alias("language")).where("language <> ''")
     known = known.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +188,7 @@ def likelihood_table(found: DataFrame, column: str, k: int) -> DataFrame:
 def fused(found: DataFrame, model: TextModel) -> DataFrame:
     """Posteriors of rows of evidence(): id, host, declared, language, confidence, text_language, n_trigrams.
 
-    Rows without trigrams take their language from the other evidence; rows with neither text nor a declared language are UNKNOWN.
+    Rows without trigrams take their language from the other evidence; rows with neither text nor a declared language nor a host are UNKNOWN.
     """
     k = len(model.languages)
     names = F.array(*[F.lit(x) for x in model.languages])
@@ -179,7 +198,7 @@ def fused(found: DataFrame, model: TextModel) -> DataFrame:
     logs = F.zip_with(F.zip_with("logs", F.transform("prior", lambda p: F.log(p)), lambda a, b: a + b), F.zip_with("declared_logs", "suffix_logs", lambda a, b: a + b), lambda a, b: a + b)
     rows = rows.withColumn("fused", logs).withColumn("most", F.array_max("fused"))
     rows = rows.withColumn("weight", F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most"))))
-    silent = (F.col("n_trigrams") == 0) & (F.col("declared") == "")
+    silent = (F.col("n_trigrams") == 0) & (F.col("declared") == "") & (F.col("host") == "")
     language = F.get(names, (F.array_position("fused", F.col("most")) - 1).cast("int"))
     text_language = F.get(names, (F.array_position("logs", F.array_max("logs")) - 1).cast("int"))
     return rows.select(
@@ -198,6 +217,11 @@ def code(column: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(column, F.lit(""))), r"^\s*([a-z]{2,3})(?:[-_].*)?\s*$", 1)
 
 
+def tag(column: Column) -> Column:
+    """A label as a class: its code, else itself in lower case; '' for none."""
+    return F.coalesce(F.nullif(code(column), F.lit("")), F.lower(F.trim(column)), F.lit(""))
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     """Rows for evidence() from pages (page_id, url, html): what the html element declares; the host's last label and the first part of the path where it is a language code; domains are the last two labels."""
     url = F.lower(F.coalesce(F.col("url").cast("string"), F.lit("")))
@@ -222,15 +246,16 @@ def document_rows(docs: DataFrame) -> DataFrame:
 def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """Per page: page_id, host, declared, language, confidence, text_language, n_trigrams. `labelled` (doc_id, text, lang) trains the text model.
 
-    Null or malformed addresses have host '', null html is an empty page, both still get a language from what else is known; repeated rows come out as often as they went in, and count as often in the priors; other columns are ignored.
+    Null or malformed addresses have host '', null html is an empty page, both still get a language from what else is known (an empty page without a declaration, from its host and suffix); unclosed markup of any length is read in one pass; repeated rows come out as often as they went in, and count as often in the priors; other columns are ignored.
     """
     model = trained(labelled)
     return fused(written(evidence(page_rows(pages), model, markup=True), "page-evidence"), model).withColumnRenamed("id", "page_id")
 
 
 def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows (with all their columns) whose language is one of those that the documents are labelled with, at a confidence of `least` or more. Each row is judged by its own text, whatever its doc_id."""
+    """The rows (with all their columns) whose language is one of those that the documents are labelled with, at a confidence of `least` or more. Each row is judged by its own text, whatever its doc_id; one with neither text nor label is in no language, wherever it is from. An empty table stays empty, rows that repeat are judged alike, and no column's name clashes."""
     model = trained(docs)
-    judged = written(fused(written(evidence(document_rows(docs), model, markup=False), "evidence"), model).select("id", (F.coalesce((F.col("language") != UNKNOWN) & (F.col("confidence") >= least), F.lit(False))).alias("ok")), "languages")
+    fine = (F.col("language") != UNKNOWN) & (F.col("confidence") >= least) & ((F.col("n_trigrams") > 0) | (F.col("declared") != ""))
+    judged = written(fused(written(evidence(document_rows(docs), model, markup=False), "evidence"), model).select("id", F.coalesce(fine, F.lit(False)).alias("ok")), "languages")
     rejected = judged.where(~F.col("ok")).select(F.col("id").alias("rejected_key")).distinct()
     return docs.join(ids_for_join(rejected), document_key(docs) == F.col("rejected_key"), "left_anti")

@@ -4,6 +4,7 @@ import collections
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -184,11 +185,58 @@ def test_label_model_recovers_accuracies():
 
 
 @needs_tables
-def test_page_languages(spark):
+def test_page_languages_without_or_against_the_declaration(spark):
+    """What a page declares is held back, or falsified for one page in 17; then it is no evidence, and can judge the result."""
     data = SMALL.replace("0.001", "0.01")
-    got = language.page_languages(table(spark, data, "pages"), table(spark, data, "documents"))
-    right, total = got.agg(F.count_if(F.col("language") == F.col("declared")), F.count("*")).first()
-    assert total == table(spark, data, "pages").count() and right / total > 0.97
+    pages = table(spark, data, "pages").cache()
+    truth = pages.select("page_id", F.regexp_extract("html", r'(?is)<html[^>]*lang\s*=\s*["\']?([a-z]{2})', 1).alias("truth"))
+    hidden = pages.withColumn("html", F.regexp_replace("html", r"(?is)<html[^>]*>", "<html>"))
+    got = language.page_languages(hidden, table(spark, data, "documents")).join(truth, "page_id").where("truth <> '' AND n_trigrams > 20")
+    right, total, declared = got.agg(F.count_if(F.col("language") == F.col("truth")), F.count("*"), F.count_if(F.col("declared") != "")).first()
+    assert declared == 0 and total > 50 and right / total > 0.95
+    other = F.when(F.col("page_id") % 17 == 0, F.regexp_replace("html", r"(?is)<html[^>]*>", '<html lang="es">')).otherwise(F.col("html"))
+    got = language.page_languages(pages.withColumn("html", other), table(spark, data, "documents")).join(truth, "page_id").where("truth <> '' AND truth <> 'es' AND page_id % 17 = 0 AND n_trigrams > 100")
+    right, total = got.agg(F.count_if(F.col("language") == F.col("truth")), F.count("*")).first()
+    assert total > 5 and right / total > 0.9
+
+
+def test_fused_posteriors_by_hand(spark):
+    """The posterior of each row of a small table, computed anew from the definitions in plain Python."""
+    rows = [("a.x.org", "x.org", "en", 1, [-1.0, -3.0, -4.0]), ("a.x.org", "x.org", "", 1, [-2.0, -2.5, -6.0]), ("b.x.org", "x.org", "fr", 2, [-5.0, -1.0, -4.0]), ("c.y.org", "y.org", "fr", 2, [-1.0, -1.1, -1.2]), ("", "", "", 3, [0.0, 0.0, 0.0]), ("b.x.org", "x.org", "", 1, [0.0, 0.0, 0.0])]
+    model = language.TextModel(["en", "fr", language.UNKNOWN], np.zeros((3, language.CELLS)))
+    text = language.softmax(np.array([r[4] for r in rows]))
+    found = spark.createDataFrame([(i, *r[:4], 0 if i > 3 else 9, r[4], p.tolist()) for i, (r, p) in enumerate(zip(rows, text))], "id long, host string, domain string, declared string, suffix int, n_trigrams long, logs array<double>, text_p array<double>")
+    got = {r.id: r for r in language.fused(found, model).collect()}
+
+    def total(place, value):
+        return sum(p for r, p in zip(rows, text) if r[place] == value)
+
+    general = (text.sum(axis=0) + 1) / (text.sum() + 3)
+    for i, (host, domain, declared, suffix, logs) in enumerate(rows):
+        dom = (total(1, domain) + language.PULL * general) / (total(1, domain).sum() + language.PULL)
+        prior = (total(0, host) + language.PULL * dom) / (total(0, host).sum() + language.PULL)
+        score = np.array(logs) + np.log(prior)
+        for place, value in ((2, declared), (3, suffix)):
+            n_values = len({r[place] for r in rows})
+            score += np.log((total(place, value) + language.UNSEEN) / (text.sum(axis=0) + language.UNSEEN * n_values))
+        expected = language.softmax(score[None, :])[0]
+        if i == 4:  # neither text nor declaration nor host
+            assert (got[i].language, got[i].confidence) == (language.UNKNOWN, 0.0)
+        else:
+            assert got[i].language == model.languages[expected.argmax()] and abs(got[i].confidence - expected.max()) < 1e-9
+
+
+def test_labels_are_cut_to_their_codes(spark):
+    rows = [(1, "the cat", "en"), (2, "the dog", "en-US"), (3, "le chat", " FR_ca "), (4, "x y z", "Klingonese"), (5, "nothing", None), (6, "nothing", "")]
+    model = language.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "fr", "klingonese", language.UNKNOWN]
+
+
+def test_long_unclosed_markup_takes_little_time():
+    for piece in ("<script>a ", "<!-- a ", "<nav> b", "< ", "</script ", "<style></style>"):
+        began = time.time()
+        language.visible(piece * 100_000)
+        assert time.time() - began < 3
 
 
 def test_language_odd_rows(spark):
@@ -224,6 +272,8 @@ def test_priors_are_smoothed(spark):
 def test_visible_text():
     page = "<html><head><style>p{}</style><script>var t='</p>'</script></head><body><nav>menu</nav><!-- ad --><p>caf&eacute; <b>noir</b></p><footer>end</footer></body>"
     assert language.visible(page).split() == ["café", "noir"] and language.visible(None) == ""
+    assert language.visible("a<script>b<p>c</p>d").split() == ["a", "b", "c", "d"] and language.visible("a < b").split() == ["a", "<", "b"]
+    assert language.visible("<STYLE>x</Style >y<!-- <p> -->z<!--->w").split() == ["y", "z", "w"]
 
 
 def brute_nearest(rows, every, top):
