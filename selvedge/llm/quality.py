@@ -14,13 +14,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .shared import batches_by_bytes, documents, rows_at_most, sample_at_most, sample_of
+from .shared import batches_by_bytes, documents, rows_at_most, sample_at_most, written
 from .spans import LOWER, U64, buffers, byte_class, span_hashes, word_spans
 
 #: Rows of the sample that the scorer is fitted on, at most (about so many of a larger table), and hashed weights.
 SAMPLE, WEIGHTS = 6000, 1 << 15
 ROUNDS, STEP, DECAY = 150, 0.5, 1e-5
+#: Weight of what is held of a labeller before the data, as a share of all documents.
+PRIOR = 0.01
 
 UPPER = byte_class((65, 90))
 LETTER = byte_class((65, 90), (97, 122), (128, 255))
@@ -128,29 +131,19 @@ def as_patterns(rows: np.ndarray) -> np.ndarray:
     return rows.astype(np.int64) @ (3 ** np.arange(len(LABELLERS)))
 
 
-def vote_table(docs: DataFrame) -> DataFrame:
-    """doc_id and pattern (the votes as a number in base 3) of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_by_bytes(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(as_patterns(votes(Texts(batch.column("text")))), pa.int64())], names=["doc_id", "pattern"])
-
-    return documents(docs).mapInArrow(run, "doc_id long, pattern long")
-
-
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """Posteriors of the patterns, each labeller's accuracies on bad and on good texts, and the share of good texts, by expectation-maximisation.
 
-    A labeller that says nothing tells nothing. Each knows some kinds of bad text only: before the data it is held to find 3 in 10 bad ones (with little weight) and to be right on 98 of 100 good ones (with the weight of all documents), so that the classes keep their meaning.
+    A labeller that says nothing tells nothing. Each knows some kinds of bad text only: before the data it is held to find 3 in 10 bad ones and to be right on 9 in 10 good ones, with the weight of PRIOR of all documents, so that the data decide. At first, a text is the better the fewer labellers call it bad.
     """
     table = (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
     up, down = (table == 2).astype(np.float64), (table == 0).astype(np.float64)
-    much, little = counts.sum(), 0.02 * counts.sum()
+    weight = PRIOR * counts.sum()
     good = 1 / (1 + np.exp(-(2 - 4 * down.sum(1))))
     for _ in range(rounds):
         share = (good @ counts + 1) / (counts.sum() + 2)
         for_good, for_bad = good * counts, (1 - good) * counts
-        right = np.stack([(for_bad @ down + 0.3 * little) / (for_bad @ (up + down) + little), (for_good @ up + 0.98 * much) / (for_good @ (up + down) + much)])
+        right = np.stack([(for_bad @ down + 0.3 * weight) / (for_bad @ (up + down) + weight), (for_good @ up + 0.9 * weight) / (for_good @ (up + down) + weight)])
         odds = np.log(share / (1 - share)) + up @ np.log(right[1] / (1 - right[0])) + down @ np.log((1 - right[1]) / right[0])
         good = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
     return good, right, float(share)
@@ -172,32 +165,37 @@ class Scorer:
         return np.where(texts.n_words > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
 
 
-def sample_bags(docs: DataFrame, n_docs: int) -> DataFrame:
-    """doc_id, pattern, features and shares of about SAMPLE documents."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id and pattern (the votes as a number in base 3) of each document; features and shares of about SAMPLE documents, chosen by a hash of doc_id and text, null for the others. One pass over the texts."""
+    bound = F.lit(int((1 << 30) * min(1.0, SAMPLE / max(1, docs.count()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "text"):
             texts = Texts(batch.column("text"))
-            patterns, features = as_patterns(votes(texts)), texts.features()
-            bags = []
-            for a, b in zip(texts.begins[:-1].tolist(), texts.begins[1:].tolist(), strict=True):
+            patterns, chosen = as_patterns(votes(texts)), batch.column("chosen").to_numpy(zero_copy_only=False)
+            features = texts.features() if chosen.any() else None
+            bags = [(None, None)] * batch.num_rows
+            for i in np.flatnonzero(chosen):
+                a, b = texts.begins[i : i + 2]
                 flat = (features[:, a:b] + np.arange(3)[:, None] * WEIGHTS).ravel()
                 ids, counts = np.unique(flat, return_counts=True)
-                bags.append((ids, counts / max(1, b - a)))
+                bags[i] = ids, counts / max(1, b - a)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(patterns), pa.array([x for x, _ in bags], pa.list_(pa.int32())), pa.array([x for _, x in bags], pa.list_(pa.float32()))], names=["doc_id", "pattern", "features", "shares"])
 
-    return sample_of(documents(docs), SAMPLE, n_docs).mapInArrow(run, "doc_id long, pattern long, features array<int>, shares array<float>")
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < bound
+    return written(documents(docs, chosen.alias("chosen")).mapInArrow(run, "doc_id long, pattern long, features array<int>, shares array<float>"), "labelled")
 
 
 def fitted(docs: DataFrame) -> Scorer:
     """The label model over all documents and the scorer over the sample; on an empty table, a scorer without an opinion."""
-    counted = rows_at_most(vote_table(docs).groupBy("pattern").count(), 3 ** len(LABELLERS))
+    seen = labelled(docs)
+    counted = rows_at_most(seen.groupBy("pattern").count(), 3 ** len(LABELLERS))
     if not counted:
         return Scorer({}, np.zeros((3, WEIGHTS), dtype=np.float32), 0.0)
     counted.sort(key=lambda r: r["pattern"])
     patterns, counts = np.array([r["pattern"] for r in counted]), np.array([r["count"] for r in counted], dtype=np.float64)
     good, _, _ = label_model(patterns, counts)
-    bags = sample_at_most(sample_bags(docs, int(counts.sum())), SAMPLE)
+    bags = sample_at_most(seen.where("features IS NOT NULL"), SAMPLE)
     sizes = pc.list_value_length(bags.column("features")).to_numpy()
     ids, shares = (pc.list_flatten(bags.column(c)).to_numpy() for c in ("features", "shares"))
     target = good[np.searchsorted(patterns, bags.column("pattern").to_numpy())]

@@ -85,14 +85,8 @@ def rows_at_most(df: DataFrame, bound: int) -> list:
     return rows
 
 
-def sample_of(df: DataFrame, bound: int, n: int, key: str = "doc_id") -> DataFrame:
-    """About `bound` rows of n, chosen by a hash of a key."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, bound / max(1, n))))
-
-
 def sample_at_most(sample: DataFrame, bound: int, key: str = "doc_id") -> pa.Table:
-    """A sample on the driver, in order of the key. If one key has so many rows that they exceed twice the bound, the rest of the rows by the key's hash is left out."""
-    sample = written(sample, "sample")
+    """A written sample on the driver, in order of the key. If one key has so many rows that they exceed twice the bound, the rest of the rows by the key's hash is left out."""
     if sample.count() > 2 * bound + 1000:
         sample = sample.orderBy(F.xxhash64(key)).limit(2 * bound)
     return sample.toArrow().sort_by(key).combine_chunks()

@@ -172,16 +172,105 @@ def test_quality_odd_rows(spark):
     assert quality.scored(empty(spark)).count() == 0 and quality.accepted(empty(spark)).count() == 0
 
 
-def test_label_model_recovers_accuracies():
+@pytest.mark.parametrize("first, second", [(0.99, 0.97), (0.6, 0.8), (0.8, 0.6)])
+def test_label_model_recovers_accuracies(first, second):
+    """Of bad and of good texts, from votes alone; a labeller that is often wrong about good texts is found out."""
     rng = np.random.default_rng(2)
     truth = rng.random(20000) < 0.8
-    right = np.array([[0.3, 0.99], [0.5, 0.97], [0.7, 0.98], [0.2, 0.99], [0.4, 0.96], [0.6, 0.99], [0.5, 0.98], [0.3, 0.97], [0.6, 0.98]])
+    right = np.array([[0.3, first], [0.5, second], [0.7, 0.98], [0.2, 0.99], [0.4, 0.96], [0.6, 0.99], [0.5, 0.98], [0.3, 0.97], [0.6, 0.98]])
     table_ = np.stack([np.where(rng.random(20000) < np.where(truth, a[1], a[0]), np.where(truth, 2, 0), np.where(truth, 0, 2)) for a in right], axis=1)
     table_[rng.random(table_.shape) < 0.2] = 1
     patterns, index, counts = np.unique(quality.as_patterns(table_), return_inverse=True, return_counts=True)
     good, estimated, share = quality.label_model(patterns, counts.astype(float))
-    assert abs(share - 0.8) < 0.05 and np.abs(estimated[0] - right[:, 0]).max() < 0.15
-    assert ((good[index] > 0.5) == truth).mean() > 0.93
+    assert abs(share - 0.8) < 0.03 and np.abs(estimated - right.T).max() < 0.06
+    assert ((good[index] > 0.5) == truth).mean() > 0.95
+
+
+def test_label_model_by_hand():
+    """The same steps over single documents in plain Python."""
+    rng = random.Random(1)
+    n = len(quality.LABELLERS)
+    votes = [[rng.choice([0, 1, 2, 2]) for _ in range(n)] for _ in range(60)]
+    good = [1 / (1 + np.exp(-(2 - 4 * v.count(0)))) for v in votes]
+    for _ in range(5):
+        share = (sum(good) + 1) / (len(votes) + 2)
+        weight = quality.PRIOR * len(votes)
+        on_bad = [(sum(1 - g for g, v in zip(good, votes) if v[k] == 0) + 0.3 * weight) / (sum(1 - g for g, v in zip(good, votes) if v[k] != 1) + weight) for k in range(n)]
+        on_good = [(sum(g for g, v in zip(good, votes) if v[k] == 2) + 0.9 * weight) / (sum(g for g, v in zip(good, votes) if v[k] != 1) + weight) for k in range(n)]
+        good = []
+        for v in votes:
+            p, q = share, 1 - share
+            for k in range(n):
+                if v[k] != 1:
+                    p *= on_good[k] if v[k] == 2 else 1 - on_good[k]
+                    q *= on_bad[k] if v[k] == 0 else 1 - on_bad[k]
+            good.append(p / (p + q))
+    patterns, index, counts = np.unique(quality.as_patterns(np.array(votes, dtype=np.uint8)), return_inverse=True, return_counts=True)
+    got, right, found = quality.label_model(patterns, counts.astype(float), rounds=5)
+    assert np.abs(got[index] - good).max() < 1e-6 and abs(found - share) < 1e-9
+    assert np.abs(right[0] - on_bad).max() < 1e-9 and np.abs(right[1] - on_good).max() < 1e-9
+
+
+def brute_votes(text):
+    """The labellers by their definitions, on one text."""
+    data = text.encode()
+    words, n = data.split(), len(data.split())
+    letters = [c for c in data if chr(c).isascii() and chr(c).isalpha() or c > 127]
+    solid = max(1, sum(c > 32 for c in data))
+    marks = b",.;:?'()-\"@/_"
+    symbols = sum(not (c in letters or 48 <= c <= 57 or c in marks or c <= 32 or c == 127) for c in data) / solid
+    upper = sum(65 <= c <= 90 for c in data) / max(1, len(letters))
+    repeats = sum(fold(a) == fold(b) for a, b in zip(words, words[1:])) / max(1, n)
+    distinct = len({fold(w) for w in words}) / max(1, n)
+    lines = [x for x in data.split(b"\n") if x]
+    own_lines = len(set(lines)) / max(1, len(lines))
+    digits = sum(48 <= c <= 57 for c in data) / solid
+    length = sum(map(len, words)) / max(1, n)
+    frequent = sum(fold(w).decode(errors="replace") in quality.FREQUENT for w in words) / max(1, n)
+    ends = sum(w[-1] in marks for w in words) / max(1, n)
+    many = n >= 20
+
+    def vote(bad, good):
+        return 0 if bad else 2 if good else 1
+
+    return [
+        vote(upper > 0.3 and many, upper < 0.1 and many),
+        vote(symbols > 0.04, symbols < 0.01 and many),
+        vote(repeats > 0.15 and many, repeats < 0.05 and many),
+        vote(distinct < 0.35 and many, distinct > 0.5 and many),
+        vote(own_lines < 0.5 and len(lines) > 3, own_lines > 0.8 and len(lines) > 3),
+        vote(digits > 0.5 and many, digits < 0.1 and many),
+        vote(length > 12 or length < 2, 3.5 < length < 8),
+        vote(frequent < 0.02 and many, frequent > 0.08 and many),
+        vote(ends > 0.6 and many, 0.01 < ends < 0.4 and many),
+    ]
+
+
+def fold(word):
+    return bytes(c + 32 if 65 <= c <= 90 else c for c in word)
+
+
+def test_votes_by_definition():
+    rng = random.Random(11)
+    pieces = ["The", "the", "of", "and", "House", "river!", "$$$", "###", "12345", "99", "e\u0301t\u00e9", "buy", "BUY", "x" * 30, "it.", "is,", "\n", "\n", "was", "a"]
+    texts = [" ".join(rng.choice(pieces[k % 5 :]) for _ in range(rng.choice([0, 3, 25, 120]))) for k in range(200)] + [r[1] or "" for r in ROWS]
+    got = quality.votes(quality.Texts(pa.array(texts)))
+    assert got.tolist() == [brute_votes(t) for t in texts]
+
+
+@needs_tables
+def test_quality_query_by_hand(spark):
+    """Patterns, posteriors and scores of the query, each computed anew for one text at a time from the fitted model."""
+    docs = table(spark, SMALL, "documents")
+    scorer = quality.fitted(docs)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality.scored(docs, scorer).collect():
+        data = quality.Texts(pa.array([texts[r.doc_id]]))
+        assert r.pattern == quality.as_patterns(np.array([brute_votes(texts[r.doc_id])], dtype=np.uint8))[0]
+        features = data.features()
+        z = sum(float(scorer.weights[k][f]) for k in range(3) for f in features[k].tolist()) / max(1, features.shape[1]) + scorer.bias
+        expected = 1 / (1 + np.exp(-z)) if features.shape[1] else 0.0
+        assert abs(r.score - expected) < 1e-5 and r.posterior == scorer.posterior[r.pattern] and r.good == (r.score >= 0.5)
 
 
 @needs_tables
