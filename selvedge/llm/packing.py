@@ -1,27 +1,33 @@
 """Lexical retrieval packing: windows of neighbours from a sharded BM25 inverted index.
 
-The documents' ids are dealt into shards by a hash of doc_id, about SHARD_TOKENS ids each. A shard's task builds an inverted index of its documents' tokens, weighted by BM25 with the document frequencies of the whole corpus (the vocabulary bounds that table). Then it fills one window after the other: the window's seed is the document that the last window cut, or the first unused one; its best unused neighbours follow until the window is full, and what doesn't fit opens the next window. So only a shard's last window has padding.
+1. Documents become ids, and the document frequencies of the whole corpus are counted (the vocabulary bounds that table).
+2. Documents are dealt into shards of about SHARD_TOKENS ids so that lexical neighbours meet: a document's key is the first of its tokens in a random order in which rare tokens (that two documents have, at least) tend to come first, a MinHash weighted by squared inverse document frequency; the second such token orders those of one key. Shards are equal cuts of that order by tokens. A key or a pair of keys with many documents takes as many shards as it needs, its documents spread evenly.
+3. A shard's task builds an inverted index of its documents' tokens, weighted by BM25. Then it fills one window after the other: the window's seed is the document that the last window cut, or the first unused one; its best unused neighbours by all its tokens follow until the window is full, and what doesn't fit opens the next window. So only a shard's last window has padding.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing_tokens import codec
-from .shared import batches_by_bytes, documents, rows_at_most, written
+from .shared import batches_by_bytes, documents, ids_for_join, rows_at_most, sorted_groups, written
 from .token_counts import ragged
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 2 << 20
-#: BM25's constants; a seed asks with its QUERY weightiest tokens and takes from its NEIGHBOURS best unused documents.
-K1, B, QUERY, NEIGHBOURS = 1.2, 0.75, 16, 32
+#: BM25's constants.
+K1, B = 1.2, 0.75
+#: Second tokens of a key's documents fall into so many cells for each shard that the key fills.
+CELLS = 4
 TOKENS = "doc_id long, n_tokens long, ids binary, frequencies binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -75,7 +81,6 @@ class Shard:
         owner = np.repeat(np.arange(len(texts)), sizes)
         length = np.array([len(x) for x in texts], dtype=np.float64)
         weights = idf[self.terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / mean))
-        self.weights = weights
         order = np.argsort(self.terms, kind="stable")
         self.owners, self.impacts = owner[order], weights[order]
         self.posting = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
@@ -83,17 +88,12 @@ class Shard:
         self.n = len(texts)
 
     def neighbours(self, seed: int) -> list[int]:
-        """The unused documents that score highest for the seed's weightiest tokens, best first."""
-        a, b = self.begins[seed], self.begins[seed + 1]
-        terms = self.terms[a:b]
-        if b - a > QUERY:
-            terms = terms[np.argpartition(-self.weights[a:b], QUERY)[:QUERY]]
+        """The unused documents that share tokens with the seed, by their BM25 score, best first."""
+        terms = self.terms[self.begins[seed] : self.begins[seed + 1]]
         low, high = self.posting[terms], self.posting[terms.astype(np.int64) + 1]
         at = ragged(low, high - low)
         score = np.bincount(self.owners[at], self.impacts[at], minlength=self.n) * self.unused
         found = np.flatnonzero(score > 0)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
         return found[np.lexsort((found, -score[found]))].tolist()
 
 
@@ -138,10 +138,57 @@ def pieces(ids: list[int | None], texts: list[np.ndarray], order: Iterator[int],
     return out
 
 
-def packed(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
+def token_order(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
+    """Each token's place in a random order in which a token comes before another in proportion to its squared inverse document frequency; tokens that fewer than two documents have, or all, come last."""
+    draws = -np.log1p(-np.random.default_rng(len(frequencies)).random(len(frequencies)))
+    weight = np.log(max(1, n_docs) / np.maximum(frequencies, 1)) ** 2
+    shared = (frequencies > 1) & (weight > 0)
+    place = np.empty(len(frequencies), dtype=np.int64)
+    place[np.lexsort((draws / np.where(shared, weight, 1), ~shared))] = np.arange(len(frequencies))
+    return place
+
+
+def with_keys(tokens: DataFrame, places: np.ndarray, kind: str) -> DataFrame:
+    """tokens (doc_id, n_tokens, ids, spread) and the places of each document's first and second token in the order (the number of tokens, where it has none)."""
+    none = len(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_by_bytes(batches, "ids", 8 << 20):
+            texts = [np.frombuffer(x, dtype=kind)[:-1] for x in batch.column("ids").to_pylist()]
+            sizes = np.array([len(x) for x in texts])
+            keys = np.full((2, len(texts)), none, dtype=np.int64)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                own = places[np.concatenate(texts)]
+                begins = (np.cumsum(sizes) - sizes)[some]
+                keys[0, some] = np.minimum.reduceat(own, begins)
+                own[own == np.repeat(keys[0], sizes)] = none
+                keys[1, some] = np.minimum.reduceat(own, begins)
+            yield batch.append_column("first", pa.array(keys[0])).append_column("second", pa.array(keys[1]))
+
+    return tokens.mapInArrow(run, "doc_id long, n_tokens long, ids binary, spread double, first long, second long")
+
+
+def dealt(keyed: DataFrame, n_tokens: int, n_shards: int, n_keys: int) -> DataFrame:
+    """Rows of with_keys() with their shard: equal cuts, by tokens, of the documents in order of first, then of a cell of second, then of spread (0 to 1, even)."""
+    spark = keyed.sparkSession
+    size = n_tokens / n_shards
+    keys = sorted(rows_at_most(keyed.groupBy("first").agg(F.sum("n_tokens").alias("n")), n_keys))  # one row for each token of the vocabulary
+    starts = [0, *itertools.accumulate(r["n"] for r in keys)]
+    table = spark.createDataFrame([(r["first"], at, r["n"], max(1, math.ceil(CELLS * r["n"] / size)) if r["n"] > size / CELLS else 1) for r, at in zip(keys, starts)], "first long, start long, n long, n_cells int")
+    rows = keyed.join(F.broadcast(table), "first").withColumn("cell", F.when(F.col("n_cells") > 1, F.pmod(F.xxhash64("second"), F.col("n_cells"))))
+    before = Window.partitionBy("first").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.where("n_cells > 1").groupBy("first", "cell", "start").agg(F.sum("n_tokens").alias("cell_n"))
+    cells = written(cells.select("first", "cell", "cell_n", (F.col("start") + F.coalesce(F.sum("cell_n").over(before), F.lit(0))).alias("cell_start")), "cells")
+    rows = rows.join(ids_for_join(cells), ["first", "cell"], "left")
+    place = F.coalesce("cell_start", "start") + F.col("spread") * F.coalesce("cell_n", "n")
+    return rows.select("doc_id", "ids", F.least(F.floor(place / size), F.lit(n_shards - 1)).cast("int").alias("shard"))
+
+
+def packed(docs: DataFrame, vocabulary: str | None = None, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The pieces of all documents: doc_id, start (its document's ids before it), length, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers), doc_tokens (with the end id), sequence_id, offset (in the sequence).
 
-    A null or empty text is the end id alone. Rows that repeat are packed as often as they are there; a null doc_id is one more key. Other columns are ignored.
+    A null or empty text is the end id alone. Rows that repeat are packed as often as they are there, wherever their text belongs; ids, null or repeated, have no say in it. Other columns are ignored; an empty table gives no pieces.
     """
     vocabulary = vocabulary or public_tokenizers.path("word_bpe_49k.json")
     n_ids = codec(vocabulary).library.get_vocab_size()
@@ -151,16 +198,19 @@ def packed(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> Da
     frequencies = document_frequencies(tokens, n_ids)
     idf = np.log1p((n_docs - frequencies + 0.5) / (frequencies + 0.5))
     mean = n_tokens / max(1, n_docs)
-    n_shards = max(1, -(-n_tokens // SHARD_TOKENS))
+    n_shards = max(1, round(n_tokens / shard_tokens))
     kind = codec(vocabulary).kind.str
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-        ids = group.column("doc_id").to_pylist()
-        texts = [np.frombuffer(x, dtype=kind) for x in group.column("ids").to_pylist()]
-        found = pieces(ids, texts, packed_order(texts, idf, mean), group.column("shard")[0].as_py())
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*found, strict=True), strict=True)})
-
-    dealt = rows.select("doc_id", "ids", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(n_shards)).alias("shard"))
-    return dealt.repartition(int(n_shards), "shard").groupBy("shard").applyInArrow(run, PIECES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in sorted_groups(batches, ["shard"]):
+            for a, b in zip(begins, [*begins[1:], table.num_rows], strict=True):
+                ids = table.column("doc_id").slice(a, b - a).to_pylist()
+                texts = [np.frombuffer(x, dtype=kind) for x in table.column("ids").slice(a, b - a).to_pylist()]
+                found = pieces(ids, texts, packed_order(texts, idf, mean), table.column("shard")[a].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
+
+    # A row's place in the written table is the same however often a task is run, and even, whatever its id or text.
+    spread = F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(1 << 30)) / float(1 << 30)
+    keyed = with_keys(rows.select("doc_id", "n_tokens", "ids", spread.alias("spread")), token_order(frequencies, n_docs), kind)
+    return dealt(keyed, n_tokens, n_shards, n_ids + 1).repartitionById(n_shards, "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(run, PIECES)

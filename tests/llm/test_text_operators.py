@@ -276,14 +276,37 @@ def test_packing(spark):
     n, tokens = check_pieces(rows, [r[1] for r in ROWS])
     assert n == -(-tokens // packing.WINDOW)
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    for doc_id in (0, 4, 5, 6):
-        ids = np.array(library.encode(dict((r[0], r[1]) for r in ROWS)[doc_id], add_special_tokens=False).ids + [2], dtype="<u4")
+    for doc_id, text in {r[0]: r[1] for r in ROWS}.items():
+        ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [2], dtype="<u4")
         mine = sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r.start)
+        if doc_id == 8:  # it is there twice
+            assert [r.start for r in mine] == [0, 0] and len({(r.ids_crc32, r.length, r.doc_tokens) for r in mine}) == 1 and mine[0].ids_crc32 == zlib.crc32(ids.tobytes())
+            continue
         assert [r.start for r in mine] == [sum(x.length for x in mine[:k]) for k in range(len(mine))] and sum(r.length for r in mine) == len(ids)
         assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids) for r in mine)
     assert packing.packed(empty(spark)).count() == 0
 
 
+def test_shards_are_even_and_keep_neighbours_together(spark):
+    """A third of all rows have one text, a third one id: shards stay even; near copies mostly share a shard; every piece is there."""
+    rng = random.Random(5)
+    words = sorted(w for w in Tokenizer.from_file(P.path("word_bpe_49k.json")).get_vocab() if w.isascii() and w.isalpha() and len(w) > 5)[:4000]
+    rows = [(i, "the same text over and over again " * 8) for i in range(400)] + [(None, " ".join(rng.choice(words) for _ in range(60))) for _ in range(400)]
+    near = []
+    for i in range(200):
+        base = [rng.choice(words) for _ in range(80)]
+        near += [(10_000 + 2 * i, " ".join(base)), (10_001 + 2 * i, " ".join(base[:-6] + [rng.choice(words) for _ in range(6)]))]
+    got = packing.packed(spark.createDataFrame(rows + near, "doc_id long, text string").repartition(4), shard_tokens=8192).collect()
+    check_pieces(got, [t for _, t in rows + near])
+    sizes = {}
+    for r in got:
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + r.length
+    assert len(sizes) > 8 and max(sizes.values()) < 1.5 * 8192
+    shard = {r.doc_id: r.sequence_id >> 32 for r in got}
+    together = sum(shard[10_000 + 2 * i] == shard[10_001 + 2 * i] for i in range(200)) / 200
+    assert together > 0.6 and packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), shard_tokens=8192).where("start = 0").count() == len(rows)
+
+
 def test_packing_takes_neighbours():
     rng = np.random.default_rng(0)
     topics = [np.arange(100 * t, 100 * t + 100) for t in range(4)]
