@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -191,6 +192,26 @@ def candidates(entries: DataFrame, n_shards: int, budget: int) -> DataFrame:
     return trees.groupBy("query").applyInArrow(ascend, "query long, shard int, ids binary, level int, n_looked long")
 
 
+def nearest_pairs(asked: pa.Table, own: pa.Table, dim: int, most: int) -> tuple[np.ndarray, ...]:
+    """query, rep, score, level and n_looked of the `most` best candidates of each query among a shard's entries of one length."""
+    asked, own = (t.filter(pc.equal(t.column("dim"), dim)).combine_chunks().sort_by(key) for t, key in ((asked, "query"), (own, "rep")))
+    content = asked.column("ids").to_pylist()
+    row = np.repeat(np.arange(asked.num_rows), [len(x) // 8 for x in content])
+    ids, reps = np.frombuffer(b"".join(content), dtype="<i8"), own.column("rep").to_numpy()
+    at = np.searchsorted(reps, ids)
+    theirs, mine = (scaled(matrix(t.column("vector").combine_chunks())) for t in (own, asked))
+    lengths = [np.sqrt((x * x).sum(axis=1)) for x in (theirs, mine)]
+    score = np.empty(len(ids))
+    for a in range(0, len(ids), HASHED):
+        i, j = at[a : a + HASHED], row[a : a + HASHED]
+        score[a : a + HASHED] = (theirs[i] * mine[j]).sum(axis=1) / (lengths[0][i] * lengths[1][j])
+    order = np.lexsort((ids, -score, row))
+    place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+    best = order[place < most]
+    query, level, n_looked = (asked.column(c).to_numpy()[row[best]] for c in ("query", "level", "n_looked"))
+    return query, ids[best], score[best], level, n_looked
+
+
 def cosines(found: DataFrame, entries: DataFrame, n_shards: int, most: int) -> DataFrame:
     """query, rep and score of each query's `most` nearest candidates of each shard, ties to the smaller rep; level and n_looked."""
 
@@ -199,31 +220,14 @@ def cosines(found: DataFrame, entries: DataFrame, n_shards: int, most: int) -> D
             yield batch.append_column("shard", pa.array(shards_of(batch.column("rep").to_numpy(), n_shards), pa.int32()))
 
     def run(asked: pa.Table, own: pa.Table) -> pa.Table:
-        rows = []
-        reps, vectors, norms = own.column("rep").to_numpy(), {}, {}
-        dims, places = own.column("dim").to_numpy(), np.empty(own.num_rows, dtype=np.int64)
-        for dim in np.unique(dims).tolist():
-            at = np.flatnonzero(dims == dim)
-            places[at] = np.arange(len(at))
-            vectors[dim] = scaled(matrix(own.column("vector").take(pa.array(at)).combine_chunks()))
-            norms[dim] = np.sqrt((vectors[dim] * vectors[dim]).sum(axis=1))
-        order = np.argsort(reps)
-        for query, ids, vector, level, n_looked in zip(*(asked.column(c).to_pylist() for c in ("query", "ids", "vector", "level", "n_looked")), strict=True):
-            mine = scaled(np.array([vector], dtype=np.float64))[0]
-            ids = np.frombuffer(ids, dtype="<i8")
-            at = places[order[np.searchsorted(reps, ids, sorter=order)]]
-            score = (vectors[len(mine)][at] * mine).sum(axis=1) / (norms[len(mine)][at] * np.sqrt((mine * mine).sum()))
-            if len(at) > most:
-                near = score >= np.partition(score, len(at) - most)[len(at) - most]
-                ids, score = ids[near], score[near]
-            best = np.lexsort((ids, -score))[:most]
-            rows += [(query, i, s, level, n_looked) for i, s in zip(ids[best].tolist(), score[best].tolist(), strict=True)]
-        columns = zip(*rows, strict=True) if rows else [()] * 5
-        return pa.table({n: pa.array(c, t) for (n, t), c in zip((("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64()), ("level", pa.int32()), ("n_looked", pa.int64())), columns, strict=True)})
+        found = [nearest_pairs(asked, own, dim, most) for dim in pc.unique(asked.column("dim")).to_pylist()] if own.num_rows else []
+        names = ("query", "rep", "score", "level", "n_looked")
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64())
+        return pa.table({n: pa.array(np.concatenate([f[k] for f in found]) if found else [], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
     schema = StructType([*entries.schema.fields, StructField("shard", IntegerType())])
     own = entries.mapInArrow(sharded, schema).select("shard", "rep", "dim", "vector")
-    asked = found.join(entries.where("asked").select(F.col("rep").alias("query"), "vector"), "query").select("shard", "query", "ids", "vector", "level", "n_looked")
+    asked = found.join(entries.where("asked").select(F.col("rep").alias("query"), "dim", "vector"), "query").select("shard", "query", "dim", "ids", "vector", "level", "n_looked")
     return asked.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(run, "query long, rep long, score double, level int, n_looked long")
 
 

@@ -2,7 +2,7 @@
 
 1. Each text becomes the set of its word shingles (64-bit hashes), the set a sketch: the hash range is cut into equal buckets, and of each bucket's least hash a register keeps the number of leading zeros and MANTISSA bits after them. Equal sets fall together by a 128-bit key of the set, so copies cost one row from then on.
 2. Bands of registers are the keys of buckets of sets. The number of bands is such that two sets at the threshold share none in one of a million cases.
-3. In the first bands, each bucket's least set is compared with the other members: the register estimate, corrected for chance collisions, discards pairs far below the threshold, and the rest is counted on the full sets. A bucket's members stream past its least set in parts of BLOCK, so no task holds a large group and no row carries two sets. The links' connected components are found.
+3. In the first bands, each bucket's first set (that of the least doc_id, so rather an original than a copy) is compared with the other members: the register estimate, corrected for chance collisions, discards pairs far below the threshold, and the rest is counted on the full sets. A bucket's members stream past its first set in parts of BLOCK, so no task holds a large group and no row carries two sets. The links' connected components are found.
 4. Every bucket that still holds different components is then settled: each member outside the bucket's largest component is compared with the members of other components, inside tasks that hold a block of about BLOCK of the former and one of the latter; first by sketches, which gives out the members with any hopeful partner, then these on the full sets, which gives out only links that join components. Buckets that have become one component need no more pairs, and a large one with a few strays costs a row for each member.
 """
 
@@ -222,8 +222,9 @@ def with_partners(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, hosts
 
 
 def joined_within(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, hosts: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between members of different groups; one for each host and group it touches."""
+    """Links that join different groups: groups that a link has joined count as one from then on, so there are fewer links than groups."""
     sizes = np.array([len(s) for s in sets])
+    groups = np.unique(groups, return_inverse=True)[1]
     begins = np.cumsum(sizes) - sizes
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     guests, flags, found = np.flatnonzero(~hosts), np.zeros(len(values), dtype=bool), []
@@ -236,8 +237,9 @@ def joined_within(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, hosts
         inter = np.add.reduceat(flags[flat], begins, dtype=np.int64)[at] if len(at) > 32 else np.array([np.count_nonzero(flags[flat[begins[y] : begins[y] + sizes[y]]]) for y in at])
         flags[own] = False
         at = at[linked(inter, sizes[x], sizes[at], percent)]
-        _, first = np.unique(groups[at], return_index=True)
-        found += [(int(ids[x]), int(ids[y])) for y in at[first]]
+        for y in at[np.unique(groups[at], return_index=True)[1]]:
+            found.append((int(ids[x]), int(ids[y])))
+            groups[groups == groups[y]] = groups[x]
     return found
 
 
@@ -306,10 +308,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signs = written(signatures(docs, shape), "signatures")
     sets = signs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     sets = written(sets.withColumn("id", set_id("key1", "key2", "n_shingles")), "sets")
-    rows = sets.select("id", F.posexplode("bands").alias("band", "key")).where("key IS NOT NULL")
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n_members"), F.min("id").alias("least")).where("n_members > 1")
-    members = written(rows.join(buckets, "key"), "members")
-    pairs = members.where((F.col("band") < FIRST_BANDS) & (F.col("id") != F.col("least"))).select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
+    rows = sets.select("id", "least_doc", F.posexplode("bands").alias("band", "key")).where("key IS NOT NULL")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n_members"), F.min_by("id", "least_doc").alias("first")).where("n_members > 1")
+    members = written(rows.drop("least_doc").join(buckets, "key"), "members")
+    pairs = members.where((F.col("band") < FIRST_BANDS) & (F.col("id") != F.col("first"))).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
     pairs = written(hopeful_pairs(written(pairs, "first-pairs"), sets, shape), "pairs")
     holders = sets.select("id", F.col("least_doc").alias("doc_id"))
     full = full_sets(docs, holders.join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id"), shape)
