@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.fixed import FIELDS
-from .operators import evidence, feedback, fields, rolls, tables
+from .operators import evidence, feedback, fields, pages as page_ops, records, rolls, service, tables
 from .sources import readers
 
 
 class Shipments:
-    """pages: doc_id, page_number, raw_text, supplier_name; cells: doc_id, tbl, row, col, text; templates: supplier_name, fields, schema_version; answers: model evidence, if any."""
+    """pages: doc_id, page_number, raw_text, supplier_name; cells: doc_id, tbl, row, col, text; templates: supplier_name, fields, schema_version; model: evidence of a model, lines: rolls (doc_id, seq, lot, po_number, piece_number, color, quality, meters, net_weight), as responses.line_items or extraction.extracted give them; all but pages may be missing."""
 
-    def __init__(self, pages: DataFrame, cells: DataFrame | None = None, templates: DataFrame | None = None, model: DataFrame | None = None):
+    def __init__(self, pages: DataFrame, cells: DataFrame | None = None, templates: DataFrame | None = None, model: DataFrame | None = None, lines: DataFrame | None = None):
         self.pages = readers.classified(readers.with_supplier(pages))
-        self.cells, self.templates, self.model = cells, templates, model
+        self.cells, self.templates, self.model, self.lines = cells, templates, model, lines
+
+    @classmethod
+    def ingest(cls, spark: SparkSession, path: str, parser: Callable[[bytes], list[str]], suppliers: DataFrame | None = None, **more: DataFrame) -> Shipments:
+        """Papers from uploaded files by a parser, with their suppliers (doc_id, supplier_name) where they are known."""
+        pages = readers.parsed_pages(readers.uploads(spark, path), parser)
+        pages = pages.join(suppliers, "doc_id", "left") if suppliers is not None else pages.withColumn("supplier_name", F.lit(None).cast("string"))
+        return cls(pages, **more)
 
     def documents(self) -> DataFrame:
         return self.pages.groupBy("doc_id").agg(F.min("supplier_name").alias("supplier_name"))
@@ -30,9 +39,14 @@ class Shipments:
             parts["template"] = feedback.as_evidence(feedback.lookup(self.documents(), self.templates))
         if self.model is not None:
             parts["ai"] = self.model
+        has_pieces = None
         if self.cells is not None:
-            place = F.col("tbl").cast("long") * 1_000_000 + F.col("row") * 1000 + F.col("col")
-            parts["table_col"] = tables.candidates(self.cells).select("doc_id", "field", "value", F.lit(0.88).alias("confidence"), F.lit(1).alias("page_number"), place.alias("ord"))
+            # 20 bits of the table, 24 of the row, 16 of the column: they can't meet.
+            place = F.shiftleft(F.col("tbl").cast("long"), 40) + F.shiftleft(F.col("row").cast("long"), 16) + F.col("col")
+            found = tables.candidates(self.cells)
+            has_pieces = found.where("field = 'pieces'")
+            parts["table_col"] = found.select("doc_id", "field", "value", F.lit(0.88).alias("confidence"), F.lit(1).alias("page_number"), place.alias("ord"))
+        parts["text_pattern"] = fields.text_evidence(page_ops.full_text(self.pages), has_pieces)
         return evidence.union(**parts)
 
     def resolved(self) -> DataFrame:
@@ -41,9 +55,16 @@ class Shipments:
         return won.withColumn("confidence", evidence.score(F.col("value"), F.col("source"), F.col("confidence")))
 
     def result(self) -> DataFrame:
-        """One record for each document, with the fields to be reviewed."""
-        won = self.resolved()
-        return evidence.as_records(won).join(evidence.flagged(won), "doc_id")
+        """One finished record for each document: resolved values, blanks filled from the rolls, several values MIXED, the stated weight set against the tables' sum, the fields to be reviewed, errors."""
+        kinds = self.documents().select("doc_id")
+        template = feedback.lookup(self.documents(), self.templates).select("doc_id", F.col("fields").isNotNull().alias("has_template")) if self.templates is not None else kinds.withColumn("has_template", F.lit(False))
+        ai = self.model.select("doc_id").distinct().withColumn("has_ai", F.lit(True)) if self.model is not None else kinds.withColumn("has_ai", F.lit(False))
+        weights = tables.weights(self.cells) if self.cells is not None else None
+        return records.finished(self.resolved(), self.lines, weights, template.join(ai, "doc_id", "left"))
+
+    def context(self, doc_types: DataFrame, whole: int = 15) -> DataFrame:
+        """The text for a model, of key pages (see pages.context); doc_types: doc_id, doc_type."""
+        return page_ops.context(self.pages.join(doc_types, "doc_id", "left"), whole=whole)
 
     def candidates(self, k: int = 5) -> DataFrame:
         return evidence.candidates(self.evidence(), k)
@@ -55,10 +76,17 @@ class Shipments:
         """Values in long form with reviewers' actions (job_id, seq, field, action, value) laid over."""
         return feedback.applied(self.resolved().select(F.col("doc_id").alias("job_id"), "field", "value"), actions)
 
+    @staticmethod
+    def log(messages: DataFrame) -> DataFrame:
+        """The log of each job (job_id, ord, msg), numbered."""
+        return service.job_log(messages)
+
     @staticmethod
     def sheet(lines: DataFrame, records: DataFrame) -> DataFrame:
         return rolls.sheet_rows(lines, records)
 
     @staticmethod
     def workbooks(lines: DataFrame, records: DataFrame) -> DataFrame:
-        return readers.workbooks(rolls.sheet_rows(lines, records))
+        """A workbook for each document; what stands above its rolls comes from records that have supplier_name, invoice_number, delivered_date and quality."""
+        full = {"supplier_name", "invoice_number", "delivered_date", "quality"} <= set(records.columns)
+        return readers.workbooks(rolls.sheet_rows(lines, records), rolls.sheet_header(records) if full else None)

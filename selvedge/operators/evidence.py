@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import FIELDS, FLAG_BELOW, HEADER_PRIORITY, SOURCE_CONFIDENCE, TABLE_FIELDS, TABLE_PRIORITY
 
 COLUMNS = ("doc_id", "field", "value", "confidence", "source", "page_number", "ord")
-#: Arrival order of the sources.
+#: Arrival order of the sources; an ord within a source is below 2 ** 60.
 ORDER = ("template", "regex", "ai", "table_col", "text_pattern")
 
 
@@ -35,7 +35,7 @@ def union(**frames: DataFrame) -> DataFrame:
             frame = frames[source]
             if source in ("template", "ai"):
                 frame = frame.where(F.col("value").isNotNull())
-            parts.append(frame.withColumn("source", F.lit(source)).withColumn("ord", F.lit(place).cast("long") * 1_000_000_000_000 + F.col("ord")).select(*COLUMNS))
+            parts.append(frame.withColumn("source", F.lit(source)).withColumn("ord", F.lit(place << 60) + F.col("ord")).select(*COLUMNS))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -21,9 +21,24 @@ def field_columns(text: Column, supplier: Column | None = None) -> dict[str, Col
 
 def by_document(pages: DataFrame, supplier: str | None = None) -> DataFrame:
     """Each document's values, each from the first page that has one."""
-    fields = field_columns(F.col("raw_text"), F.col(supplier) if supplier else None)
-    found = pages.select("doc_id", "page_number", *[v.alias(f) for f, v in fields.items()])
-    return found.groupBy("doc_id").agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("page_number"))).alias(f) for f in fields])
+    found = pages.select("doc_id", "page_number", by_page(F.col("raw_text"), F.col(supplier) if supplier else None).alias("found"))
+    return found.groupBy("doc_id").agg(*[F.min_by(f"found.{f}", F.when(F.col(f"found.{f}").isNotNull(), F.col("page_number"))).alias(f) for f in PATTERNS])
+
+
+def by_page(text: Column, supplier: Column | None = None) -> Column:
+    """All fields' values as a struct. Inside a lambda the forty patterns stay out of the generated code, which they would take beyond what the JVM compiles."""
+    page = F.struct(text.alias("text"), (F.lit("") if supplier is None else supplier).alias("supplier"))
+    return F.get(F.transform(F.array(page), lambda p: F.struct(*[v.alias(f) for f, v in field_columns(p["text"], None if supplier is None else p["supplier"]).items()])), F.lit(0))
+
+
+def text_evidence(texts: DataFrame, has_pieces: DataFrame | None = None) -> DataFrame:
+    """Evidence from documents' texts (doc_id, full_text): lots (confidence 0.85), the highest roll number as pieces (0.80) and totals in meters (0.82), in the patterns' order; no pieces for documents in has_pieces (doc_id), whose tables give some."""
+    text = F.col("full_text")
+    parts = [texts.select("doc_id", F.lit(field).alias("field"), F.posexplode(values).alias("n", "value"), F.lit(sure).alias("confidence")) for field, values, sure in (("lot", lot_values(text), 0.85), ("meters", meter_values(text), 0.82))]
+    pieces = texts if has_pieces is None else texts.join(has_pieces.select("doc_id").distinct(), "doc_id", "left_anti")
+    parts.append(pieces.select("doc_id", F.lit("pieces").alias("field"), F.lit(0).alias("n"), most_pieces(text).cast("string").alias("value"), F.lit(0.80).alias("confidence")).where("value IS NOT NULL"))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select("doc_id", "field", "value", "confidence", F.lit(1).alias("page_number"), F.col("n").cast("long").alias("ord"))
 
 
 def lot_values(text: Column) -> Column:

@@ -69,6 +69,24 @@ def key_pages(pages: DataFrame, whole: int = 15) -> DataFrame:
     return rows.where(chosen).select("doc_id", "page_number", "page_type")
 
 
+#: Characters of a document's context, at most.
+MOST_CONTEXT = 2_000_000
+
+
+def context(pages: DataFrame, tables: DataFrame | None = None, most: int = MOST_CONTEXT, whole: int = 15) -> DataFrame:
+    """doc_id and context: the text of each document's key pages that have some, each under a banner with its number and kind, and with its tables (doc_id, page_number, tbl, markdown), if any; cut after `most` characters."""
+    chosen = key_pages(pages, whole).join(pages.select("doc_id", "page_number", "raw_text").where("raw_text <> ''"), ["doc_id", "page_number"])
+    text = F.concat(F.lit("--- Page "), F.col("page_number").cast("string"), F.lit(" ("), "page_type", F.lit(") ---\n"), "raw_text", F.lit("\n"))
+    if tables is not None:
+        listed = F.array_sort(F.collect_list(F.struct("tbl", "markdown")))
+        shown = F.array_join(F.transform(listed, lambda t, i: F.concat(F.lit("\nTable "), (i + 1).cast("string"), F.lit(":\n"), t["markdown"], F.lit("\n"))), "")
+        shown = tables.groupBy("doc_id", "page_number").agg(F.concat(F.lit("\n--- Extracted Structured Tables ---\n"), shown).alias("shown"))
+        chosen = chosen.join(shown, ["doc_id", "page_number"], "left")
+        text = F.concat(text, F.coalesce("shown", F.lit("")))
+    listed = F.array_sort(F.collect_list(F.struct("page_number", text.alias("text"))))
+    return chosen.groupBy("doc_id").agg(F.substring(F.array_join(F.transform(listed, lambda p: p["text"]), "\n\n"), 1, most).alias("context"))
+
+
 def full_text(pages: DataFrame) -> DataFrame:
     """Each document's text: its pages that have some, in order, with a blank line between them."""
     listed = F.array_sort(F.collect_list(F.when(~needs_ocr(F.col("raw_text")), F.struct("page_number", "raw_text"))))

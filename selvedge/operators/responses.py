@@ -27,14 +27,16 @@ def closed(text: Column) -> Column:
 def parsed(text: Column) -> Column:
     """The answer as a struct: an object, or the first object of a list; repaired if it was cut off; null if nothing helps."""
 
-    def read(x: Column) -> Column:
-        first = F.get(F.from_json(x, f"array<struct<{SCHEMA}>>", {"mode": "PERMISSIVE"}), F.lit(0))
-        whole = F.from_json(x, SCHEMA, {"mode": "PERMISSIVE"})
-        valid = F.get_json_object(x, "$").isNotNull()
-        return F.when(valid, F.when(F.startswith(F.ltrim(x), F.lit("[")), first).otherwise(whole))
-
-    bare = unfenced(text)
-    return F.coalesce(read(bare), read(closed(bare)))
+    def valid(x: Column) -> Column:
+        return F.when(F.get_json_object(x, "$").isNotNull(), x)
+
+    def read(x: Column) -> Column:  # an object is read as a list of one, so that one parse does for both shapes
+        listed = F.when(F.startswith(F.ltrim(x), F.lit("[")), x).otherwise(F.concat(F.lit("["), x, F.lit("]")))
+        return F.get(F.from_json(listed, f"array<struct<{SCHEMA}>>", {"mode": "PERMISSIVE"}), F.lit(0))
+
+    # The lambdas name a step's result, so that no step is done twice.
+    bare = F.transform(F.array(unfenced(text)), lambda x: F.coalesce(valid(x), valid(closed(x))))
+    return F.get(F.transform(bare, read), F.lit(0))
 
 
 def merged(answers: DataFrame) -> DataFrame:

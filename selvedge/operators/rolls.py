@@ -111,10 +111,23 @@ def blank_zero(x: Column) -> Column:
     return F.coalesce(F.when(x.cast("double") == 0, F.lit("")).otherwise(x.cast("string")), F.lit(""))
 
 
+#: What a sheet shows of a roll beside its lot, PO, shade and number: column, attribute of the line.
+SHEET_NUMBERS = {"points_per_roll": "points_per_roll", "points_per_100m2": "points_per_100m2", "weight_gross": "weight_gross_kgs", "weight_nett": "net_weight"}
+
+
+def money(x: Column) -> Column:
+    return blank_zero(x.cast("decimal(18,2)"))
+
+
+def shown_yards(meters: Column) -> Column:
+    return F.when(meters != 0, yards(meters, YARDS_PER_METER)).otherwise(F.lit(""))
+
+
 def sheet_rows(lines: DataFrame, records: DataFrame) -> DataFrame:
-    """The rows of the sheet, numbered from 9: each roll with the document's lot, PO and color where it has none and a ditto mark for a lot that repeats; documents without rolls have one row of their own."""
+    """The rows of the sheet, numbered from 9: each roll with the document's lot, PO and color where it has none and a ditto mark for a lot that repeats; yards as stated, else from the meters; documents without rolls have one row of their own. Attributes that the lines don't have stay blank; a line without a record has no document's values."""
     own = records.select("doc_id", *[F.col(c).alias(f"doc_{c}") for c in ("lot", "po_number", "color")])
-    rows = lines.join(own, "doc_id")
+    more = [c for c in ("length_yds", *SHEET_NUMBERS.values()) if c not in lines.columns]
+    rows = lines.withColumns({c: F.lit(None).cast("double") for c in more}).join(own, "doc_id", "left")
     lot = F.coalesce(nonempty(F.col("lot")), nonempty(F.col("doc_lot")), F.lit(""))
     rows = rows.withColumn("lot_value", lot).withColumn("lot_before", F.lag("lot_value").over(in_order()))
     shown = rows.select(
@@ -124,9 +137,9 @@ def sheet_rows(lines: DataFrame, records: DataFrame) -> DataFrame:
         F.coalesce(nonempty(F.col("po_number")), F.col("doc_po_number"), F.lit("")).alias("po"),
         F.coalesce(nonempty(F.col("color")), F.col("doc_color"), F.lit("")).alias("shade"),
         F.coalesce("piece_number", F.lit("")).alias("roll_no"),
-        blank_zero(F.col("meters").cast("decimal(18,2)")).alias("length_mts"),
-        F.when(F.col("meters") != 0, yards(F.col("meters"), YARDS_PER_METER)).otherwise(F.lit("")).alias("length_yds"),
-        blank_zero(F.col("net_weight").cast("decimal(18,2)")).alias("weight_nett"),
+        money(F.col("meters")).alias("length_mts"),
+        F.when(F.col("length_yds").isNotNull(), F.col("length_yds").cast("decimal(18,2)").cast("string")).otherwise(shown_yards(F.col("meters"))).alias("length_yds"),
+        *[money(F.col(attribute)).alias(column) for column, attribute in SHEET_NUMBERS.items()],
     )
     bare = records.join(lines.select("doc_id").distinct(), "doc_id", "left_anti").select(
         "doc_id",
@@ -135,8 +148,33 @@ def sheet_rows(lines: DataFrame, records: DataFrame) -> DataFrame:
         F.coalesce("po_number", F.lit("")).alias("po"),
         F.coalesce("color", F.lit("")).alias("shade"),
         blank_zero(F.col("pieces")).alias("roll_no"),
-        blank_zero(F.col("meters").cast("decimal(18,2)")).alias("length_mts"),
-        F.when(F.col("meters") != 0, yards(F.col("meters"), YARDS_PER_METER)).otherwise(F.lit("")).alias("length_yds"),
-        blank_zero(F.col("net_weight").cast("decimal(18,2)")).alias("weight_nett"),
+        money(F.col("meters")).alias("length_mts"),
+        shown_yards(F.col("meters")).alias("length_yds"),
+        *[(money(F.col("net_weight")) if column == "weight_nett" else F.lit("")).alias(column) for column in SHEET_NUMBERS],
     )
     return shown.unionByName(bare)
+
+
+def sheet_header(records: DataFrame) -> DataFrame:
+    """doc_id, cell and value of what stands above the rolls (rows 1 to 4) of each record's sheet."""
+    name = F.upper(F.when(F.col("supplier_name") != "unknown", F.col("supplier_name")))
+    shown = {
+        "C1": F.lit("Exporter / Manufacturer:"), "D1": name,
+        "A3": F.lit("Packing list No:"), "B3": F.col("invoice_number"), "C3": F.lit("Date:"), "D3": F.col("delivered_date"),
+        "E3": F.lit("Net Weight:"), "F3": money(F.col("net_weight")), "G3": F.lit("Total Length:"), "H3": money(F.col("meters")),
+        "A4": F.lit("Product:"), "B4": F.col("quality"),
+    }
+    cells = F.array(*[F.struct(F.lit(cell).alias("cell"), F.coalesce(value, F.lit("")).alias("value")) for cell, value in shown.items()])
+    return records.select("doc_id", F.explode(cells).alias("x")).select("doc_id", "x.cell", "x.value")
+
+
+def flat_rows(lines: DataFrame) -> DataFrame:
+    """Lines as plain rows under the sheet's names."""
+    return lines.select("doc_id", F.col("seq").cast("int").alias("n"), F.col("lot").alias("lot_no"), F.col("po_number").alias("po"), F.col("color").alias("shade"), F.col("piece_number").alias("roll_no"), F.col("meters").alias("length_mts"), F.col("net_weight").alias("weight_nett"))
+
+
+def extraction_notes(rows: DataFrame) -> DataFrame:
+    """What the reader of a document's rows (doc_id, lot, piece_number) should know: ditto marks, rows left out, rolls."""
+    ditto, skipped = F.count_if(F.col("lot") == '"'), F.count_if(F.coalesce(F.lower("piece_number").rlike(SUMMARY_ROW), F.lit(False)))
+    notes = F.concat_ws("; ", F.when(ditto > 0, F.concat(F.lit("ditto marks: "), ditto.cast("string"))), F.when(skipped > 0, F.concat(F.lit("rows skipped: "), skipped.cast("string"))), F.concat(F.lit("rolls: "), (F.count("*") - skipped).cast("string")))
+    return rows.groupBy("doc_id").agg(notes.alias("notes"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import ALIASES, FIELDS, LOT_SIGNATURE, ROLL_SIGNATURE, SHORT_ALIASES
-from ..functions.text import stripped
+from ..functions.fixed import ALIASES, FIELDS, LOT_SIGNATURE, ROLL_SIGNATURE, SHORT_ALIASES, WEIGHT_HEADINGS
+from ..functions.text import number, stripped
 
 #: Rows of a table that can be its heading.
 HEADING_ROWS = 3
@@ -54,27 +54,43 @@ def header_rows(found: DataFrame) -> DataFrame:
 
 def candidates(cells: DataFrame) -> DataFrame:
     """Values below the headings: doc_id, tbl, row, col, field, value; without blanks, headings that are repeated, and figures too short for a number of a document. Tables of one row have none."""
-    found = matched(cells)
-    heads = header_rows(found)
-    columns = found.join(heads.select("doc_id", "tbl", F.col("header_row").alias("row")), ["doc_id", "tbl", "row"]).withColumnRenamed("row", "header_row")
-    value = stripped(F.col("text"))
-    rows = cells.join(columns, ["doc_id", "tbl", "col"]).where(F.col("row") > F.col("header_row")).withColumn("value", value).where(F.col("value") != "")
+    rows = matched(cells).groupBy("doc_id", "tbl", "row").agg(F.count("*").alias("n"), F.collect_list(F.struct("col", "field")).alias("fields"))
+    heads = rows.groupBy("doc_id", "tbl").agg(F.max_by(F.struct("row", "fields"), F.struct("n", -F.col("row"))).alias("head"))
+    heads = heads.select("doc_id", "tbl", F.col("head.row").alias("header_row"), F.map_from_entries("head.fields").alias("fields"))
+    rows = cells.join(heads, ["doc_id", "tbl"]).where(F.col("row") > F.col("header_row")).withColumn("field", F.try_element_at("fields", "col")).where(F.col("field").isNotNull())
+    rows = rows.withColumn("value", stripped(F.col("text"))).where(F.col("value") != "")
     short = F.col("field").isin("lot", "order_number", "invoice_number", "po_number") & F.col("value").rlike("^[0-9]{1,3}$")
     return rows.where(~F.lower("value").isin(*echoes()) & ~short).select("doc_id", "tbl", "row", "col", "field", "value")
 
 
+def signature_meanings(texts: DataFrame, signature: dict[str, tuple[str, ...]]) -> DataFrame:
+    """heading (distinct) and the first field of a signature with an alias that holds it or that it holds."""
+    either = F.contains(F.col("heading"), F.col("alias")) | F.contains(F.col("alias"), F.col("heading"))
+    found = texts.select("heading").distinct().join(F.broadcast(alias_table(texts.sparkSession, signature)), either)
+    return found.groupBy("heading").agg(F.min_by("field", "field_ord").alias("field"))
+
+
+def signed_headings(cells: DataFrame) -> DataFrame:
+    """headings() with double blanks made single, as the signatures are written."""
+    return headings(cells).withColumn("heading", F.replace("heading", F.lit("  "), F.lit(" ")))
+
+
+def weights(cells: DataFrame) -> DataFrame:
+    """doc_id and weight (a decimal): the sum of the positive numbers below the first heading of a net weight in each table's first row. Documents whose tables have none aren't there."""
+    means = F.exists(F.array(*[F.lit(w) for w in WEIGHT_HEADINGS]), lambda w: F.contains(F.lower(stripped(F.col("text"))), w))
+    columns = cells.where((F.col("row") == 0) & means).groupBy("doc_id", "tbl").agg(F.min("col").alias("col"))
+    value = number(F.replace(stripped(F.col("text")), F.lit(","), F.lit("")))
+    rows = cells.where("row > 0").join(columns, ["doc_id", "tbl", "col"]).select("doc_id", value.cast("decimal(20,4)").alias("value")).where("value > 0")
+    return rows.groupBy("doc_id").agg(F.sum("value").alias("weight"))
+
+
 def signatures(cells: DataFrame) -> DataFrame:
     """For each table of two rows or more: how many signature fields of rolls and of lots its first rows match (either text holding the other)."""
-    spark = cells.sparkSession
     tables = cells.groupBy("doc_id", "tbl").agg(F.max("row").alias("last")).where("last >= 1")
-    own = headings(cells).withColumn("heading", F.replace("heading", F.lit("  "), F.lit(" ")))
-    distinct = own.select("heading").distinct()
+    own = signed_headings(cells)
     scores = tables.select("doc_id", "tbl")
     for name, signature in (("roll", ROLL_SIGNATURE), ("lot", LOT_SIGNATURE)):
-        aliases = alias_table(spark, signature)
-        either = F.contains(F.col("heading"), F.col("alias")) | F.contains(F.col("alias"), F.col("heading"))
-        first = distinct.join(F.broadcast(aliases), either).groupBy("heading").agg(F.min_by("field", "field_ord").alias("field"))
-        counted = own.join(first, "heading").groupBy("doc_id", "tbl").agg(F.count_distinct("field").alias(f"{name}_score"))
+        counted = own.join(signature_meanings(own, signature), "heading").groupBy("doc_id", "tbl").agg(F.count_distinct("field").alias(f"{name}_score"))
         scores = scores.join(counted, ["doc_id", "tbl"], "left")
     return scores.select("doc_id", "tbl", F.coalesce("roll_score", F.lit(0)).alias("roll_score"), F.coalesce("lot_score", F.lit(0)).alias("lot_score"))
 

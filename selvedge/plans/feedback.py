@@ -120,7 +120,14 @@ def rate_window(spark, sf_dir):
     return rates.in_window(requests(spark, sf_dir))
 
 
-@query("rate_admission")
+@query("rate_admission", f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM ({DUCK_REQUESTS})),
+    walk(key, n, event_id, ts, kept, admitted) AS (
+        SELECT key, 1::BIGINT, event_id, ts, [ts], true FROM r WHERE n = 1
+        UNION ALL
+        SELECT key, n, event_id, ts, CASE WHEN ok THEN list_append(still, ts) ELSE still END, ok
+        FROM (SELECT *, len(still) < 2 AND len(list_filter(still, lambda t: t >= ts - {rates.MINUTE})) < 1 AS ok
+              FROM (SELECT r.*, list_filter(kept, lambda t: t >= r.ts - {rates.DAY}) AS still FROM walk w JOIN r ON r.key = w.key AND r.n = w.n + 1)))
+    SELECT key, ts, event_id, admitted FROM walk""")
 def rate_admission(spark, sf_dir):
     return rates.admission(requests(spark, sf_dir), per_minute=1, per_day=2)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..api import Shipments
 from ..functions import text as T
-from ..functions.fixed import ALIASES, HEADER_WORDS, ITEM_WORDS, LOT_NOT, LOT_PATTERNS, LOT_SIGNATURE, LOT_WORDS, METER_PATTERNS, PATTERNS, PIECE_PATTERNS, ROLL_SIGNATURE, ROLL_WORDS, SHORT_ALIASES, SHOWN_PATTERNS, SUMMARY_WORDS, SUPPLIER_PATTERNS
+from ..functions.fixed import ALIASES, FIELDS, HEADER_PRIORITY, HEADER_WORDS, ITEM_WORDS, LOT_NOT, LOT_PATTERNS, LOT_SIGNATURE, LOT_WORDS, METER_PATTERNS, PATTERNS, PIECE_PATTERNS, ROLL_SIGNATURE, ROLL_WORDS, SHORT_ALIASES, SHOWN_PATTERNS, SUMMARY_WORDS, SUPPLIER_PATTERNS, TABLE_FIELDS, TABLE_PRIORITY, WEIGHT_HEADINGS
 from ..operators import fields, pages, tables
-from ..sources.rendered import CELLS, PAPERS, duck, frame
+from ..sources.rendered import CELLS, PAPERS, ROLLS, duck, frame
 from .registry import query
 
 SPACE = r"'^\s+|\s+$'"
@@ -62,7 +63,7 @@ def keyword_classify(spark, sf_dir):
 
 
 #: Events as pages: a user is a document, the event's minute the page.
-PAGES = "SELECT user_id AS doc_id, event_id AS page_number, CASE event_type WHEN 'view' THEN 'item_table' WHEN 'signup' THEN 'header' WHEN 'purchase' THEN 'summary' ELSE 'item_table' END AS page_type, CASE WHEN user_id % 7 = 0 THEN 'hybrid' ELSE 'roll_level' END AS doc_type, concat('page ', CAST(event_id AS STRING), ' of ', event_type, CASE WHEN event_id % 5 = 0 THEN '' ELSE ' with enough text' END) AS raw_text FROM {events} WHERE event_type <> 'click' OR user_id % 3 = 0"
+PAGES = "SELECT user_id AS doc_id, event_id AS page_number, CASE event_type WHEN 'view' THEN 'item_table' WHEN 'signup' THEN 'header' WHEN 'purchase' THEN CASE WHEN user_id % 3 = 0 THEN 'summary' ELSE 'item_table' END ELSE 'item_table' END AS page_type, CASE WHEN user_id % 7 = 0 THEN 'hybrid' ELSE 'roll_level' END AS doc_type, concat('page ', CAST(event_id AS STRING), ' of ', event_type, CASE WHEN event_id % 5 = 0 THEN '' ELSE ' with enough text' END) AS raw_text FROM {events}"
 
 
 @query("key_pages", f"""WITH p AS ({duck(PAGES)}), w AS (SELECT *, count(*) OVER d AS n, max(page_number) OVER d AS last, min(page_number) OVER k AS lo, max(page_number) OVER k AS hi, count(*) FILTER (WHERE page_type = 'summary') OVER d AS sums FROM p WINDOW d AS (PARTITION BY doc_id), k AS (PARTITION BY doc_id, page_type))
@@ -76,16 +77,31 @@ def full_text(spark, sf_dir):
     return pages.full_text(frame(spark, sf_dir, PAGES))
 
 
-@query("context_text", f"WITH p AS ({duck(PAGES)}) SELECT doc_id, substr(string_agg(concat('--- Page ', page_number, ' ---', chr(10), raw_text), chr(10) ORDER BY page_number), 1, 400) AS context FROM p GROUP BY doc_id")
-def context_text(spark, sf_dir):
-    banner = F.concat(F.lit("--- Page "), F.col("page_number").cast("string"), F.lit(" ---\n"), "raw_text")
-    listed = F.array_sort(F.collect_list(F.struct("page_number", banner.alias("text"))))
-    return frame(spark, sf_dir, PAGES).groupBy("doc_id").agg(F.substring(F.array_join(F.transform(listed, lambda x: x["text"]), "\n"), 1, 400).alias("context"))
+#: The key pages of PAGES.
+KEY = f"""WITH p AS ({duck(PAGES)}), w AS (SELECT *, count(*) OVER d AS n, max(page_number) OVER d AS last, min(page_number) OVER k AS lo, max(page_number) OVER k AS hi, count(*) FILTER (WHERE page_type = 'summary') OVER d AS sums FROM p WINDOW d AS (PARTITION BY doc_id), k AS (PARTITION BY doc_id, page_type)),
+    keys AS (SELECT * FROM w WHERE n <= 15 OR doc_type = 'hybrid' OR page_type = 'header' OR (page_type = 'item_table' AND page_number = lo) OR (page_type = 'summary' AND page_number = hi) OR (sums = 0 AND page_number = last))"""
+#: Every fourth page has a table, every eighth two.
+PAGE_TABLES = "SELECT user_id AS doc_id, event_id AS page_number, k AS tbl, concat('a | b', chr(10), '---', chr(10), CAST(event_id AS STRING), ' | ', CAST(k AS STRING)) AS markdown FROM {events} CROSS JOIN (VALUES (0), (1)) AS t(k) WHERE event_id % 4 = 0 AND (k = 0 OR event_id % 8 = 0)"
 
 
-@query("chunk_text")
+@query("context_text", KEY + f""", t AS (SELECT doc_id, page_number, string_agg(concat(chr(10), 'Table ', tbl + 1, ':', chr(10), markdown, chr(10)), '' ORDER BY tbl) AS shown FROM ({duck(PAGE_TABLES)}) GROUP BY ALL)
+    SELECT doc_id, substr(string_agg(concat('--- Page ', page_number, ' (', page_type, ') ---', chr(10), raw_text, chr(10), chr(10) || '--- Extracted Structured Tables ---' || chr(10) || shown), chr(10) || chr(10) ORDER BY page_number), 1, {pages.MOST_CONTEXT}) AS context FROM keys LEFT JOIN t USING (doc_id, page_number) GROUP BY doc_id""")
+def context_text(spark, sf_dir):
+    return pages.context(frame(spark, sf_dir, PAGES), frame(spark, sf_dir, PAGE_TABLES))
+
+
+@query("chunk_text", rf"""WITH RECURSIVE ends AS (SELECT '\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}' AS e),
+    docs AS (SELECT doc_id, text, CASE WHEN length(text) > {pages.CHUNK} THEN regexp_extract_all(text, concat('[^', e, ']*(?:\r\n|[', e, '])|[^', e, ']+$')) END AS lines FROM documents, ends WHERE text IS NOT NULL),
+    fold(doc_id, i, done, now) AS (
+        SELECT doc_id, 1, CAST([] AS VARCHAR[]), '' FROM docs WHERE lines IS NOT NULL
+        UNION ALL
+        SELECT doc_id, i + 1, CASE WHEN cut THEN list_append(done, now) ELSE done END, CASE WHEN cut THEN line ELSE now || line END
+        FROM (SELECT f.*, lines[i] AS line, length(now) + length(lines[i]) > {pages.CHUNK} AND now <> '' AND (length(now) + length(lines[i]) > {pages.FORCED} OR regexp_matches(lines[i], '^\s*(PO #|Page )') OR regexp_matches(lines[i], '^\s*$')) AS cut FROM fold f JOIN docs USING (doc_id) WHERE i <= len(lines))),
+    parts AS (SELECT doc_id, text, [text] AS parts FROM docs WHERE lines IS NULL UNION ALL SELECT doc_id, text, CASE WHEN now = '' THEN done ELSE list_append(done, now) END FROM fold JOIN docs USING (doc_id) WHERE i = len(lines) + 1),
+    numbered AS (SELECT doc_id, text, unnest(parts) AS content, generate_subscripts(parts, 1) - 1 AS chunk FROM parts)
+    SELECT doc_id, chunk::INTEGER AS chunk, CASE WHEN chunk > 0 THEN concat('--- [DOCUMENT HEADER FOR CONTEXT] ---', chr(10), substr(text, 1, {pages.CONTEXT}), chr(10), '--- [CONTINUED ROWS] ---', chr(10), content) ELSE content END AS content FROM numbered""")
 def chunk_text(spark, sf_dir):
-    return pages.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text")
+    return pages.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL"), "text")
 
 
 def _capture(text: str, pattern: str) -> str:
@@ -104,6 +120,10 @@ def _date_sql(x: str) -> str:
         WHEN regexp_matches({x}, {named}) THEN concat(CASE WHEN length({year}) = 2 THEN '20' ELSE '' END, {year}, '-', {month}, '-', substr({x}, 1, 2)) ELSE {x} END"""
 
 
+#: The papers as pages: in every second document the first page ends before its weight and the rest comes on the second, in the others both are whole; the second one names another lot.
+TWO_PAGES = "SELECT doc_id, page_number, CASE WHEN page_number = 1 AND doc_id % 2 = 0 THEN substr(raw_text, 1, instr(raw_text, 'Net Weight') - 1) WHEN page_number = 2 THEN concat('Lot Z9', chr(10), raw_text) ELSE raw_text END AS raw_text FROM {papers} CROSS JOIN (VALUES (1), (2)) AS n(page_number)"
+
+
 def _fields_sql(general: bool) -> str:
     out = []
     for field, patterns in PATTERNS.items():
@@ -114,17 +134,20 @@ def _fields_sql(general: bool) -> str:
                     x = f"CASE WHEN lower(supplier_name) = '{name}' THEN coalesce({_first('raw_text', own[field])}, {x}) ELSE {x} END"
         out.append(f"{x} AS {field}")
     columns = [f"{_date_sql(f)} AS {f}" if f == "delivered_date" else f for f in PATTERNS]
+    if general:
+        first = ", ".join(f"arg_min({f}, page_number) FILTER (WHERE {f} IS NOT NULL) AS {f}" for f in PATTERNS)
+        return f"{WITH_PAPERS}, pages AS ({TWO_PAGES.replace('{papers}', 'papers')}), found AS (SELECT doc_id, page_number, {', '.join(out)} FROM pages), dated AS (SELECT doc_id, page_number, {', '.join(columns)} FROM found) SELECT doc_id, {first} FROM dated GROUP BY doc_id"
     return f"{WITH_PAPERS}, found AS (SELECT doc_id, {', '.join(out)} FROM papers) SELECT doc_id, {', '.join(columns)} FROM found"
 
 
 @query("regex_fields", _fields_sql(True))
 def regex_fields(spark, sf_dir):
-    return fields.by_document(papers(spark, sf_dir).withColumn("page_number", F.lit(1)))
+    return fields.by_document(spark.sql(TWO_PAGES, papers=papers(spark, sf_dir)))
 
 
 @query("regex_supplier", _fields_sql(False))
 def regex_supplier(spark, sf_dir):
-    return papers(spark, sf_dir).select("doc_id", *[v.alias(f) for f, v in fields.field_columns(F.col("raw_text"), F.col("supplier_name")).items()])
+    return papers(spark, sf_dir).select("doc_id", fields.by_page(F.col("raw_text"), F.col("supplier_name")).alias("found")).select("doc_id", "found.*")
 
 
 def _all(pattern: str) -> str:
@@ -205,12 +228,10 @@ def signature_score(spark, sf_dir):
 
 @query("signature_match", SIGNED + " SELECT h AS heading, r.field AS roll_field, l.field AS lot_field FROM (SELECT DISTINCT h FROM heads) LEFT JOIN roll_meant r USING (h) LEFT JOIN lot_meant l USING (h)")
 def signature_match(spark, sf_dir):
-    own = tables.headings(cells(spark, sf_dir)).withColumn("heading", F.replace("heading", F.lit("  "), F.lit(" "))).select("heading").distinct()
-    out = own
+    own = tables.signed_headings(cells(spark, sf_dir))
+    out = own.select("heading").distinct()
     for name, signature in (("roll_field", ROLL_SIGNATURE), ("lot_field", LOT_SIGNATURE)):
-        either = F.contains(F.col("heading"), F.col("alias")) | F.contains(F.col("alias"), F.col("heading"))
-        first = own.join(F.broadcast(tables.alias_table(spark, signature)), either).groupBy("heading").agg(F.min_by("field", "field_ord").alias(name))
-        out = out.join(first, "heading", "left")
+        out = out.join(tables.signature_meanings(own, signature).withColumnRenamed("field", name), "heading", "left")
     return out
 
 
@@ -275,3 +296,60 @@ def coerce_numbers(spark, sf_dir):
 @query("clean_strings", "SELECT o_orderkey, o_orderpriority AS value FROM orders")
 def clean_strings(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", T.field_value(F.concat(F.lit("\t \n "), "o_orderpriority", F.lit("\r ,,\x0b"))).alias("value"))
+
+
+#: Papers of which every third ends before its rolls and totals, so that these come from its lines and tables.
+SHORT_PAPERS = f"SELECT doc_id, 1 AS page_number, supplier_name, CASE WHEN doc_id % 3 = 0 THEN substr(raw_text, 1, instr(raw_text, 'Batch No') + instr(raw_text, 'Lot A') - 1) ELSE raw_text END AS raw_text FROM ({PAPERS})"
+
+
+def _full_record_sql() -> str:
+    texts = " UNION ALL ".join(f"SELECT doc_id, 'lot' AS field, list_filter({_all(p)}, lambda x: x <> '' AND lower(x) NOT IN {LOT_NOT})[1] AS value, CAST(0.85 AS DOUBLE) AS confidence, {k} AS n FROM papers" for k, p in enumerate(LOT_PATTERNS))
+    texts += "".join(f" UNION ALL SELECT doc_id, 'meters', list_filter(list_transform({_all(p)}, lambda x: replace(x, ',', '')), lambda x: try_cast(x AS DOUBLE) > 0)[1], 0.82, {k} FROM papers" for k, p in enumerate(METER_PATTERNS))
+    texts += f" UNION ALL SELECT doc_id, 'pieces', CAST(list_max(list_transform(list_concat({_all(PIECE_PATTERNS[0])}, {_all(PIECE_PATTERNS[1])}), lambda x: CAST(x AS BIGINT))) AS VARCHAR), 0.80, 0 FROM papers WHERE doc_id NOT IN (SELECT doc_id FROM cands WHERE field = 'pieces')"
+    regex = _fields_sql(False).removeprefix(WITH_PAPERS + ", ")
+    named = f"CASE source WHEN 'regex' THEN 0.90 WHEN 'table_col' THEN 0.88 ELSE 0.0 END"
+    number = r"CASE WHEN regexp_matches(regexp_replace({0}, '[,\s]', '', 'g'), '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$') THEN try_cast(regexp_replace({0}, '[,\s]', '', 'g') AS DOUBLE) END"
+    prio = f"CASE WHEN field IN {TABLE_FIELDS} THEN {{0}} ELSE {{1}} END".format(*("CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in p.items()) + " ELSE 0 END" for p in (TABLE_PRIORITY, HEADER_PRIORITY)))
+    wide = ", ".join(f"max(value) FILTER (WHERE field = '{f}') AS {f}, coalesce(max(source) FILTER (WHERE field = '{f}'), 'none') AS {f}_source" for f in FIELDS)
+    late = {}
+    for f in FIELDS:
+        if f == "meters":
+            use = f"coalesce({number.format('meters')}, 0) BETWEEN 0 AND 0.0099999 AND s_meters > 0"
+            late[f] = (f"CASE WHEN {use} THEN s_meters ELSE {number.format('meters')} END", f"CASE WHEN {use} THEN 'aggregated' ELSE meters_source END")
+        elif f == "pieces":
+            use = f"trunc(coalesce({number.format('pieces')}, 0)) = 0 AND s_n > 0"
+            late[f] = (f"CAST(CASE WHEN {use} THEN s_n ELSE trunc({number.format('pieces')}) END AS BIGINT)", f"CASE WHEN {use} THEN 'aggregated' ELSE pieces_source END")
+        elif f in ("lot", "color", "quality"):
+            several, blank = f"coalesce(len(s_{f}), 0) > 1 AND NOT coalesce(list_contains(s_{f}, {f}), false)", f"len(s_{f}) = 1 AND coalesce({f}, '') = ''"
+            late[f] = (f"CASE WHEN {several} THEN concat('MIXED (', array_to_string(s_{f}, ', '), ')') WHEN {blank} THEN s_{f}[1] ELSE {f} END", f"CASE WHEN {several} THEN 'aggregated' WHEN {blank} THEN 'fallback_from_lines' ELSE {f}_source END")
+        else:
+            late[f] = (number.format(f) if f == "net_weight" else f, f"{f}_source")
+    sets = ", ".join(f"list_sort(list(DISTINCT {c}) FILTER (WHERE {c} <> '')) AS s_{c}" for c in ("lot", "color", "quality"))
+    means = " OR ".join(f"contains(lower(trim(text)), {q(w)})" for w in WEIGHT_HEADINGS)
+    return (
+        MATCHED
+        + f""", papers AS ({duck(SHORT_PAPERS)}), rolls AS ({duck(ROLLS)}), lines AS (SELECT * FROM rolls WHERE doc_id % 5 <> 0),
+    cols AS (SELECT m.doc_id, m.tbl, header_row, col, field FROM matched m JOIN best b ON m.doc_id = b.doc_id AND m.tbl = b.tbl AND m.row = b.header_row),
+    cands AS (SELECT c.doc_id, c.tbl, c.row, c.col, field, trim(text) AS value FROM cells c JOIN cols USING (doc_id, tbl, col) WHERE c.row > header_row AND trim(text) <> '' AND lower(trim(text)) NOT IN ({ECHOES}) AND NOT (field IN ('lot', 'order_number', 'invoice_number', 'po_number') AND regexp_matches(trim(text), '^[0-9]{{1,3}}$'))),
+    regexed AS (WITH {regex}),
+    ev AS (SELECT doc_id, field, value, CAST(0.90 AS DOUBLE) AS confidence, 'regex' AS source, CAST(1 AS HUGEINT) << 60 AS ord FROM (UNPIVOT regexed ON {", ".join(PATTERNS)} INTO NAME field VALUE value)
+        UNION ALL SELECT doc_id, field, value, 0.88, 'table_col', (CAST(3 AS HUGEINT) << 60) + (CAST(tbl AS HUGEINT) << 40) + (CAST(row AS HUGEINT) << 16) + col FROM cands
+        UNION ALL SELECT doc_id, field, value, confidence, 'text_pattern', (CAST(4 AS HUGEINT) << 60) + n FROM ({texts}) WHERE value IS NOT NULL),
+    won AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY confidence DESC, {prio} DESC, ord) AS n FROM ev),
+    wide AS (SELECT p.doc_id, {wide} FROM papers p LEFT JOIN (SELECT * FROM won WHERE n = 1) w ON w.doc_id = p.doc_id GROUP BY p.doc_id),
+    sums AS (SELECT doc_id, CAST(sum(CAST(meters AS DECIMAL(18,2))) AS DOUBLE) AS s_meters, count(*) AS s_n, {sets} FROM lines GROUP BY doc_id),
+    wcol AS (SELECT doc_id, tbl, min(col) AS col FROM cells WHERE row = 0 AND ({means}) GROUP BY ALL),
+    weights AS (SELECT doc_id, sum(value) AS weight FROM (SELECT doc_id, CAST(try_cast(replace(trim(text), ',', '') AS DOUBLE) AS DECIMAL(20,4)) AS value FROM cells JOIN wcol USING (doc_id, tbl, col) WHERE row > 0) WHERE value > 0 GROUP BY doc_id),
+    checked AS (SELECT wide.*, s_meters, s_n, s_lot, s_color, s_quality, coalesce({number.format("net_weight")} > 0 AND abs(weight - CAST({number.format("net_weight")} AS DECIMAL(20,4))) * 50 > CAST({number.format("net_weight")} AS DECIMAL(20,4)), false) AS weight_mismatch FROM wide LEFT JOIN sums USING (doc_id) LEFT JOIN weights USING (doc_id)),
+    named AS (SELECT doc_id, weight_mismatch, {", ".join(f"{v} AS {f}, {s} AS {f}_source" for f, (v, s) in late.items())} FROM checked)
+    SELECT doc_id, {", ".join(FIELDS)}, concat_ws(',', {", ".join(f"{f}_source" for f in FIELDS)}) AS sources, concat_ws(',', {", ".join(f"CASE WHEN {named.replace('CASE source', f'CASE {f}_source')} < 0.85{' OR weight_mismatch' if f == 'net_weight' else ''} THEN '{f}' END" for f in sorted(FIELDS))}) AS flagged_fields, weight_mismatch, 'regex' AS mapping_source FROM named"""
+    )
+
+
+@query("full_record", _full_record_sql())
+def full_record(spark, sf_dir):
+    """Papers to finished records: patterns, tables and running text as evidence, rolls and table weights set against it. One document in five has no rolls."""
+    own = frame(spark, sf_dir, SHORT_PAPERS).repartition("doc_id")
+    found = Shipments(own, cells(spark, sf_dir), lines=frame(spark, sf_dir, ROLLS).where("doc_id % 5 <> 0")).result()
+    sources = F.array_join(F.transform(F.array(*[F.lit(f) for f in FIELDS]), lambda f: F.try_element_at("sources", f)), ",")
+    return found.select("doc_id", *FIELDS, sources.alias("sources"), "flagged_fields", "weight_mismatch", "mapping_source")

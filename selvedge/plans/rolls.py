@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fixed import SUMMARY_ROW
 from ..operators import extraction as X
+from ..operators import responses
 from ..operators import rolls as R
 from ..sources.rendered import ROLLS, duck, frame
 from .registry import query
@@ -126,13 +126,10 @@ def section_fill(spark, sf_dir):
 
 @query("extraction_notes", f"{GAPPED} SELECT doc_id, concat_ws('; ', CASE WHEN count(*) FILTER (WHERE lot = '\"') > 0 THEN concat('ditto marks: ', count(*) FILTER (WHERE lot = '\"')) END, CASE WHEN count(*) FILTER (WHERE piece_number = 'Total') > 0 THEN concat('rows skipped: ', count(*) FILTER (WHERE piece_number = 'Total')) END, concat('rolls: ', count(*) FILTER (WHERE piece_number <> 'Total'))) AS notes FROM gapped GROUP BY doc_id")
 def extraction_notes(spark, sf_dir):
-    ditto = F.count_if(F.col("lot") == '"')
-    skipped = F.count_if(F.lower("piece_number").rlike(SUMMARY_ROW))
-    notes = F.concat_ws("; ", F.when(ditto > 0, F.concat(F.lit("ditto marks: "), ditto.cast("string"))), F.when(skipped > 0, F.concat(F.lit("rows skipped: "), skipped.cast("string"))), F.concat(F.lit("rolls: "), (F.count("*") - skipped).cast("string")))
-    return gapped(spark, sf_dir).groupBy("doc_id").agg(notes.alias("notes"))
+    return R.extraction_notes(gapped(spark, sf_dir))
 
 
-LINE_ITEMS = "SELECT doc_id, seq, CASE WHEN seq % 4 = 3 THEN NULL ELSE lot END AS lot, CASE WHEN seq % 3 = 0 THEN '' ELSE po_number END AS po_number, piece_number, CASE WHEN seq % 6 = 5 THEN 0.0 ELSE meters END AS meters, net_weight, color FROM rolls WHERE doc_id % 5 <> 0"
+LINE_ITEMS = "SELECT doc_id, seq, CASE WHEN seq % 4 = 3 THEN NULL ELSE lot END AS lot, CASE WHEN seq % 3 = 0 THEN '' ELSE po_number END AS po_number, piece_number, CASE WHEN seq % 6 = 5 THEN 0.0 ELSE meters END AS meters, net_weight, color, CASE WHEN doc_id % 3 = 0 THEN meters + 0.25 END AS length_yds, CASE WHEN seq % 2 = 0 THEN CAST(seq AS DOUBLE) END AS points_per_roll, CAST(seq * 1.5 AS DOUBLE) AS points_per_100m2, net_weight + 1 AS weight_gross_kgs FROM rolls WHERE doc_id % 5 <> 0"
 SHEET_RECORDS = f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lot END AS lot, po_number, color, pieces, meters, net_weight FROM ({SUMMARY})"
 HALF_EVEN = "CASE WHEN meters <> 0 THEN printf('%.2f', meters * 1.09361) ELSE '' END"
 
@@ -144,27 +141,29 @@ def _or_blank(x: str) -> str:
 @query("sheet_rows", f"""{WITH_ROLLS}, lines AS ({LINE_ITEMS}), records AS ({SHEET_RECORDS}),
     joined AS (SELECT l.*, coalesce(nullif(l.lot, ''), nullif(r.lot, ''), '') AS lot_value, coalesce(nullif(l.po_number, ''), r.po_number, '') AS po, coalesce(l.color, r.color, '') AS shade FROM lines l JOIN records r USING (doc_id)),
     lagged AS (SELECT *, lag(lot_value) OVER (PARTITION BY doc_id ORDER BY seq) AS before, row_number() OVER (PARTITION BY doc_id ORDER BY seq) + 8 AS row FROM joined)
-    SELECT doc_id, CAST(row AS INTEGER) AS row, CASE WHEN before <> '' AND before = lot_value THEN '"' ELSE lot_value END AS lot_no, po, shade, piece_number AS roll_no, {_or_blank('meters')} AS length_mts, {HALF_EVEN} AS length_yds, {_or_blank('net_weight')} AS weight_nett FROM lagged
-    UNION ALL SELECT doc_id, 9, coalesce(lot, ''), coalesce(po_number, ''), coalesce(color, ''), CAST(pieces AS VARCHAR), {_or_blank('meters')}, {HALF_EVEN}, {_or_blank('net_weight')} FROM records WHERE doc_id % 5 = 0""")
+    SELECT doc_id, CAST(row AS INTEGER) AS row, CASE WHEN before <> '' AND before = lot_value THEN '"' ELSE lot_value END AS lot_no, po, shade, piece_number AS roll_no, {_or_blank('meters')} AS length_mts, CASE WHEN length_yds IS NOT NULL THEN CAST(CAST(length_yds AS DECIMAL(18,2)) AS VARCHAR) ELSE {HALF_EVEN} END AS length_yds, {_or_blank('points_per_roll')} AS points_per_roll, {_or_blank('points_per_100m2')} AS points_per_100m2, {_or_blank('weight_gross_kgs')} AS weight_gross, {_or_blank('net_weight')} AS weight_nett FROM lagged
+    UNION ALL SELECT doc_id, 9, coalesce(lot, ''), coalesce(po_number, ''), coalesce(color, ''), CAST(pieces AS VARCHAR), {_or_blank('meters')}, {HALF_EVEN}, '', '', '', {_or_blank('net_weight')} FROM records WHERE doc_id % 5 = 0""")
 def sheet_rows(spark, sf_dir):
     own = rolls(spark, sf_dir)
     seq = F.col("seq")
-    lines = own.where("doc_id % 5 <> 0").select("doc_id", "seq", F.when(seq % 4 != 3, F.col("lot")).alias("lot"), F.when(seq % 3 == 0, F.lit("")).otherwise(F.col("po_number")).alias("po_number"), "piece_number", F.when(seq % 6 == 5, F.lit(0.0)).otherwise(F.col("meters")).alias("meters"), "net_weight", "color")
+    lines = own.where("doc_id % 5 <> 0").select("doc_id", "seq", F.when(seq % 4 != 3, F.col("lot")).alias("lot"), F.when(seq % 3 == 0, F.lit("")).otherwise(F.col("po_number")).alias("po_number"), "piece_number", F.when(seq % 6 == 5, F.lit(0.0)).otherwise(F.col("meters")).alias("meters"), "net_weight", "color", F.when(F.col("doc_id") % 3 == 0, F.col("meters") + 0.25).alias("length_yds"), F.when(seq % 2 == 0, seq.cast("double")).alias("points_per_roll"), (seq * 1.5).alias("points_per_100m2"), (F.col("net_weight") + 1).alias("weight_gross_kgs"))
     records = R.summary(own).withColumn("lot", F.when(F.col("doc_id") % 2 == 0, F.col("lot")))
     return R.sheet_rows(lines, records)
 
 
 @query("flat_rows", f"{WITH_ROLLS} SELECT doc_id, CAST(seq AS INTEGER) AS n, lot AS lot_no, po_number AS po, color AS shade, piece_number AS roll_no, meters AS length_mts, net_weight AS weight_nett FROM rolls")
 def flat_rows(spark, sf_dir):
-    return rolls(spark, sf_dir).select("doc_id", F.col("seq").cast("int").alias("n"), F.col("lot").alias("lot_no"), F.col("po_number").alias("po"), F.col("color").alias("shade"), F.col("piece_number").alias("roll_no"), F.col("meters").alias("length_mts"), F.col("net_weight").alias("weight_nett"))
+    return R.flat_rows(rolls(spark, sf_dir))
 
 
-@query("sheet_header", """SELECT s_suppkey AS doc_id, cell, value FROM (SELECT s_suppkey, upper(coalesce(nullif(nullif(s_name, ''), 'unknown'), '')) AS n, CAST(s_nationkey AS VARCHAR) AS k FROM supplier), (VALUES ('C1'), ('D1'), ('B3'), ('B4')) c(cell), LATERAL (SELECT CASE cell WHEN 'C1' THEN 'EXPORTER' WHEN 'D1' THEN n WHEN 'B3' THEN concat('PL-', k) ELSE concat('Fabric ', k) END AS value)""")
+@query("sheet_header", f"""{WITH_ROLLS}, r AS (SELECT s.*, s_name, s_suppkey % 4 AS k FROM ({SUMMARY}) s JOIN supplier ON s_suppkey = doc_id % 10 + 1)
+    SELECT doc_id, cell, value FROM r, (VALUES ('C1'), ('D1'), ('A3'), ('B3'), ('C3'), ('D3'), ('E3'), ('F3'), ('G3'), ('H3'), ('A4'), ('B4')) c(cell), LATERAL (SELECT CASE cell WHEN 'C1' THEN 'Exporter / Manufacturer:' WHEN 'A3' THEN 'Packing list No:' WHEN 'C3' THEN 'Date:' WHEN 'E3' THEN 'Net Weight:' WHEN 'G3' THEN 'Total Length:' WHEN 'A4' THEN 'Product:'
+        WHEN 'D1' THEN CASE WHEN k = 0 THEN '' ELSE upper(s_name) END WHEN 'B3' THEN CASE WHEN k = 1 THEN '' ELSE concat('PL-', doc_id) END WHEN 'D3' THEN '2024-03-15' WHEN 'F3' THEN {_or_blank('net_weight')} WHEN 'H3' THEN {_or_blank('meters')} ELSE coalesce(quality, '') END AS value)""")
 def sheet_header(spark, sf_dir):
-    name = F.upper(F.when(F.col("s_name") != "unknown", F.col("s_name")).otherwise(F.lit("")))
-    key = F.col("s_nationkey").cast("string")
-    cells = F.create_map(F.lit("C1"), F.lit("EXPORTER"), F.lit("D1"), name, F.lit("B3"), F.concat(F.lit("PL-"), key), F.lit("B4"), F.concat(F.lit("Fabric "), key))
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("doc_id"), F.explode(cells).alias("cell", "value"))
+    names = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
+    own = R.summary(rolls(spark, sf_dir)).join(names, F.col("s_suppkey") == F.col("doc_id") % 10 + 1)
+    k = F.col("s_suppkey") % 4
+    return R.sheet_header(own.select("*", F.when(k == 0, F.lit("unknown")).otherwise(F.col("s_name")).alias("supplier_name"), F.when(k != 1, F.concat(F.lit("PL-"), F.col("doc_id").cast("string"))).alias("invoice_number"), F.lit("2024-03-15").alias("delivered_date")))
 
 
 @query("supplier_code", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'AML' WHEN 1 THEN 'PEN' WHEN 2 THEN 'SFM' ELSE 'UNKNOWN' END AS code FROM supplier")
@@ -181,9 +180,12 @@ def split_shade_lot(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", shade.alias("shade"), lot.alias("lot"))
 
 
-@query("rolls_to_lines", f"{WITH_ROLLS} SELECT doc_id, seq, lot, po_number, piece_number, meters, CAST(CAST(round(meters * 109361) AS BIGINT) / 100000 AS DOUBLE) AS length_yds, net_weight, color, CAST(NULL AS VARCHAR) AS quality FROM rolls")
+@query("rolls_to_lines", f"{WITH_ROLLS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS seq, lot, po_number, piece_number, meters, CAST(CAST(round(meters * 109361) AS BIGINT) / 100000 AS DOUBLE) AS length_yds, CASE WHEN seq % 2 = 0 THEN CAST(seq AS DOUBLE) END AS points_per_roll, CAST(NULL AS DOUBLE) AS points_per_100m2, net_weight + 1 AS weight_gross_kgs, net_weight, color, CAST(NULL AS VARCHAR) AS quality FROM rolls")
 def rolls_to_lines(spark, sf_dir):
-    return rolls(spark, sf_dir).select("doc_id", "seq", "lot", "po_number", "piece_number", "meters", (F.round(F.col("meters") * 109361).cast("long") / 100000).alias("length_yds"), "net_weight", "color", F.lit(None).cast("string").alias("quality"))
+    yds = F.round(F.col("meters") * 109361).cast("long") / 100000
+    roll = F.struct(F.col("lot").alias("lot_no"), "po_number", F.col("color").alias("shade"), F.col("piece_number").alias("roll_no"), F.col("meters").alias("length_mts"), yds.alias("length_yds"), F.lit(None).cast("double").alias("points_per_100m2"), (F.col("net_weight") + 1).alias("weight_gross_kgs"), F.col("net_weight").alias("weight_nett_kgs"), F.when(F.col("seq") % 2 == 0, F.col("seq").cast("double")).alias("points_per_roll"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", roll.alias("roll")))), lambda x: x["roll"])
+    return responses.line_items(rolls(spark, sf_dir).groupBy("doc_id").agg(listed.alias("rolls")))
 
 
 def roll_texts(spark, sf_dir):

@@ -63,17 +63,17 @@ def with_supplier(docs: DataFrame, name: str = "supplier_name") -> DataFrame:
     return docs.withColumn(name, F.when(known_supplier(F.col(name)), F.trim(name)).otherwise(F.lit("unknown")))
 
 
-SHEET = ("lot_no", "po", "shade", "roll_no", "length_mts", "length_yds", "weight_nett")
-HEADINGS = ("LOT No", "PO #", "Shade", "Roll No", "Length (mts)", "Length (yds)", "Weight (Nett kgs)")
+SHEET = ("lot_no", "po", "shade", "roll_no", "length_mts", "length_yds", "points_per_roll", "points_per_100m2", "weight_gross", "weight_nett")
+HEADINGS = ("LOT No", "PO #", "Shade", "Roll No", "Length (mts)", "Length (yds)", "Total Points /Roll", "Points / 100m2", "Weight (Gross kgs)", "Weight (Nett kgs)")
 
 
-def workbook(rows: list[tuple[int, tuple[str, ...]]]) -> bytes:
-    """A workbook of one sheet: rows of (number, cells), all as text."""
+def workbook(rows: list[tuple[int, dict[str, str]]]) -> bytes:
+    """A workbook of one sheet: rows of (number, cells by column letter, in order), all as text."""
 
-    def cell(column: int, number: int, value: str) -> str:
-        return f'<c r="{chr(65 + column)}{number}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+    def cell(column: str, number: int, value: str) -> str:
+        return f'<c r="{column}{number}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
 
-    sheet = "".join(f'<row r="{n}">{"".join(cell(k, n, v) for k, v in enumerate(cells))}</row>' for n, cells in rows)
+    sheet = "".join(f'<row r="{n}">{"".join(cell(c, n, v) for c, v in cells.items())}</row>' for n, cells in rows)
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     space = "http://schemas.openxmlformats.org"
     parts = {
@@ -90,12 +90,16 @@ def workbook(rows: list[tuple[int, tuple[str, ...]]]) -> bytes:
     return out.getvalue()
 
 
-def workbooks(rows: DataFrame) -> DataFrame:
-    """doc_id and content (a workbook) of each document from its sheet rows (doc_id, row, and the columns of SHEET). A document is one group: it has as many rows as it has rolls."""
+def workbooks(rows: DataFrame, header: DataFrame | None = None) -> DataFrame:
+    """doc_id and content (a workbook) of each document from its sheet rows (doc_id, row, and the columns of SHEET) and the cells above them (doc_id, cell, value), if given. A document is one group: it has as many rows as it has rolls."""
+    letters = "ABCDEFGHIJ"
+    both = rows.select("doc_id", "row", F.create_map(*[F.lit(letter) if k == 0 else F.col(column) for letter, column in zip(letters, SHEET, strict=True) for k in (0, 1)]).alias("cells"))
+    if header is not None:
+        entry = F.struct(F.substring("cell", 1, 1).alias("letter"), "value")
+        both = both.unionByName(header.groupBy("doc_id", F.expr("int(substring(cell, 2))").alias("row")).agg(F.map_from_entries(F.collect_list(entry)).alias("cells")))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("row")
-        lines = [(8, HEADINGS), *((int(r[0]), tuple(r[1:])) for r in frame[["row", *SHEET]].itertuples(index=False, name=None))]
-        return pd.DataFrame({"doc_id": [str(frame["doc_id"].iloc[0])], "content": [workbook(lines)]})
+        lines = [(8, dict(zip(letters, HEADINGS, strict=True))), *((int(n), dict(sorted(cells.items()))) for n, cells in zip(frame["row"], frame["cells"], strict=True))]
+        return pd.DataFrame({"doc_id": [str(frame["doc_id"].iloc[0])], "content": [workbook(sorted(lines, key=lambda line: line[0]))]})
 
-    return rows.groupBy("doc_id").applyInPandas(run, "doc_id string, content binary")
+    return both.groupBy("doc_id").applyInPandas(run, "doc_id string, content binary")

@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs: golden values, ties, blanks, nulls."""
 
 import io
+import re
 import zipfile
 
 import pytest
@@ -179,6 +180,62 @@ def test_whole_pipeline_and_workbook(spark):
     assert "LOT No" in zipfile.ZipFile(io.BytesIO(bytes(book))).read("xl/worksheets/sheet1.xml").decode()
 
 
+def test_workbook_has_all_cells(spark):
+    lines = spark.createDataFrame([("d", 1, "L1", None, "77", "red", 10.0, 10.5, 3.0, 2.0, 5.0, 4.0), ("e", 1, "x", "P", "1", "c", 1.0, None, None, None, None, 1.0)], "doc_id string, seq int, lot string, po_number string, piece_number string, color string, meters double, length_yds double, points_per_roll double, points_per_100m2 double, weight_gross_kgs double, net_weight double")
+    records = spark.createDataFrame([("d", "acme", "I-1", "2024-01-02", "Twill", "L", "Q", "blue", 1, 10.0, 4.0)], "doc_id string, supplier_name string, invoice_number string, delivered_date string, quality string, lot string, po_number string, color string, pieces int, meters double, net_weight double")
+    books = {r.doc_id: bytes(r.content) for r in Shipments.workbooks(lines, records).collect()}
+    assert sorted(books) == ["d", "e"]  # e has lines but no record
+    sheet = zipfile.ZipFile(io.BytesIO(books["d"])).read("xl/worksheets/sheet1.xml").decode()
+    cells = dict(re.findall(r'<c r="([A-Z]+[0-9]+)"[^>]*><is><t[^>]*>([^<]*)</t>', sheet))
+    heads = ["LOT No", "PO #", "Shade", "Roll No", "Length (mts)", "Length (yds)", "Total Points /Roll", "Points / 100m2", "Weight (Gross kgs)", "Weight (Nett kgs)"]
+    expected = {"C1": "Exporter / Manufacturer:", "D1": "ACME", "A3": "Packing list No:", "B3": "I-1", "C3": "Date:", "D3": "2024-01-02", "E3": "Net Weight:", "F3": "4.00", "G3": "Total Length:", "H3": "10.00", "A4": "Product:", "B4": "Twill"}
+    expected |= {f"{c}8": h for c, h in zip("ABCDEFGHIJ", heads)}
+    expected |= {f"{c}9": v for c, v in zip("ABCDEFGHIJ", ["L1", "Q", "red", "77", "10.00", "10.50", "3.00", "2.00", "5.00", "4.00"])}
+    assert cells == expected
+    assert [re.search(r"\d+", r)[0] for r in re.findall(r'<row r="\d+"', sheet)] == ["1", "3", "4", "8", "9"]
+
+
+def test_finished_record(spark):
+    """Values from running text, totals and several lots from rolls, weights of tables against the stated one."""
+    frame = spark.createDataFrame([("d", 1, "packing list of some goods\nNet Weight: 1,000.0\nBatch X77 and Roll 12 of them\n", "acme"), ("e", 1, "nothing much to be read on this page", None), ("f", 1, "Net Weight: 100\nLot A1 is what there is", "acme")], "doc_id string, page_number int, raw_text string, supplier_name string")
+    cells = spark.createDataFrame([("d", 0, 0, 0, "Net Weight"), ("d", 0, 1, 0, "600"), ("d", 0, 2, 0, "1,380.5"), ("d", 0, 3, 0, "n/a"), ("f", 0, 0, 0, "Net Wt (KG)"), ("f", 0, 1, 0, "101.9")], "doc_id string, tbl int, row int, col int, text string")
+    lines = spark.createDataFrame([("e", 1, "L1", "red", "q", 10.25), ("e", 2, "L2", "red", "", 10.5), ("f", 1, "A1", None, None, 0.0)], "doc_id string, seq int, lot string, color string, quality string, meters double")
+    templates = spark.createDataFrame([("acme", {"order_number": "O-9"}, "2")], "supplier_name string, fields map<string,string>, schema_version string")
+    got = {r.doc_id: r for r in Shipments(frame, cells, templates, lines=lines).result().collect()}
+    d, e, f = got["d"], got["e"], got["f"]
+    assert (d.lot, d.pieces, d.net_weight, d.weight_mismatch, d.order_number, d.mapping_source) == ("X77", 12, 1000.0, True, "O-9", "template")
+    assert d.sources["pieces"] == "text_pattern" and "net_weight" in d.flagged_fields.split(",")
+    assert (e.lot, e.color, e.quality, e.pieces, e.meters, e.mapping_source) == ("MIXED (L1, L2)", "red", "q", 2, 20.75, "regex")
+    assert (e.sources["lot"], e.sources["color"], e.sources["meters"]) == ("aggregated", "fallback_from_lines", "aggregated") and not e.weight_mismatch
+    assert (f.lot, f.pieces, f.weight_mismatch) == ("A1", 1, False) and "net_weight" not in f.flagged_fields.split(",") and f.errors == ""
+
+
+def test_places_of_large_tables_keep_their_order(spark):
+    cells = [("d", 0, 0, 0, "Shade"), ("d", 1, 0, 0, "Shade"), ("d", 0, 1500, 0, "Late"), ("d", 1, 1, 0, "Early")]
+    frame = spark.createDataFrame([("d", 1, "a page without any of the fields", "x")], "doc_id string, page_number int, raw_text string, supplier_name string")
+    got = Shipments(frame, spark.createDataFrame(cells, "doc_id string, tbl int, row int, col int, text string")).result().first()
+    assert got.color == "Late"
+
+
+def test_context_of_key_pages(spark):
+    rows = [("d", n, "item_table" if n % 2 else "header", "roll_level", f"text {n}" if n != 4 else "") for n in range(1, 20)]
+    frame = spark.createDataFrame(rows, "doc_id string, page_number int, page_type string, doc_type string, raw_text string")
+    found = spark.createDataFrame([("d", 2, 1, "y"), ("d", 2, 0, "x"), ("d", 3, 0, "z")], "doc_id string, page_number int, tbl int, markdown string")
+    text = pages.context(frame, found).first().context
+    first = "--- Page 1 (item_table) ---\ntext 1\n"
+    second = "--- Page 2 (header) ---\ntext 2\n\n--- Extracted Structured Tables ---\n\nTable 1:\nx\n\nTable 2:\ny\n"
+    assert text.startswith(first + "\n\n" + second + "\n\n--- Page 6 (header)") and text.endswith("--- Page 19 (item_table) ---\ntext 19\n")
+    assert pages.context(frame, most=10).first().context == first[:10] and pages.context(frame.limit(0)).count() == 0
+
+
+def test_ingest_to_records(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"Invoice No: INV-77, packing list\fLot B22 follows on the second page")
+    own = Shipments.ingest(spark, str(tmp_path), lambda content: content.decode().split("\f"))
+    got = own.result().first()
+    assert (got.invoice_number, got.lot) == ("INV-77", "B22")
+    assert [(r.seq, r.msg) for r in Shipments.log(spark.createDataFrame([("j", 1, "read")], "job_id string, ord long, msg string")).orderBy("seq").collect()] == [(1, "read"), (2, "DONE")]
+
+
 def test_ocr_coalesce(spark):
     own = spark.createDataFrame([("d", 1, "scanned", ""), ("d", 2, "header", "enough text to be a page")], "doc_id string, page_number int, page_type string, raw_text string")
     ocr = spark.createDataFrame([("d", 1, "tiny", "text of the image"), ("d", 2, "direct text that is long enough", "x")], "doc_id string, page_number int, direct_text string, image_text string")
