@@ -148,6 +148,75 @@ def test_syncmers_by_definition():
     assert set(p + 16 for p in expected) <= set(shifted.tolist())
 
 
+def brute_anchors(content):
+    """Places and hashes of closed syncmers, in plain integers, one k-mer at a time."""
+    full, n = 2**64 - 1, len(content) - fingerprints.K + 1
+
+    def order(at):
+        x = int.from_bytes(content[at : at + fingerprints.S], "little") * 0x9E3779B97F4A7C15 & full
+        return (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & full
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    found = []
+    for i in range(n):
+        inner = [order(j) for j in range(i, i + fingerprints.WINDOW)]
+        if min(inner) in (inner[0], inner[-1]):
+            middle = order(i + (fingerprints.K - fingerprints.S) // 2) * 0xD6E8FEB86659FD93 & full
+            last = inner[-1] * 0xA5CB9243F2CED5C1 & full
+            found.append((i, mixed(inner[0] ^ middle ^ last) >> 32))
+    if not found and content:
+        found = [(0, int.from_bytes(hashlib.blake2b(content, digest_size=4).digest(), "little"))]
+    return found
+
+
+def test_fingerprint_query_by_brute_force(spark):
+    """Fingerprints, likenesses and alignments by their definitions; a third of the rows have one id, and one a text of its own."""
+    rng = random.Random(6)
+    texts = {}
+    for i in range(40):
+        base = " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([0, 1, 3, 20, 150])))
+        texts[2 * i], texts[2 * i + 1] = base, base.replace("w1", "v1") if i % 3 else "é" + base
+    rows = list(texts.items())
+    rng.shuffle(rows)
+    got = {r.doc_id: r for r in fingerprints.next_document_likeness(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    order = sorted(texts)
+
+    def near(a, b):
+        a, b = ({h for _, h in x} for x in (a, b))
+        a, b = set(sorted(a)[: fingerprints.SIZE]), set(sorted(b)[: fingerprints.SIZE])
+        union = sorted(a | b)[: fingerprints.SIZE]
+        return sum(h in a and h in b for h in union) / len(union) if a and b else float(not a and not b)
+
+    def aligned(a, b):
+        a, b = ({h: p for p, h in reversed(x)} for x in (a, b))
+        if not a or not b:
+            return float(not a and not b)
+        shifts = [b[h] - p for h, p in a.items() if h in b]
+        return max(map(shifts.count, set(shifts))) / len(a) if shifts else 0.0
+
+    for doc_id, after in zip(order, order[1:] + order[:1]):
+        text, n, r = texts[doc_id], len(texts[doc_id]), got[doc_id]
+        edited = text[: n - n // 4] + texts[after][: n // 4]
+        own, other, changed = (brute_anchors(t.encode()) for t in (text, texts[after], edited))
+        assert r.fingerprint == "".join(f"{h:08x}" for h in sorted({h for _, h in own})[: fingerprints.SIZE])
+        assert r.edited_fingerprint == "".join(f"{h:08x}" for h in sorted({h for _, h in changed})[: fingerprints.SIZE])
+        assert (r.near_edited, r.near_next, r.aligned_edited, r.aligned_next) == (near(own, changed), near(own, other), aligned(own, changed), aligned(own, other))
+    many = fingerprints.next_document_likeness(spark.createDataFrame([(None, f"text {i}") for i in range(300)] + [(1, "last")], "doc_id long, text string").repartition(4))
+    assert many.count() == 301
+
+
+def test_shared_passages_with_an_anchor_in_all(spark):
+    common = "the same sentence stands in every one of the passages and documents here"
+    texts = [f"{common} and then number {i * 7919} with words {i} of its own kind {i * 31}" for i in range(60)]
+    docs = spark.createDataFrame([(i, "x " + t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = fingerprints.shared_passages(docs, spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"), least=2).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r["shift"] == 2} >= {(i, i) for i in range(60)}
+
+
 def test_shared_passages(spark):
     passage = "a passage of some length that two documents share word for word, with figures 12345"
     docs = spark.createDataFrame([(1, "before it " + passage + " after"), (2, "nothing alike in this text at all, not one line of it")], "doc_id long, text string")
