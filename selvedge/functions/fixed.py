@@ -92,3 +92,9 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 SUPPLIER_CODES = {"ARTISTIC MILLINERS": "AML", "PENFABRIC": "PEN", "SAPPHIRE": "SFM"}
 #: Rows of a roll table that aren't rolls begin so.
 SUMMARY_ROW = r"^\s*(sub[\s-]*total|grand\s*total|total|summary)\b"
+#: Headings of the known suppliers' roll tables (lower case) and what stands below them.
+SUPPLIER_COLUMNS = {
+    "AML": {"lot no": "lot", "shade": "color", "shade taper": "color", "roll no": "piece_number", "length(mts)": "meters", "length(yds)": "length_yds", "total points /roll": "points_per_roll", "points / 100m2": "points_per_100m2", "weight (gross kgs)": "weight_gross_kgs", "weight (nett kgs)": "net_weight"},
+    "PEN": {"pce no": "piece_number", "dye lot": "lot", "qty(mtr)": "meters", "gross": "weight_gross_kgs", "nett": "net_weight", "design/color": "color"},
+    "SFM": {"roll no": "piece_number", "cont. no": "lot", "shade": "color", "grade": "grade", "qty (mtr)": "meters", "qty (yrd)": "length_yds", "n wt. (kgs)": "net_weight", "gr wt. (kgs)": "weight_gross_kgs"},
+}

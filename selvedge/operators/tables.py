@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import ALIASES, FIELDS, LOT_SIGNATURE, ROLL_SIGNATURE, SHORT_ALIASES, WEIGHT_HEADINGS
-from ..functions.text import number, stripped
+from ..functions.fixed import ALIASES, FIELDS, LOT_SIGNATURE, ROLL_SIGNATURE, SHORT_ALIASES, SUMMARY_ROW, SUPPLIER_COLUMNS, WEIGHT_HEADINGS
+from ..functions.text import clean_number, nonempty, number, stripped
+from .rolls import explicit, shade_and_lot
 
 #: Rows of a table that can be its heading.
 HEADING_ROWS = 3
@@ -114,14 +115,50 @@ def markdown(cells: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "tbl").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("markdown"))
 
 
-#: Roles of columns by what stands in them, for tables without headings that are known.
+#: A column whose mean is this many times a length's holds the same lengths in yards.
+YARDS = (1.08, 1.11)
+
+
 def column_roles(cells: DataFrame) -> DataFrame:
-    """doc_id, tbl, col and a role from the column's values: length (numbers from 10 to 500), roll_no (long or consecutive figures), weight (larger numbers), lot (few values that repeat), other."""
+    """doc_id, tbl, col and a role from the column's values, for tables without headings that are known: length (numbers from 10 to 500), length_yds (beside a length that is 9 % smaller), roll_no (long or consecutive figures), weight (larger numbers; of several the smallest is net_weight, the others weight_gross), lot (few values that repeat), other."""
     value = F.col("text").try_cast("double")
     stats = cells.where(F.coalesce("text", F.lit("")) != "").groupBy("doc_id", "tbl", "col").agg(
-        F.count("*").alias("n"), F.count(value).alias("n_numbers"), F.min(value).alias("least"), F.max(value).alias("most"), F.count_distinct("text").alias("n_distinct"), F.min(F.length("text")).alias("shortest")
+        F.count("*").alias("n"), F.count(value).alias("n_numbers"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.count_distinct("text").alias("n_distinct"), F.min(F.length("text")).alias("shortest")
     )
     numeric = F.col("n_numbers") == F.col("n")
     consecutive = (F.col("most") - F.col("least") + 1 == F.col("n")) & (F.col("n_distinct") == F.col("n")) & (F.col("least") <= 1)
-    role = F.when(numeric & ((F.col("shortest") >= 6) | consecutive), F.lit("roll_no")).when(numeric & F.col("least").between(10, 500) & F.col("most").between(10, 500), F.lit("length")).when(numeric & (F.col("most") > 500), F.lit("weight")).when(~numeric & (F.col("n_distinct") * 2 <= F.col("n")), F.lit("lot")).otherwise(F.lit("other"))
-    return stats.select("doc_id", "tbl", "col", role.alias("role"))
+    role = F.when(numeric & ((F.col("shortest") >= 6) | consecutive), F.lit("roll_no")).when(numeric & F.col("least").between(10, 500) & F.col("most").between(10, 550), F.lit("length")).when(numeric & (F.col("most") > 500), F.lit("weight")).when(~numeric & (F.col("n_distinct") * 2 <= F.col("n")), F.lit("lot")).otherwise(F.lit("other"))
+    same = Window.partitionBy("doc_id", "tbl", "role")  # a table's columns
+    rows = stats.select("doc_id", "tbl", "col", "mean", role.alias("role"))
+    rows = rows.withColumns({"means": F.collect_list("mean").over(same), "least_mean": F.min("mean").over(same), "n_same": F.count("*").over(same)})
+    is_yards = (F.col("role") == "length") & F.exists("means", lambda m: (F.col("mean") / m).between(*YARDS))
+    is_weight = (F.col("role") == "weight") & (F.col("n_same") > 1)
+    finer = F.when(is_yards, F.lit("length_yds")).when(is_weight & (F.col("mean") == F.col("least_mean")), F.lit("net_weight")).when(is_weight, F.lit("weight_gross")).otherwise(F.col("role"))
+    return rows.select("doc_id", "tbl", "col", finer.alias("role"))
+
+
+def known_columns(headings_: DataFrame) -> DataFrame:
+    """code, heading and field of headings (code of the supplier, heading) that the supplier's tables are known to have: an equi-join with a fixed table."""
+    rows = [(code, heading, field) for code, names in SUPPLIER_COLUMNS.items() for heading, field in names.items()]
+    known = headings_.sparkSession.createDataFrame(rows, "code string, known string, field string")
+    found = headings_.withColumn("known", F.lower(stripped(F.col("heading"))))
+    return found.join(F.broadcast(known), ["code", "known"]).drop("known")
+
+
+def supplier_lines(cells: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rolls of known suppliers' tables (cells with headings in row 0; codes: doc_id, code): doc_id, tbl, seq and the line's attributes.
+
+    Rows without a roll number, and totals, are no rolls. Lots that are blank or ditto marks go on from the row above. PEN's shade holds the lot after its name, and its rolls have no weight of their own where a carton's total has it; SFM's grade is the shade wherever there is one.
+    """
+    heads = known_columns(cells.where("row = 0").join(codes, "doc_id").select("doc_id", "tbl", "col", "code", F.col("text").alias("heading"))).select("doc_id", "tbl", "col", "code", "field")
+    body = cells.where("row > 0").join(heads, ["doc_id", "tbl", "col"])
+    texts = {f: nonempty(stripped(F.max(F.when(F.col("field") == f, F.col("text"))))).alias(f) for f in ("lot", "color", "grade", "piece_number", "meters", "length_yds", "points_per_roll", "points_per_100m2", "weight_gross_kgs", "net_weight")}
+    rows = body.groupBy("doc_id", "tbl", "code", F.col("row").alias("seq")).agg(*texts.values())
+    rows = rows.where(F.col("piece_number").isNotNull() & ~F.lower("piece_number").rlike(SUMMARY_ROW))
+    upto = Window.partitionBy("doc_id", "tbl").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    shade, lot = shade_and_lot(F.col("color"))
+    pen, sfm = F.col("code") == "PEN", F.col("code") == "SFM"
+    lots = F.coalesce(F.last(explicit(F.col("lot")), ignorenulls=True).over(upto), F.when(pen, lot))
+    color = F.when(pen, F.coalesce(shade, F.col("color"))).when(sfm, F.coalesce("grade", "color")).otherwise(F.col("color"))
+    numbers = [clean_number(F.col(c)).alias(c) for c in ("meters", "length_yds", "points_per_roll", "points_per_100m2", "weight_gross_kgs", "net_weight")]
+    return rows.select("doc_id", "tbl", "seq", lots.alias("lot"), color.alias("color"), "piece_number", *numbers)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.fixed import FIELDS
-from ..operators import checks, feedback, rates, responses
+from ..functions.fixed import FIELDS, SUPPLIER_COLUMNS
+from ..operators import checks, feedback, rates, responses, tables
 from ..sources.rendered import duck, frame
 from .registry import query
 from .rolls import SUMMARY, WITH_ROLLS, rolls
@@ -149,12 +149,14 @@ def quarantine(spark, sf_dir):
     return checks.quarantined(records, {"meters": "meters_text", "pieces": "pieces_text"}).select("doc_id", "quarantine")
 
 
-@query("supplier_columns", "SELECT s_suppkey, h.heading, CASE s_suppkey % 3 WHEN 0 THEN a WHEN 1 THEN p ELSE s END AS field FROM supplier, (VALUES ('LOT NO', 'lot', NULL, NULL), ('Cont. No', NULL, NULL, 'lot'), ('Shade', 'color', 'color', 'color'), ('Length(mts)', 'meters', 'meters', 'meters'), ('Grade', NULL, NULL, 'quality')) h(heading, a, p, s) WHERE CASE s_suppkey % 3 WHEN 0 THEN a WHEN 1 THEN p ELSE s END IS NOT NULL")
+#: Every heading that any of the known suppliers has, and some that none has.
+ALL_HEADINGS = sorted({h.upper() for names in SUPPLIER_COLUMNS.values() for h in names} | {"UPCE NO", "CTN NO", "WIDTH (INCH)", "FBN"})
+KNOWN_ROWS = ", ".join(f"('{code}', '{h.upper()}', '{f}')" for code, names in SUPPLIER_COLUMNS.items() for h, f in names.items())
+
+
+@query("supplier_columns", f"WITH known(code, heading, field) AS (VALUES {KNOWN_ROWS}) SELECT s_suppkey, heading, field FROM supplier JOIN known ON code = CASE s_suppkey % 3 WHEN 0 THEN 'AML' WHEN 1 THEN 'PEN' ELSE 'SFM' END")
 def supplier_columns(spark, sf_dir):
-    """Headings by supplier: an equi-join with a small table of supplier, heading, field."""
-    known = [("AML", "lot no", "lot"), ("AML", "shade", "color"), ("AML", "length(mts)", "meters"), ("PEN", "shade", "color"), ("PEN", "length(mts)", "meters"), ("SFM", "cont. no", "lot"), ("SFM", "shade", "color"), ("SFM", "length(mts)", "meters"), ("SFM", "grade", "quality")]
-    table = spark.createDataFrame(known, "code string, known string, field string")
     key = F.col("s_suppkey")
     code = F.when(key % 3 == 0, F.lit("AML")).when(key % 3 == 1, F.lit("PEN")).otherwise(F.lit("SFM"))
-    found = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", code.alias("code"), F.explode(F.array(*[F.lit(h) for h in ("LOT NO", "Cont. No", "Shade", "Length(mts)", "Grade")])).alias("heading"))
-    return found.join(F.broadcast(table), (found["code"] == table["code"]) & (F.lower("heading") == F.col("known"))).select("s_suppkey", "heading", "field")
+    every = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", code.alias("code"), F.explode(F.array(*[F.lit(h) for h in ALL_HEADINGS])).alias("heading"))
+    return tables.known_columns(every).select("s_suppkey", "heading", "field")

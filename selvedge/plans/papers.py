@@ -253,10 +253,40 @@ def table_markdown(spark, sf_dir):
     return tables.markdown(cells(spark, sf_dir))
 
 
-@query("column_roles", f"""{WITH_CELLS}, s AS (SELECT doc_id, tbl, col, count(*) AS n, count(try_cast(text AS DOUBLE)) AS nn, min(try_cast(text AS DOUBLE)) AS lo, max(try_cast(text AS DOUBLE)) AS hi, count(DISTINCT text) AS nd, min(length(text)) AS sh FROM cells WHERE text <> '' AND row > 1 GROUP BY ALL)
-    SELECT doc_id, tbl, col, CASE WHEN nn = n AND (sh >= 6 OR (hi - lo + 1 = n AND nd = n AND lo <= 1)) THEN 'roll_no' WHEN nn = n AND lo BETWEEN 10 AND 500 AND hi BETWEEN 10 AND 500 THEN 'length' WHEN nn = n AND hi > 500 THEN 'weight' WHEN nn <> n AND nd * 2 <= n THEN 'lot' ELSE 'other' END AS role FROM s""")
+#: The cells with two columns more: yards beside the meters, gross beside the net weight.
+ROLE_CELLS = f"SELECT doc_id, tbl, row, col, text FROM ({CELLS}) WHERE row > 1 UNION ALL SELECT doc_id, tbl, row, 5, CAST(CAST(try_cast(text AS DECIMAL(18,2)) * 1.0936 AS DECIMAL(18,2)) AS STRING) FROM ({CELLS}) WHERE row > 1 AND col = 2 UNION ALL SELECT doc_id, tbl, row, 6, CAST(try_cast(text AS BIGINT) + 100 AS STRING) FROM ({CELLS}) WHERE row > 1 AND col = 3"
+
+
+@query("column_roles", f"""WITH cells AS ({duck(ROLE_CELLS)}), s AS (SELECT doc_id, tbl, col, count(*) AS n, count(try_cast(text AS DOUBLE)) AS nn, min(try_cast(text AS DOUBLE)) AS lo, max(try_cast(text AS DOUBLE)) AS hi, avg(try_cast(text AS DOUBLE)) AS mean, count(DISTINCT text) AS nd, min(length(text)) AS sh FROM cells WHERE text <> '' GROUP BY ALL),
+    r AS (SELECT doc_id, tbl, col, mean, CASE WHEN nn = n AND (sh >= 6 OR (hi - lo + 1 = n AND nd = n AND lo <= 1)) THEN 'roll_no' WHEN nn = n AND lo BETWEEN 10 AND 500 AND hi BETWEEN 10 AND 550 THEN 'length' WHEN nn = n AND hi > 500 THEN 'weight' WHEN nn <> n AND nd * 2 <= n THEN 'lot' ELSE 'other' END AS role FROM s),
+    w AS (SELECT *, min(mean) OVER same AS low, count(*) OVER same AS k FROM r WINDOW same AS (PARTITION BY doc_id, tbl, role))
+    SELECT doc_id, tbl, col, CASE WHEN role = 'length' AND EXISTS (SELECT 1 FROM r o WHERE o.doc_id = w.doc_id AND o.tbl = w.tbl AND o.role = 'length' AND w.mean / o.mean BETWEEN 1.08 AND 1.11) THEN 'length_yds' WHEN role = 'weight' AND k > 1 AND mean = low THEN 'net_weight' WHEN role = 'weight' AND k > 1 THEN 'weight_gross' ELSE role END AS role FROM w""")
 def column_roles(spark, sf_dir):
-    return tables.column_roles(cells(spark, sf_dir).where("row > 1"))
+    return tables.column_roles(frame(spark, sf_dir, ROLE_CELLS))
+
+
+#: Tables of three known suppliers, by doc_id modulo 3, with a total below the rolls.
+SUPPLIER_HEADS = ("LOT NO|Shade|Roll No|Length(mts)|Weight (Nett kgs)", "Pce No|Design/Color|QTY(MTR)|Nett|Ctn No", "Roll No|Cont. No|Shade|Grade|Qty (MTR)")
+SUPPLIER_CELLS = f"""
+    WITH rolls AS ({ROLLS}), heads(k, col, text) AS (VALUES {", ".join(f"({k}, {c}, '{h}')" for k, line in enumerate(SUPPLIER_HEADS) for c, h in enumerate(line.split("|")))})
+    SELECT doc_id, 0 AS tbl, 0 AS row, col, text FROM (SELECT DISTINCT doc_id FROM rolls) AS d JOIN heads ON doc_id % 3 = k
+    UNION ALL SELECT doc_id, 0, CAST(seq AS INT), col,
+        CASE doc_id % 3 WHEN 0 THEN CASE col WHEN 0 THEN CASE WHEN seq % 2 = 0 THEN '"' ELSE lot END WHEN 1 THEN color WHEN 2 THEN piece_number WHEN 3 THEN concat(CAST(CAST(meters AS INT) AS STRING), '.50-FULL') ELSE CAST(CAST(net_weight AS INT) AS STRING) END
+        WHEN 1 THEN CASE col WHEN 0 THEN piece_number WHEN 1 THEN concat('DARK ', color, ' ', CAST(3000000 + seq AS STRING)) WHEN 2 THEN CAST(CAST(meters AS INT) AS STRING) WHEN 3 THEN '' ELSE CAST(seq % 3 AS STRING) END
+        ELSE CASE col WHEN 0 THEN piece_number WHEN 1 THEN lot WHEN 2 THEN concat('R18-', color) WHEN 3 THEN CASE WHEN seq % 2 = 0 THEN '' ELSE 'B' END ELSE CAST(CAST(meters AS INT) AS STRING) END END
+    FROM rolls CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS c(col)
+    UNION ALL SELECT doc_id, 0, 1000, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END, 'Sub Total' FROM rolls WHERE seq = 1
+    UNION ALL SELECT doc_id, 0, 1000, CASE doc_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 3 ELSE 4 END, '999' FROM rolls WHERE seq = 1
+"""
+CODES = ("AML", "PEN", "SFM")
+
+
+@query("supplier_rolls", f"""WITH rolls AS ({duck(ROLLS)}) SELECT doc_id, seq::INTEGER AS seq, CASE doc_id % 3 WHEN 0 THEN CASE WHEN seq % 2 = 0 THEN lag(lot) OVER (PARTITION BY doc_id ORDER BY seq) ELSE lot END WHEN 1 THEN CAST(3000000 + seq AS VARCHAR) ELSE lot END AS lot,
+    CASE doc_id % 3 WHEN 0 THEN color WHEN 1 THEN concat('DARK ', color) ELSE CASE WHEN seq % 2 = 0 THEN concat('R18-', color) ELSE 'B' END END AS color, piece_number, CAST(CAST(trunc(meters) AS INTEGER) + CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS meters, CASE WHEN doc_id % 3 = 0 THEN CAST(trunc(net_weight) AS DOUBLE) END AS net_weight FROM rolls""")
+def supplier_rolls(spark, sf_dir):
+    own = frame(spark, sf_dir, SUPPLIER_CELLS)
+    codes = own.select("doc_id").distinct().withColumn("code", F.get(F.array(*[F.lit(c) for c in CODES]), (F.col("doc_id") % 3).cast("int")))
+    return tables.supplier_lines(own, codes).select("doc_id", "seq", "lot", "color", "piece_number", "meters", "net_weight")
 
 
 #: Strings made of dates and numbers, as suppliers write them.
