@@ -85,7 +85,16 @@ class Shard:
         self.owners, self.impacts = owner[order], weights[order]
         self.posting = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
         self.unused = np.ones(len(texts), dtype=bool)
-        self.n = len(texts)
+        self.n = self.indexed = self.left = len(texts)
+
+    def use(self, document: int) -> None:
+        """Take a document out; when half of the indexed ones are out, the index is rid of them."""
+        self.unused[document] = False
+        self.left -= 1
+        if 2 * self.left < self.indexed:
+            still = self.unused[self.owners]
+            self.posting = np.concatenate(([0], np.cumsum(still)))[self.posting]
+            self.owners, self.impacts, self.indexed = self.owners[still], self.impacts[still], self.left
 
     def neighbours(self, seed: int) -> list[int]:
         """The unused documents that share tokens with the seed, by their BM25 score, best first."""
@@ -108,7 +117,7 @@ def packed_order(texts: list[np.ndarray], idf: np.ndarray, mean: float) -> Itera
             if first == shard.n:
                 return
             seed = first
-            shard.unused[seed] = False
+            shard.use(seed)
             filled += len(texts[seed])
             yield seed
         if filled >= WINDOW:  # the seed's rest opens the next window, and asks for it
@@ -117,7 +126,7 @@ def packed_order(texts: list[np.ndarray], idf: np.ndarray, mean: float) -> Itera
             continue
         last = -1
         for last in shard.neighbours(seed):
-            shard.unused[last] = False
+            shard.use(last)
             filled += len(texts[last])
             yield last
             if filled >= WINDOW:
