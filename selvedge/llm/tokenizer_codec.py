@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are split at places where the pattern always ends a match, so the pieces' ids joined are the text's ids and no call holds a whole long text. Decoding joins the tokens' raw bytes; it never goes through characters, which tokens may cut.
+Long texts are split at places where the pattern (the library's default one; with another one they stay whole) always ends a match, so the pieces' ids joined are the text's ids and no call holds a whole long text. Decoding joins the tokens' raw bytes; it never goes through characters, which tokens may cut.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from .shared import documents, texts_of
 
 #: A piece of a long text has about so many characters.
 PIECE_CHARS = 1 << 16
-#: No match of the pattern holds a white space after a letter or figure, and its one lookahead looks at a space's successor: the text may be cut between the two characters.
-SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=[ \n])")
+#: Where the pattern's matches always end, whatever stands around: before a blank or line end after something else; between letters, figures and other signs. (An apostrophe may begin a match with the letters after it; a single blank goes with what follows it.)
+SAFE = regex.compile(r"(?<=\S)(?=[ \t\r\n])|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 @functools.lru_cache(maxsize=4)
@@ -41,8 +41,8 @@ def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def encode(codec: tiktoken.Encoding, text: str) -> list[int]:
-    if len(text) <= PIECE_CHARS:
+def encode(codec: tiktoken.Encoding, text: str, cut: bool = True) -> list[int]:
+    if len(text) <= PIECE_CHARS or not cut:
         return codec.encode_ordinary(text)
     return [i for piece in pieces(text) for i in codec.encode_ordinary(piece)]
 
@@ -57,10 +57,11 @@ def round_trips(docs: DataFrame, ranks: str | None = None, pattern: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, decimal = encoding(ranks, pattern)
+        cut = pattern == public_tokenizers.PATTERN
         for batch in batches:
             counts, digests, decoded, sizes = [], [], [], []
             for text in texts_of(batch):
-                ids = encode(codec, text)
+                ids = encode(codec, text, cut)
                 raw = codec.decode_bytes(ids)
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
@@ -79,7 +80,7 @@ def encoded(docs: DataFrame, ranks: str | None = None, pattern: str | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, _ = encoding(ranks, pattern)
         for batch in batches:
-            ids = pa.array([encode(codec, text) for text in texts_of(batch)], pa.list_(pa.int32()))
+            ids = pa.array([encode(codec, text, pattern == public_tokenizers.PATTERN) for text in texts_of(batch)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return documents(docs).mapInArrow(run, "doc_id long, ids array<int>")

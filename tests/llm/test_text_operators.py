@@ -62,6 +62,13 @@ def test_pieces_keep_ids(text):
     assert [i for p in parts for i in own.encode_ordinary(p)] == own.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("text", ["漢字かな、交じり文。" * 20_000, "aGVsbG8gd29ybGQ0+/" * 9_000, "it's, 'tis: 'll've\r\n\r\n" * 9_000, "!?" * 70_000 + "a'b'" * 30_000])
+def test_long_texts_without_blanks_are_cut(codec, text):
+    parts = list(tokenizer_codec.pieces(text))
+    assert "".join(parts) == text and max(map(len, parts)) < 2 * tokenizer_codec.PIECE_CHARS + 140_001
+    assert len(parts) > 1 and [i for p in parts for i in codec.encode_ordinary(p)] == codec.encode_ordinary(text)
+
+
 def test_token_counts(spark):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     got = by_key(token_counts.token_counts(odd(spark)).collect(), "doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -401,6 +408,13 @@ def test_packing_takes_neighbours():
     topics = [np.arange(100 * t, 100 * t + 100) for t in range(4)]
     texts = [np.append(rng.choice(topics[i % 4], 500), 2).astype("<u2") for i in range(64)]
     order = list(packing.packed_order(texts, np.ones(500), 500.0))
+    class Whole(packing.Shard):  # never rid of used documents: the same neighbours
+        def use(self, document):
+            self.unused[document] = False
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "Shard", Whole)
+        assert list(packing.packed_order(texts, np.ones(500), 500.0)) == order
     assert sorted(order) == list(range(64))
     same = np.mean([a % 4 == b % 4 for a, b in zip(order, order[1:])])
     assert same > 0.85
