@@ -13,19 +13,19 @@ from selvedge.llm.shared import ids_for_join, row_key, ship, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on these documents' weak labels, holds good."""
+    """Documents that the classifier, fitted on these documents' weak labels, holds good. Each row is judged by its own text, in the pass that reads it: null, empty and blank texts are rejected, null and repeated ids and repeated rows change nothing, an empty table stays empty, other columns come along whatever they are called."""
     ship(spark)
     return quality.accepted(docs)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the documents are labelled with."""
+    """Documents in one of the languages that the documents are labelled with. Each row is judged by its own text, label and source, whatever its id; one with neither text nor label is rejected; repeated rows share one verdict; an empty table stays empty; other columns come along."""
     ship(spark)
     return language.in_known_language(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document of the least doc_id, those without one last. Rows are told apart by doc_id and text together, so that different texts of one doc_id, or without any, are judged each for itself."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document of the least doc_id, those without one last. Rows are told apart by doc_id and text together, so that different texts of one doc_id, or without any, are judged each for itself; of rows that repeat both, one stays. Null, empty and blank texts are near nothing, so each such row of an id of its own stays. An empty table stays empty; other columns come along."""
     ship(spark)
     key = row_key(docs, "doc_id", "text")
     found = near_dedup.near_duplicates(docs.select(key.alias("doc_id"), "text"), shingle=5, percent=80)
@@ -41,7 +41,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
+    """The pieces of all documents in sequences of 4096 tokens (the columns of packing.packed, not those of documents). Null and empty texts are an end id alone; null and repeated ids and repeated rows are packed as often as they are there; an empty table gives no pieces."""
     ship(spark)
     return packing.packed(docs)
 
