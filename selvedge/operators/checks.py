@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed import FIELDS
+
 PLAIN_NUMBER = r"^-?[0-9]+(\.[0-9]*)?$|^-?\.[0-9]+$"
 
 
@@ -36,3 +38,13 @@ def quarantined(records: DataFrame, raw: dict[str, str]) -> DataFrame:
     """Records with a reason for each field whose text (raw: field to text column) gave no value: one bad field doesn't cost the record."""
     reasons = F.array(*[F.when(F.col(text).isNotNull() & F.col(field).isNull(), F.lit(field)) for field, text in raw.items()])
     return records.withColumn("quarantine", F.array_join(F.filter(reasons, lambda x: x.isNotNull()), ","))
+
+
+def all_errors(delivered_date: Column, meters: Column, pieces: Column, net_weight: Column) -> Column:
+    """An array of a record's errors: of its date, then of its rules. Takes text."""
+    return F.concat(F.filter(F.array(date_error(delivered_date)), lambda e: e.isNotNull()), rule_errors(meters, pieces, net_weight))
+
+
+def missing_columns(records: DataFrame) -> list[str]:
+    """Fields of the record that a frame has no column for, in order."""
+    return [f for f in FIELDS if f not in records.columns]

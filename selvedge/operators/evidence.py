@@ -99,3 +99,27 @@ def mapping_source(has_template: Column, has_ai: Column) -> Column:
 def as_records(resolved: DataFrame) -> DataFrame:
     """One row for each document with a column for each field, as text."""
     return resolved.groupBy("doc_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS])
+
+
+#: Scores from which a field needs no reviewer, and from which one may pass it.
+SURE, FAIR = 0.85, 0.60
+
+
+def review(score_: Column) -> Column:
+    """What a reviewer has to do with a field: nothing, look, or mend."""
+    return F.when(score_ >= SURE, F.lit("auto")).when(score_ >= FAIR, F.lit("review")).otherwise(F.lit("flag"))
+
+
+def submit_gate(reviewed: DataFrame) -> DataFrame:
+    """Whether each document (doc_id, field, review) can be submitted, and its numbers of flagged and of settled fields."""
+    return reviewed.groupBy("doc_id").agg(F.bool_and(F.col("review") != "flag").alias("can_submit"), F.count_if(F.col("review") == "flag").alias("n_flagged"), F.count_if(F.col("review") == "auto").alias("n_actioned"))
+
+
+def confirmed_count(resolved: DataFrame) -> DataFrame:
+    return resolved.groupBy("doc_id").agg(F.count("value").alias("confirmed_count"))
+
+
+def chips(items: DataFrame) -> DataFrame:
+    """Items (doc_id, name, value) by whether their name is a field of the record: doc_id, fields and unidentified (names, in order, joined by commas)."""
+    known = F.col("name").isin(*FIELDS)
+    return items.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(known, F.col("name")))), ",").alias("fields"), F.array_join(F.array_sort(F.collect_set(F.when(~known, F.col("name")))), ",").alias("unidentified"))

@@ -28,10 +28,17 @@ def applied(values: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def templates_from(records: DataFrame, least: int = 3) -> DataFrame:
-    """A template (supplier_name, fields) from each supplier's latest record (supplier_name, seq, and a column for each field as text) with at least `least` values."""
+    """A template (supplier_name, fields) from each supplier's latest record (supplier_name, seq, and a column for each field as text) with at least `least` values; with its doc_type, where the records have one."""
     values = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("k"), F.col(f).alias("v")) for f in FIELDS]), lambda e: e["v"].isNotNull()))
     full = records.where(known_supplier(F.col("supplier_name"))).withColumn("fields", values).where(F.size("fields") >= least)
-    return full.groupBy("supplier_name").agg(F.max_by("fields", "seq").alias("fields"), F.lit(VERSION).alias("schema_version"))
+    kind = [F.max_by("doc_type", "seq").alias("doc_type")] if "doc_type" in records.columns else []
+    return full.groupBy("supplier_name").agg(F.max_by("fields", "seq").alias("fields"), F.lit(VERSION).alias("schema_version"), *kind)
+
+
+def suppliers(templates: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """The suppliers (supplier_name) that have a template, without those whose templates are deleted."""
+    names = templates.select("supplier_name").distinct()
+    return names if deleted is None else names.join(deleted.select("supplier_name").distinct(), "supplier_name", "left_anti")
 
 
 def corrections(actions: DataFrame) -> DataFrame:

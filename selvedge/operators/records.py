@@ -56,7 +56,7 @@ def finished(resolved: DataFrame, lines: DataFrame | None = None, table_weights:
         wide = wide.withColumn("weight_mismatch", F.lit(False))
     low = [F.when((evidence.score(F.col(f), F.coalesce(f"{f}_source", F.lit("none")), F.col(f"{f}_sure")) < FLAG_BELOW) | (F.col("weight_mismatch") if f == "net_weight" else F.lit(False)), F.lit(f)) for f in sorted(FIELDS)]
     typed = {f: coerced(F.col(f), whole=kind == "int").cast("long" if kind == "int" else kind) if kind != "string" else F.col(f) for f, kind in FIELDS.items()}
-    errors = F.concat(F.filter(F.array(checks.date_error(F.col("delivered_date"))), lambda e: e.isNotNull()), checks.rule_errors(F.col("meters"), F.col("pieces"), F.col("net_weight")))
+    errors = checks.all_errors(F.col("delivered_date"), F.col("meters"), F.col("pieces"), F.col("net_weight"))
     if kinds is not None:
         wide = wide.join(kinds, "doc_id", "left")
         how = evidence.mapping_source(F.coalesce("has_template", F.lit(False)), F.coalesce("has_ai", F.lit(False)))

@@ -173,8 +173,16 @@ def flat_rows(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.col("seq").cast("int").alias("n"), F.col("lot").alias("lot_no"), F.col("po_number").alias("po"), F.col("color").alias("shade"), F.col("piece_number").alias("roll_no"), F.col("meters").alias("length_mts"), F.col("net_weight").alias("weight_nett"))
 
 
-def extraction_notes(rows: DataFrame) -> DataFrame:
-    """What the reader of a document's rows (doc_id, lot, piece_number) should know: ditto marks, rows left out, rolls."""
+def extraction_notes(rows: DataFrame, expected: DataFrame | None = None, unmapped: DataFrame | None = None) -> DataFrame:
+    """What the reader of a document's rows (doc_id, lot, piece_number) should know: ditto marks, rows left out, rolls; how many were expected (doc_id, expected), where that differs; columns that mean no field (doc_id, heading)."""
     ditto, skipped = F.count_if(F.col("lot") == '"'), F.count_if(F.coalesce(F.lower("piece_number").rlike(SUMMARY_ROW), F.lit(False)))
     notes = F.concat_ws("; ", F.when(ditto > 0, F.concat(F.lit("ditto marks: "), ditto.cast("string"))), F.when(skipped > 0, F.concat(F.lit("rows skipped: "), skipped.cast("string"))), F.concat(F.lit("rolls: "), (F.count("*") - skipped).cast("string")))
-    return rows.groupBy("doc_id").agg(notes.alias("notes"))
+    found = rows.groupBy("doc_id").agg(notes.alias("notes"), (F.count("*") - skipped).alias("n"))
+    more = []
+    if expected is not None:
+        found = found.join(expected, "doc_id", "left")
+        more.append(F.when(F.col("expected") != F.col("n"), F.concat(F.lit("expected: "), F.col("expected").cast("string"))))
+    if unmapped is not None:
+        found = found.join(unmapped.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("heading")), ", ").alias("headings")), "doc_id", "left")
+        more.append(F.concat(F.lit("unmapped: "), "headings"))
+    return found.select("doc_id", F.concat_ws("; ", "notes", *more).alias("notes"))

@@ -63,16 +63,16 @@ def template_lookup(spark, sf_dir):
 @query("suppliers_list", f"WITH old AS ({duck(OLD_TEMPLATES)}) SELECT DISTINCT supplier_name FROM old WHERE supplier_name NOT IN (SELECT concat('sup', CAST(user_id % 40 AS VARCHAR)) FROM events WHERE event_type = 'error')")
 def suppliers_list(spark, sf_dir):
     deleted = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error'").select(F.concat(F.lit("sup"), (F.col("user_id") % 40).cast("string")).alias("supplier_name"))
-    return old_templates(spark, sf_dir).select("supplier_name").distinct().join(deleted, "supplier_name", "left_anti")
+    return feedback.suppliers(old_templates(spark, sf_dir), deleted)
 
 
-@query("template_from_records", f"{WITH_ROLLS}, s AS ({SUMMARY}), r AS (SELECT doc_id AS seq, concat('sup', doc_id % 40) AS supplier_name, CASE WHEN doc_id % 3 = 0 THEN lot END AS lot, po_number, CASE WHEN doc_id % 2 = 0 THEN color END AS color, CASE WHEN doc_id % 5 <> 0 THEN quality END AS quality FROM s), f AS (SELECT *, (lot IS NOT NULL)::INT + (po_number IS NOT NULL)::INT + (color IS NOT NULL)::INT + (quality IS NOT NULL)::INT AS n FROM r), l AS (SELECT *, row_number() OVER (PARTITION BY supplier_name ORDER BY seq DESC) AS k FROM f WHERE n >= 3) SELECT supplier_name, lot, po_number, color, quality FROM l WHERE k = 1")
+@query("template_from_records", f"{WITH_ROLLS}, s AS ({SUMMARY}), r AS (SELECT doc_id AS seq, concat('sup', doc_id % 40) AS supplier_name, CASE WHEN doc_id % 3 = 0 THEN lot END AS lot, po_number, CASE WHEN doc_id % 2 = 0 THEN color END AS color, CASE WHEN doc_id % 5 <> 0 THEN quality END AS quality FROM s), f AS (SELECT *, (lot IS NOT NULL)::INT + (po_number IS NOT NULL)::INT + (color IS NOT NULL)::INT + (quality IS NOT NULL)::INT AS n FROM r), l AS (SELECT *, row_number() OVER (PARTITION BY supplier_name ORDER BY seq DESC) AS k FROM f WHERE n >= 3) SELECT supplier_name, lot, po_number, color, quality, CASE seq % 2 WHEN 0 THEN 'roll_level' ELSE 'lot_level' END AS doc_type FROM l WHERE k = 1")
 def template_from_records(spark, sf_dir):
     own = R.summary(rolls(spark, sf_dir))
     key = F.col("doc_id")
     values = {"lot": F.when(key % 3 == 0, F.col("lot")), "po_number": F.col("po_number"), "color": F.when(key % 2 == 0, F.col("color")), "quality": F.when(key % 5 != 0, F.col("quality"))}
-    records = own.select(key.alias("seq"), F.concat(F.lit("sup"), (key % 40).cast("string")).alias("supplier_name"), *[values.get(f, F.lit(None)).cast("string").alias(f) for f in FIELDS])
-    return feedback.templates_from(records).select("supplier_name", *[F.col("fields")[f].alias(f) for f in values])
+    records = own.select(key.alias("seq"), F.concat(F.lit("sup"), (key % 40).cast("string")).alias("supplier_name"), *[values.get(f, F.lit(None)).cast("string").alias(f) for f in FIELDS], F.when(key % 2 == 0, F.lit("roll_level")).otherwise(F.lit("lot_level")).alias("doc_type"))
+    return feedback.templates_from(records).select("supplier_name", *[F.col("fields")[f].alias(f) for f in values], "doc_type")
 
 
 #: Model answers made of rolls: fenced, in a list, or cut off, by doc_id.
@@ -140,6 +140,15 @@ def validate_rules(spark, sf_dir):
     return frame(spark, sf_dir, RAW).select("doc_id", F.array_join(checks.rule_errors(F.col("meters"), F.col("pieces"), F.col("net_weight")), "; ").alias("errors"))
 
 
+DATED = f"SELECT *, CASE doc_id % 4 WHEN 0 THEN '2024-13-01' WHEN 1 THEN '01/02/2024' WHEN 2 THEN '2024-02-30' END AS delivered_date FROM ({RAW})"
+
+
+@query("validate_all", f"WITH r AS ({duck(DATED)}) SELECT doc_id, concat_ws('; ', CASE doc_id % 4 WHEN 0 THEN 'month or day' WHEN 1 THEN 'not ISO' END, CASE WHEN meters IN ('-3', '0') THEN 'meters must be > 0' END, CASE WHEN pieces = '0' THEN 'pieces must be > 0' END, CASE WHEN net_weight = '-1' THEN 'net_weight cannot be negative' END) AS errors FROM r")
+def validate_all(spark, sf_dir):
+    errors = checks.all_errors(*[F.col(c) for c in ("delivered_date", "meters", "pieces", "net_weight")])
+    return frame(spark, sf_dir, DATED).select("doc_id", F.array_join(errors, "; ").alias("errors"))
+
+
 @query("quarantine", f"WITH r AS ({duck(RAW)}) SELECT doc_id, CASE WHEN meters = 'abc' THEN 'meters' ELSE '' END AS quarantine FROM r")
 def quarantine(spark, sf_dir):
     from ..functions.text import coerced

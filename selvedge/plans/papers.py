@@ -332,6 +332,16 @@ def clean_strings(spark, sf_dir):
 SHORT_PAPERS = f"SELECT doc_id, 1 AS page_number, supplier_name, CASE WHEN doc_id % 3 = 0 THEN substr(raw_text, 1, instr(raw_text, 'Batch No') + instr(raw_text, 'Lot A') - 1) ELSE raw_text END AS raw_text FROM ({PAPERS})"
 
 
+MEANS_WEIGHT = " OR ".join(f"contains(lower(trim(text)), {q(w)})" for w in WEIGHT_HEADINGS)
+TABLE_WEIGHTS = f"""wcol AS (SELECT doc_id, tbl, min(col) AS col FROM cells WHERE row = 0 AND ({MEANS_WEIGHT}) GROUP BY ALL),
+    weights AS (SELECT doc_id, sum(value) AS weight FROM (SELECT doc_id, CAST(try_cast(replace(trim(text), ',', '') AS DOUBLE) AS DECIMAL(20,4)) AS value FROM cells JOIN wcol USING (doc_id, tbl, col) WHERE row > 0) WHERE value > 0 GROUP BY doc_id)"""
+
+
+@query("table_weights", f"{WITH_CELLS}, {TABLE_WEIGHTS} SELECT doc_id, CAST(weight AS DOUBLE) AS weight FROM weights")
+def table_weights(spark, sf_dir):
+    return tables.weights(cells(spark, sf_dir)).select("doc_id", F.col("weight").cast("double").alias("weight"))
+
+
 def _full_record_sql() -> str:
     texts = " UNION ALL ".join(f"SELECT doc_id, 'lot' AS field, list_filter({_all(p)}, lambda x: x <> '' AND lower(x) NOT IN {LOT_NOT})[1] AS value, CAST(0.85 AS DOUBLE) AS confidence, {k} AS n FROM papers" for k, p in enumerate(LOT_PATTERNS))
     texts += "".join(f" UNION ALL SELECT doc_id, 'meters', list_filter(list_transform({_all(p)}, lambda x: replace(x, ',', '')), lambda x: try_cast(x AS DOUBLE) > 0)[1], 0.82, {k} FROM papers" for k, p in enumerate(METER_PATTERNS))
@@ -355,7 +365,6 @@ def _full_record_sql() -> str:
         else:
             late[f] = (number.format(f) if f == "net_weight" else f, f"{f}_source")
     sets = ", ".join(f"list_sort(list(DISTINCT {c}) FILTER (WHERE {c} <> '')) AS s_{c}" for c in ("lot", "color", "quality"))
-    means = " OR ".join(f"contains(lower(trim(text)), {q(w)})" for w in WEIGHT_HEADINGS)
     return (
         MATCHED
         + f""", papers AS ({duck(SHORT_PAPERS)}), rolls AS ({duck(ROLLS)}), lines AS (SELECT * FROM rolls WHERE doc_id % 5 <> 0),
@@ -368,8 +377,7 @@ def _full_record_sql() -> str:
     won AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY confidence DESC, {prio} DESC, ord) AS n FROM ev),
     wide AS (SELECT p.doc_id, {wide} FROM papers p LEFT JOIN (SELECT * FROM won WHERE n = 1) w ON w.doc_id = p.doc_id GROUP BY p.doc_id),
     sums AS (SELECT doc_id, CAST(sum(CAST(meters AS DECIMAL(18,2))) AS DOUBLE) AS s_meters, count(*) AS s_n, {sets} FROM lines GROUP BY doc_id),
-    wcol AS (SELECT doc_id, tbl, min(col) AS col FROM cells WHERE row = 0 AND ({means}) GROUP BY ALL),
-    weights AS (SELECT doc_id, sum(value) AS weight FROM (SELECT doc_id, CAST(try_cast(replace(trim(text), ',', '') AS DOUBLE) AS DECIMAL(20,4)) AS value FROM cells JOIN wcol USING (doc_id, tbl, col) WHERE row > 0) WHERE value > 0 GROUP BY doc_id),
+    {TABLE_WEIGHTS},
     checked AS (SELECT wide.*, s_meters, s_n, s_lot, s_color, s_quality, coalesce({number.format("net_weight")} > 0 AND abs(weight - CAST({number.format("net_weight")} AS DECIMAL(20,4))) * 50 > CAST({number.format("net_weight")} AS DECIMAL(20,4)), false) AS weight_mismatch FROM wide LEFT JOIN sums USING (doc_id) LEFT JOIN weights USING (doc_id)),
     named AS (SELECT doc_id, weight_mismatch, {", ".join(f"{v} AS {f}, {s} AS {f}_source" for f, (v, s) in late.items())} FROM checked)
     SELECT doc_id, {", ".join(FIELDS)}, concat_ws(',', {", ".join(f"{f}_source" for f in FIELDS)}) AS sources, concat_ws(',', {", ".join(f"CASE WHEN {named.replace('CASE source', f'CASE {f}_source')} < 0.85{' OR weight_mismatch' if f == 'net_weight' else ''} THEN '{f}' END" for f in sorted(FIELDS))}) AS flagged_fields, weight_mismatch, 'regex' AS mapping_source FROM named"""

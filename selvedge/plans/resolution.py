@@ -97,23 +97,24 @@ def response_projection(spark, sf_dir):
 STATUS = f"CASE WHEN {SCORE} >= 0.85 THEN 'auto' WHEN {SCORE} >= 0.60 THEN 'review' ELSE 'flag' END"
 
 
-def review(score):
-    """What a reviewer has to do with a field."""
-    return F.when(score >= 0.85, F.lit("auto")).when(score >= 0.60, F.lit("review")).otherwise(F.lit("flag"))
-
-
 @query("review_status", RESOLVED + f" SELECT doc_id, field, {STATUS} AS review, {STATUS} = 'auto' AS actioned FROM resolved")
 def review_status(spark, sf_dir):
     scored = E.score(F.col("value"), F.col("source"), F.col("confidence"))
-    return resolved(spark, sf_dir).select("doc_id", "field", review(scored).alias("review"), (review(scored) == "auto").alias("actioned"))
+    return resolved(spark, sf_dir).select("doc_id", "field", E.review(scored).alias("review"), (E.review(scored) == "auto").alias("actioned"))
 
 
 @query("submit_gate", RESOLVED + f" SELECT doc_id, bool_and({STATUS} <> 'flag') AS can_submit, count(*) FILTER (WHERE {STATUS} = 'flag') AS n_flagged, count(*) FILTER (WHERE {STATUS} = 'auto') AS n_actioned FROM resolved GROUP BY doc_id")
 def submit_gate(spark, sf_dir):
-    status = review(E.score(F.col("value"), F.col("source"), F.col("confidence")))
-    return resolved(spark, sf_dir).groupBy("doc_id").agg(F.bool_and(status != "flag").alias("can_submit"), F.count_if(status == "flag").alias("n_flagged"), F.count_if(status == "auto").alias("n_actioned"))
+    scored = E.score(F.col("value"), F.col("source"), F.col("confidence"))
+    return E.submit_gate(resolved(spark, sf_dir).withColumn("review", E.review(scored)))
 
 
 @query("confirmed_count", RESOLVED + " SELECT doc_id, count(value) AS confirmed_count FROM resolved GROUP BY doc_id")
 def confirmed_count(spark, sf_dir):
-    return resolved(spark, sf_dir).groupBy("doc_id").agg(F.count("value").alias("confirmed_count"))
+    return E.confirmed_count(resolved(spark, sf_dir))
+
+
+@query("chip_split", "WITH i AS (SELECT DISTINCT user_id AS doc_id, CASE event_type WHEN 'view' THEN 'lot' WHEN 'signup' THEN 'po_number' ELSE event_type END AS name FROM events) SELECT doc_id, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE name IN ('lot', 'po_number')), '') AS fields, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE name NOT IN ('lot', 'po_number')), '') AS unidentified FROM i GROUP BY doc_id")
+def chip_split(spark, sf_dir):
+    name = F.when(F.col("event_type") == "view", F.lit("lot")).when(F.col("event_type") == "signup", F.lit("po_number")).otherwise(F.col("event_type"))
+    return E.chips(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("doc_id"), name.alias("name"), F.lit(None).cast("string").alias("value")))

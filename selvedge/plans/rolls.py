@@ -68,12 +68,22 @@ def stated_or_sum(spark, sf_dir):
     return stated.join(R.summary(rolls(spark, sf_dir)), "doc_id", "left").select("doc_id", F.coalesce("stated", "net_weight").alias("net_weight"))
 
 
-@query("mixed_override", f"""{WITH_ROLLS}, sets AS (SELECT doc_id, count(DISTINCT lot) AS n, list(DISTINCT lot) AS lots, {_mixed_sql('lot')} AS m FROM rolls GROUP BY doc_id), own AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'X' ELSE m END AS lot FROM sets)
-    SELECT doc_id, CASE WHEN (n > 1 AND NOT list_contains(lots, lot)) OR (n = 1 AND lot = '') THEN m ELSE lot END AS lot FROM own""")
+def _override_sql(c: str, own: str) -> str:
+    return f"CASE WHEN (n_{c} > 1 AND NOT list_contains(all_{c}, {own})) OR (n_{c} = 1 AND {own} = '') THEN m_{c} ELSE {own} END AS {c}"
+
+
+def _own_sql(c: str, k: int) -> str:
+    return f"CASE WHEN doc_id % 3 = {k} THEN '' WHEN doc_id % 3 = {(k + 1) % 3} THEN 'X' ELSE m_{c} END"
+
+
+THREE = ("lot", "color", "quality")
+
+
+@query("mixed_override", f"{WITH_ROLLS}, sets AS (SELECT doc_id, {', '.join(f'count(DISTINCT {c}) AS n_{c}, list(DISTINCT {c}) AS all_{c}, {_mixed_sql(c)} AS m_{c}' for c in THREE)} FROM rolls GROUP BY doc_id) SELECT doc_id, {', '.join(_override_sql(c, _own_sql(c, k)) for k, c in enumerate(THREE))} FROM sets")
 def mixed_override(spark, sf_dir):
-    sets = rolls(spark, sf_dir).groupBy("doc_id").agg(F.collect_set("lot").alias("lots"))
-    own = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, F.lit("X")).otherwise(T.mixed(F.col("lots")))
-    return sets.select("doc_id", R.overridden(own, F.col("lots")).alias("lot"))
+    sets = rolls(spark, sf_dir).groupBy("doc_id").agg(*[F.collect_set(c).alias(f"all_{c}") for c in THREE])
+    own = {c: F.when(F.col("doc_id") % 3 == k, F.lit("")).when(F.col("doc_id") % 3 == (k + 1) % 3, F.lit("X")).otherwise(T.mixed(F.col(f"all_{c}"))) for k, c in enumerate(THREE)}
+    return sets.select("doc_id", *[R.overridden(own[c], F.col(f"all_{c}")).alias(c) for c in THREE])
 
 
 @query("weight_crosscheck", f"{WITH_ROLLS} SELECT doc_id, CAST(cents * 100 AS BIGINT) AS cents, stated_hundredths AS stated_cents, abs(cents * 100 - stated_hundredths) * 50 > stated_hundredths AS mismatch FROM ({STATED})")
@@ -124,9 +134,11 @@ def section_fill(spark, sf_dir):
     return R.sectioned(lines).select("doc_id", "seq", "line", "section")
 
 
-@query("extraction_notes", f"{GAPPED} SELECT doc_id, concat_ws('; ', CASE WHEN count(*) FILTER (WHERE lot = '\"') > 0 THEN concat('ditto marks: ', count(*) FILTER (WHERE lot = '\"')) END, CASE WHEN count(*) FILTER (WHERE piece_number = 'Total') > 0 THEN concat('rows skipped: ', count(*) FILTER (WHERE piece_number = 'Total')) END, concat('rolls: ', count(*) FILTER (WHERE piece_number <> 'Total'))) AS notes FROM gapped GROUP BY doc_id")
+@query("extraction_notes", f"{GAPPED} SELECT doc_id, concat_ws('; ', CASE WHEN count(*) FILTER (WHERE lot = '\"') > 0 THEN concat('ditto marks: ', count(*) FILTER (WHERE lot = '\"')) END, CASE WHEN count(*) FILTER (WHERE piece_number = 'Total') > 0 THEN concat('rows skipped: ', count(*) FILTER (WHERE piece_number = 'Total')) END, concat('rolls: ', count(*) FILTER (WHERE piece_number <> 'Total')), CASE WHEN count(*) <> count(*) FILTER (WHERE piece_number <> 'Total') THEN concat('expected: ', count(*)) END, CASE WHEN doc_id % 3 = 0 THEN 'unmapped: Ctn No, FBN' END) AS notes FROM gapped GROUP BY doc_id")
 def extraction_notes(spark, sf_dir):
-    return R.extraction_notes(gapped(spark, sf_dir))
+    own = gapped(spark, sf_dir)
+    unmapped = own.where("doc_id % 3 = 0").select("doc_id", F.explode(F.array(F.lit("FBN"), F.lit("Ctn No"))).alias("heading"))
+    return R.extraction_notes(own, own.groupBy("doc_id").agg(F.count("*").alias("expected")), unmapped)
 
 
 LINE_ITEMS = "SELECT doc_id, seq, CASE WHEN seq % 4 = 3 THEN NULL ELSE lot END AS lot, CASE WHEN seq % 3 = 0 THEN '' ELSE po_number END AS po_number, piece_number, CASE WHEN seq % 6 = 5 THEN 0.0 ELSE meters END AS meters, net_weight, color, CASE WHEN doc_id % 3 = 0 THEN meters + 0.25 END AS length_yds, CASE WHEN seq % 2 = 0 THEN CAST(seq AS DOUBLE) END AS points_per_roll, CAST(seq * 1.5 AS DOUBLE) AS points_per_100m2, net_weight + 1 AS weight_gross_kgs FROM rolls WHERE doc_id % 5 <> 0"
