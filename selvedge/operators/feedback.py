@@ -58,9 +58,11 @@ def upserted(templates: DataFrame, newer: DataFrame) -> DataFrame:
 
 
 def lookup(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """Documents (doc_id, supplier_name) with their supplier's template, if it is of this version."""
-    current = templates.where(F.coalesce("schema_version", F.lit("1")) == VERSION).select("supplier_name", "fields")
-    return docs.join(current, "supplier_name", "left").select("doc_id", "supplier_name", "fields")
+    """Documents (doc_id, supplier_name) with their supplier's template, if it is of this version. Documents without a known supplier, however many, stay out of the join."""
+    current = templates.where((F.coalesce("schema_version", F.lit("1")) == VERSION) & known_supplier(F.col("supplier_name"))).select("supplier_name", "fields")
+    known = known_supplier(F.col("supplier_name"))
+    named = docs.where(known).join(current, "supplier_name", "left").select("doc_id", "supplier_name", "fields")
+    return named.unionByName(docs.where(~known).select("doc_id", "supplier_name", F.lit(None).cast(templates.schema["fields"].dataType).alias("fields")))
 
 
 def as_evidence(found: DataFrame) -> DataFrame:

@@ -51,6 +51,10 @@ def layout(roll: Column, lot: Column, text: Column) -> Column:
 
 def key_pages(pages: DataFrame, whole: int = 15) -> DataFrame:
     """The pages (doc_id, page_number, page_type, doc_type) that matter of each document: all of a short or hybrid one; else its headers, its first page of items and its last summary, or else its last page."""
+    return _key_rows(pages, whole).select("doc_id", "page_number", "page_type")
+
+
+def _key_rows(pages: DataFrame, whole: int) -> DataFrame:
     every = Window.partitionBy("doc_id")
     of_kind = Window.partitionBy("doc_id", "page_type")
     rows = pages.withColumns(
@@ -66,7 +70,7 @@ def key_pages(pages: DataFrame, whole: int = 15) -> DataFrame:
     chosen |= (F.col("page_type") == "item_table") & (F.col("page_number") == F.col("first_of_kind"))
     chosen |= (F.col("page_type") == "summary") & (F.col("page_number") == F.col("last_of_kind"))
     chosen |= ~F.col("has_summary") & (F.col("page_number") == F.col("last"))
-    return rows.where(chosen).select("doc_id", "page_number", "page_type")
+    return rows.where(chosen)
 
 
 #: Characters of a document's context, at most.
@@ -75,7 +79,7 @@ MOST_CONTEXT = 2_000_000
 
 def context(pages: DataFrame, tables: DataFrame | None = None, most: int = MOST_CONTEXT, whole: int = 15) -> DataFrame:
     """doc_id and context: the text of each document's key pages that have some, each under a banner with its number and kind, and with its tables (doc_id, page_number, tbl, markdown), if any; cut after `most` characters."""
-    chosen = key_pages(pages, whole).join(pages.select("doc_id", "page_number", "raw_text").where("raw_text <> ''"), ["doc_id", "page_number"])
+    chosen = _key_rows(pages, whole).where("raw_text <> ''")
     text = F.concat(F.lit("--- Page "), F.col("page_number").cast("string"), F.lit(" ("), "page_type", F.lit(") ---\n"), "raw_text", F.lit("\n"))
     if tables is not None:
         listed = F.array_sort(F.collect_list(F.struct("tbl", "markdown")))
