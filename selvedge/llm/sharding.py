@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MASK = (1 << 32) - 1
-#: Rows of a shard that one task numbers, about.
+#: Different rows of a shard that one task numbers, about.
 SLOT_BLOCK = 20_000
 
 
@@ -47,7 +47,7 @@ def rendezvous(hashes: Column, weights: list[float]) -> Column:
 def sharded(docs: DataFrame, weights: list[float] | None = None, added: float = 1.0) -> DataFrame:
     """Per document: doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law ('key'), shard, slot (its place in the shard, gapless from 0), grown_shard (its shard if one of weight `added` were there too).
 
-    Slots follow a hash of doc_id, then doc_id, size and text_crc32. They are numbered in blocks of each shard, so that no task sees a whole shard. Null texts are empty and null ids one more key; rows that repeat each have a slot; other columns are ignored.
+    Slots follow a hash of doc_id and text_crc32, then doc_id, size and text_crc32. Rows that are equal in these are counted first and numbered as one; the others are numbered in blocks of each shard, so that no task sees a whole shard, nor all rows of one id or text. Null texts are empty and null ids one more key; rows that repeat each have a slot; other columns are ignored.
     """
     weights = weights or [1.0] * 8
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -59,17 +59,17 @@ def sharded(docs: DataFrame, weights: list[float] | None = None, added: float =
         key_hashes(doc_id, range(-1, len(weights) + 1)).alias("hashes"),
     )
     own = F.slice("hashes", 2, len(weights) + 1)
-    rows = rows.select("doc_id", "size", "text_crc32", rendezvous(own, weights).alias("shard"), rendezvous(own, [*weights, added]).alias("grown_shard"), F.get("hashes", F.lit(0)).alias("place"))
+    place = F.get(mixed32(F.array(F.get("hashes", F.lit(0)).bitwiseXOR(F.col("text_crc32")))), F.lit(0))
+    rows = rows.select("doc_id", "size", "text_crc32", rendezvous(own, weights).alias("shard"), rendezvous(own, [*weights, added]).alias("grown_shard"), place.alias("place"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard", "place").agg(F.count("*").alias("n_alike"))
     n_blocks = max(1, -(-docs.count() // (SLOT_BLOCK * len(weights))))
     rows = rows.withColumn("block", F.floor(F.col("place") * n_blocks / float(1 << 32)).cast("long"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "block").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")).select("shard", "block", "start")
-    within = Window.partitionBy("shard", "block").orderBy("place", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
-    return (
-        rows.withColumn("n", F.row_number().over(within))
-        .join(starts, ["shard", "block"])
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("n") - 1).alias("slot"), "grown_shard")
-    )
+    starts = rows.groupBy("shard", "block").agg(F.sum("n_alike").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")).select("shard", "block", "start")
+    within = Window.partitionBy("shard", "block").orderBy("place", F.col("doc_id").asc_nulls_first(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("before", F.coalesce(F.sum("n_alike").over(within), F.lit(0))).join(starts, ["shard", "block"])
+    each = F.explode(F.sequence(F.col("start") + F.col("before"), F.col("start") + F.col("before") + F.col("n_alike") - 1)).alias("slot")
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", each, "grown_shard")
 
 
 def _mixed_sql(table: str, column: str, more: str) -> str:
@@ -96,6 +96,7 @@ def oracle(n_shards: int = 8) -> str:
             FROM bytes, folding),
         placed AS (
             SELECT doc_id, size, crc, arg_max(s, (k, -s)) FILTER (WHERE s BETWEEN 0 AND {n_shards - 1}) AS shard, arg_max(s, (k, -s)) FILTER (WHERE s >= 0) AS grown, max(k) FILTER (WHERE s = -1) AS place
-            FROM {each} GROUP BY doc_id, size, crc)
-        SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY place, doc_id NULLS FIRST, size, crc) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard
-        FROM placed"""
+            FROM {each} GROUP BY doc_id, size, crc),
+        spread AS (SELECT * FROM {_mixed_sql("(SELECT doc_id, size, crc, shard, grown, xor(place, crc) AS k FROM placed)", "k", "doc_id, size, crc, shard, grown")})
+        SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY k, doc_id NULLS FIRST, size, crc) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard
+        FROM spread"""

@@ -346,6 +346,13 @@ def test_sharding(spark):
         assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
     assert max(sum(r.shard == s for r in rows) for s in range(8)) < 1.15 * 5000 / 8
     assert 0.08 < sum(r.grown_shard == 8 for r in rows) / 5000 < 0.15
+    hot = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, IF(id % 3 = 1, 7, id)) AS doc_id", "IF(id % 2 = 0, 'the same', concat('t', id)) AS text")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sharding, "SLOT_BLOCK", 50)
+        rows = sharding.sharded(hot).collect()
+    assert len({r.shard for r in rows if r.doc_id is None}) == 1 == len({r.shard for r in rows if r.doc_id == 7})
+    for shard in range(8):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
     weighted = sharding.sharded(many, [3.0, 1.0]).groupBy("shard").count().collect()
     assert 2.5 < dict((r.shard, r["count"]) for r in weighted)[0] / dict((r.shard, r["count"]) for r in weighted)[1] < 3.5
     assert sharding.sharded(frame).count() == 2 * len(ROWS) and sharding.sharded(empty(spark)).count() == 0
