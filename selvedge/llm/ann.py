@@ -29,8 +29,8 @@ TREES, AXES, PAIRS = 224, 64, 28
 WINDOW, BUDGET = 16, 4096
 #: Entries of a tree in one task, about, and of a shard of vectors. Strings sampled for each cut.
 PART_ROWS, SHARD_ROWS, SAMPLED = 1 << 18, 1024, 256
-#: Rows that are hashed at a time.
-HASHED = 4096
+#: Rows whose strings go together, and rows (or pairs) that are computed at a time, few enough for a core's own cache.
+HASHED, CACHED = 4096, 512
 
 
 @functools.lru_cache(maxsize=2)
@@ -55,20 +55,20 @@ def strings(vectors: np.ndarray) -> np.ndarray:
     """The hash strings (tree, vector) as 63-bit integers, the first symbol highest."""
     units = scaled(vectors)
     units = (units / np.sqrt((units * units).sum(axis=1, keepdims=True))).astype(np.float32)
-    axes, n = min(vectors.shape[1], AXES), len(vectors)
-    out = np.empty((TREES, n), dtype=np.int64)
-    packed = np.empty((n, 8), dtype=np.uint8)
-    bits = np.empty((n, PAIRS, 2), dtype=bool)
-    for tree, rotation in enumerate(directions(vectors.shape[1])):
-        turned = units @ rotation
-        place = np.abs(turned[:, :axes]).argmax(axis=1)
-        packed[:, 0] = 2 * place + (turned[np.arange(n), place] > 0)
-        pairs = turned[:, axes:].reshape(n, PAIRS, 2)
-        first, second = pairs[:, :, 0], pairs[:, :, 1]
-        np.greater(np.abs(second), np.abs(first), out=bits[:, :, 0])
-        bits[:, :, 1] = np.where(bits[:, :, 0], second, first) > 0
-        packed[:, 1:] = np.packbits(bits.reshape(n, 2 * PAIRS), axis=1)
-        out[tree] = packed.view(">i8").ravel()
+    axes, out = min(vectors.shape[1], AXES), np.empty((TREES, len(vectors)), dtype=np.int64)
+    for a in range(0, len(units), CACHED):
+        some = units[a : a + CACHED]
+        n = len(some)
+        packed, bits = np.empty((n, 8), dtype=np.uint8), np.empty((n, PAIRS, 2), dtype=bool)
+        for tree, rotation in enumerate(directions(vectors.shape[1])):
+            turned = some @ rotation
+            place = np.abs(turned[:, :axes]).argmax(axis=1)
+            packed[:, 0] = 2 * place + (turned[np.arange(n), place] > 0)
+            first, second = turned[:, axes : axes + PAIRS], turned[:, axes + PAIRS :]
+            np.greater(np.abs(second), np.abs(first), out=bits[:, :, 0])
+            bits[:, :, 1] = np.where(bits[:, :, 0], second, first) > 0
+            packed[:, 1:] = np.packbits(bits.reshape(n, 2 * PAIRS), axis=1)
+            out[tree, a : a + n] = packed.view(">i8").ravel()
     return out
 
 
@@ -202,9 +202,9 @@ def nearest_pairs(asked: pa.Table, own: pa.Table, dim: int, most: int) -> tuple[
     theirs, mine = (scaled(matrix(t.column("vector").combine_chunks())) for t in (own, asked))
     lengths = [np.sqrt((x * x).sum(axis=1)) for x in (theirs, mine)]
     score = np.empty(len(ids))
-    for a in range(0, len(ids), HASHED):
-        i, j = at[a : a + HASHED], row[a : a + HASHED]
-        score[a : a + HASHED] = (theirs[i] * mine[j]).sum(axis=1) / (lengths[0][i] * lengths[1][j])
+    for a in range(0, len(ids), CACHED):
+        i, j = at[a : a + CACHED], row[a : a + CACHED]
+        score[a : a + CACHED] = (theirs[i] * mine[j]).sum(axis=1) / (lengths[0][i] * lengths[1][j])
     order = np.lexsort((ids, -score, row))
     place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
     best = order[place < most]
