@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, fingerprints, language, license_scan, near_dedup, packing, quality, sharding, token_counts, tokenizer_codec
+from . import ann, decontamination, fingerprints, language, license_scan, near_dedup, packing, quality, sharding, token_counts, tokenizer_codec
 from .shared import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.scanned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -73,9 +77,11 @@ QUERIES: dict[str, Query] = {
         op8_prefix_forest,
         op9_retrieval_packing,
         op10_token_counts,
+        op13_benchmark_decontamination,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op7_rendezvous_shards": sharding.oracle(),
+    "op13_benchmark_decontamination": decontamination.oracle(),
 }
