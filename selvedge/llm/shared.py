@@ -83,6 +83,29 @@ def row_keys(df: DataFrame, *columns: str) -> tuple[Column, Column]:
     return F.xxhash64(*parts).alias("key_1"), F.xxhash64(F.lit(1), *parts).alias("key_2")
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever case their names are told apart by."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += " own"
+    return name
+
+
+#: Copies of one row that one array holds, and beyond which they are dealt to several tasks.
+COPIES = 10_000
+
+
+def copies(df: DataFrame, first: str, n: str, number: str) -> DataFrame:
+    """Each row n times, numbered from first on; the columns first and n go. Rows of more than COPIES copies are cut into parts that are dealt to tasks before they become rows. The frame is read twice, so it should be written or cheap."""
+    others = [c for c in df.columns if c not in (first, n)]
+    whole = lambda frame: frame.select(*others, F.explode(F.sequence(F.col(first).cast("long"), (F.col(first) + F.col(n) - 1).cast("long"))).alias(number))
+    begin, part = unused("begin", df), unused("part", df)
+    many = df.where(F.col(n) > COPIES).select("*", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col(n) - 1) / COPIES).cast("long"))).alias(part))
+    many = many.withColumn(begin, F.col(first) + F.col(part) * COPIES).withColumn(n, F.least(F.lit(COPIES), F.col(n) - F.col(part) * COPIES)).drop(first, part).withColumnRenamed(begin, first)
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return whole(df.where(F.col(n) <= COPIES)).unionByName(whole(many.repartition(spread, F.col(first))))
+
+
 def rows_at_most(df: DataFrame, bound: int) -> list:
     """Collect a frame that has no more rows than a proven bound."""
     rows = df.collect()
