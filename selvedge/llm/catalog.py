@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, fingerprints, language, license_scan, near_dedup, packing, quality, resampling, sharding, token_counts, tokenizer_codec
+from . import ann, collocations, decontamination, fingerprints, language, license_scan, near_dedup, packing, quality, resampling, sharding, token_counts, tokenizer_codec
 from .shared import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.digest(resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
         op8_prefix_forest,
         op9_retrieval_packing,
         op10_token_counts,
+        op11_phrase_collocations,
         op12_importance_resampling,
         op13_benchmark_decontamination,
     )
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op7_rendezvous_shards": sharding.oracle(),
+    "op11_phrase_collocations": collocations.oracle(),
     "op12_importance_resampling": resampling.oracle(),
     "op13_benchmark_decontamination": decontamination.oracle(),
 }
