@@ -28,7 +28,9 @@ STEP = U64(0x9E3779B97F4A7C15)
 #: Bits of the hash of a word and its language that find its bit among those of frequent words: a table of 2 MB.
 WORD_BITS = 24
 #: Bytes of text whose suffixes are counted together before the shuffle.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
+#: Suffixes that are written out together.
+WRITTEN = 50_000
 #: Suffix rows that one task sorts, about.
 PART_ROWS = 4_000_000
 
@@ -47,7 +49,7 @@ class Words:
         owner = span_hashes(name, at[:-1], at[1:]) if len(self.languages) else np.zeros(0, dtype=U64)
         self.language = np.repeat(code, np.diff(begins))  # of each word
         self.keys = mixed(span_hashes(self.data, self.starts, self.ends) * STEP + owner[self.language])
-        marks = np.concatenate(([0], np.cumsum(MARK[self.data])))
+        marks = np.concatenate(([0], np.cumsum(MARK[self.data], dtype=np.int32)))
         document = np.repeat(np.arange(batch.num_rows), np.diff(begins))
         #: Whether the next word follows in the same piece.
         self.followed = np.zeros(len(self.starts), dtype=bool)
@@ -134,8 +136,10 @@ def suffixes(docs: DataFrame, bits, hot, max_n: int) -> DataFrame:
                 deal[deeper] = mixed(deal[deeper] * STEP + own[follow[deeper] - 1])
                 n_hot[deeper] += often_own[follow[deeper]]
             _, first, n = np.unique(code, return_index=True, return_counts=True)
-            columns = [words.languages.take(pa.array(words.language[at[first]])), words.texts(at[first], length[first]), pa.array(n, pa.int64()), pa.array(n_hot[first], pa.int32()), pa.array(deal[first].view(np.int64))]
-            yield from pa.Table.from_arrays(columns, names=["lang", "suffix", "n", "hot", "deal"]).to_batches(max_chunksize=50_000)
+            for start in range(0, len(first), WRITTEN):
+                some = first[start : start + WRITTEN]
+                columns = [words.languages.take(pa.array(words.language[at[some]])), words.texts(at[some], length[some]), pa.array(n[start : start + WRITTEN], pa.int64()), pa.array(n_hot[some], pa.int32()), pa.array(deal[some].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "suffix", "n", "hot", "deal"])
 
     return docs.mapInArrow(made, "lang string, suffix string, n long, hot int, deal long")
 
@@ -154,7 +158,7 @@ class Stack:
 
     def close(self, k: int) -> None:
         """Give out what is open with k + 1 words, if it is counted often enough or counted by other tasks too."""
-        if self.phrases[k] is not None and (self.counts[k] >= self.least or self.hot[k] > k):
+        if self.phrases[k] is not None and (self.counts[k] >= self.least or self.max_n - 1 > k < self.hot[k]):
             self.out.append((self.lang, self.phrases[k], self.counts[k]))
 
     def passed(self, batch: pa.RecordBatch) -> None:
@@ -181,7 +185,7 @@ class Stack:
             self.close(k)
             n = sums[np.append(changed[1:], rows)] - sums[changed]
             real = n_words[changed] > k
-            for i in np.flatnonzero(real[:-1] & ((n[:-1] >= self.least) | (hot[changed[:-1]] > k))).tolist():
+            for i in np.flatnonzero(real[:-1] & ((n[:-1] >= self.least) | (hot[changed[:-1]] > k) & (k < self.max_n - 1))).tolist():
                 row = int(changed[i])
                 self.out.append((languages[language[row]], beginning(row, k), int(n[i])))
             row = int(changed[-1])
@@ -202,7 +206,7 @@ def phrase_counts(docs: DataFrame, max_n: int, least: int) -> tuple[DataFrame, D
     sizes = written(counts.groupBy("lang").agg(F.sum("n").alias("n")), "words")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_ROWS))
-    often = rows_at_most(counts.where(F.col("n") * (4 * n_parts) >= total).select("word"), 4 * n_parts)
+    often = rows_at_most(counts.where(F.col("n") * n_parts >= total).select("word"), n_parts)
     hot = spark.sparkContext.broadcast(np.sort(np.array([w for (w,) in often], dtype=np.int64).view(U64)))
     bits = spark.sparkContext.broadcast(frequent_bits(counts, least))
 
