@@ -17,10 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import batches_by_bytes, documents, ids_for_join, row_key, written
+from .shared import batches_by_bytes, documents, ids_for_join, row_key, rows_at_most, unused, written
 from .spans import LOWER, buffers, byte_class
 
 UNKNOWN = "und"
+#: The class of all labels beyond the CLASSES most frequent ones (the world's two-letter codes are fewer).
+OTHER, CLASSES = "other", 200
 #: Labelled texts that the text model is trained on (about so many of a larger table), so many of each label at least (all, where it has fewer), and hashed trigrams.
 SAMPLE, LEAST, CELLS = 3000, 100, 1 << 14
 #: A trigram counts as this share of an independent observation.
@@ -61,6 +63,22 @@ def visible(markup: str | None) -> str:
     return html.unescape(" ".join(parts))
 
 
+#: The tag of the page's element, and the language among its attributes.
+ROOT = re.compile(r"(?i)<html\b")
+DECLARED = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})""")
+
+
+def declared_in(markup: str | None) -> str:
+    """The primary part of the language that a page's first html tag declares, '' for none. The tag is read once, to its end or, unclosed, the page's."""
+    markup = markup or ""
+    root = ROOT.search(markup)
+    if not root:
+        return ""
+    end = markup.find(">", root.end())
+    found = DECLARED.search(markup, root.end(), end if end >= 0 else len(markup))
+    return found[1].lower() if found else ""
+
+
 def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of the letters of each text, without those with two spaces or more, and the n + 1 places where texts' begin."""
     data, offsets = buffers(column)
@@ -96,7 +114,7 @@ class TextModel:
 
 
 def trained(docs: DataFrame, label: str = "lang") -> TextModel:
-    """A text model from documents with a label. Its languages are the primary parts (tag()) of all labels of all documents; each is sampled at a rate of its own, SAMPLE's share but LEAST texts at least, chosen by a hash of doc_id and text. Without labelled texts, UNKNOWN is the only language."""
+    """A text model from documents with a label. Its languages are the primary parts (tag()) of all labels of all documents, the CLASSES most frequent ones and OTHER at most; each is sampled at a rate of its own, SAMPLE's share but LEAST texts at least, chosen by a hash of doc_id and text. Without labelled texts, UNKNOWN is the only language."""
     known = documents(docs, tag(F.col(label).cast("string")).alias("language")).where("language <> ''")
     known = known.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
 
@@ -106,7 +124,11 @@ def trained(docs: DataFrame, label: str = "lang") -> TextModel:
             counted = [np.unique(cells[a:b], return_counts=True) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("language"), pa.array([x for x, _ in counted], pa.list_(pa.int32())), pa.array([x for _, x in counted], pa.list_(pa.int32()))], names=["doc_id", "language", "cells", "counts"])
 
-    labels = known.groupBy("language").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()  # one row for each label, as the model has
+    counts = known.groupBy("language").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    labels = counts.orderBy(F.desc("n"), "language").limit(CLASSES + 1).collect()
+    if len(labels) > CLASSES:
+        known = known.withColumn("language", F.when(F.col("language").isin(*[r["language"] for r in labels[:CLASSES]]), F.col("language")).otherwise(F.lit(OTHER)))
+        labels = rows_at_most(known.groupBy("language").agg(F.count("*").alias("n"), F.min("place").alias("first")), CLASSES + 1)
     total = sum(r["n"] for r in labels)
     quota = {r["language"]: max(LEAST, math.ceil(SAMPLE * r["n"] / total)) for r in labels}
     # The row of the least place is in the sample whatever the rate.
@@ -134,19 +156,20 @@ def softmax(logs: np.ndarray) -> np.ndarray:
 
 
 def evidence(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame:
-    """id, host, domain, declared, suffix, n_trigrams, logs (tempered log likelihoods) and text_p (posterior of the text alone, all languages equal) from rows of id, content, host, domain, declared, suffix."""
+    """id, host, domain, declared, suffix, n_trigrams, logs (tempered log likelihoods) and text_p (posterior of the text alone, all languages equal) from rows of id, content, host, domain, declared, suffix. With `markup`, content is a page, and what it declares is read from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "content"):
-            column = batch.column("content")
+            column, declared = batch.column("content"), batch.column("declared")
             if markup:
+                declared = pa.array([declared_in(x) for x in column.to_pylist()], pa.string())
                 column = pa.array([visible(x) for x in column.to_pylist()], pa.large_string())
             logs, n = model.likelihoods(column)
-            names = ["id", "host", "domain", "declared", "suffix"]
+            names = ["id", "host", "domain", "suffix"]
             lists = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel())) for x in (logs, softmax(logs))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(n, pa.int64()), *lists], names=[*names, "n_trigrams", "logs", "text_p"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], declared, pa.array(n, pa.int64()), *lists], names=[*names, "declared", "n_trigrams", "logs", "text_p"])
 
-    return rows.mapInArrow(run, "id long, host string, domain string, declared string, suffix int, n_trigrams long, logs array<double>, text_p array<double>")
+    return rows.mapInArrow(run, "id long, host string, domain string, suffix int, declared string, n_trigrams long, logs array<double>, text_p array<double>")
 
 
 def _sums(k: int) -> Column:
@@ -223,14 +246,13 @@ def tag(column: Column) -> Column:
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Rows for evidence() from pages (page_id, url, html): what the html element declares; the host's last label and the first part of the path where it is a language code; domains are the last two labels."""
+    """Rows for evidence() from pages (page_id, url, html): the host's last label and the first part of the path where it is a language code; domains are the last two labels; what a page declares is read with its text."""
     url = F.lower(F.coalesce(F.col("url").cast("string"), F.lit("")))
     markup = F.coalesce(F.col("html").cast("string"), F.lit(""))
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     path = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/?#]*/([a-z]{2,3})(?:[/?#]|$)", 1)
-    declared = code(F.regexp_extract(markup, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3}(?:[-_][a-z0-9]+)*)""", 1))
     suffix = F.concat_ws("|", F.regexp_extract(host, r"([^.]*)$", 1), path)
-    return pages.select(F.col("page_id").cast("long").alias("id"), markup.alias("content"), host.alias("host"), F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1).alias("domain"), declared.alias("declared"), F.pmod(F.xxhash64(suffix), F.lit(SUFFIXES)).cast("int").alias("suffix"))
+    return pages.select(F.col("page_id").cast("long").alias("id"), markup.alias("content"), host.alias("host"), F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1).alias("domain"), F.lit("").alias("declared"), F.pmod(F.xxhash64(suffix), F.lit(SUFFIXES)).cast("int").alias("suffix"))
 
 
 def document_key(docs: DataFrame) -> Column:
@@ -246,16 +268,18 @@ def document_rows(docs: DataFrame) -> DataFrame:
 def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """Per page: page_id, host, declared, language, confidence, text_language, n_trigrams. `labelled` (doc_id, text, lang) trains the text model.
 
-    Null or malformed addresses have host '', null html is an empty page, both still get a language from what else is known (an empty page without a declaration, from its host and suffix); unclosed markup of any length is read in one pass; repeated rows come out as often as they went in, and count as often in the priors; other columns are ignored.
+    Null or malformed addresses have host '', null html is an empty page, both still get a language from what else is known (an empty page without a declaration, from its host and suffix); unclosed markup of any length is read in one pass; the first html tag alone declares; labels beyond the CLASSES most frequent ones are one class; repeated rows come out as often as they went in, and count as often in the priors; other columns are ignored.
     """
     model = trained(labelled)
     return fused(written(evidence(page_rows(pages), model, markup=True), "page-evidence"), model).withColumnRenamed("id", "page_id")
 
 
 def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows (with all their columns) whose language is one of those that the documents are labelled with, at a confidence of `least` or more. Each row is judged by its own text, whatever its doc_id; one with neither text nor label is in no language, wherever it is from. An empty table stays empty, rows that repeat are judged alike, and no column's name clashes."""
+    """The rows (with all their columns) whose language is one of those that the documents are labelled with, at a confidence of `least` or more. Each row is judged by its own text, whatever its doc_id; one with neither text nor label is in no language, wherever it is from. An empty table stays empty, rows that repeat are judged alike, and other columns may have any name."""
     model = trained(docs)
     fine = (F.col("language") != UNKNOWN) & (F.col("confidence") >= least) & ((F.col("n_trigrams") > 0) | (F.col("declared") != ""))
-    judged = written(fused(written(evidence(document_rows(docs), model, markup=False), "evidence"), model).select("id", F.coalesce(fine, F.lit(False)).alias("ok")), "languages")
-    rejected = judged.where(~F.col("ok")).select(F.col("id").alias("rejected_key")).distinct()
-    return docs.join(ids_for_join(rejected), document_key(docs) == F.col("rejected_key"), "left_anti")
+    judged = fused(written(evidence(document_rows(docs), model, markup=False), "evidence"), model).select("id", F.coalesce(fine, F.lit(False)).alias("ok"))
+    name = unused("rejected", docs)
+    # Where different rows share an id by chance, one that is fine keeps the others too.
+    rejected = written(judged.groupBy("id").agg(F.bool_or("ok").alias("ok")).where("NOT ok").select(F.col("id").alias(name)), "rejected")
+    return docs.join(ids_for_join(rejected), document_key(docs) == F.col(name), "left_anti")
