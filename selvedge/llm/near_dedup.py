@@ -27,6 +27,8 @@ CHANCE = 1 / 3 / (1 << MANTISSA)
 DEVIATIONS = 6
 #: Bands whose buckets are compared with their least member first, and members of a block.
 FIRST_BANDS, BLOCK = 6, 512
+#: Shingles of one block, about 60 bytes each where blocks are compared on full sets.
+BLOCK_SHINGLES = 1_500_000
 MULTIPLIERS = mixed(np.arange(1, 65, dtype=U64) * U64(0xA24BAED4963EE407)) | U64(1)
 
 
@@ -248,15 +250,16 @@ TOGETHER = ["key", "host_block", "guest_block"]
 
 
 def roles(members: DataFrame) -> DataFrame:
-    """Members (key, id, component) of buckets that hold different components, once for each comparison that they take part in: host_block and guest_block name it, host says on which side they are, block is a host's own block (else -1).
+    """Members (key, id, component, n_shingles) of buckets that hold different components, once for each comparison that they take part in: host_block and guest_block name it, host says on which side they are, block is a host's own block (else -1).
 
-    Hosts are the members outside the bucket's largest component. Each meets every member of that component once, and each pair of hosts meets once. With n members, r of them hosts, that is n + r rows up to a block of BLOCK hosts, and n * r / BLOCK beyond.
+    Hosts are the members outside the bucket's largest component. Each meets every member of that component once, and each pair of hosts meets once. With n members, r of them hosts, that is n + r rows up to a block of BLOCK hosts, and n * r / BLOCK beyond. Blocks hold BLOCK_SHINGLES shingles in all, about, where texts are long (or one longer set): a comparison holds two blocks.
     """
     open_ = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    sizes = members.join(open_, "key").groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n"))
-    n_hosts = F.col("n") - F.col("n_largest")
-    buckets = buckets.select("key", "largest", n_hosts.alias("n_hosts"), F.ceil(n_hosts / BLOCK).cast("int").alias("n_blocks"), F.ceil(F.col("n") / BLOCK).cast("int").alias("n_guest_blocks"))
+    sizes = members.join(open_, "key").groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("width"))
+    buckets = sizes.groupBy("key").agg(F.max_by(F.struct("component", "n", "width"), F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.sum("width").alias("width"))
+    n_hosts, host_width = F.col("n") - F.col("largest.n"), F.col("width") - F.col("largest.width")
+    n_blocks = lambda n, width: F.greatest(F.ceil(n / BLOCK), F.ceil(width / BLOCK_SHINGLES)).cast("int")
+    buckets = buckets.select("key", F.col("largest.component").alias("largest"), n_hosts.alias("n_hosts"), n_blocks(n_hosts, host_width).alias("n_blocks"), n_blocks(F.col("n"), F.col("width")).alias("n_guest_blocks"))
     rows = members.join(buckets, "key").withColumn("host", F.col("component") != F.col("largest"))
     rows = rows.withColumn("block", F.when(F.col("host"), F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")).otherwise(-1)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_guest_blocks")).cast("int"))
     as_host = rows.where("host").select("key", "id", "component", "host", "block", F.col("block").alias("host_block"), F.explode(F.sequence(F.lit(0), F.col("n_guest_blocks") - 1)).alias("guest_block"))
@@ -278,9 +281,9 @@ def hopeful_members(members: DataFrame, sets: DataFrame, shape: Shape) -> DataFr
             ids, groups, blocks, sizes = (table.column(c).to_numpy() for c in ("id", "component", "block", "n_shingles"))
             hosts, sketch = table.column("host").to_numpy(), sketches(table.column("sketch"))
             marks = [with_partners(ids[a:b], groups[a:b], blocks[a:b], hosts[a:b], sizes[a:b], sketch[a:b], shape.percent) for a, b in zip(begins, [*begins[1:], table.num_rows], strict=True)]
-            yield from table.select(["key", "id", "component"]).filter(pa.array(np.concatenate(marks))).combine_chunks().to_batches()
+            yield from table.select(["key", "id", "component", "n_shingles"]).filter(pa.array(np.concatenate(marks))).combine_chunks().to_batches()
 
-    return dealt(members, sets.select("id", "n_shingles", "sketch"), "n_shingles", "sketch").mapInArrow(run, "key long, id long, component long").distinct()
+    return dealt(members, sets.select("id", "n_shingles", "sketch"), "n_shingles", "sketch").mapInArrow(run, "key long, id long, component long, n_shingles long").distinct()
 
 
 def settled(members: DataFrame, full: DataFrame, shape: Shape) -> DataFrame:
@@ -308,7 +311,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signs = written(signatures(docs, shape), "signatures")
     sets = signs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("least_doc"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     sets = written(sets.withColumn("id", set_id("key1", "key2", "n_shingles")), "sets")
-    rows = sets.select("id", "least_doc", F.posexplode("bands").alias("band", "key")).where("key IS NOT NULL")
+    rows = sets.select("id", "least_doc", "n_shingles", F.posexplode("bands").alias("band", "key")).where("key IS NOT NULL")
     buckets = rows.groupBy("key").agg(F.count("*").alias("n_members"), F.min_by("id", "least_doc").alias("first")).where("n_members > 1")
     members = written(rows.drop("least_doc").join(buckets, "key"), "members")
     pairs = members.where((F.col("band") < FIRST_BANDS) & (F.col("id") != F.col("first"))).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
@@ -317,7 +320,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     full = full_sets(docs, holders.join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id"), shape)
     first = components(verified(pairs, full, shape))
 
-    placed = members.select("key", "id").join(first, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.select("key", "id", "n_shingles").join(first, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"), "n_shingles")
     unsettled = written(hopeful_members(placed, sets, shape), "unsettled")
     full = full_sets(docs, holders.join(unsettled.select("id").distinct(), "id"), shape)
     more = settled(unsettled, full, shape)
