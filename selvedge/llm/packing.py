@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing_tokens import codec
-from .shared import batches_by_bytes, documents, ids_for_join, rows_at_most, sorted_groups, written
+from .shared import batches_by_bytes, copies, documents, ids_for_join, rows_at_most, sorted_groups, written
 from .token_counts import ragged
 
 WINDOW, END = 4096, 2
@@ -178,6 +178,18 @@ def with_keys(tokens: DataFrame, places: np.ndarray, kind: str) -> DataFrame:
     return tokens.mapInArrow(run, "doc_id long, n_tokens long, ids binary, spread double, first long, second long")
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids and spread: an even number from 0 to 1 that follows doc_id, ids and, among equal rows, the number of the row, so that every run deals alike and copies are spread as well as others."""
+    keys = F.xxhash64("doc_id", "ids"), F.xxhash64(F.lit(1), "doc_id", "ids")
+    rows = rows.select("doc_id", "n_tokens", "ids", F.struct(keys[0].alias("a"), keys[1].alias("b")).alias("key"))
+    repeats = ids_for_join(written(rows.groupBy("key").count().where("count > 1"), "repeats"))
+    ones = rows.join(repeats, "key", "left_anti").withColumn("number", F.lit(1).cast("long"))
+    several = rows.join(repeats, "key").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("ids").alias("ids"), F.first("count").alias("n"), F.lit(1).cast("long").alias("first"))
+    every = ones.unionByName(copies(written(several, "repeated-rows"), "first", "n", "number"))
+    spread = F.pmod(F.xxhash64("key.b", "number"), F.lit(1 << 30)) / float(1 << 30)
+    return every.select("doc_id", "n_tokens", "ids", spread.alias("spread"))
+
+
 def dealt(keyed: DataFrame, n_tokens: int, n_shards: int, n_keys: int) -> DataFrame:
     """Rows of with_keys() with their shard: equal cuts, by tokens, of the documents in order of first, then of a cell of second, then of spread (0 to 1, even)."""
     spark = keyed.sparkSession
@@ -219,7 +231,5 @@ def packed(docs: DataFrame, vocabulary: str | None = None, end: int = END, shard
                 found = pieces(ids, texts, packed_order(texts, idf, mean), table.column("shard")[a].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
 
-    # A row's place in the written table is the same however often a task is run, and even, whatever its id or text.
-    spread = F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(1 << 30)) / float(1 << 30)
-    keyed = with_keys(rows.select("doc_id", "n_tokens", "ids", spread.alias("spread")), token_order(frequencies, n_docs), kind)
+    keyed = with_keys(spread_out(rows), token_order(frequencies, n_docs), kind)
     return dealt(keyed, n_tokens, n_shards, n_ids + 1).repartitionById(n_shards, "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(run, PIECES)
