@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import copies, written
+
 MASK = (1 << 32) - 1
 #: Different rows of a shard that one task numbers, about.
 SLOT_BLOCK = 20_000
@@ -47,7 +49,7 @@ def rendezvous(hashes: Column, weights: list[float]) -> Column:
 def sharded(docs: DataFrame, weights: list[float] | None = None, added: float = 1.0) -> DataFrame:
     """Per document: doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law ('key'), shard, slot (its place in the shard, gapless from 0), grown_shard (its shard if one of weight `added` were there too).
 
-    Slots follow a hash of doc_id and text_crc32, then doc_id, size and text_crc32. Rows that are equal in these are counted first and numbered as one; the others are numbered in blocks of each shard, so that no task sees a whole shard, nor all rows of one id or text. Null texts are empty and null ids one more key; rows that repeat each have a slot; other columns are ignored.
+    Slots follow a hash of doc_id and text_crc32, then doc_id, size and text_crc32. Rows that are equal in these are counted first and numbered as one, then come back in parts of COPIES, each a task's work of its own; the others are numbered in blocks of each shard, so that no task sees a whole shard, nor all rows of one id or text. Null texts are empty and null ids one more key; rows that repeat each have a slot; other columns are ignored.
     """
     weights = weights or [1.0] * 8
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -68,8 +70,8 @@ def sharded(docs: DataFrame, weights: list[float] | None = None, added: float =
     starts = rows.groupBy("shard", "block").agg(F.sum("n_alike").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")).select("shard", "block", "start")
     within = Window.partitionBy("shard", "block").orderBy("place", F.col("doc_id").asc_nulls_first(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("before", F.coalesce(F.sum("n_alike").over(within), F.lit(0))).join(starts, ["shard", "block"])
-    each = F.explode(F.sequence(F.col("start") + F.col("before"), F.col("start") + F.col("before") + F.col("n_alike") - 1)).alias("slot")
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", each, "grown_shard")
+    numbered = written(numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("before")).alias("first"), "n_alike", "grown_shard"), "numbered")
+    return copies(numbered, "first", "n_alike", "slot").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def _mixed_sql(table: str, column: str, more: str) -> str:
