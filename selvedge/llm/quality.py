@@ -240,8 +240,11 @@ def accepted(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     """The rows of good documents, with all their columns, in one pass without a join."""
     scorer = scorer or fitted(docs)
 
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # any name will do for a column
+    text = f"c{docs.columns.index('text')}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_by_bytes(batches, "text"):
-            yield batch.filter(pa.array(scorer.scores(Texts(batch.column("text"))) >= 0.5))
+        for batch in batches_by_bytes(batches, text):
+            yield batch.filter(pa.array(scorer.scores(Texts(batch.column(text))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
