@@ -103,6 +103,7 @@ def test_large_buckets_cost_a_row_for_each_member(spark, monkeypatch, strays):
     monkeypatch.setattr(near_dedup, "BLOCK", 64)
     n = 4000
     members = spark.range(n).select(F.lit(7).cast("long").alias("key"), "id", F.when(F.col("id") < strays, F.col("id")).otherwise(n - 1).alias("component"))
+    members = members.withColumn("n_shingles", F.lit(10).cast("long"))
     rows = near_dedup.roles(members).collect()
     assert len(rows) < 2 * n
     met = collections.Counter()
@@ -119,6 +120,21 @@ def test_large_buckets_cost_a_row_for_each_member(spark, monkeypatch, strays):
     assert set(met) == expected and set(met.values()) == {1}
 
 
+def test_blocks_of_long_texts_are_small(spark, monkeypatch):
+    """600 unlinked sets of 20,000 shingles in a bucket: no comparison holds more than two blocks of 1,500,000, about, and each pair meets once."""
+    members = spark.range(600).select(F.lit(7).cast("long").alias("key"), "id", F.col("id").alias("component"), F.lit(20_000).cast("long").alias("n_shingles"))
+    together, met = collections.defaultdict(list), collections.Counter()
+    for r in near_dedup.roles(members).collect():
+        together[r.host_block, r.guest_block].append(r)
+    for group in together.values():
+        assert 20_000 * len(group) < 2.7 * 2 * near_dedup.BLOCK_SHINGLES
+        for x in group:
+            for y in group:
+                if x.host and not y.host and x.component != y.component and (x.block != y.block or y.id > x.id):
+                    met[min(x.id, y.id), max(x.id, y.id)] += 1
+    assert len(met) == 600 * 599 // 2 and set(met.values()) == {1}
+
+
 def test_estimates():
     shape = near_dedup.Shape(3, 85)
     rng = np.random.default_rng(1)
