@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selvedge.llm import language, near_dedup, packing, quality
-from selvedge.llm.shared import ids_for_join, row_key, ship, table, written
+from selvedge.llm.shared import ids_for_join, row_key, row_keys, ship, table, unused, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,19 +25,29 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document of the least doc_id, those without one last. Rows are told apart by doc_id and text together, so that different texts of one doc_id, or without any, are judged each for itself; of rows that repeat both, one stays. Null, empty and blank texts are near nothing, so each such row of an id of its own stays. An empty table stays empty; other columns come along."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document of the least doc_id, those without one last. Rows are told apart by doc_id and text together, so that different texts of one doc_id, or without any, are judged each for itself; of rows that repeat both, the first in order of all columns stays. Null, empty and blank texts are near nothing, so each such row of an id of its own stays. An empty table stays empty; other columns come along."""
     ship(spark)
-    key = row_key(docs, "doc_id", "text")
+    key, (_, second) = row_key(docs, "doc_id", "text"), row_keys(docs, "doc_id", "text")
     found = near_dedup.near_duplicates(docs.select(key.alias("doc_id"), "text"), shingle=5, percent=80)
     found = written(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"), "kept"), "near-duplicates")
     linked = found.where("NOT kept").select("key", "component").distinct()
     members = written(linked.unionByName(linked.select(F.col("component").alias("key"), "component").distinct()), "members")
-    ids = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id")).join(members, "key")
-    least = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")).select(F.col("least.key").alias("key"))
-    removed = written(members.join(least, "key", "left_anti").select(F.col("key").alias("removed_key")), "removed")
-    kept = docs.join(ids_for_join(removed), key == F.col("removed_key"), "left_anti")
-    repeated = found.groupBy("key").count().where("count > 1").limit(1).count()  # rows that repeat a doc_id and its text; most corpora have none
-    return kept.withColumn("row key", row_key(kept, "doc_id", "text")).dropDuplicates(["row key"]).drop("row key") if repeated else kept
+    ids = docs.select(key.alias("key"), second.alias("second"), F.col("doc_id").cast("long").alias("doc_id")).join(members, "key")
+    ids = written(ids.groupBy("component", "key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("id"), (F.min("second") < F.max("second")).alias("shared")), "groups")
+    least = ids.groupBy("component").agg(F.min(F.struct("id", "key")).alias("least")).select(F.col("least.key").alias("key"))
+    name = unused("removed", docs)
+    # Rows that differ and share a key by chance all stay.
+    removed = written(ids.where("NOT shared").join(least, "key", "left_anti").select(F.col("key").alias(name)), "removed")
+    kept = docs.join(ids_for_join(removed), key == F.col(name), "left_anti")
+    repeats = written(found.groupBy("key").count().where("count > 1").select(F.col("key").alias(name)), "repeats")
+    if not repeats.limit(1).count():
+        return kept
+    repeats, key = ids_for_join(repeats), row_key(kept, "doc_id", "text")
+    several = kept.join(repeats, key == F.col(name), "left_semi")
+    row = F.struct(*[several[f"`{c}`"] for c in docs.columns])
+    # Of rows that repeat doc_id and text, the first in order of all columns, written out.
+    first = several.groupBy(*row_keys(several, "doc_id", "text")).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return kept.join(repeats, key == F.col(name), "left_anti").unionByName(first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
