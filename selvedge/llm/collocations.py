@@ -28,9 +28,9 @@ STEP = U64(0x9E3779B97F4A7C15)
 #: Bits of the hash of a word and its language that find its bit among those of frequent words: a table of 2 MB.
 WORD_BITS = 24
 #: Bytes of text whose suffixes are counted together before the shuffle.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 #: Suffixes that are written out together.
-WRITTEN = 50_000
+WRITTEN = 20_000
 #: Suffix rows that one task sorts, about.
 PART_ROWS = 4_000_000
 
