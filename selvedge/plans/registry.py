@@ -25,5 +25,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules whose queries register themselves."""
-    for name in ("rolls", "resolution", "papers", "feedback", "service"):
+    for name in ("rolls", "resolution", "papers", "books", "feedback", "service"):
         import_module(f"{__package__}.{name}")
