@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.fixed import FIELDS
-from .operators import evidence, feedback, fields, pages as page_ops, records, rolls, service, tables
+from .operators import books, evidence, extraction, feedback, fields, pages as page_ops, records, rolls, service, tables
 from .sources import readers
 
 
 class Shipments:
-    """pages: doc_id, page_number, raw_text, supplier_name; cells: doc_id, tbl, row, col, text; templates: supplier_name, fields, schema_version; model: evidence of a model, lines: rolls (doc_id, seq, lot, po_number, piece_number, color, quality, meters, net_weight), as responses.line_items or extraction.extracted give them; all but pages may be missing."""
+    """pages: doc_id, page_number, raw_text, supplier_name; cells: doc_id, page (as page_number; 1 where there is no such column), tbl, row, col, text; templates: supplier_name, fields, schema_version; model: evidence of a model, lines: rolls (doc_id, seq, lot, po_number, piece_number, color, quality, meters, net_weight), as responses.line_items gives them, for documents whose rolls a model has read; all but pages may be missing."""
 
     def __init__(self, pages: DataFrame, cells: DataFrame | None = None, templates: DataFrame | None = None, model: DataFrame | None = None, lines: DataFrame | None = None):
         self.pages = readers.classified(readers.with_supplier(pages))
-        self.cells, self.templates, self.model, self.lines = cells, templates, model, lines
+        #: Cells by page, and with a document's tables counted over its pages.
+        self.paged = cells if cells is None or "page" in cells.columns else cells.withColumn("page", F.lit(1))
+        self.cells = tables.counted(self.paged) if cells is not None else None
+        self.templates, self.model, self.lines = templates, model, lines
 
     @classmethod
     def ingest(cls, spark: SparkSession, path: str, parser: Callable[[bytes], list[str]], suppliers: DataFrame | None = None, **more: DataFrame) -> Shipments:
@@ -49,6 +52,35 @@ class Shipments:
         parts["text_pattern"] = fields.text_evidence(page_ops.full_text(self.pages), has_pieces)
         return evidence.union(**parts)
 
+    #: What a roll has, wherever it was read.
+    ROLL = ("doc_id", "seq", "lot", "po_number", "piece_number", "color", "quality", "meters", "net_weight", "weight_gross_kgs")
+
+    def table_rows(self) -> DataFrame:
+        """The classified rows of the documents' tables: pieces on several pages joined, PO sections from the pages' text, suppliers' own headings (see operators/books.py)."""
+        codes = self.documents().select("doc_id", rolls.supplier_code(F.coalesce("supplier_name", F.lit(""))).alias("code"))
+        return books.classified_rows(self.paged, books.page_lines(self.pages, self.paged), codes)
+
+    def rolls(self) -> DataFrame:
+        """The rolls of each document: those given, else those of its tables, else those of its running text."""
+
+        def plain(found: DataFrame) -> DataFrame:
+            missing = [c for c in self.ROLL if c not in found.columns]
+            return found.withColumns({c: F.lit(None).cast("double" if c in ("meters", "net_weight", "weight_gross_kgs") else "string") for c in missing}).select(*self.ROLL)
+
+        found = plain(extraction.extracted(extraction.lines_of(page_ops.full_text(self.pages))))
+        better = ([books.rolls_of(self.table_rows())] if self.cells is not None else []) + ([self.lines] if self.lines is not None else [])
+        for own in better:
+            found = found.join(own.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(plain(own))
+        return found
+
+    def rows_left_out(self) -> DataFrame:
+        """The rows of the documents' tables that are no rolls, with the reason."""
+        return books.left_out(self.table_rows())
+
+    def total_differences(self) -> DataFrame:
+        """Totals that the tables state and the rolls above them don't come to."""
+        return books.stated_totals(self.table_rows()).where("differs")
+
     def resolved(self) -> DataFrame:
         """doc_id, field, value, source, confidence (scored) for every field of every document."""
         won = evidence.resolve_all(self.documents(), self.evidence())
@@ -60,11 +92,15 @@ class Shipments:
         template = feedback.lookup(self.documents(), self.templates).select("doc_id", F.col("fields").isNotNull().alias("has_template")) if self.templates is not None else kinds.withColumn("has_template", F.lit(False))
         ai = self.model.select("doc_id").distinct().withColumn("has_ai", F.lit(True)) if self.model is not None else kinds.withColumn("has_ai", F.lit(False))
         weights = tables.weights(self.cells) if self.cells is not None else None
-        return records.finished(self.resolved(), self.lines, weights, template.join(ai, "doc_id", "left"))
+        return records.finished(self.resolved(), self.rolls(), weights, template.join(ai, "doc_id", "left"))
 
     def context(self, doc_types: DataFrame, whole: int = 15) -> DataFrame:
-        """The text for a model, of key pages (see pages.context); doc_types: doc_id, doc_type."""
-        return page_ops.context(self.pages.join(doc_types, "doc_id", "left"), whole=whole)
+        """The text for a model, of key pages with their tables (see pages.context); doc_types: doc_id, doc_type."""
+        shown = None
+        if self.cells is not None:
+            own = self.paged.select(F.struct("doc_id", "page").alias("doc_id"), "tbl", "row", "col", "text")
+            shown = tables.markdown(own).select("doc_id.doc_id", F.col("doc_id.page").alias("page_number"), "tbl", "markdown")
+        return page_ops.context(self.pages.join(doc_types, "doc_id", "left"), shown, whole=whole)
 
     def candidates(self, k: int = 5) -> DataFrame:
         return evidence.candidates(self.evidence(), k)

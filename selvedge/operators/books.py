@@ -5,7 +5,7 @@ Cells are (doc_id, page, tbl, row, col, text), tables counted on their page. Lin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.fixed import SUMMARY_ROW, SUPPLIER_COLUMNS
@@ -13,17 +13,25 @@ from ..functions.text import clean_number, nonempty, stripped
 from .extraction import heading_names
 from .rolls import explicit, shade_and_lot
 
-#: A row is a heading if so many of its cells have known names.
-LEAST_HEADINGS = 3
+#: One of the first rows of a table is its heading if so many of its cells have known names.
+LEAST_HEADINGS, HEADING_ROWS = 3, 3
 #: A line that opens a section of a PO number.
 SECTION = r"(?i)^\s*(?:PO|P\.O\.)\s*(?:#|NO\.?)\s*[:.]?\s*([A-Z0-9][A-Z0-9-]*)"
 TEXTS = ("lot", "color", "grade", "piece_number", "quality", "po_number")
 NUMBERS = ("meters", "length_yds", "points_per_roll", "points_per_100m2", "weight_gross_kgs", "net_weight")
 
-TABLE = Window.partitionBy("doc_id", "page", "page_tbl")
-DOCUMENT = Window.partitionBy("doc_id").orderBy("page", "page_tbl", "page_row")
-BEFORE = DOCUMENT.rowsBetween(Window.unboundedPreceding, -1)
-SO_FAR = DOCUMENT.rowsBetween(Window.unboundedPreceding, 0)
+
+def in_order() -> WindowSpec:
+    """A document's table rows in order."""
+    return Window.partitionBy("doc_id").orderBy("page", "page_tbl", "page_row")
+
+
+def above() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def so_far() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def known_names() -> list[str]:
@@ -46,15 +54,17 @@ def stitched(cells: DataFrame) -> DataFrame:
     rows = table_rows(cells)
     names = F.transform("texts", lambda t: F.lower(stripped(F.coalesce(t, F.lit("")))))
     rows = rows.withColumns({"names": names, "n_known": F.size(F.filter(names, lambda n: n.isin(*known_names())))})
-    heading = F.when(F.col("n_known") >= LEAST_HEADINGS, F.struct("n_known", (-F.col("page_row")).alias("place")))
-    rows = rows.withColumns({"head_row": -F.max(heading).over(TABLE)["place"], "width": F.max(F.size("texts")).over(TABLE), "first_row": F.min("page_row").over(TABLE)})
+    one_table = Window.partitionBy("doc_id", "page", "page_tbl")
+    rows = rows.withColumns({"width": F.max(F.size("texts")).over(one_table), "first_row": F.min("page_row").over(one_table)})
+    heading = F.when((F.col("n_known") >= LEAST_HEADINGS) & (F.col("page_row") < F.col("first_row") + HEADING_ROWS), F.struct("n_known", (-F.col("page_row")).alias("place")))
+    rows = rows.withColumn("head_row", -F.max(heading).over(one_table)["place"])
     own = F.when(F.col("page_row") == F.col("head_row"), F.col("names"))
-    rows = rows.withColumn("own", own).withColumns({"before": F.last("own", ignorenulls=True).over(BEFORE), "width_before": F.lag("width").over(DOCUMENT)})
+    rows = rows.withColumn("own", own).withColumns({"before": F.last("own", ignorenulls=True).over(above()), "width_before": F.lag("width").over(in_order())})
     new_head = F.col("own").isNotNull() & (F.col("before").isNull() | (F.col("before") != F.col("own")))
     new_bare = F.col("head_row").isNull() & (F.col("page_row") == F.col("first_row")) & (F.col("width_before").isNull() | (F.col("width_before") != F.col("width")))
     rows = rows.withColumn("begins", new_head | new_bare)
     rows = rows.withColumn("opened", F.when(F.col("begins"), F.struct("own")))
-    rows = rows.withColumns({"tbl": F.count_if("begins").over(SO_FAR) - 1, "heading": F.last("opened", ignorenulls=True).over(SO_FAR)["own"]})
+    rows = rows.withColumns({"tbl": F.count_if("begins").over(so_far()) - 1, "heading": F.last("opened", ignorenulls=True).over(so_far())["own"]})
     body = F.col("head_row").isNull() | (F.col("page_row") > F.col("head_row"))
     repeated = F.coalesce(F.col("names") == F.col("heading"), F.lit(False))
     return rows.where(body & ~repeated).select("doc_id", "page", "page_tbl", "page_row", F.col("tbl").cast("int").alias("tbl"), "heading", "texts")
@@ -64,11 +74,22 @@ def in_sections(rows: DataFrame, lines: DataFrame, pattern: str = SECTION) -> Da
     """Rows of stitched() with section (the PO number of the last section heading above them, null above the first) and section_no (how many stand above). Two ordered streams meet by one union and one window, however many sections a document has."""
     found = lines.select("doc_id", "page", F.col("tbl").alias("page_tbl"), F.lit(0).alias("stream"), F.col("seq").cast("long").alias("page_row"), nonempty(F.regexp_extract("line", pattern, 1)).alias("own")).where("own IS NOT NULL")
     both = rows.withColumns({"stream": F.lit(1), "page_row": F.col("page_row").cast("long"), "own": F.lit(None).cast("string")}).unionByName(found, allowMissingColumns=True)
-    above = Window.partitionBy("doc_id").orderBy("page", "page_tbl", "stream", "page_row").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"section": F.last("own", ignorenulls=True).over(above), "section_no": F.count("own").over(above).cast("int")})
+    merged = Window.partitionBy("doc_id").orderBy("page", "page_tbl", "stream", "page_row").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"section": F.last("own", ignorenulls=True).over(merged), "section_no": F.count("own").over(merged).cast("int")})
     return both.where("stream = 1").drop("stream", "own")
 
 
+def page_lines(pages: DataFrame, cells: DataFrame) -> DataFrame:
+    """Lines for in_sections() from whole pages' text (doc_id, page_number, raw_text), where nobody knows which table a line stands above: of a page with m tables and h section headings, the headings belong to the last h tables in order, since each section has a table of its own and only a page's first may go on from the page before; those that are too many stand above the first."""
+    lines = pages.select("doc_id", F.col("page_number").alias("page"), F.posexplode(F.split("raw_text", r"\r\n|\n|\r")).alias("seq", "line"))
+    lines = lines.where(F.regexp_extract("line", SECTION, 1) != "")
+    on_page = Window.partitionBy("doc_id", "page")
+    lines = lines.withColumns({"place": F.row_number().over(on_page.orderBy("seq")) - 1, "n_lines": F.count("*").over(on_page)})
+    counts = cells.groupBy("doc_id", "page").agg(F.count_distinct("tbl").alias("n_tables"))
+    tbl = F.greatest(F.coalesce("n_tables", F.lit(0)) - F.col("n_lines") + F.col("place"), F.lit(0))
+    return lines.join(counts, ["doc_id", "page"], "left").select("doc_id", "page", tbl.cast("int").alias("tbl"), "seq", "line")
+
+
 def _attributes(code: Column) -> Column:
     """What each name of a heading means: for a known supplier as its tables have it, else by the names of all."""
     as_map = lambda names: F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
@@ -103,7 +124,7 @@ def classified(rows: DataFrame) -> DataFrame:
     missing = (F.col("numbered") & F.col("piece_number").isNull()) | empty
     rows = rows.withColumn("first_kind", F.when(summary, F.lit("summary")).when(missing, F.lit("blank")).otherwise(F.lit("roll")))
     section = F.col("section_no") if "section_no" in rows.columns else F.lit(0)
-    rows = rows.withColumn("block", F.struct(section.alias("section"), F.count_if(F.col("first_kind") == "summary").over(BEFORE).alias("totals")))
+    rows = rows.withColumn("block", F.struct(section.alias("section"), F.count_if(F.col("first_kind") == "summary").over(above()).alias("totals")))
     block = Window.partitionBy("doc_id", "block").orderBy("page", "page_tbl", "page_row").rowsBetween(Window.unboundedPreceding, -1)
     like_roll = F.col("first_kind") == "roll"
     rows = rows.withColumns({"above": F.count_if(like_roll).over(block), "meters_above": F.sum(F.when(like_roll, F.col("meters").cast("decimal(18,2)"))).over(block), "number_above": F.last(F.when(like_roll, F.col("number")), ignorenulls=True).over(block)})
@@ -111,7 +132,7 @@ def classified(rows: DataFrame) -> DataFrame:
     is_sum = F.coalesce((F.abs(F.col("meters").cast("decimal(18,2)") - F.col("meters_above")) <= 0.01) & (F.col("above") > 1), F.lit(False))
     counts_block = like_roll & (F.col("above") > 0) & F.coalesce(F.col("number") == F.col("above"), F.lit(False)) & (~goes_on | is_sum)
     rows = rows.withColumn("counts_block", counts_block)
-    rows = rows.withColumn("above_all", F.count_if(like_roll & ~F.col("counts_block")).over(BEFORE))
+    rows = rows.withColumn("above_all", F.count_if(like_roll & ~F.col("counts_block")).over(above()))
     counts_all = like_roll & (F.col("above_all") > 1) & F.coalesce(F.col("number") == F.col("above_all"), F.lit(False)) & ~goes_on
     kind = F.when(F.col("counts_block") | counts_all, F.lit("count")).otherwise(F.col("first_kind"))
     return rows.withColumn("kind", kind).drop("first_kind", "block", "above", "meters_above", "number_above", "counts_block", "above_all", "number")
@@ -128,7 +149,7 @@ def with_cartons(rows: DataFrame) -> DataFrame:
     upwards = Window.partitionBy("doc_id").orderBy(F.desc("page"), F.desc("page_tbl"), F.desc("page_row")).rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("kind") == "summary"
     below = F.last(F.when(total, F.struct("weight_gross_kgs", "net_weight")), ignorenulls=True).over(upwards)
-    return rows.withColumns({"carton": F.count_if(total).over(BEFORE).cast("int"), "below": below}).withColumns({"carton_gross": F.col("below.weight_gross_kgs"), "carton_net": F.col("below.net_weight")}).drop("below")
+    return rows.withColumns({"carton": F.count_if(total).over(above()).cast("int"), "below": below}).withColumns({"carton_gross": F.col("below.weight_gross_kgs"), "carton_net": F.col("below.net_weight")}).drop("below")
 
 
 def rolls_of(rows: DataFrame) -> DataFrame:
@@ -137,12 +158,12 @@ def rolls_of(rows: DataFrame) -> DataFrame:
     Blank lots, shades and qualities and ditto marks go on from the row above, over pages; the PO number is the row's own or its section's; PEN's shade holds the lot behind its name, SFM's grade is the shade where there is one. A table without roll numbers numbers its rolls by their place in the document. Rows at different places are different rolls, whatever their numbers; cells that were read twice at one place are one.
     """
     kept = rows.where("kind = 'roll'")
-    carried = lambda c: F.last(explicit(F.col(c)), ignorenulls=True).over(SO_FAR)
+    carried = lambda c: F.last(explicit(F.col(c)), ignorenulls=True).over(so_far())
     shade, lot = shade_and_lot(F.col("color"))
     pen, sfm = F.coalesce(F.col("code") == "PEN", F.lit(False)), F.coalesce(F.col("code") == "SFM", F.lit(False))
     color = F.when(pen, F.coalesce(shade, F.col("color"))).when(sfm, F.coalesce("grade", "color")).otherwise(explicit(F.col("color")))
     section = F.col("section") if "section" in rows.columns else F.lit(None).cast("string")
-    seq = F.row_number().over(DOCUMENT)
+    seq = F.row_number().over(in_order())
     return kept.select(
         "doc_id", seq.cast("long").alias("seq"), "page", "tbl", "page_tbl", "page_row",
         F.coalesce(carried("lot"), F.when(pen, lot)).alias("lot"),
@@ -175,11 +196,11 @@ def rollups(own: DataFrame) -> DataFrame:
 def stated_totals(rows: DataFrame) -> DataFrame:
     """Each total of classified() with what it states and what the rolls above it come to: doc_id, page, page_tbl, page_row, label, pieces_block and meters_block (since the last total), pieces_so_far and meters_so_far (in the document), meters_stated, differs (it states meters that are neither's sum)."""
     roll = F.col("kind") == "roll"
-    meters = F.sum(F.when(roll, F.col("meters").cast("decimal(18,2)"))).over(SO_FAR)
-    rows = rows.withColumns({"pieces_so_far": F.count_if(roll).over(SO_FAR), "meters_so_far": F.coalesce(meters, F.lit(0).cast("decimal(28,2)"))})
+    meters = F.sum(F.when(roll, F.col("meters").cast("decimal(18,2)"))).over(so_far())
+    rows = rows.withColumns({"pieces_so_far": F.count_if(roll).over(so_far()), "meters_so_far": F.coalesce(meters, F.lit(0).cast("decimal(28,2)"))})
     totals = rows.where("kind IN ('summary', 'count')")
     label = F.coalesce(F.get(F.filter("texts", lambda t: F.coalesce(F.lower(t).rlike(SUMMARY_ROW), F.lit(False))), F.lit(0)), "piece_number")
-    before = lambda c: F.col(c) - F.coalesce(F.lag(c).over(DOCUMENT), F.lit(0))
+    before = lambda c: F.col(c) - F.coalesce(F.lag(c).over(in_order()), F.lit(0))
     totals = totals.withColumns({"pieces_block": before("pieces_so_far"), "meters_block": before("meters_so_far")})
     stated = F.col("meters").cast("decimal(18,2)")
     differs = stated.isNotNull() & (stated != F.col("meters_block")) & (stated != F.col("meters_so_far"))

@@ -19,6 +19,12 @@ def alias_table(spark: SparkSession, aliases: dict[str, tuple[str, ...]] = ALIAS
     return spark.createDataFrame(rows, "field string, field_ord int, alias string")
 
 
+def counted(cells: DataFrame) -> DataFrame:
+    """Cells with a page (doc_id, page, tbl, row, col, text) as cells whose tables are counted over the document."""
+    place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page", "tbl"))
+    return cells.select("doc_id", (place - 1).alias("tbl"), "row", "col", "text")
+
+
 def echoes() -> list[str]:
     """Texts that are headings wherever they stand."""
     return sorted({n.lower() for names in ALIASES.values() for n in names} | {f.replace("_", " ") for f in FIELDS})
