@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PER_MINUTE, PER_DAY = 60, 10_000
 MINUTE, DAY = 60_000_000, 86_400_000_000
@@ -53,15 +52,3 @@ def admission(requests: DataFrame, per_minute: int = PER_MINUTE, per_day: int =
             yield frame.assign(admitted=admitted)[["key", "ts", "event_id", "admitted"]]
 
     return requests.select("key", "ts", "event_id").repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(run, ADMITTED)
-
-
-def streamed_admission(requests: DataFrame, per_minute: int = PER_MINUTE, per_day: int = PER_DAY) -> DataFrame:
-    """The same over a stream: each key's admitted times of the last day are its state."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        yield rows.assign(admitted=admit(rows["ts"].tolist(), kept, per_minute, per_day))[["key", "ts", "event_id", "admitted"]]
-        state.update((list(kept),))
-
-    return requests.select("key", "ts", "event_id").groupBy("key").applyInPandasWithState(run, ADMITTED, "kept array<long>", "append", GroupStateTimeout.NoTimeout)

@@ -10,6 +10,8 @@ from ..functions.fixed import FIELDS
 #: Names of actions in the reviewers' interface and in the store.
 ACTION_NAMES = {"accept": "confirm", "edit": "reassign", "remove": "not_present"}
 DONE = "DONE"
+#: Seconds after which a silent log gets a sign of life.
+SILENT_AFTER = 30
 
 
 def renamed_action(x: Column) -> Column:
@@ -27,6 +29,27 @@ def job_log(messages: DataFrame) -> DataFrame:
     return lines.unionByName(ends).select("job_id", F.row_number().over(order).alias("seq"), "msg")
 
 
+def log_sessions(messages: DataFrame, silence: int = SILENT_AFTER) -> DataFrame:
+    """Messages (job_id, at in microseconds, ord, msg) as sessions: job_id, started and ended (first and last message), messages, end (done or silent). A session ends with a DONE message, or before a silence of so many seconds; messages of one time are in order of ord, then msg."""
+    order = Window.partitionBy("job_id").orderBy("at", "ord", "msg")
+    rows = messages.withColumns({"before": F.lag("at").over(order), "msg_before": F.lag("msg").over(order)})
+    begins = F.col("before").isNull() | (F.col("msg_before") == DONE) | (F.col("at") - F.col("before") >= silence * 1_000_000)
+    rows = rows.withColumn("session", F.count_if(begins).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    end = F.when(F.bool_or(F.coalesce(F.col("msg") == DONE, F.lit(False))), F.lit("done")).otherwise(F.lit("silent"))
+    return rows.groupBy("job_id", "session").agg(F.min("at").alias("started"), F.max("at").alias("ended"), F.count("*").alias("messages"), end.alias("end")).drop("session")
+
+
+def keepalives(messages: DataFrame, silence: int = SILENT_AFTER) -> DataFrame:
+    """job_id, at and msg of what a follower of each job's log is sent: its messages on one line each and, for each `silence` seconds without any, a sign of life (msg null); nothing after DONE. Each silence is filled from its own two ends."""
+    order = Window.partitionBy("job_id").orderBy("at", "ord", "msg")
+    gap = silence * 1_000_000
+    rows = messages.withColumns({"next": F.lead("at").over(order), "over": F.count_if(F.coalesce(F.col("msg") == DONE, F.lit(False))).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = rows.where("over = 0")
+    quiet = F.when(F.coalesce(F.col("msg") != DONE, F.lit(True)) & (F.col("next") - F.col("at") > gap), F.sequence(F.col("at") + gap, F.col("next") - 1, F.lit(gap)))
+    signs = rows.select("job_id", F.explode(quiet).alias("at"), F.lit(None).cast("string").alias("msg"))
+    return rows.select("job_id", "at", F.replace("msg", F.lit("\n"), F.lit("  ")).alias("msg")).unionByName(signs)
+
+
 def file_name(supplier: Column, job_id: Column) -> Column:
     return F.concat(F.lit("packing_list_"), supplier, F.lit("_"), F.substring(job_id, 1, 8), F.lit(".xlsx"))
 

@@ -265,17 +265,6 @@ GRAND TOTAL | 4"""
     ]
 
 
-def test_streamed_admission_equals_batch(spark, tmp_path):
-    rows = [(k, t * 1_000_000, 100 * k + i) for k in (1, 2) for i, t in enumerate((0, 1, 2, 61, 62, 130, 131, 132))]
-    frame = spark.createDataFrame(rows, "key long, ts long, event_id long")
-    frame.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = rates.streamed_admission(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), per_minute=2, per_day=5)
-    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    streamed = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
-    batch = sorted(map(tuple, rates.admission(frame, per_minute=2, per_day=5).collect()))
-    assert streamed == batch and {r[3] for r in batch} == {True, False}
-
-
 def test_upsert_keeps_other_fields(spark):
     old = spark.createDataFrame([("s", {"lot": "A", "color": "red"}, "2", 3), ("t", {"lot": "Z"}, "2", 0)], "supplier_name string, fields map<string,string>, schema_version string, correction_count long")
     new = spark.createDataFrame([("s", {"lot": "B"}, 2), ("u", {"lot": "N"}, 1)], "supplier_name string, fields map<string,string>, correction_count long")
