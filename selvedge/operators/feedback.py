@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import FIELDS
@@ -69,3 +69,59 @@ def as_evidence(found: DataFrame) -> DataFrame:
     """Template values as evidence: doc_id, field, value, confidence, page_number, ord."""
     rows = found.where(F.col("fields").isNotNull()).select("doc_id", F.explode("fields").alias("field", "value"))
     return rows.select("doc_id", "field", "value", F.lit(0.95).alias("confidence"), F.lit(0).alias("page_number"), F.lit(0).cast("long").alias("ord"))
+
+
+#: A log of changes to templates: a row for each confirmed value.
+CHANGES = ("supplier_name", "field", "value", "at", "seq")
+
+
+def changes(actions: DataFrame) -> DataFrame:
+    """Reviewers' actions (supplier_name, seq, field, action, value, at) as a log of changes to templates (CHANGES): confirmed values of known suppliers and fields."""
+    used = F.col("action").isin("confirm", "reassign") & F.col("value").isNotNull() & F.col("field").isin(*FIELDS)
+    return actions.where(known_supplier(F.col("supplier_name")) & used).select(*CHANGES)
+
+
+def compacted(log: DataFrame) -> DataFrame:
+    """A log with the last change of each supplier and field alone, and the number of those it stands for (n). A compacted log with later changes gives the templates that the whole log gives."""
+    n = F.sum("n") if "n" in log.columns else F.count("*")
+    last = log.groupBy("supplier_name", "field").agg(F.max_by(F.struct("value", "at", "seq"), F.struct("at", "seq")).alias("last"), n.alias("n"))
+    return last.select("supplier_name", "field", "last.value", "last.at", "last.seq", "n")
+
+
+def templates_of(log: DataFrame) -> DataFrame:
+    """The templates (supplier_name, fields, schema_version, correction_count) after all changes of a log, compacted or not."""
+    last = compacted(log)
+    return last.groupBy("supplier_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"), F.lit(VERSION).alias("schema_version"), F.sum("n").alias("correction_count"))
+
+
+def versions(log: DataFrame) -> DataFrame:
+    """Each supplier's template over time: supplier_name, fields, valid_from and valid_until (null for the one in force). Changes at one time make one version."""
+    order = Window.partitionBy("supplier_name").orderBy("at", "seq")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    pairs = [F.struct(F.lit(f).alias("field"), F.last(F.when(F.col("field") == f, F.col("value")), ignorenulls=True).over(so_far).alias("value")) for f in FIELDS]
+    rows = log.select("supplier_name", "at", "seq", F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()).alias("pairs"))
+    rows = rows.groupBy("supplier_name", "at").agg(F.max_by("pairs", "seq").alias("pairs"))
+    until = F.lead("at").over(Window.partitionBy("supplier_name").orderBy("at"))
+    return rows.select("supplier_name", F.map_from_entries("pairs").alias("fields"), F.col("at").alias("valid_from"), until.alias("valid_until"))
+
+
+#: Microseconds of a slice of time by which papers meet versions.
+SLICE = 7 * 86_400_000_000
+
+
+def lookup_at(docs: DataFrame, over_time: DataFrame) -> DataFrame:
+    """Documents (doc_id, supplier_name, at: when the paper came) with the template that was in force then: fields, valid_from (null where there was none).
+
+    Versions are laid out over weeks and met by supplier and week, so that a document sees the versions of one week, and a supplier with very many documents is many keys. A supplier's versions are as many rows as it has had weeks and versions.
+    """
+    now = docs.agg(F.max("at")).first()[0]
+    slice_of = lambda at: F.floor(at / SLICE).cast("long")
+    last = F.greatest(F.coalesce(F.col("valid_until") - 1, F.lit(now or 0)), F.col("valid_from"))
+    laid = over_time.withColumn("slice", F.explode(F.sequence(slice_of(F.col("valid_from")), slice_of(last))))
+    known = known_supplier(F.col("supplier_name"))
+    own = docs.where(known).withColumn("slice", slice_of(F.col("at")))
+    there = (own["at"] >= F.col("valid_from")) & (F.col("valid_until").isNull() | (own["at"] < F.col("valid_until")))
+    met = own.join(laid.withColumnRenamed("supplier_name", "of_supplier").withColumnRenamed("slice", "of_slice"), (own["supplier_name"] == F.col("of_supplier")) & (own["slice"] == F.col("of_slice")) & there, "left")
+    kind = over_time.schema
+    rest = docs.where(~known).select("doc_id", "supplier_name", "at", F.lit(None).cast(kind["fields"].dataType).alias("fields"), F.lit(None).cast(kind["valid_from"].dataType).alias("valid_from"))
+    return met.select("doc_id", "supplier_name", "at", "fields", "valid_from").unionByName(rest)

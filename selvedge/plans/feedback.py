@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import FIELDS, SUPPLIER_COLUMNS
 from ..operators import checks, feedback, rates, responses, tables
-from ..sources.rendered import duck, frame
+from ..sources.rendered import duck, frame, quoted
 from .registry import query
 from .rolls import SUMMARY, WITH_ROLLS, rolls
 from ..operators import rolls as R
@@ -169,3 +169,30 @@ def supplier_columns(spark, sf_dir):
     code = F.when(key % 3 == 0, F.lit("AML")).when(key % 3 == 1, F.lit("PEN")).otherwise(F.lit("SFM"))
     every = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", code.alias("code"), F.explode(F.array(*[F.lit(h) for h in ALL_HEADINGS])).alias("heading"))
     return tables.known_columns(every).select("s_suppkey", "heading", "field")
+
+
+#: Orders as confirmed values of 40 suppliers over time, and as papers that came some weeks later.
+SUPPLIERS, FIELD_OF = 40, ("lot", "color", "quality")
+AT = "CAST(datediff(o_orderdate, DATE '1992-01-01') AS BIGINT) * 86400000000"
+DUCK_AT = "CAST(date_diff('day', DATE '1992-01-01', o_orderdate) AS BIGINT) * 86400000000"
+LOG = "SELECT concat('S', CAST(o_custkey % 40 AS STRING)) AS supplier_name, CASE o_orderkey % 3 WHEN 0 THEN 'lot' WHEN 1 THEN 'color' ELSE 'quality' END AS field, concat('v', CAST(o_orderkey AS STRING)) AS value, {at} AS at, o_orderkey AS seq FROM {orders} WHERE o_orderkey % 4 = 0"
+PAPERS_CAME = "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 9 = 0 THEN 'unknown' ELSE concat('S', CAST(o_custkey % 40 AS STRING)) END AS supplier_name, {at} + 20 * 86400000000 AS at FROM {orders}"
+_ASOF = "ASOF LEFT JOIN (SELECT supplier_name, at, arg_max(value, seq) AS value FROM log WHERE field = '{f}' GROUP BY supplier_name, at) {f} ON {f}.supplier_name = p.supplier_name AND {f}.at <= p.at"
+
+
+@query("template_at_time", quoted(f"WITH log AS ({duck(LOG.replace('{at}', DUCK_AT))}), p AS ({duck(PAPERS_CAME.replace('{at}', DUCK_AT))}) SELECT doc_id, {', '.join(f'{f}.value AS {f}' for f in FIELD_OF)} FROM p {' '.join(_ASOF.replace('{f}', f) for f in FIELD_OF)}"))
+def template_at_time(spark, sf_dir):
+    """The values of the supplier's template that were in force when each paper came."""
+    over_time = feedback.versions(frame(spark, sf_dir, LOG.replace("{at}", AT)))
+    found = feedback.lookup_at(frame(spark, sf_dir, PAPERS_CAME.replace("{at}", AT)), over_time)
+    return found.select("doc_id", *[F.try_element_at("fields", F.lit(f)).alias(f) for f in FIELD_OF])
+
+
+@query("template_log", quoted(f"WITH log AS ({duck(LOG.replace('{at}', DUCK_AT))}), last AS (SELECT supplier_name, field, arg_max(value, (at, seq)) AS value, count(*) AS n FROM log GROUP BY ALL) SELECT supplier_name, string_agg(concat(field, '=', value), ',' ORDER BY field) AS template, sum(n)::BIGINT AS correction_count FROM last GROUP BY supplier_name"))
+def template_log(spark, sf_dir):
+    """Templates from a compacted log of the earlier changes and the later ones."""
+    log = frame(spark, sf_dir, LOG.replace("{at}", AT))
+    early = F.col("seq") % 8 == 0
+    both = feedback.compacted(log.where(early)).unionByName(log.where(~early).withColumn("n", F.lit(1).cast("long")))
+    pairs = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return feedback.templates_of(both).select("supplier_name", F.array_join(pairs, ",").alias("template"), "correction_count")

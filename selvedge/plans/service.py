@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import FIELDS
 from ..operators import pages, service
+from ..sources.rendered import quoted
 from .registry import query
 
 
@@ -66,3 +67,27 @@ def ocr_coalesce(spark, sf_dir):
     number = key.cast("string")
     found = docs.select("doc_id", F.lit(1).alias("page_number"), F.when(key % 8 == 0, F.lit("tiny")).otherwise(F.concat(F.lit("direct text of page "), number, F.lit(" at length"))).alias("direct_text"), F.when(key % 16 == 0, F.lit("")).otherwise(F.concat(F.lit("image of "), number)).alias("image_text"))
     return pages.ocr_filled(own, found).select("doc_id", "page_type", "raw_text")
+
+
+#: Messages of users as logs of jobs; a purchase is the end of one. Silences are counted in hours here, since these events are hours apart.
+DUCK_MESSAGES = "SELECT user_id AS job_id, epoch_us(ts) AS at, event_id AS ord, CASE event_type WHEN 'purchase' THEN 'DONE' ELSE event_type END AS msg FROM events"
+HOURS = 6 * 3600
+
+
+def messages(spark, sf_dir):
+    return events(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "purchase", F.lit(service.DONE)).otherwise(F.col("event_type")).alias("msg"))
+
+
+@query("log_sessions", quoted(f"""WITH m AS ({DUCK_MESSAGES}), b AS (SELECT *, coalesce(lag(msg) OVER w = 'DONE' OR at - lag(at) OVER w >= {HOURS}000000, true) AS begins FROM m WINDOW w AS (PARTITION BY job_id ORDER BY at, ord, msg)),
+    s AS (SELECT *, count(*) FILTER (WHERE begins) OVER (PARTITION BY job_id ORDER BY at, ord, msg ROWS UNBOUNDED PRECEDING) AS n FROM b)
+    SELECT job_id, min(at) AS started, max(at) AS ended, count(*) AS messages, CASE WHEN bool_or(msg = 'DONE') THEN 'done' ELSE 'silent' END AS end FROM s GROUP BY job_id, n"""))
+def log_sessions(spark, sf_dir):
+    """Sessions of each job's log, ended by DONE or by silence."""
+    return service.log_sessions(messages(spark, sf_dir), HOURS)
+
+
+@query("log_keepalives", quoted(f"""WITH m AS ({DUCK_MESSAGES}), f AS (SELECT job_id, min((at, ord)) AS done FROM m WHERE msg = 'DONE' GROUP BY job_id), r AS (SELECT m.job_id, at, msg, lead(at) OVER (PARTITION BY m.job_id ORDER BY at, ord) AS next FROM m LEFT JOIN f ON f.job_id = m.job_id WHERE done IS NULL OR (at, ord) <= done)
+    SELECT job_id, at, msg FROM r UNION ALL SELECT job_id, unnest(range(at + {HOURS}000000, next, {HOURS}000000)), NULL FROM r"""))
+def log_keepalives(spark, sf_dir):
+    """What a follower of each job's log is sent, with a sign of life in each silence."""
+    return service.keepalives(messages(spark, sf_dir), HOURS)

@@ -5,6 +5,8 @@ The SQL is common to Spark and DuckDB. Each order becomes a document: a header,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Order lines as rolls. The order within a document is total.
@@ -65,6 +67,11 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
+def quoted(sql: str) -> str:
+    """A DuckDB statement with the column names that are words of its own in quotes."""
+    return re.sub(r"\b(at|end)\b", r'"\1"', sql)
+
+
 def duck(sql: str) -> str:
     """The same statement for DuckDB."""
     for name in ("lineitem", "orders", "events", "documents", "supplier", "customer"):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,21 +30,42 @@ def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str) -> Stre
     return incoming(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def learn(actions: DataFrame, templates: str, checkpoint: str) -> StreamingQuery:
-    """Fold a stream of reviewers' actions into template snapshots, one folder for each batch: templates/version=n holds all suppliers after batch n."""
+def learn(actions: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of reviewers' actions to a log of changes, a folder for each batch: log/batch=n. A batch is read alone, so work follows the batch and not the suppliers; a repeated one replaces its own folder."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        before = snapshot(batch.sparkSession, templates, number - 1)
-        feedback.upserted(before, feedback.corrections(batch)).write.mode("overwrite").parquet(f"{templates}/version={number}")
+        feedback.changes(batch).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return actions.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-EMPTY = "supplier_name string, fields map<string,string>, schema_version string, correction_count long"
+LOG = "supplier_name string, field string, value string, at long, seq long, n long, batch int"
+
+
+def changes(spark: SparkSession, log: str) -> DataFrame:
+    """The changes of a log: those of the newest compaction (compact=n, which stands for the batches up to n) and of later batches. A batch or compaction without a finished write isn't read."""
+    newest = max(_numbers(spark, log, "compact"), default=-1)
+    paths = [f"{log}/batch={n}" for n in _numbers(spark, log, "batch") if n > newest] + ([f"{log}/compact={newest}"] if newest >= 0 else [])
+    if not paths:
+        return spark.createDataFrame([], LOG).drop("batch")
+    return spark.read.schema(LOG).option("basePath", log).parquet(*paths).drop("batch").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+
+
+def compact(spark: SparkSession, log: str) -> None:
+    """Write the log's last changes as one compaction; earlier batches stay for versions over time, and aren't read for templates any more."""
+    newest = max(_numbers(spark, log, "batch"), default=-1)
+    if newest >= 0:
+        feedback.compacted(changes(spark, log)).write.mode("overwrite").parquet(f"{log}/compact={newest}")
+
+
+def history(spark: SparkSession, log: str) -> DataFrame:
+    """All changes of all batches."""
+    paths = [f"{log}/batch={n}" for n in _numbers(spark, log, "batch")]
+    return spark.read.schema(LOG).option("basePath", log).parquet(*paths).drop("batch", "n") if paths else spark.createDataFrame([], LOG).drop("batch", "n")
 
 
-def snapshot(spark: SparkSession, templates: str, version: int) -> DataFrame:
-    """The templates after a batch; none before the first."""
-    if version < 0:
-        return spark.createDataFrame([], EMPTY)
-    return spark.read.parquet(os.path.join(templates, f"version={version}"))
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers of folders name=n whose write has finished, listed by the file system that Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*/_SUCCESS")
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found.getFileSystem(conf).globStatus(found) or ())
