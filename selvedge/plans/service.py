@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import FIELDS
 from ..operators import pages, service
-from ..sources.rendered import quoted
+from ..sources.rendered import PAPERS, frame, quoted
+from ..streaming import jobs
 from .registry import query
 
 
@@ -91,3 +92,14 @@ def log_sessions(spark, sf_dir):
 def log_keepalives(spark, sf_dir):
     """What a follower of each job's log is sent, with a sign of life in each silence."""
     return service.keepalives(messages(spark, sf_dir), HOURS)
+
+
+@query("job_outcomes", """SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderkey % 7 < 3 THEN 'failed' ELSE 'done' END AS status, CASE o_orderkey % 7 WHEN 0 THEN 'the file is empty' WHEN 1 THEN 'the file is no text' WHEN 2 THEN 'no text on any page' END AS error, CASE WHEN o_orderkey % 7 < 3 THEN 'error' ELSE 'regex' END AS mapping_source,
+    CASE WHEN o_orderkey % 7 >= 3 THEN concat('INV/', o_custkey) END AS invoice_number FROM orders""")
+def job_outcomes(spark, sf_dir):
+    """An outcome for each paper, bad ones among them."""
+    key = F.col("doc_id") % 7
+    content = F.when(key == 0, F.unhex(F.lit(""))).when(key == 1, F.unhex(F.lit("FFFE"))).when(key == 2, F.lit(" \n\f ").cast("binary")).otherwise(F.col("raw_text").cast("binary"))
+    papers = frame(spark, sf_dir, PAPERS).select(F.col("doc_id").cast("string").alias("job_id"), F.lit("paper").alias("file"), F.lit(None).cast("timestamp").alias("came"), content.alias("content"))
+    found = jobs.outcomes_of(papers)
+    return found.select("job_id", "status", "error", F.get_json_object("record", "$.mapping_source").alias("mapping_source"), F.get_json_object("record", "$.invoice_number").alias("invoice_number"))

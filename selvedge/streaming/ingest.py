@@ -39,7 +39,7 @@ def learn(actions: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
     return actions.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-LOG = "supplier_name string, field string, value string, at long, seq long, n long, batch int"
+LOG = "supplier_name string, field string, value string, at long, seq long, n long"
 
 
 def changes(spark: SparkSession, log: str) -> DataFrame:
@@ -47,8 +47,8 @@ def changes(spark: SparkSession, log: str) -> DataFrame:
     newest = max(_numbers(spark, log, "compact"), default=-1)
     paths = [f"{log}/batch={n}" for n in _numbers(spark, log, "batch") if n > newest] + ([f"{log}/compact={newest}"] if newest >= 0 else [])
     if not paths:
-        return spark.createDataFrame([], LOG).drop("batch")
-    return spark.read.schema(LOG).option("basePath", log).parquet(*paths).drop("batch").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+        return spark.createDataFrame([], LOG)
+    return spark.read.schema(LOG).parquet(*paths).withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
 
 
 def compact(spark: SparkSession, log: str) -> None:
@@ -61,7 +61,7 @@ def compact(spark: SparkSession, log: str) -> None:
 def history(spark: SparkSession, log: str) -> DataFrame:
     """All changes of all batches."""
     paths = [f"{log}/batch={n}" for n in _numbers(spark, log, "batch")]
-    return spark.read.schema(LOG).option("basePath", log).parquet(*paths).drop("batch", "n") if paths else spark.createDataFrame([], LOG).drop("batch", "n")
+    return (spark.read.schema(LOG).parquet(*paths) if paths else spark.createDataFrame([], LOG)).drop("n")
 
 
 def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:

@@ -148,15 +148,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert streamed == batch == [(f"AB-{i}00", f"C{i}") for i in range(3)]
 
 
-def test_learning_stream(spark, tmp_path):
-    source = tmp_path / "actions"
-    acts = spark.createDataFrame([(1, "s", "lot", "confirm", "A"), (2, "s", "lot", "confirm", "B")], "seq int, supplier_name string, field string, action string, value string")
-    acts.write.parquet(str(source))
-    stream = spark.readStream.schema(acts.schema).parquet(str(source))
-    ingest.learn(stream, str(tmp_path / "templates"), str(tmp_path / "cp")).awaitTermination()
-    assert [(r.supplier_name, r.fields, r.correction_count) for r in ingest.snapshot(spark, str(tmp_path / "templates"), 0).collect()] == [("s", {"lot": "B"}, 2)]
-
-
 def test_uploads_and_parser(spark, tmp_path):
     (tmp_path / "a.PDF").write_bytes(b"one\ftwo")
     (tmp_path / "b.pdf").write_bytes(b"")
