@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by cosine, from a hash-prefix forest.
 
 1. Equal vectors become one entry. Each of TREES trees gives an entry a long hash string: first the cross-polytope symbol of a random rotation (place and sign of the largest coordinate), then PAIRS symbols of two bits, each of two more directions.
-2. A tree is the sorted array of its strings. It is cut into parts of about PART_ROWS entries (by quantiles of a sample of strings, and only where there are more), so a task holds one part of one tree, and no task meets all entries or all queries.
-3. A query descends each tree to its place in the sorted array. Its longest-prefix matches stand beside it: each tree gives WINDOW entries on either side with the number of symbols that they share.
-4. All trees then ascend together, symbol by symbol from the longest match, until the entries found come to BUDGET different ones; an entry's level is taken whole. So every query looks at about BUDGET entries, however many there are.
-5. Candidates meet their vectors in shards of SHARD_ROWS entries and get the exact cosine in double precision.
+2. A tree is the sorted array of its strings, written once. It is cut into parts of about PART_ROWS entries (by quantiles of a sample of strings, and only where there are more), so a task holds one part of one tree, and no task meets all entries or all queries.
+3. A query descends each tree to its place in the sorted array. Its longest-prefix matches stand beside it: each tree gives `window` entries on either side with the number of symbols that they share.
+4. All trees then ascend together, symbol by symbol from the longest match, until the entries found come to `budget` different ones; an entry's level is taken whole.
+5. Candidates meet their vectors in shards and get the exact cosine in double precision.
 
-Work and shuffle are in proportion to the rows: TREES strings for each, and BUDGET candidates for each query. An entry at a part's border sees the window's inner half only.
+Window and budget are WINDOW and BUDGET at least, and as much more as the table needs: PILOT of the queries are compared with all entries, the trees are asked for these queries with a wide window, and the narrowest window that finds TARGET of their true neighbours is taken for all (with a window as wide as a part as the last step). So recall holds whatever the table's size and shape, and its price shows in n_looked: vectors that lie in groups need the least window at any size, directions without any structure need more the more there are.
+
+Work and shuffle are in proportion to the rows (TREES strings for each) and to `budget` for each query. An entry at a part's border sees the window's inner half only.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ from .shared import written
 from .spans import U64, mixed
 
 TREES, AXES, PAIRS = 224, 64, 28
-#: Entries on either side that a tree gives, and different entries after which the trees stop ascending.
+#: Entries on either side that a tree gives, and different entries after which the trees stop ascending, at least.
 WINDOW, BUDGET = 16, 4096
-#: Entries of a tree in one task, about, and of a shard of vectors. Strings sampled for each cut.
-PART_ROWS, SHARD_ROWS, SAMPLED = 1 << 18, 1024, 256
+#: Queries that are compared with all entries, and the share of their neighbours that the trees have to find; the sampling error of 200 queries is about 0.01.
+PILOT, TARGET = 200, 0.935
+#: The first window that the pilot tries goes so many times beyond WINDOW.
+WIDER = 4
+#: Entries of a tree in one task, about; of a shard of vectors, at least and (beyond SHARDS shards) at most; queries that meet a shard at once. Strings sampled for each cut.
+PART_ROWS, SHARD_ROWS, MOST_SHARD_ROWS, SHARDS, TOGETHER, SAMPLED = 1 << 18, 1024, 1 << 14, 64, 50_000, 256
 #: Rows whose strings go together, and rows (or pairs) that are computed at a time, few enough for a core's own cache.
 HASHED, CACHED = 4096, 512
 
@@ -78,11 +84,15 @@ def shared_symbols(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0, 1 + (2 * PAIRS - length) // 2).astype(np.int8)
 
 
-def matches(keys: np.ndarray, ids: np.ndarray, asked: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ids asked for, and for each its longest-prefix matches in a sorted array of strings: ids and symbols shared (-1 where the array ends). Equal strings stand in an order of the tree's own."""
-    order = np.lexsort((mixed(ids.view(U64) ^ U64(tree + 1 << 40)), keys))
-    keys, ids, at = keys[order], ids[order], np.flatnonzero(asked[order])
-    places = at[:, None] + np.concatenate((np.arange(-WINDOW, 0), np.arange(1, WINDOW + 1)))
+def sorted_tree(keys: np.ndarray, ids: np.ndarray, tree: int) -> np.ndarray:
+    """The order of a tree's strings. Equal strings stand in an order of the tree's own."""
+    return np.lexsort((mixed(ids.view(U64) ^ U64(tree + 1 << 40)), keys))
+
+
+def matches(keys: np.ndarray, ids: np.ndarray, asked: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids asked for, and for each its longest-prefix matches in a sorted array of strings: ids and symbols shared (-1 where the array ends), in order of their places."""
+    at = np.flatnonzero(asked)
+    places = at[:, None] + np.concatenate((np.arange(-window, 0), np.arange(1, window + 1)))
     inside = (places >= 0) & (places < len(keys))
     places = np.clip(places, 0, len(keys) - 1)
     return ids[at], ids[places], np.where(inside, shared_symbols(keys[places], keys[at][:, None]), -1).astype(np.int8)
@@ -169,12 +179,92 @@ def part_cuts(entries: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def candidates(entries: DataFrame, n_shards: int, budget: int) -> DataFrame:
-    """For each entry that is asked for: query, shard, ids (its candidates of that shard, itself included), level (symbols shared where the trees stopped), n_looked (candidates of all shards, without itself)."""
+def forest(entries: DataFrame) -> DataFrame:
+    """The sorted arrays: a row for each part of each tree, with its keys, ids and flags (of entries that are asked for)."""
+
+    def sort(group: pa.Table) -> pa.Table:
+        keys, ids, flags = joined(group, "keys", "<i8"), joined(group, "ids", "<i8"), joined(group, "flags", "?")
+        order = sorted_tree(keys, ids, group.column("tree")[0].as_py())
+        return pa.table({"keys": pa.array([keys[order].tobytes()], pa.binary()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "flags": pa.array([flags[order].tobytes()], pa.binary())})
+
+    return written(blobs(entries, part_cuts(entries)).groupBy("dim", "tree", "part").applyInArrow(sort, "keys binary, ids binary, flags binary"), "forest")
+
+
+def descended(trees: DataFrame, window: int, only: np.ndarray | None = None) -> DataFrame:
+    """query, ids and levels: what each part of each tree gives for the entries that are asked for (of these, `only` some, if given)."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, ids, flags = (np.frombuffer(batch.column(c)[row].as_py(), dtype=kind) for c, kind in (("keys", "<i8"), ("ids", "<i8"), ("flags", "?")))
+                query, found, levels = matches(keys, ids, flags if only is None else flags & np.isin(ids, only), window)
+                for a in range(0, len(query), HASHED):
+                    rows = slice(a, a + HASHED)
+                    yield pa.RecordBatch.from_arrays([pa.array(query[rows], pa.int64()), pa.array([x.tobytes() for x in found[rows]], pa.binary()), pa.array([x.tobytes() for x in levels[rows]], pa.binary())], names=["query", "ids", "levels"])
+
+    return trees.mapInArrow(search, "query long, ids binary, levels binary")
+
+
+def exact(entries: DataFrame, pilot: list, top: int) -> dict[int, list[int]]:
+    """The true neighbours (reps) of each of some entries (rep, dim, vector), by comparing them with all entries in blocks. The driver gets `top` for each."""
+    spark = entries.sparkSession
+    by_dim = {dim: (np.array([p["rep"] for p in own]), np.array([p["vector"] for p in own], dtype=np.float64)) for dim in {p["dim"] for p in pilot} for own in [[p for p in pilot if p["dim"] == dim]]}
+    sent = spark.sparkContext.broadcast({dim: (reps, (lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True)))(scaled(vectors))) for dim, (reps, vectors) in by_dim.items()})
 
-    def search(group: pa.Table) -> pa.Table:
-        query, ids, levels = matches(joined(group, "keys", "<i8"), joined(group, "ids", "<i8"), joined(group, "flags", "?"), group.column("tree")[0].as_py())
-        return pa.table({"query": pa.array(query, pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary()), "levels": pa.array([x.tobytes() for x in levels], pa.binary())})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim, (reps, units) in sent.value.items():
+                own = batch.filter(pa.array(dims == dim))
+                if not own.num_rows:
+                    continue
+                ids, theirs = own.column("rep").to_numpy(), scaled(matrix(own.column("vector")))
+                scores = units @ (theirs / np.sqrt((theirs * theirs).sum(axis=1, keepdims=True))).T
+                scores[reps[:, None] == ids[None, :]] = -np.inf
+                best = np.argpartition(-scores, min(top, scores.shape[1]) - 1, axis=1)[:, :top]
+                found = np.take_along_axis(scores, best, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(reps, best.shape[1])), pa.array(ids[best].ravel()), pa.array(found.ravel())], names=["query", "rep", "score"])
+
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+    rows = entries.select("rep", "dim", "vector").mapInArrow(compare, "query long, rep long, score double").where("score > double('-infinity')")
+    out: dict[int, list[int]] = {p["rep"]: [] for p in pilot}
+    for query, rep in rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top).select("query", "rep").collect():
+        out[query].append(rep)
+    return out
+
+
+def tuned(trees: DataFrame, entries: DataFrame, top: int) -> int:
+    """The window that finds TARGET of the neighbours of PILOT queries, with a budget in proportion; WINDOW at least."""
+    pilot = entries.where("asked").orderBy(F.xxhash64("rep")).limit(PILOT).select("rep", "dim", "vector").collect()
+    truth = exact(entries, pilot, top)
+    wanted, some = sum(map(len, truth.values())), np.sort(np.array(list(truth), dtype=np.int64))
+    widest = WINDOW * WIDER
+    while True:
+        ladder = {w: budget_of(w) for k in range(64) for w in (WINDOW << k, 3 * WINDOW << k >> 1) if w <= widest}
+
+        def hits(group: pa.Table) -> pa.Table:  # runs within this turn of the loop
+            query = group.column("query")[0].as_py()
+            ids, levels = (joined(group, c, kind).reshape(-1, 2 * widest) for c, kind in (("ids", "<i8"), ("levels", "i1")))
+            found = []
+            for window, budget in ladder.items():
+                own, shared = (x[:, widest - window : widest + window].ravel() for x in (ids, levels))
+                looked = ascended(own[shared >= 0], shared[shared >= 0], budget)[0] if (shared >= 0).any() else own[:0]
+                found.append(int(np.isin(truth[query], looked).sum()))
+            return pa.table({"window": pa.array(list(ladder), pa.int32()), "hits": pa.array(found, pa.int64())})
+
+        counts = dict(descended(trees, widest, some).groupBy("query").applyInArrow(hits, "window int, hits long").groupBy("window").agg(F.sum("hits")).collect())
+        enough = [w for w in ladder if counts.get(w, 0) >= TARGET * wanted]
+        if enough or widest >= PART_ROWS or not wanted:
+            return enough[0] if enough else max(WINDOW, widest if wanted else WINDOW)
+        widest *= WIDER
+
+
+def budget_of(window: int) -> int:
+    return window * BUDGET // WINDOW
+
+
+def candidates(trees: DataFrame, n_shards: int, window: int, budget: int) -> DataFrame:
+    """For each entry that is asked for: query, shard, ids (its candidates of that shard, itself included), level (symbols shared where the trees stopped), n_looked (candidates of all shards, without itself)."""
 
     def ascend(group: pa.Table) -> pa.Table:
         query = group.column("query")[0].as_py()
@@ -188,8 +278,7 @@ def candidates(entries: DataFrame, n_shards: int, budget: int) -> DataFrame:
         k = len(parts)
         return pa.table({"query": pa.array([query] * k, pa.int64()), "shard": pa.array([int(shards[p[0]]) for p in parts], pa.int32()), "ids": pa.array([every[p].tobytes() for p in parts], pa.binary()), "level": pa.array([level] * k, pa.int32()), "n_looked": pa.array([len(found)] * k, pa.int64())})
 
-    trees = blobs(entries, part_cuts(entries)).groupBy("dim", "tree", "part").applyInArrow(search, "query long, ids binary, levels binary")
-    return trees.groupBy("query").applyInArrow(ascend, "query long, shard int, ids binary, level int, n_looked long")
+    return descended(trees, window).groupBy("query").applyInArrow(ascend, "query long, shard int, ids binary, level int, n_looked long")
 
 
 def nearest_pairs(asked: pa.Table, own: pa.Table, dim: int, most: int) -> tuple[np.ndarray, ...]:
@@ -212,8 +301,8 @@ def nearest_pairs(asked: pa.Table, own: pa.Table, dim: int, most: int) -> tuple[
     return query, ids[best], score[best], level, n_looked
 
 
-def cosines(found: DataFrame, entries: DataFrame, n_shards: int, most: int) -> DataFrame:
-    """query, rep and score of each query's `most` nearest candidates of each shard, ties to the smaller rep; level and n_looked."""
+def cosines(found: DataFrame, entries: DataFrame, n_shards: int, n_blocks: int, most: int) -> DataFrame:
+    """query, rep and score of each query's `most` nearest candidates of each shard, ties to the smaller rep; level and n_looked. A query's vector goes once to each shard that it has candidates in; of very many queries, a shard meets one block after the other."""
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,15 +315,15 @@ def cosines(found: DataFrame, entries: DataFrame, n_shards: int, most: int) -> D
         return pa.table({n: pa.array(np.concatenate([f[k] for f in found]) if found else [], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
     schema = StructType([*entries.schema.fields, StructField("shard", IntegerType())])
-    own = entries.mapInArrow(sharded, schema).select("shard", "rep", "dim", "vector")
-    asked = found.join(entries.where("asked").select(F.col("rep").alias("query"), "dim", "vector"), "query").select("shard", "query", "dim", "ids", "vector", "level", "n_looked")
-    return asked.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(run, "query long, rep long, score double, level int, n_looked long")
+    own = entries.mapInArrow(sharded, schema).select("shard", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "rep", "dim", "vector")
+    asked = found.join(entries.where("asked").select(F.col("rep").alias("query"), "dim", "vector"), "query").select("shard", F.pmod(F.xxhash64("query"), F.lit(n_blocks)).cast("int").alias("block"), "query", "dim", "ids", "vector", "level", "n_looked")
+    return asked.groupBy("shard", "block").cogroup(own.groupBy("shard", "block")).applyInArrow(run, "query long, rep long, score double, level int, n_looked long")
 
 
-def nearest(vectors: DataFrame, every: int = 50, top: int = 5, budget: int = BUDGET) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, top: int = 5, budget: int | None = None) -> DataFrame:
     """For each row whose vec_id is divisible by `every`: query_id, rank (from 1), vec_id and score (cosine) of its `top` nearest other rows that were found, nearest first, ties to the smaller vec_id; level (symbols shared where the trees stopped) and n_looked (different vectors looked at).
 
-    Rows with a null vec_id and vectors that are null, empty, zero or hold a null or a non-finite component take no part; vectors of different length aren't compared. Rows that repeat a vec_id with an equal vector count once; of different vectors under one vec_id, the first by number of components and then by their order stands for it. Other columns are ignored.
+    Rows with a null vec_id and vectors that are null, empty, zero or hold a null or a non-finite component take no part; vectors of different length aren't compared. Rows that repeat a vec_id with an equal vector count once; of different vectors under one vec_id, the first by number of components and then by their order stands for it. Other columns are ignored. With a `budget` the trees are asked for so many candidates, else for as many as TARGET takes (see tuned).
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     rows = rows.groupBy("vec_id").agg(F.min(F.struct(F.size("vector").alias("dim"), "vector")).alias("v")).select("vec_id", F.col("v.dim").alias("dim"), F.col("v.vector").alias("vector"))
@@ -243,13 +332,17 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, budget: int = BUD
     places = rows.where("asked").join(reps, ["same", "too"]).select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query"))
     entries = rows.drop("asked").join(reps.withColumnRenamed("rep", "vec_id"), ["vec_id", "same", "too"]).select(F.col("vec_id").alias("rep"), "dim", "vector", "asked")
     entries = written(entries, "entries")
-    n_shards = max(1, -(-entries.count() // SHARD_ROWS))
+    n, n_asked = entries.agg(F.count("*"), F.count_if("asked")).first()
+    n_shards = max(1, min(-(-n // SHARD_ROWS), SHARDS), -(-n // MOST_SHARD_ROWS))
+    trees = forest(entries)
+    # A table of some thousand entries is searched nearly whole.
+    window = WINDOW if budget or n <= 2 * BUDGET or not n_asked else tuned(trees, entries, top)
 
     # One more than asked for, since a query's own row is among them.
     first = Window.partitionBy("same", "too").orderBy("vec_id")
     members = rows.select("same", "too", "vec_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= top + 1).join(reps, ["same", "too"]).select("rep", "vec_id")
     by_rep = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    best = cosines(candidates(entries, n_shards, budget), entries, n_shards, top + 1).withColumn("n", F.row_number().over(by_rep)).where(F.col("n") <= top + 1)
+    best = cosines(candidates(trees, n_shards, window, budget or budget_of(window)), entries, n_shards, max(1, -(-n_asked // TOGETHER)), top + 1).withColumn("n", F.row_number().over(by_rep)).where(F.col("n") <= top + 1)
     by_row = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = best.drop("n").join(members, "rep").withColumn("n", F.row_number().over(by_row)).where(F.col("n") <= top + 1)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -466,7 +466,8 @@ def test_ascent_by_definition():
     def prefix(key, n):
         return key >> (2 * ann.PAIRS - 2 * (n - 1)) if n else 0
 
-    found = [ann.matches(keys[t], ids, flags, t) for t in range(5)]
+    orders = [ann.sorted_tree(keys[t], ids, t) for t in range(5)]
+    found = [ann.matches(keys[t][o], ids[o], flags[o], ann.WINDOW) for t, o in enumerate(orders)]
     every, levels = (np.concatenate([f[k].ravel() for f in found]) for k in (1, 2))
     every, levels = every[levels >= 0], levels[levels >= 0]
     for budget in (1, 5, 15, 30, 100):
@@ -505,6 +506,22 @@ def test_rare_length(spark, monkeypatch):
     assert {q: [i for i, _ in x] for q, x in expected.items()} == got  # so few rows are all looked at
 
 
+@pytest.mark.parametrize("groups", [0, 500])
+def test_recall_holds_with_size(spark, monkeypatch, groups):
+    """20,000 directions without structure, or in groups: with a least window that is too narrow for the first, the pilot widens it as far as needed, and no further for the second."""
+    monkeypatch.setattr(ann, "WINDOW", 4)
+    monkeypatch.setattr(ann, "BUDGET", 256)
+    rng = np.random.default_rng(groups)
+    vectors = rng.normal(size=(20_000, 32))
+    if groups:
+        vectors = rng.normal(size=(groups, 32))[rng.integers(0, groups, 20_000)] + 0.05 * vectors
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vectors)]
+    seen = []
+    monkeypatch.setattr(ann, "tuned", lambda *args, tuned=ann.tuned: seen.append(tuned(*args)) or seen[-1])
+    assert share_found(spark, rows, every=100) >= 0.9
+    assert (seen[0] > 4) == (groups == 0)
+
+
 @needs_tables
 def test_recall_on_the_table(spark):
     vectors = table(spark, SMALL.replace("0.001", "0.01"), "embeddings")
