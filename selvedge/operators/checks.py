@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.fixed import FIELDS
@@ -48,3 +48,46 @@ def all_errors(delivered_date: Column, meters: Column, pieces: Column, net_weigh
 def missing_columns(records: DataFrame) -> list[str]:
     """Fields of the record that a frame has no column for, in order."""
     return [f for f in FIELDS if f not in records.columns]
+
+
+#: The rules of a record in the order in which they are checked: check, field, condition of an error, message. In a condition {has} says whether the record has the field, {v} is its text, {n} its number (null where it is none).
+RULES = (
+    *(("schema", f, "{v} IS NOT NULL AND {n} IS NULL" + (" OR {n} <> floor({n})" if kind == "int" else ""), f"{f} is no {'whole ' if kind == 'int' else ''}number") for f, kind in FIELDS.items() if kind != "string"),
+    ("date", "delivered_date", "NOT {v} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$'", "not ISO"),
+    ("date", "delivered_date", "{v} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' AND NOT (try_cast(substr({v}, 6, 2) AS int) BETWEEN 1 AND 12 AND try_cast(substr({v}, 9, 2) AS int) BETWEEN 1 AND 31)", "month or day"),
+    ("rules", "meters", "{n} <= 0", "meters must be > 0"),
+    ("rules", "pieces", "{n} <= 0 AND {n} = floor({n})", "pieces must be > 0"),
+    ("rules", "net_weight", "{n} < 0", "net_weight cannot be negative"),
+    *(("completeness", f, "NOT {has}", f"{f} is missing from the record") for f in FIELDS),
+)
+#: Rules that are compiled into one expression, at most.
+MOST_RULES = 500
+
+
+def rule_table(rules: DataFrame) -> tuple:
+    """Rules kept as a table (ord, check, field, condition, message), in their order; MOST_RULES at most."""
+    rows = rules.orderBy("ord").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return tuple((r["check"], r["field"], r["condition"], r["message"]) for r in rows)
+
+
+def broken(condition: str, field: str, values: str = "values") -> Column:
+    """Whether a record (a map of texts) breaks a rule; what can't be told is no error."""
+    v = f"try_element_at({values}, '{field}')"
+    n = f"(CASE WHEN trim(replace({v}, ',', '')) RLIKE '{PLAIN_NUMBER}' THEN try_cast(trim(replace({v}, ',', '')) AS double) END)"
+    return F.coalesce(F.expr(condition.format(v=v, n=n, has=f"map_contains_key({values}, '{field}')")), F.lit(False))
+
+
+def validated(records: DataFrame, rules: tuple = RULES, counts: Observation | None = None) -> DataFrame:
+    """Records (doc_id, values: a map of texts by field) with errors: check, field and message of each rule that they break, in the rules' order. All rules are one expression over the record's row. With `counts`, the number of records that break each rule ("check: message") is counted in the same pass, and can be read from it when the rows have been."""
+    found = F.array(*[F.when(broken(condition, field), F.struct(F.lit(check).alias("check"), F.lit(field).alias("field"), F.lit(message).alias("message"))) for check, field, condition, message in rules])
+    out = records.withColumn("errors", F.array_compact(found))
+    if counts is not None:
+        out = out.observe(counts, F.count("*").alias("records"), *[F.count_if(F.exists("errors", lambda e, c=check, m=message: (e["check"] == c) & (e["message"] == m))).alias(f"{check}: {message}") for check, _, _, message in rules])
+    return out
+
+
+def violations(checked: DataFrame) -> DataFrame:
+    """check, message and how many records of validated() have the error."""
+    return checked.select(F.explode("errors").alias("e")).groupBy("e.check", "e.message").agg(F.count("*").alias("n"))

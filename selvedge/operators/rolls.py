@@ -173,8 +173,26 @@ def flat_rows(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.col("seq").cast("int").alias("n"), F.col("lot").alias("lot_no"), F.col("po_number").alias("po"), F.col("color").alias("shade"), F.col("piece_number").alias("roll_no"), F.col("meters").alias("length_mts"), F.col("net_weight").alias("weight_nett"))
 
 
-def extraction_notes(rows: DataFrame, expected: DataFrame | None = None, unmapped: DataFrame | None = None) -> DataFrame:
-    """What the reader of a document's rows (doc_id, lot, piece_number) should know: ditto marks, rows left out, rolls; how many were expected (doc_id, expected), where that differs; columns that mean no field (doc_id, heading)."""
+#: A value is out of line if it is so many median deviations from its document's median, where the document has LEAST_VALUES of them.
+OUT_OF_LINE, LEAST_VALUES = 8.0, 8
+
+
+def inconsistent(lines: DataFrame) -> DataFrame:
+    """Values of rolls that don't fit their document: doc_id, seq, piece_number, what (meters; kgs per meter; yards per meter), value, median, deviation (the median one). A document whose values are nearly all the same has a deviation of 0: then any other value is out of line. Lines without a value aren't judged."""
+    meters = F.when(F.col("meters") > 0, F.col("meters"))
+    measures = {"meters": F.col("meters"), "kgs per meter": F.col("net_weight") / meters}
+    if "length_yds" in lines.columns:
+        measures["yards per meter"] = F.col("length_yds") / meters
+    pairs = F.array(*[F.struct(F.lit(what).alias("what"), value.cast("double").alias("value")) for what, value in measures.items()])
+    rows = lines.select("doc_id", "seq", "piece_number", F.explode(pairs).alias("m")).select("doc_id", "seq", "piece_number", "m.*").where("value IS NOT NULL")
+    middle = rows.groupBy("doc_id", "what").agg(F.median("value").alias("median"), F.count("*").alias("n")).where(F.col("n") >= LEAST_VALUES)
+    rows = rows.join(middle, ["doc_id", "what"]).withColumn("off", F.abs(F.col("value") - F.col("median")))
+    spread = rows.groupBy("doc_id", "what").agg(F.median("off").alias("deviation"))
+    return rows.join(spread, ["doc_id", "what"]).where(F.col("off") > OUT_OF_LINE * F.col("deviation")).select("doc_id", "seq", "piece_number", "what", "value", "median", "deviation")
+
+
+def extraction_notes(rows: DataFrame, expected: DataFrame | None = None, unmapped: DataFrame | None = None, odd: DataFrame | None = None) -> DataFrame:
+    """What the reader of a document's rows (doc_id, lot, piece_number) should know: ditto marks, rows left out, rolls; how many were expected (doc_id, expected), where that differs; columns that mean no field (doc_id, heading); values that don't fit (of inconsistent())."""
     ditto, skipped = F.count_if(F.col("lot") == '"'), F.count_if(F.coalesce(F.lower("piece_number").rlike(SUMMARY_ROW), F.lit(False)))
     notes = F.concat_ws("; ", F.when(ditto > 0, F.concat(F.lit("ditto marks: "), ditto.cast("string"))), F.when(skipped > 0, F.concat(F.lit("rows skipped: "), skipped.cast("string"))), F.concat(F.lit("rolls: "), (F.count("*") - skipped).cast("string")))
     found = rows.groupBy("doc_id").agg(notes.alias("notes"), (F.count("*") - skipped).alias("n"))
@@ -185,4 +203,8 @@ def extraction_notes(rows: DataFrame, expected: DataFrame | None = None, unmappe
     if unmapped is not None:
         found = found.join(unmapped.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("heading")), ", ").alias("headings")), "doc_id", "left")
         more.append(F.concat(F.lit("unmapped: "), "headings"))
+    if odd is not None:
+        said = F.concat("what", F.lit(" "), F.format_string("%.2f", "value"), F.lit(" of roll "), "piece_number")
+        found = found.join(odd.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "what", said.alias("said")))), lambda x: x["said"]), ", ").alias("odd")), "doc_id", "left")
+        more.append(F.concat(F.lit("inconsistent: "), "odd"))
     return found.select("doc_id", F.concat_ws("; ", "notes", *more).alias("notes"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import books as B
+from ..operators import roles
+from ..operators import rolls as R
 from ..sources.rendered import duck, frame
 from .registry import query
 
@@ -81,3 +83,31 @@ def total_differences(spark, sf_dir):
 def roll_rollups(spark, sf_dir):
     """Pieces and meters of each document, PO and lot."""
     return B.rollups(B.rolls_of(rows(spark, sf_dir))).select("doc_id", "level", "value", "pieces", F.col("meters").cast("long").alias("meters"))
+
+
+#: A supplier's lines as rolls, some with a length or a weight that can't be.
+SPOILT = "SELECT l_suppkey AS doc_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seq, CAST(l_partkey AS STRING) AS piece_number, CAST(CASE WHEN l_orderkey % 97 = 0 THEN l_quantity * 40 ELSE l_quantity END AS DOUBLE) AS meters, CAST(CASE WHEN l_orderkey % 89 = 0 THEN l_extendedprice * 60 ELSE l_extendedprice END AS DOUBLE) AS net_weight FROM {lineitem}"
+
+
+@query("inconsistent_values", f"""WITH r AS ({duck(SPOILT)}), v AS (SELECT doc_id, seq, 'meters' AS what, meters AS value FROM r UNION ALL SELECT doc_id, seq, 'kgs per meter', net_weight / meters FROM r WHERE meters > 0),
+    s AS (SELECT doc_id, what, median(value) AS median, mad(value) AS deviation, count(*) AS n FROM v GROUP BY ALL)
+    SELECT doc_id, seq, what, value, median, deviation FROM v JOIN s USING (doc_id, what) WHERE n >= 8 AND abs(value - median) > 8 * deviation""")
+def inconsistent_values(spark, sf_dir):
+    """Lengths and weights that don't fit their document."""
+    return R.inconsistent(frame(spark, sf_dir, SPOILT)).select("doc_id", "seq", "what", "value", "median", "deviation")
+
+
+#: A supplier's rolls as a table without headings. Its columns are turned by the supplier's number; roll numbers follow one another from any start or are long and jump; lots are one or many, with ditto marks.
+_TURNED = ("piece_number", "meters", "length_yds", "net_weight", "weight_gross_kgs", "lot", "color")
+BARE = f"""WITH book AS ({BOOK}), columns(role) AS (VALUES {", ".join(f"({r})" for r in range(len(_TURNED)))})
+    SELECT doc_id, 0 AS tbl, CAST(seq AS INT) AS row, CAST((role + doc_id) % {len(_TURNED)} AS INT) AS col,
+        CASE role WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id * 31 + seq AS STRING) ELSE CAST(550000000 + (seq * 7919) % 99991 AS STRING) END WHEN 1 THEN CAST(meters + 20 AS STRING)
+            WHEN 2 THEN CAST(CAST((meters + 20) * 1.0936 AS DECIMAL(10,2)) AS STRING) WHEN 3 THEN CAST(CAST((meters + 20) * 0.44 AS DECIMAL(10,2)) AS STRING) WHEN 4 THEN CAST(CAST((meters + 20) * 0.44 + 1.25 AS DECIMAL(10,2)) AS STRING)
+            WHEN 5 THEN CASE WHEN doc_id % 3 = 0 THEN CASE WHEN seq = 1 THEN 'LOT-7' ELSE '"' END ELSE concat('L-', CAST(CAST(floor(seq / 9) AS BIGINT) AS STRING)) END ELSE concat('Shade ', color) END AS text
+    FROM book CROSS JOIN columns WHERE doc_id % 7 <> 5 OR role <> 4"""
+
+
+@query("role_assignment", f"SELECT DISTINCT l_suppkey AS doc_id, CAST((role + l_suppkey) % {len(_TURNED)} AS INTEGER) AS col, name AS role FROM lineitem CROSS JOIN (VALUES {', '.join(f'({k}, {chr(39)}{r}{chr(39)})' for k, r in enumerate(_TURNED) if r not in ('net_weight', 'weight_gross_kgs'))}, (3, 'net_weight'), (4, 'weight_gross_kgs')) AS r(role, name) WHERE l_suppkey % 7 <> 5 OR role NOT IN (3, 4)")
+def role_assignment(spark, sf_dir):
+    """Roles of the columns of tables without headings, whatever their order."""
+    return roles.assigned(frame(spark, sf_dir, BARE)).select("doc_id", "col", "role")

@@ -196,3 +196,32 @@ def template_log(spark, sf_dir):
     both = feedback.compacted(log.where(early)).unionByName(log.where(~early).withColumn("n", F.lit(1).cast("long")))
     pairs = F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return feedback.templates_of(both).select("supplier_name", F.array_join(pairs, ",").alias("template"), "correction_count")
+
+
+#: Records as maps of texts: bad numbers and dates, and fields that some of them don't have at all.
+_TEXTS = {"lot": "'A'", "pieces": "pieces", "meters": "meters", "po_number": "'P'", "net_weight": "net_weight", "order_number": "CAST(NULL AS STRING)", "invoice_number": "'I'", "delivered_date": "delivered_date", "quality": "'Q'", "color": "'C'"}
+_GONE = {"lot": 10, "color": 6}
+_BROKEN = [
+    ("schema", "pieces is no whole number", "pieces = '1.5'"), ("schema", "meters is no number", "meters = 'abc'"), ("schema", "net_weight is no number", "false"), ("date", "not ISO", "doc_id % 4 = 1"), ("date", "month or day", "doc_id % 4 = 0"),
+    ("rules", "meters must be > 0", "meters IN ('-3', '0')"), ("rules", "pieces must be > 0", "pieces = '0'"), ("rules", "net_weight cannot be negative", "net_weight = '-1'"), ("completeness", "lot is missing from the record", "doc_id % 10 = 0"), ("completeness", "color is missing from the record", "doc_id % 6 = 0"),
+]
+
+
+def record_maps(spark, sf_dir):
+    texts = frame(spark, sf_dir, DATED).selectExpr("doc_id", *[f"{v} AS {f}" for f, v in _TEXTS.items()])
+    pairs = F.array(*[F.struct(F.lit(f).alias("k"), F.col(f).alias("v"), (F.col("doc_id") % _GONE[f] == 0 if f in _GONE else F.lit(False)).alias("gone")) for f in _TEXTS])
+    kept = F.transform(F.filter(pairs, lambda p: ~p["gone"]), lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value")))
+    return texts.select("doc_id", F.map_from_entries(kept).alias("values"))
+
+
+@query("validate_joint", f"WITH r AS ({duck(DATED)}) SELECT doc_id, concat_ws('; ', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{check}: {m}{chr(39)} END' for check, m, c in _BROKEN)}) AS errors FROM r")
+def validate_joint(spark, sf_dir):
+    """Schema, date, rules and completeness in their order, in one pass."""
+    checked = checks.validated(record_maps(spark, sf_dir))
+    return checked.select("doc_id", F.array_join(F.transform("errors", lambda e: F.concat(e["check"], F.lit(": "), e["message"])), "; ").alias("errors"))
+
+
+@query("rule_violations", f"WITH r AS ({duck(DATED)}) SELECT * FROM ({' UNION ALL '.join(f'SELECT {chr(39)}{check}{chr(39)} AS check_name, {chr(39)}{m}{chr(39)} AS message, count(*) AS n FROM r WHERE {c}' for check, m, c in _BROKEN)}) WHERE n > 0")
+def rule_violations(spark, sf_dir):
+    """How many records break each rule."""
+    return checks.violations(checks.validated(record_maps(spark, sf_dir))).select(F.col("check").alias("check_name"), "message", "n")
