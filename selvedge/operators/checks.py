@@ -84,7 +84,8 @@ def validated(records: DataFrame, rules: tuple = RULES, counts: Observation | No
     found = F.array(*[F.when(broken(condition, field), F.struct(F.lit(check).alias("check"), F.lit(field).alias("field"), F.lit(message).alias("message"))) for check, field, condition, message in rules])
     out = records.withColumn("errors", F.array_compact(found))
     if counts is not None:
-        out = out.observe(counts, F.count("*").alias("records"), *[F.count_if(F.exists("errors", lambda e, c=check, m=message: (e["check"] == c) & (e["message"] == m))).alias(f"{check}: {message}") for check, _, _, message in rules])
+        has = lambda check, message: F.exists("errors", lambda e: (e["check"] == check) & (e["message"] == message))
+        out = out.observe(counts, F.count("*").alias("records"), *[F.count_if(has(check, message)).alias(f"{check}: {message}") for check, _, _, message in rules])
     return out
 
 

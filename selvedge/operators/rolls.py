@@ -173,12 +173,12 @@ def flat_rows(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.col("seq").cast("int").alias("n"), F.col("lot").alias("lot_no"), F.col("po_number").alias("po"), F.col("color").alias("shade"), F.col("piece_number").alias("roll_no"), F.col("meters").alias("length_mts"), F.col("net_weight").alias("weight_nett"))
 
 
-#: A value is out of line if it is so many median deviations from its document's median, where the document has LEAST_VALUES of them.
-OUT_OF_LINE, LEAST_VALUES = 8.0, 8
+#: A value is out of line if it is so many median deviations, and more than NEAR of the median, from its document's median, where the document has LEAST_VALUES of them.
+OUT_OF_LINE, NEAR, LEAST_VALUES = 8.0, 0.01, 8
 
 
 def inconsistent(lines: DataFrame) -> DataFrame:
-    """Values of rolls that don't fit their document: doc_id, seq, piece_number, what (meters; kgs per meter; yards per meter), value, median, deviation (the median one). A document whose values are nearly all the same has a deviation of 0: then any other value is out of line. Lines without a value aren't judged."""
+    """Values of rolls that don't fit their document: doc_id, seq, piece_number, what (meters; kgs per meter; yards per meter), value, median, deviation (the median one). A document whose values are nearly all the same has a deviation of 0: then any value that isn't near them is out of line. Lines without a value aren't judged."""
     meters = F.when(F.col("meters") > 0, F.col("meters"))
     measures = {"meters": F.col("meters"), "kgs per meter": F.col("net_weight") / meters}
     if "length_yds" in lines.columns:
@@ -188,7 +188,7 @@ def inconsistent(lines: DataFrame) -> DataFrame:
     middle = rows.groupBy("doc_id", "what").agg(F.median("value").alias("median"), F.count("*").alias("n")).where(F.col("n") >= LEAST_VALUES)
     rows = rows.join(middle, ["doc_id", "what"]).withColumn("off", F.abs(F.col("value") - F.col("median")))
     spread = rows.groupBy("doc_id", "what").agg(F.median("off").alias("deviation"))
-    return rows.join(spread, ["doc_id", "what"]).where(F.col("off") > OUT_OF_LINE * F.col("deviation")).select("doc_id", "seq", "piece_number", "what", "value", "median", "deviation")
+    return rows.join(spread, ["doc_id", "what"]).where((F.col("off") > OUT_OF_LINE * F.col("deviation")) & (F.col("off") > NEAR * F.abs("median"))).select("doc_id", "seq", "piece_number", "what", "value", "median", "deviation")
 
 
 def extraction_notes(rows: DataFrame, expected: DataFrame | None = None, unmapped: DataFrame | None = None, odd: DataFrame | None = None) -> DataFrame:

@@ -91,7 +91,7 @@ SPOILT = "SELECT l_suppkey AS doc_id, CAST(l_orderkey * 10 + l_linenumber AS BIG
 
 @query("inconsistent_values", f"""WITH r AS ({duck(SPOILT)}), v AS (SELECT doc_id, seq, 'meters' AS what, meters AS value FROM r UNION ALL SELECT doc_id, seq, 'kgs per meter', net_weight / meters FROM r WHERE meters > 0),
     s AS (SELECT doc_id, what, median(value) AS median, mad(value) AS deviation, count(*) AS n FROM v GROUP BY ALL)
-    SELECT doc_id, seq, what, value, median, deviation FROM v JOIN s USING (doc_id, what) WHERE n >= 8 AND abs(value - median) > 8 * deviation""")
+    SELECT doc_id, seq, what, value, median, deviation FROM v JOIN s USING (doc_id, what) WHERE n >= 8 AND abs(value - median) > 8 * deviation AND abs(value - median) > 0.01 * abs(median)""")
 def inconsistent_values(spark, sf_dir):
     """Lengths and weights that don't fit their document."""
     return R.inconsistent(frame(spark, sf_dir, SPOILT)).select("doc_id", "seq", "what", "value", "median", "deviation")
