@@ -67,13 +67,8 @@ SHEET = ("lot_no", "po", "shade", "roll_no", "length_mts", "length_yds", "points
 HEADINGS = ("LOT No", "PO #", "Shade", "Roll No", "Length (mts)", "Length (yds)", "Total Points /Roll", "Points / 100m2", "Weight (Gross kgs)", "Weight (Nett kgs)")
 
 
-def workbook(rows: list[tuple[int, dict[str, str]]]) -> bytes:
-    """A workbook of one sheet: rows of (number, cells by column letter, in order), all as text."""
-
-    def cell(column: str, number: int, value: str) -> str:
-        return f'<c r="{column}{number}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
-
-    sheet = "".join(f'<row r="{n}">{"".join(cell(c, n, v) for c, v in cells.items())}</row>' for n, cells in rows)
+def workbook_parts() -> tuple[dict[str, str], tuple[str, str]]:
+    """The files of a workbook of one sheet, without the sheet, and what stands before and after the sheet's rows."""
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     space = "http://schemas.openxmlformats.org"
     parts = {
@@ -81,11 +76,21 @@ def workbook(rows: list[tuple[int, dict[str, str]]]) -> bytes:
         "_rels/.rels": f'{head}<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="r1" Type="{space}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'{head}<workbook xmlns="{space}/spreadsheetml/2006/main" xmlns:r="{space}/officeDocument/2006/relationships"><sheets><sheet name="Packing List" sheetId="1" r:id="r1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'{head}<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="r1" Type="{space}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'{head}<worksheet xmlns="{space}/spreadsheetml/2006/main"><sheetData>{sheet}</sheetData></worksheet>',
     }
+    return parts, (f'{head}<worksheet xmlns="{space}/spreadsheetml/2006/main"><sheetData>', "</sheetData></worksheet>")
+
+
+def workbook(rows: list[tuple[int, dict[str, str]]]) -> bytes:
+    """A workbook of one sheet: rows of (number, cells by column letter, in order), all as text."""
+
+    def cell(column: str, number: int, value: str) -> str:
+        return f'<c r="{column}{number}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+
+    sheet = "".join(f'<row r="{n}">{"".join(cell(c, n, v) for c, v in cells.items())}</row>' for n, cells in rows)
+    parts, (before, after) = workbook_parts()
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-        for name, content in parts.items():
+        for name, content in (parts | {"xl/worksheets/sheet1.xml": f"{before}{sheet}{after}"}).items():
             archive.writestr(name, content)
     return out.getvalue()
 
