@@ -37,7 +37,10 @@ class Shipments:
         found = fields.by_document(self.pages.where(~F.col("needs_ocr")), "supplier_name")
         values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS if f in found.columns])
         regex = found.select("doc_id", F.explode(values).alias("x")).select("doc_id", "x.*").where("value IS NOT NULL")
-        parts = {"regex": regex.select("*", F.lit(0.90).alias("confidence"), F.lit(1).alias("page_number"), F.lit(0).cast("long").alias("ord"))}
+        # A known supplier's own places come before the general patterns.
+        texts = page_ops.full_text(self.pages).join(self.documents(), "doc_id").select("doc_id", "full_text", rolls.supplier_code(F.coalesce("supplier_name", F.lit(""))).alias("code"))
+        own = fields.supplier_headers(texts).select("*", F.lit(0.92).alias("confidence"), F.lit(1).alias("page_number"), F.lit(-1).cast("long").alias("ord"))
+        parts = {"regex": regex.select("*", F.lit(0.90).alias("confidence"), F.lit(1).alias("page_number"), F.lit(0).cast("long").alias("ord")).unionByName(own)}
         if self.templates is not None:
             parts["template"] = feedback.as_evidence(feedback.lookup(self.documents(), self.templates))
         if self.model is not None:
@@ -86,6 +89,10 @@ class Shipments:
         won = evidence.resolve_all(self.documents(), self.evidence())
         return won.withColumn("confidence", evidence.score(F.col("value"), F.col("source"), F.col("confidence")))
 
+    def response(self) -> DataFrame:
+        """Every field of every document as it is shown (see evidence.response)."""
+        return evidence.response(evidence.resolve_all(self.documents(), self.evidence()))
+
     def result(self) -> DataFrame:
         """One finished record for each document: resolved values, blanks filled from the rolls, several values MIXED, the stated weight set against the tables' sum, the fields to be reviewed, errors."""
         kinds = self.documents().select("doc_id")

@@ -98,3 +98,18 @@ SUPPLIER_COLUMNS = {
     "PEN": {"pce no": "piece_number", "dye lot": "lot", "qty(mtr)": "meters", "gross": "weight_gross_kgs", "nett": "net_weight", "design/color": "color"},
     "SFM": {"roll no": "piece_number", "cont. no": "lot", "shade": "color", "grade": "grade", "qty (mtr)": "meters", "qty (yrd)": "length_yds", "n wt. (kgs)": "net_weight", "gr wt. (kgs)": "weight_gross_kgs"},
 }
+#: Where known suppliers write the values of a document: patterns by field; "last" where totals repeat and the last one counts.
+SUPPLIER_HEADERS = {
+    "AML": {
+        "invoice_number": (r"INVOICE\s+NO\s*[:.]\s*(\S+)", "first"), "delivered_date": (r"DATED\s*[:.]\s*([0-9]{1,2}-[A-Za-z]{3}-[0-9]{2,4})", "first"), "net_weight": (r"TOTAL\s+NET\s+WT\s*[:.]\s*([0-9.,]+)", "last"),
+        "meters": (r"TOTAL\s+METERS\s*[:.]\s*([0-9.,]+)", "last"), "pieces": (r"TOTAL\s+ROLLS\s*[:.]\s*([0-9,]+)", "last"), "quality": (r"^\s*([0-9]+%.*\S)\s*$", "first"), "po_number": (r"^\s*PO\s*#\s*([A-Z0-9-]+)", "first"),
+    },
+    "PEN": {
+        "invoice_number": (r"REF\s+No\s*[:.]\s*(\S+)", "first"), "delivered_date": (r"PACKING\s+LIST\s+DATE\s*[:.]\s*(\S+)", "first"), "net_weight": (r"^\s*(?:Sub\s+Total|SUMMARY\s+TOTAL\s+BY\s+COLOUR)\s*:?.*\s([0-9.,]+)\s*$", "last"),
+        "meters": (r"^\s*(?:Sub\s+Total|SUMMARY\s+TOTAL\s+BY\s+COLOUR)\s*:?\s*([0-9.,]+)", "last"), "quality": (r"Commodity(?:\s*\(Description\))?\s*:?\s*(\S.*\S)\s*$", "first"), "po_number": (r"PO\s*NO\s*[:.]\s*([A-Z0-9-]+)", "first"),
+    },
+    "SFM": {
+        "invoice_number": (r"Packing\s+List\s+No\.?\s*:?\s*(\S+)", "first"), "delivered_date": (r"\bDate\s*[:.]?\s*([0-9]{1,2}-[A-Za-z]{3}-[0-9]{2,4})", "first"), "net_weight": (r"Net\s+Weight\s*:\s*([0-9.,]+)", "last"),
+        "meters": (r"Total\s+Quantity\s*:\s*([0-9.,]+)", "last"), "pieces": (r"^\s*([0-9]+)\s+Total\s*:", "last"), "quality": (r"DESCRIPTION\s+OF\s+GOODS\s*:?\s*(\S.*\S)\s*$", "first"), "po_number": (r"PO#\s*:?\s*([A-Z0-9-]+)", "first"),
+    },
+}

@@ -123,3 +123,9 @@ def chips(items: DataFrame) -> DataFrame:
     """Items (doc_id, name, value) by whether their name is a field of the record: doc_id, fields and unidentified (names, in order, joined by commas)."""
     known = F.col("name").isin(*FIELDS)
     return items.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(known, F.col("name")))), ",").alias("fields"), F.array_join(F.array_sort(F.collect_set(F.when(~known, F.col("name")))), ",").alias("unidentified"))
+
+
+def response(resolved: DataFrame) -> DataFrame:
+    """What a result is shown as: doc_id, name, value, confidence (of 100), mapping_source, status, for each field of resolved documents (doc_id, field, value, source, confidence)."""
+    scored = score(F.col("value"), F.col("source"), F.col("confidence"))
+    return resolved.select("doc_id", F.col("field").alias("name"), "value", F.round(scored * 100).cast("int").alias("confidence"), mapping_source(F.lit(False), F.col("source") != "none").alias("mapping_source"), F.lit("complete").alias("status"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import LOT_NOT, LOT_PATTERNS, METER_PATTERNS, PATTERNS, PIECE_PATTERNS, SHOWN_PATTERNS, SUPPLIER_PATTERNS
-from ..functions.text import first_value, nonempty, normal_date, number, stripped
+from ..functions.fixed import FIELDS, LOT_NOT, LOT_PATTERNS, METER_PATTERNS, PATTERNS, PIECE_PATTERNS, SHOWN_PATTERNS, SUPPLIER_HEADERS, SUPPLIER_PATTERNS
+from ..functions.text import clean_number, converted_date, first_value, nonempty, normal_date, number, stripped
 
 
 def field_columns(text: Column, supplier: Column | None = None) -> dict[str, Column]:
@@ -31,6 +31,24 @@ def by_page(text: Column, supplier: Column | None = None) -> Column:
     return F.get(F.transform(F.array(page), lambda p: F.struct(*[v.alias(f) for f, v in field_columns(p["text"], None if supplier is None else p["supplier"]).items()])), F.lit(0))
 
 
+def supplier_headers(texts: DataFrame) -> DataFrame:
+    """Header values of known suppliers' documents (doc_id, code, full_text), by the places where these write them: doc_id, field, value. Of totals that repeat the last one counts; numbers lose their commas and units, dates become ISO; what isn't there has no row. Each document is tried by its own supplier's patterns alone."""
+    found = None
+    for code, rules in SUPPLIER_HEADERS.items():
+        values = []
+        for field, (pattern, which) in rules.items():
+            every = F.regexp_extract_all("full_text", F.lit(f"(?im){pattern}"), 1)
+            raw = stripped(F.try_element_at(every, F.lit(1 if which == "first" else -1)))
+            if field == "delivered_date":
+                raw = F.coalesce(converted_date(raw), raw)
+            elif FIELDS[field] != "string":
+                raw = clean_number(raw).cast("decimal(18,2)").cast("string" if FIELDS[field] == "double" else "long").cast("string")
+            values.append(F.struct(F.lit(field).alias("field"), nonempty(raw).alias("value")))
+        own = texts.where(F.col("code") == code).select("doc_id", F.explode(F.array(*values)).alias("x")).select("doc_id", "x.*").where("value IS NOT NULL")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def text_evidence(texts: DataFrame, has_pieces: DataFrame | None = None) -> DataFrame:
     """Evidence from documents' texts (doc_id, full_text): lots (confidence 0.85), the highest roll number as pieces (0.80) and totals in meters (0.82), in the patterns' order; no pieces for documents in has_pieces (doc_id), whose tables give some."""
     text = F.col("full_text")

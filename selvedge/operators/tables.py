@@ -30,6 +30,12 @@ def echoes() -> list[str]:
     return sorted({n.lower() for names in ALIASES.values() for n in names} | {f.replace("_", " ") for f in FIELDS})
 
 
+def without_echoes(cells: DataFrame) -> DataFrame:
+    """Cells below the first row that don't repeat a heading."""
+    known = cells.sparkSession.createDataFrame([(e,) for e in echoes()], "echo string")
+    return cells.where("row > 0").join(F.broadcast(known), F.lower("text") == F.col("echo"), "left_anti")
+
+
 def headings(cells: DataFrame) -> DataFrame:
     """Cells of the rows that can be headings, as the aliases are written."""
     return cells.where((F.col("row") < HEADING_ROWS) & (F.coalesce("text", F.lit("")) != "")).withColumn("heading", F.lower(stripped(F.col("text")))).where(F.col("heading") != "")

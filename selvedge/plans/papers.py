@@ -208,8 +208,7 @@ def table_candidates(spark, sf_dir):
 
 @query("header_echo_antijoin", f"{WITH_CELLS} SELECT doc_id, tbl, row, col, text FROM cells WHERE row > 0 AND lower(text) NOT IN ({ECHOES})")
 def header_echo_antijoin(spark, sf_dir):
-    known = spark.createDataFrame([(e,) for e in tables.echoes()], "echo string")
-    return cells(spark, sf_dir).where("row > 0").join(F.broadcast(known), F.lower("text") == F.col("echo"), "left_anti").select("doc_id", "tbl", "row", "col", "text")
+    return tables.without_echoes(cells(spark, sf_dir)).select("doc_id", "tbl", "row", "col", "text")
 
 
 def _signature(name: str, signature) -> str:
@@ -391,3 +390,21 @@ def full_record(spark, sf_dir):
     found = Shipments(own, cells(spark, sf_dir), lines=frame(spark, sf_dir, ROLLS).where("doc_id % 5 <> 0")).result()
     sources = F.array_join(F.transform(F.array(*[F.lit(f) for f in FIELDS]), lambda f: F.try_element_at("sources", f)), ",")
     return found.select("doc_id", *FIELDS, sources.alias("sources"), "flagged_fields", "weight_mismatch", "mapping_source")
+
+
+#: Texts of three known suppliers, by order modulo 3: header values where each writes them, totals twice.
+HEADED = """SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'AML' WHEN 1 THEN 'PEN' ELSE 'SFM' END AS code,
+    CASE o_orderkey % 3 WHEN 0 THEN concat('ARTISTIC MILLINERS (PVT) LTD', chr(10), 'INVOICE NO : AM2/', CAST(o_orderkey AS STRING), '  DATED : 7-Jan-26', chr(10), 'TOTAL METERS: 1  TOTAL ROLLS: 2', chr(10), 'PO # ', CAST(o_custkey AS STRING), '  AMS DARK', chr(10), '55% COTTON, 45% NYLON ', chr(10), 'TOTAL METERS: 11,', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), '  TOTAL ROLLS: ', CAST(o_orderkey % 50 + 1 AS STRING), chr(10), 'TOTAL GROSS WT: 5288.00 KGS  TOTAL NET WT: ', CAST(o_custkey AS STRING), '.50 KGS')
+    WHEN 1 THEN concat('PENFABRIC SDN. BERHAD  REF No: P', CAST(o_orderkey AS STRING), chr(10), 'PACKING LIST DATE: 15/03/2024', chr(10), 'Commodity (Description) WOVEN FABRIC 78% POLYESTER', chr(10), 'Marking PO NO:0', CAST(o_custkey AS STRING), chr(10), 'Sub Total: 5.00 6 7', chr(10), 'Sub Total: ', CAST(o_orderkey % 1000 AS STRING), '.25  40.00  ', CAST(o_custkey AS STRING), '.75', chr(10), 'page 2')
+    ELSE concat('SAPPHIRE FINISHING MILLS LTD', chr(10), 'Packing List No. SFML-', CAST(o_orderkey AS STRING), '  Date 16-JAN-26', chr(10), 'DESCRIPTION OF GOODS: DYED WOVEN FABRICS', chr(10), 'PO# ', CAST(o_custkey AS STRING), chr(10), CAST(o_orderkey % 50 + 1 AS STRING), '  Total: 33', chr(10), 'Total Quantity: ', CAST(o_orderkey % 1000 AS STRING), '.5  Net Weight: ', CAST(o_custkey AS STRING), '.25 Kgs.') END AS full_text FROM {orders}"""
+_HEADER_FIELDS = {
+    "invoice_number": "CASE k WHEN 0 THEN concat('AM2/', o) WHEN 1 THEN concat('P', o) ELSE concat('SFML-', o) END", "delivered_date": "CASE k WHEN 0 THEN '2026-01-07' WHEN 1 THEN '2024-03-15' ELSE '2026-01-16' END",
+    "net_weight": "concat(c, CASE k WHEN 0 THEN '.50' WHEN 1 THEN '.75' ELSE '.25' END)", "meters": "CASE k WHEN 0 THEN concat(11000 + o % 1000, '.00') WHEN 1 THEN concat(o % 1000, '.25') ELSE concat(o % 1000, '.50') END",
+    "pieces": "CASE WHEN k <> 1 THEN CAST(o % 50 + 1 AS VARCHAR) END", "quality": "CASE k WHEN 0 THEN '55% COTTON, 45% NYLON' WHEN 1 THEN 'WOVEN FABRIC 78% POLYESTER' ELSE 'DYED WOVEN FABRICS' END", "po_number": "CASE WHEN k = 1 THEN concat('0', c) ELSE CAST(c AS VARCHAR) END",
+}
+
+
+@query("supplier_headers", f"WITH r AS (SELECT o_orderkey AS o, o_custkey AS c, o_orderkey % 3 AS k FROM orders), v AS ({' UNION ALL '.join(f'SELECT o AS doc_id, {chr(39)}{f}{chr(39)} AS field, {v} AS value FROM r' for f, v in _HEADER_FIELDS.items())}) SELECT * FROM v WHERE value IS NOT NULL")
+def supplier_headers(spark, sf_dir):
+    """Header values of known suppliers, from the places where they write them."""
+    return fields.supplier_headers(frame(spark, sf_dir, HEADED)).select("doc_id", "field", "value")

@@ -90,8 +90,7 @@ def missing_fields(spark, sf_dir):
 
 @query("response_projection", RESOLVED + f" SELECT doc_id, field AS name, value, CAST(round({SCORE} * 100) AS INTEGER) AS confidence, CASE WHEN source = 'none' THEN 'regex' ELSE 'ai' END AS mapping_source, 'complete' AS status FROM resolved")
 def response_projection(spark, sf_dir):
-    scored = E.score(F.col("value"), F.col("source"), F.col("confidence"))
-    return resolved(spark, sf_dir).select("doc_id", F.col("field").alias("name"), "value", F.round(scored * 100).cast("int").alias("confidence"), E.mapping_source(F.lit(False), F.col("source") != "none").alias("mapping_source"), F.lit("complete").alias("status"))
+    return E.response(resolved(spark, sf_dir))
 
 
 STATUS = f"CASE WHEN {SCORE} >= 0.85 THEN 'auto' WHEN {SCORE} >= 0.60 THEN 'review' ELSE 'flag' END"

@@ -114,3 +114,15 @@ def test_shipments_find_their_rolls(spark, with_pages):
     context = paper.context(spark.createDataFrame([("d", "packing")], "doc_id string, doc_type string")).where("doc_id = 'd'").first().context
     assert "Extracted Structured Tables" in context and "559988021" in context
     assert paper.rows_left_out().count() == (3 if with_pages else 1) and paper.total_differences().count() == 0
+
+
+def test_scanned_pages_and_supplier_headers(spark):
+    """A page of scraps gives no evidence; a known supplier's values come from where it writes them, whatever the general patterns find."""
+    text = "ARTISTIC MILLINERS (PVT) LTD\nINVOICE NO : AM2/EXP/35795/2026  DATED : 7-Jan-26\nTOTAL METERS: 5,000  TOTAL ROLLS: 48\nPO # 140928  AMS-1317\n55% COTTON, 30% T400\nTOTAL METERS: 11,120  TOTAL ROLLS: 116\nTOTAL GROSS WT: 5288.00 KGS  TOTAL NET WT: 5143.00 KGS"
+    pages = spark.createDataFrame([("a", 1, "PO: X-1", "Artistic Milliners"), ("a", 2, text, "Artistic Milliners"), ("s", 1, "PO: X-1", None)], "doc_id string, page_number int, raw_text string, supplier_name string")
+    paper = Shipments(pages)
+    assert paper.evidence().where("doc_id = 's'").count() == 0
+    shown = {r.name: r.value for r in paper.response().where("doc_id = 'a'").collect()}
+    assert shown["invoice_number"] == "AM2/EXP/35795/2026" and shown["delivered_date"] == "2026-01-07" and shown["po_number"] == "140928" and shown["quality"] == "55% COTTON, 30% T400"
+    record = paper.result().where("doc_id = 'a'").first()
+    assert (record.net_weight, record.meters, record.pieces) == (5143.0, 11120.0, 116)
