@@ -13,7 +13,7 @@ from .sources import readers
 
 
 class Shipments:
-    """pages: doc_id, page_number, raw_text, supplier_name; cells: doc_id, page (as page_number; 1 where there is no such column), tbl, row, col, text; templates: supplier_name, fields, schema_version; model: evidence of a model, lines: rolls (doc_id, seq, lot, po_number, piece_number, color, quality, meters, net_weight), as responses.line_items gives them, for documents whose rolls a model has read; all but pages may be missing."""
+    """pages: doc_id, page_number, raw_text, supplier_name; cells: doc_id, page (as page_number; 1 where there is no such column), tbl, row, col, text; templates: supplier_name, fields, schema_version; model: evidence of a model, lines: rolls (doc_id, seq, lot, po_number, piece_number, color, quality, meters, net_weight), as responses.line_items gives them, where rolls are read elsewhere (then no others are sought); all but pages may be missing."""
 
     def __init__(self, pages: DataFrame, cells: DataFrame | None = None, templates: DataFrame | None = None, model: DataFrame | None = None, lines: DataFrame | None = None):
         self.pages = readers.classified(readers.with_supplier(pages))
@@ -38,7 +38,8 @@ class Shipments:
         values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS if f in found.columns])
         regex = found.select("doc_id", F.explode(values).alias("x")).select("doc_id", "x.*").where("value IS NOT NULL")
         # A known supplier's own places come before the general patterns.
-        texts = page_ops.full_text(self.pages).join(self.documents(), "doc_id").select("doc_id", "full_text", rolls.supplier_code(F.coalesce("supplier_name", F.lit(""))).alias("code"))
+        known = self.pages.withColumn("code", rolls.supplier_code(F.coalesce("supplier_name", F.lit("")))).where(F.col("code") != "UNKNOWN")
+        texts = page_ops.full_text(known).join(known.groupBy("doc_id").agg(F.min("code").alias("code")), "doc_id")
         own = fields.supplier_headers(texts).select("*", F.lit(0.92).alias("confidence"), F.lit(1).alias("page_number"), F.lit(-1).cast("long").alias("ord"))
         parts = {"regex": regex.select("*", F.lit(0.90).alias("confidence"), F.lit(1).alias("page_number"), F.lit(0).cast("long").alias("ord")).unionByName(own)}
         if self.templates is not None:
@@ -64,17 +65,19 @@ class Shipments:
         return books.classified_rows(self.paged, books.page_lines(self.pages, self.paged), codes)
 
     def rolls(self) -> DataFrame:
-        """The rolls of each document: those given, else those of its tables, else those of its running text."""
+        """The rolls of the documents: those given, if any are; else those of each one's tables, or of its running text where they have none."""
 
         def plain(found: DataFrame) -> DataFrame:
             missing = [c for c in self.ROLL if c not in found.columns]
             return found.withColumns({c: F.lit(None).cast("double" if c in ("meters", "net_weight", "weight_gross_kgs") else "string") for c in missing}).select(*self.ROLL)
 
+        if self.lines is not None:
+            return plain(self.lines)
         found = plain(extraction.extracted(extraction.lines_of(page_ops.full_text(self.pages))))
-        better = ([books.rolls_of(self.table_rows())] if self.cells is not None else []) + ([self.lines] if self.lines is not None else [])
-        for own in better:
-            found = found.join(own.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(plain(own))
-        return found
+        if self.cells is None:
+            return found
+        own = plain(books.rolls_of(self.table_rows()))
+        return found.join(own.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(own)
 
     def rows_left_out(self) -> DataFrame:
         """The rows of the documents' tables that are no rolls, with the reason."""

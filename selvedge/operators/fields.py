@@ -33,7 +33,7 @@ def by_page(text: Column, supplier: Column | None = None) -> Column:
 
 def supplier_headers(texts: DataFrame) -> DataFrame:
     """Header values of known suppliers' documents (doc_id, code, full_text), by the places where these write them: doc_id, field, value. Of totals that repeat the last one counts; numbers lose their commas and units, dates become ISO; what isn't there has no row. Each document is tried by its own supplier's patterns alone."""
-    found = None
+    own = F.lit(None)
     for code, rules in SUPPLIER_HEADERS.items():
         values = []
         for field, (pattern, which) in rules.items():
@@ -44,9 +44,8 @@ def supplier_headers(texts: DataFrame) -> DataFrame:
             elif FIELDS[field] != "string":
                 raw = clean_number(raw).cast("decimal(18,2)").cast("string" if FIELDS[field] == "double" else "long").cast("string")
             values.append(F.struct(F.lit(field).alias("field"), nonempty(raw).alias("value")))
-        own = texts.where(F.col("code") == code).select("doc_id", F.explode(F.array(*values)).alias("x")).select("doc_id", "x.*").where("value IS NOT NULL")
-        found = own if found is None else found.unionByName(own)
-    return found
+        own = F.when(F.col("code") == code, F.array(*values)).otherwise(own)
+    return texts.select("doc_id", F.explode(own).alias("x")).select("doc_id", "x.*").where("value IS NOT NULL")
 
 
 def text_evidence(texts: DataFrame, has_pieces: DataFrame | None = None) -> DataFrame:
