@@ -31,8 +31,8 @@ WORD_BITS = 24
 AT_ONCE = 2 << 20
 #: Suffixes that are written out together.
 WRITTEN = 20_000
-#: Suffix rows that one task sorts, about.
-PART_ROWS = 4_000_000
+#: Words whose suffixes one task sorts, about, while there are no more than MOST_PARTS tasks; beyond, tasks sort more, and spill.
+PART_WORDS, MOST_PARTS = 1_000_000, 100_000
 
 
 class Words:
@@ -205,8 +205,9 @@ def phrase_counts(docs: DataFrame, max_n: int, least: int) -> tuple[DataFrame, D
     counts = written(word_counts(docs), "word-counts")
     sizes = written(counts.groupBy("lang").agg(F.sum("n").alias("n")), "words")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_ROWS))
-    often = rows_at_most(counts.where(F.col("n") * n_parts >= total).select("word"), n_parts)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(usual, min(-(-total // PART_WORDS), MOST_PARTS))
+    often = rows_at_most(counts.where(F.col("n") * usual >= total).select("word"), usual)
     hot = spark.sparkContext.broadcast(np.sort(np.array([w for (w,) in often], dtype=np.int64).view(U64)))
     bits = spark.sparkContext.broadcast(frequent_bits(counts, least))
 
