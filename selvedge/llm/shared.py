@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -58,9 +59,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder, removed by Spark when no frame refers to it."""
+    """A reliable checkpoint in the shared folder, removed by Spark when no frame refers to it. What earlier rounds have shuffled goes too: Spark drops it when the driver's collector finds it unused, so the collector is asked to look."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
 #: Ids that may be sent to every task: 8 bytes each.
