@@ -62,7 +62,7 @@ class Shipments:
     def table_rows(self) -> DataFrame:
         """The classified rows of the documents' tables: pieces on several pages joined, PO sections from the pages' text, suppliers' own headings (see operators/books.py)."""
         codes = self.documents().select("doc_id", rolls.supplier_code(F.coalesce("supplier_name", F.lit(""))).alias("code"))
-        return books.classified_rows(self.paged, books.page_lines(self.pages, self.paged), codes)
+        return books.classified_rows(self.paged.repartition("doc_id"), books.page_lines(self.pages, self.paged), codes)
 
     def rolls(self) -> DataFrame:
         """The rolls of the documents: those given, if any are; else those of each one's tables, or of its running text where they have none."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,18 @@ from .fixed import MONTHS
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+#: White space of any kind.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), with x computed once however often `then` uses it."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def stripped(x: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at either end. Most texts begin and end with a visible ASCII character and are only looked at, since trimming by a set of characters is slow."""
+    return F.when(x.between("!", "~") & F.substring(x, -1, 1).between("!", "~"), x).otherwise(F.trim(x, F.lit(SPACES)))
 
 
 def nonempty(x: Column) -> Column:
@@ -21,7 +32,7 @@ def nonempty(x: Column) -> Column:
 
 def field_value(x: Column) -> Column:
     """A captured value: stripped, without commas at its end; null if nothing is left."""
-    return nonempty(F.regexp_replace(x, r"(?U)^\s+|\s*,*\s*$", ""))
+    return once(F.rtrim(F.rtrim(F.trim(x, F.lit(SPACES)), F.lit(",")), F.lit(SPACES)), lambda v: F.when(v != "", v))
 
 
 def number(x: Column) -> Column:
@@ -37,9 +48,13 @@ def coerced(x: Column, whole: bool = False) -> Column:
 
 def clean_number(x: Column) -> Column:
     """Numbers as suppliers write them: units and grades after them, commas or points for thousands, 1.245,50 too."""
-    bare = F.regexp_extract(stripped(x), r"^([+-]?[0-9][0-9.,]*)", 1)
-    european = F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return F.when(bare.rlike(r"^[+-]?[0-9]{1,3}(\.[0-9]{3})+,[0-9]+$"), european.try_cast("double")).otherwise(number(F.replace(bare, F.lit(","), F.lit(""))))
+
+    def value(bare: Column) -> Column:
+        european = F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        is_european = F.contains(bare, F.lit(",")) & F.contains(bare, F.lit(".")) & bare.rlike(r"^[+-]?[0-9]{1,3}(\.[0-9]{3})+,[0-9]+$")
+        return F.when(is_european, european.try_cast("double")).otherwise(F.replace(bare, F.lit(","), F.lit("")).try_cast("double"))
+
+    return once(F.regexp_extract(stripped(x), r"^([+-]?[0-9][0-9.,]*)", 1), value)
 
 
 def _month(name: Column) -> Column:
@@ -50,7 +65,10 @@ def _month(name: Column) -> Column:
 
 def normal_date(x: Column) -> Column:
     """ISO text from day-first dates; an unknown month is 00; anything else stays as it is."""
-    raw = stripped(x)
+    return once(F.trim(x, F.lit(SPACES)), _normal_date)
+
+
+def _normal_date(raw: Column) -> Column:
     named = r"^([0-9]{2})[-/]([A-Za-z]{3,})[-/]([0-9]{2,4})$"
     year = F.regexp_extract(raw, named, 3)
     year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
@@ -64,7 +82,10 @@ def normal_date(x: Column) -> Column:
 
 def converted_date(x: Column) -> Column:
     """ISO text from 7-Jan-26, 15/03/2024 or "March 15 24"; null where it is no such date."""
-    raw = stripped(x)
+    return once(F.trim(x, F.lit(SPACES)), _converted_date)
+
+
+def _converted_date(raw: Column) -> Column:
     named, words = r"^([0-9]{1,2})[-/ ]([A-Za-z]{3,})[-/ ]([0-9]{2}|[0-9]{4})$", r"^([A-Za-z]{3,}) ([0-9]{1,2}),? ([0-9]{2}|[0-9]{4})$"
     plain = r"^([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{4})$"
 

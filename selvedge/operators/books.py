@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.fixed import SUMMARY_ROW, SUPPLIER_COLUMNS
-from ..functions.text import clean_number, nonempty, stripped
+from ..functions.text import clean_number, nonempty, once, stripped
 from .extraction import heading_names
 from .rolls import explicit, shade_and_lot
 
@@ -17,6 +17,8 @@ from .rolls import explicit, shade_and_lot
 LEAST_HEADINGS, HEADING_ROWS = 3, 3
 #: A line that opens a section of a PO number.
 SECTION = r"(?i)^\s*(?:PO|P\.O\.)\s*(?:#|NO\.?)\s*[:.]?\s*([A-Z0-9][A-Z0-9-]*)"
+#: Taken from a line's number, so that it stands above its table's rows in the same order.
+LINES_FIRST = 1 << 60
 TEXTS = ("lot", "color", "grade", "piece_number", "quality", "po_number")
 NUMBERS = ("meters", "length_yds", "points_per_roll", "points_per_100m2", "weight_gross_kgs", "net_weight")
 
@@ -40,10 +42,13 @@ def known_names() -> list[str]:
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
-    """A row for each row of each table: doc_id, page, page_tbl, page_row, texts (by column; null where there is no cell). Of cells at one place the greatest text stays."""
-    rows = cells.repartition("doc_id").groupBy("doc_id", "page", F.col("tbl").alias("page_tbl"), F.col("row").alias("page_row"), "col").agg(F.max("text").alias("text"))
-    rows = rows.groupBy("doc_id", "page", "page_tbl", "page_row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("cells"), F.max("col").alias("last"))
-    return rows.select("doc_id", "page", "page_tbl", "page_row", F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.try_element_at("cells", k)).alias("texts"))
+    """A row for each row of each table: doc_id, page, page_tbl, page_row, texts (by column; null where there is no cell). Of cells at one place the greatest text stays. Cells that come dealt by document (as from a window over it) aren't dealt again."""
+    rows = cells.groupBy("doc_id", "page", F.col("tbl").alias("page_tbl"), F.col("row").alias("page_row")).agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("cells"), F.max("col").alias("last"))
+    cell = F.col("cells")
+    dense = (F.size(cell) == F.col("last") + 1) & F.forall(F.sequence(F.lit(0), F.col("last")), lambda k: F.get(cell, k)["col"] == k)
+    greatest = F.filter(cell, lambda x, i: F.coalesce(F.get(cell, i + 1)["col"] != x["col"], F.lit(True)))
+    sparse = once(F.map_from_entries(greatest), lambda m: F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.try_element_at(m, k)))
+    return rows.select("doc_id", "page", "page_tbl", "page_row", F.when(dense, F.col("cells.text")).otherwise(sparse).alias("texts"))
 
 
 def stitched(cells: DataFrame) -> DataFrame:
@@ -54,7 +59,8 @@ def stitched(cells: DataFrame) -> DataFrame:
     rows = table_rows(cells)
     names = F.transform("texts", lambda t: F.lower(stripped(F.coalesce(t, F.lit("")))))
     rows = rows.withColumns({"names": names, "n_known": F.size(F.filter(names, lambda n: n.isin(*known_names())))})
-    one_table = Window.partitionBy("doc_id", "page", "page_tbl")
+    # In the document's order as well, so that one sort serves all windows.
+    one_table = Window.partitionBy("doc_id", "page", "page_tbl").orderBy("page_row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({"width": F.max(F.size("texts")).over(one_table), "first_row": F.min("page_row").over(one_table)})
     heading = F.when((F.col("n_known") >= LEAST_HEADINGS) & (F.col("page_row") < F.col("first_row") + HEADING_ROWS), F.struct("n_known", (-F.col("page_row")).alias("place")))
     rows = rows.withColumn("head_row", -F.max(heading).over(one_table)["place"])
@@ -72,10 +78,9 @@ def stitched(cells: DataFrame) -> DataFrame:
 
 def in_sections(rows: DataFrame, lines: DataFrame, pattern: str = SECTION) -> DataFrame:
     """Rows of stitched() with section (the PO number of the last section heading above them, null above the first) and section_no (how many stand above). Two ordered streams meet by one union and one window, however many sections a document has."""
-    found = lines.select("doc_id", "page", F.col("tbl").alias("page_tbl"), F.lit(0).alias("stream"), F.col("seq").cast("long").alias("page_row"), nonempty(F.regexp_extract("line", pattern, 1)).alias("own")).where("own IS NOT NULL")
+    found = lines.select("doc_id", "page", F.col("tbl").alias("page_tbl"), F.lit(0).alias("stream"), (F.col("seq").cast("long") - LINES_FIRST).alias("page_row"), nonempty(F.regexp_extract("line", pattern, 1)).alias("own")).where("own IS NOT NULL")
     both = rows.withColumns({"stream": F.lit(1), "page_row": F.col("page_row").cast("long"), "own": F.lit(None).cast("string")}).unionByName(found, allowMissingColumns=True)
-    merged = Window.partitionBy("doc_id").orderBy("page", "page_tbl", "stream", "page_row").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"section": F.last("own", ignorenulls=True).over(merged), "section_no": F.count("own").over(merged).cast("int")})
+    both = both.withColumns({"section": F.last("own", ignorenulls=True).over(so_far()), "section_no": F.count("own").over(so_far()).cast("int")})
     return both.where("stream = 1").drop("stream", "own")
 
 
@@ -124,10 +129,16 @@ def classified(rows: DataFrame) -> DataFrame:
     missing = (F.col("numbered") & F.col("piece_number").isNull()) | empty
     rows = rows.withColumn("first_kind", F.when(summary, F.lit("summary")).when(missing, F.lit("blank")).otherwise(F.lit("roll")))
     section = F.col("section_no") if "section_no" in rows.columns else F.lit(0)
-    rows = rows.withColumn("block", F.struct(section.alias("section"), F.count_if(F.col("first_kind") == "summary").over(above()).alias("totals")))
-    block = Window.partitionBy("doc_id", "block").orderBy("page", "page_tbl", "page_row").rowsBetween(Window.unboundedPreceding, -1)
     like_roll = F.col("first_kind") == "roll"
-    rows = rows.withColumns({"above": F.count_if(like_roll).over(block), "meters_above": F.sum(F.when(like_roll, F.col("meters").cast("decimal(18,2)"))).over(block), "number_above": F.last(F.when(like_roll, F.col("number")), ignorenulls=True).over(block)})
+    meters = F.when(like_roll, F.col("meters").cast("decimal(18,2)"))
+    rows = rows.withColumns({"block": F.struct(section.alias("section"), F.count_if(F.col("first_kind") == "summary").over(above()).alias("totals")), "rolls_above": F.count_if(like_roll).over(above()), "n_meters": F.count(meters).over(above()), "sum_meters": F.coalesce(F.sum(meters).over(above()), F.lit(0).cast("decimal(28,2)"))})
+    # Blocks follow one another, so what is above a row in its block is what is above it in all, less what was above the block's first row.
+    counted = F.struct("rolls_above", "n_meters", "sum_meters")
+    rows = rows.withColumn("begun", F.when(~F.col("block").eqNullSafe(F.lag("block").over(in_order())), counted))
+    numbered = F.when(like_roll & F.col("number").isNotNull(), F.struct("block", "number"))
+    rows = rows.withColumns({"begun": F.last("begun", ignorenulls=True).over(so_far()), "last_number": F.last(numbered, ignorenulls=True).over(above())})
+    in_block = lambda c: F.col(c) - F.col(f"begun.{c}")
+    rows = rows.withColumns({"above": in_block("rolls_above"), "meters_above": F.when(in_block("n_meters") > 0, in_block("sum_meters")), "number_above": F.when(F.col("last_number.block") == F.col("block"), F.col("last_number.number"))})
     goes_on = F.coalesce(F.col("number") == F.col("number_above") + 1, F.lit(False))
     is_sum = F.coalesce((F.abs(F.col("meters").cast("decimal(18,2)") - F.col("meters_above")) <= 0.01) & (F.col("above") > 1), F.lit(False))
     counts_block = like_roll & (F.col("above") > 0) & F.coalesce(F.col("number") == F.col("above"), F.lit(False)) & (~goes_on | is_sum)
@@ -135,7 +146,7 @@ def classified(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("above_all", F.count_if(like_roll & ~F.col("counts_block")).over(above()))
     counts_all = like_roll & (F.col("above_all") > 1) & F.coalesce(F.col("number") == F.col("above_all"), F.lit(False)) & ~goes_on
     kind = F.when(F.col("counts_block") | counts_all, F.lit("count")).otherwise(F.col("first_kind"))
-    return rows.withColumn("kind", kind).drop("first_kind", "block", "above", "meters_above", "number_above", "counts_block", "above_all", "number")
+    return rows.withColumn("kind", kind).drop("first_kind", "block", "rolls_above", "n_meters", "sum_meters", "begun", "last_number", "above", "meters_above", "number_above", "counts_block", "above_all", "number")
 
 
 def left_out(rows: DataFrame) -> DataFrame:

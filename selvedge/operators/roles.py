@@ -44,20 +44,25 @@ def column_facts(cells: DataFrame) -> DataFrame:
 
 
 def ratios(cells: DataFrame) -> DataFrame:
-    """For each pair of a table's columns (col, other) that have numbers in one row: the share of these rows in which the other is as many yards, and in which it could be the gross weight. Pairs are made within a row, so there are as many as a row has columns squared."""
+    """For each pair of a table's columns (col, other) that have numbers in one row: the share of these rows in which the other is as many yards, and in which it could be the gross weight. Pairs are made within a row, once for both ways, so there are as many as half a row's columns squared."""
     value = F.when(stripped(F.col("text")).rlike(r"^[+-]?[0-9]"), clean_number(F.col("text")))
     rows = cells.select("doc_id", "tbl", "row", "col", value.alias("value")).where("value > 0").groupBy("doc_id", "tbl", "row").agg(F.collect_list(F.struct("col", "value")).alias("cells"))
-    pairs = F.flatten(F.transform("cells", lambda a: F.transform(F.filter("cells", lambda b: b["col"] != a["col"]), lambda b: F.struct(a["col"].alias("col"), b["col"].alias("other"), (b["value"] / a["value"]).alias("ratio")))))
+    ratio = lambda a, b: F.struct(a["col"].alias("col"), b["col"].alias("other"), (b["value"] / a["value"]).alias("ratio"), (a["value"] / b["value"]).alias("inverse"))
+    pairs = F.flatten(F.transform("cells", lambda a: F.transform(F.filter("cells", lambda b: b["col"] > a["col"]), lambda b: ratio(a, b))))
     found = rows.select("doc_id", "tbl", F.explode(pairs).alias("p")).select("doc_id", "tbl", "p.*")
     n = F.count("*")
-    return found.groupBy("doc_id", "tbl", "col", "other").agg(_share(F.count_if(F.col("ratio").between(*YARDS)), n).alias("yards"), (_share(F.count_if(F.col("ratio").between(*GROSS)), n) * (F.avg("ratio") > GROSS[0]).cast("double")).alias("gross"))
+    yards = lambda r: _share(F.count_if(F.col(r).between(*YARDS)), n)
+    gross = lambda r: _share(F.count_if(F.col(r).between(*GROSS)), n) * (F.avg(r) > GROSS[0]).cast("double")
+    sums = found.groupBy("doc_id", "tbl", "col", "other").agg(yards("ratio").alias("yards"), gross("ratio").alias("gross"), yards("inverse").alias("back_yards"), gross("inverse").alias("back_gross"))
+    ways = F.array(F.struct("col", "other", "yards", "gross"), F.struct(F.col("other").alias("col"), F.col("col").alias("other"), F.col("back_yards").alias("yards"), F.col("back_gross").alias("gross")))
+    return sums.select("doc_id", "tbl", F.inline(ways))
 
 
 def scores(cells: DataFrame) -> DataFrame:
     """doc_id, tbl, col and a score from 0 to 1 for each role."""
-    pairs = ratios(cells)
-    best = lambda key, prefix: pairs.groupBy("doc_id", "tbl", F.col(key).alias("col")).agg(F.max("yards").alias(f"{prefix}_yards"), F.max("gross").alias(f"{prefix}_gross"))
-    rows = column_facts(cells).join(best("col", "to"), ["doc_id", "tbl", "col"], "left").join(best("other", "from"), ["doc_id", "tbl", "col"], "left").fillna(0.0)
+    sides = F.array(*[F.struct(F.col(key).alias("col"), *[(F.col(x) if prefix == own else F.lit(None).cast("double")).alias(f"{prefix}_{x}") for prefix in ("to", "from") for x in ("yards", "gross")]) for own, key in (("to", "col"), ("from", "other"))])
+    best = ratios(cells).select("doc_id", "tbl", F.inline(sides)).groupBy("doc_id", "tbl", "col").agg(*[F.max(x).alias(x) for x in ("to_yards", "to_gross", "from_yards", "from_gross")])
+    rows = column_facts(cells).join(best, ["doc_id", "tbl", "col"], "left").fillna(0.0)
     c = F.col
     unique, counted = c("distinct") / c("n"), c("follows") > 0.8
     contiguous = c("distinct") / c("runs")

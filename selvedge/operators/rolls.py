@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.fixed import SUMMARY_ROW, SUPPLIER_CODES, WEIGHT_TOLERANCE, YARDS_PER_METER
-from ..functions.text import mixed, nonempty, stripped, yards
+from ..functions.text import mixed, nonempty, once, stripped, yards
 
 
 def in_order() -> WindowSpec:
@@ -20,8 +20,7 @@ def so_far() -> WindowSpec:
 
 def explicit(x: Column) -> Column:
     """A cell's own value: null for a blank or a ditto mark."""
-    value = nonempty(stripped(x))
-    return F.when(value.isin('"', "''", "“", "”", "〃"), None).otherwise(value)
+    return once(stripped(x), lambda v: F.when(~v.isin("", '"', "''", "“", "”", "〃"), v))
 
 
 def filled(rolls: DataFrame, *columns: str) -> DataFrame:

@@ -1,11 +1,16 @@
 """Roll tables over pages: hand-made papers."""
 
+import os
 import random
 
 import pytest
 
 from selvedge.api import Shipments
 from selvedge.operators import books
+from selvedge.plans import books as plan
+from selvedge.sources.rendered import frame
+
+DATA = "/root/testdata/sf0.001"
 
 CELL = "doc_id string, page int, tbl int, row int, col int, text string"
 LINE = "doc_id string, page int, tbl int, seq int, line string"
@@ -126,3 +131,21 @@ def test_scanned_pages_and_supplier_headers(spark):
     assert shown["invoice_number"] == "AM2/EXP/35795/2026" and shown["delivered_date"] == "2026-01-07" and shown["po_number"] == "140928" and shown["quality"] == "55% COTTON, 30% T400"
     record = paper.result().where("doc_id = 'a'").first()
     assert (record.net_weight, record.meters, record.pieces) == (5143.0, 11120.0, 116)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("sql, made", [(plan.PAGES, plan.page_cells), (plan.TEXT, plan.page_text), (plan.BARE, plan.bare_cells)])
+def test_rendered_in_one_pass(spark, sql, made):
+    """The inputs that the queries render are the SQL's rows, by one shuffle of the lines at most."""
+    ours, theirs = made(spark, DATA), frame(spark, DATA, sql)
+    assert sorted(ours.dtypes) == sorted(theirs.dtypes)
+    assert ours.exceptAll(theirs.select(*ours.columns)).isEmpty() and ours.count() == theirs.count()
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(ours) == 1
+
+
+def test_blocks_follow_one_another(spark):
+    """Counts and sums are a block's own, also where the block before ends without a total or has no lengths."""
+    table = [HEADS, ["L1", "x", "11", "5", "1"], ["L1", "x", "12", "6", "1"], ["", "", "2", "11", "2"], ["Total", "", "", "11", ""], ["L1", "x", "21", "", "1"], ["L1", "x", "1", "", "1"]]
+    kinds = [r.kind for r in books.classified_rows(cells_of(spark, [("d", 1, 0, table)])).orderBy("page_row").collect()]
+    assert kinds == ["roll", "roll", "count", "summary", "roll", "count"]
