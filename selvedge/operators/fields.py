@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import FIELDS, LOT_NOT, LOT_PATTERNS, METER_PATTERNS, PATTERNS, PIECE_PATTERNS, SHOWN_PATTERNS, SUPPLIER_HEADERS, SUPPLIER_PATTERNS
-from ..functions.text import clean_number, converted_date, first_value, nonempty, normal_date, number, stripped
+from ..functions.text import clean_number, converted_date, first_value, nonempty, normal_date, number, once, stripped
 
 
 def field_columns(text: Column, supplier: Column | None = None) -> dict[str, Column]:
@@ -38,7 +38,7 @@ def supplier_headers(texts: DataFrame) -> DataFrame:
         values = []
         for field, (pattern, which) in rules.items():
             every = F.regexp_extract_all("full_text", F.lit(f"(?im){pattern}"), 1)
-            raw = stripped(F.try_element_at(every, F.lit(1 if which == "first" else -1)))
+            raw = once(F.try_element_at(every, F.lit(1 if which == "first" else -1)), stripped)
             if field == "delivered_date":
                 raw = F.coalesce(converted_date(raw), raw)
             elif FIELDS[field] != "string":
