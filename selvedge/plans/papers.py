@@ -8,7 +8,7 @@ from ..api import Shipments
 from ..functions import text as T
 from ..functions.fixed import ALIASES, FIELDS, HEADER_PRIORITY, HEADER_WORDS, ITEM_WORDS, LOT_NOT, LOT_PATTERNS, LOT_SIGNATURE, LOT_WORDS, METER_PATTERNS, PATTERNS, PIECE_PATTERNS, ROLL_SIGNATURE, ROLL_WORDS, SHORT_ALIASES, SHOWN_PATTERNS, SUMMARY_WORDS, SUPPLIER_PATTERNS, TABLE_FIELDS, TABLE_PRIORITY, WEIGHT_HEADINGS
 from ..operators import fields, pages, tables
-from ..sources.rendered import CELLS, PAPERS, ROLLS, duck, frame
+from ..sources.rendered import CELLS, HEADINGS, PAPERS, ROLLS, duck, frame
 from .registry import query
 
 SPACE = r"'^\s+|\s+$'"
@@ -32,7 +32,17 @@ def papers(spark, sf_dir):
 
 
 def cells(spark, sf_dir):
-    return frame(spark, sf_dir, CELLS)
+    """The rows of CELLS, in one pass over the rolls: a document's first roll brings its headings along."""
+    c = F.col
+    own, below = frame(spark, sf_dir, ROLLS), F.when(c("doc_id") % 4 == 0, 1).otherwise(0)
+    heads = F.get(F.array(*[F.array(*[F.lit(h) for h in line.split("|")]) for line in HEADINGS]), (c("doc_id") % len(HEADINGS)).cast("int"))
+    whole = lambda x: F.floor(x).cast("int").cast("string")
+    roll = F.array("piece_number", F.when(c("seq") % 3 == 0, "Shade").otherwise(c("color")), whole("meters"), whole("net_weight"), F.when(c("seq") % 4 == 2, "").otherwise(c("lot")))
+    first = c("seq") == 1
+    lines = own.select("doc_id", "seq", below.alias("below"), F.array(F.when(first & (below == 1), F.array(F.lit("Shipment"))), F.when(first, heads), roll).alias("lines"))
+    lines = lines.select("doc_id", "seq", "below", F.posexplode("lines").alias("part", "texts")).where("texts IS NOT NULL")
+    row = F.when(c("part") == 0, 0).when(c("part") == 1, c("below")).otherwise(c("seq").cast("int") + c("below"))
+    return lines.select("doc_id", F.lit(0).alias("tbl"), row.alias("row"), F.posexplode("texts").alias("col", "text"))
 
 
 WITH_PAPERS = f"WITH papers AS ({duck(PAPERS)})"
