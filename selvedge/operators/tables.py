@@ -46,9 +46,19 @@ def _means(heading: Column, alias: Column, field: Column) -> Column:
     return (heading == F.replace(field, F.lit("_"), F.lit(" "))) | (heading == alias) | ((F.length(alias) > 3) & F.contains(heading, alias)) | short
 
 
+#: Distinct headings that have a meaning and may be sent to every task.
+BROADCAST_HEADINGS = 10_000
+
+
+def to_every_task(found: DataFrame) -> DataFrame:
+    """Meanings of headings, to be joined without a shuffle of what has the headings: they are few and go to every task, unless there are more than BROADCAST_HEADINGS."""
+    rows = found.limit(BROADCAST_HEADINGS + 1).collect()
+    return F.broadcast(found.sparkSession.createDataFrame(rows, found.schema)) if len(rows) <= BROADCAST_HEADINGS else found
+
+
 def meanings(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """heading and the first field, in the aliases' order, with any alias that matches it. Each distinct heading is looked at once; the aliases are few and fixed, so they go to every task."""
-    distinct = texts.select("heading").distinct()
+    distinct = texts.select("heading").where(F.col("heading").rlike("[a-z]")).distinct()  # as every alias has a letter
     found = distinct.join(F.broadcast(aliases), _means(F.col("heading"), F.col("alias"), F.col("field")))
     return found.groupBy("heading").agg(F.min_by("field", "field_ord").alias("field"))
 
@@ -56,7 +66,7 @@ def meanings(texts: DataFrame, aliases: DataFrame) -> DataFrame:
 def matched(cells: DataFrame) -> DataFrame:
     """doc_id, tbl, row, col, field of the cells in possible heading rows that mean a field."""
     own = headings(cells)
-    return own.join(meanings(own, alias_table(cells.sparkSession)), "heading").select("doc_id", "tbl", "row", "col", "field")
+    return own.join(to_every_task(meanings(own, alias_table(cells.sparkSession))), "heading").select("doc_id", "tbl", "row", "col", "field")
 
 
 def header_rows(found: DataFrame) -> DataFrame:
@@ -66,11 +76,13 @@ def header_rows(found: DataFrame) -> DataFrame:
 
 
 def candidates(cells: DataFrame) -> DataFrame:
-    """Values below the headings: doc_id, tbl, row, col, field, value; without blanks, headings that are repeated, and figures too short for a number of a document. Tables of one row have none."""
+    """Values below the headings: doc_id, tbl, row, col, field, value; without blanks, headings that are repeated, and figures too short for a number of a document. Tables of one row have none. A document's headings meet its cells by doc_id alone, so cells that are dealt by document aren't shuffled."""
     rows = matched(cells).groupBy("doc_id", "tbl", "row").agg(F.count("*").alias("n"), F.collect_list(F.struct("col", "field")).alias("fields"))
     heads = rows.groupBy("doc_id", "tbl").agg(F.max_by(F.struct("row", "fields"), F.struct("n", -F.col("row"))).alias("head"))
-    heads = heads.select("doc_id", "tbl", F.col("head.row").alias("header_row"), F.map_from_entries("head.fields").alias("fields"))
-    rows = cells.join(heads, ["doc_id", "tbl"]).where(F.col("row") > F.col("header_row")).withColumn("field", F.try_element_at("fields", "col")).where(F.col("field").isNotNull())
+    head = F.struct(F.col("head.row").alias("header_row"), F.map_from_entries("head.fields").alias("fields"))
+    heads = heads.where("tbl IS NOT NULL").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tbl", head.alias("head")))).alias("heads"))
+    rows = cells.join(heads, "doc_id").withColumn("head", F.try_element_at("heads", "tbl")).where(F.col("row") > F.col("head.header_row"))
+    rows = rows.withColumn("field", F.try_element_at("head.fields", "col")).where(F.col("field").isNotNull())
     rows = rows.withColumn("value", stripped(F.col("text"))).where(F.col("value") != "")
     short = F.col("field").isin("lot", "order_number", "invoice_number", "po_number") & F.col("value").rlike("^[0-9]{1,3}$")
     return rows.where(~F.lower("value").isin(*echoes()) & ~short).select("doc_id", "tbl", "row", "col", "field", "value")
@@ -79,7 +91,9 @@ def candidates(cells: DataFrame) -> DataFrame:
 def signature_meanings(texts: DataFrame, signature: dict[str, tuple[str, ...]]) -> DataFrame:
     """heading (distinct) and the first field of a signature with an alias that holds it or that it holds."""
     either = F.contains(F.col("heading"), F.col("alias")) | F.contains(F.col("alias"), F.col("heading"))
-    found = texts.select("heading").distinct().join(F.broadcast(alias_table(texts.sparkSession, signature)), either)
+    known = "\n".join(n.lower() for names in signature.values() for n in names)
+    possible = F.col("heading").rlike("[a-z]") | F.contains(F.lit(known), F.col("heading"))  # as every alias has a letter
+    found = texts.select("heading").where(possible).distinct().join(F.broadcast(alias_table(texts.sparkSession, signature)), either)
     return found.groupBy("heading").agg(F.min_by("field", "field_ord").alias("field"))
 
 
@@ -98,14 +112,17 @@ def weights(cells: DataFrame) -> DataFrame:
 
 
 def signatures(cells: DataFrame) -> DataFrame:
-    """For each table of two rows or more: how many signature fields of rolls and of lots its first rows match (either text holding the other)."""
-    tables = cells.groupBy("doc_id", "tbl").agg(F.max("row").alias("last")).where("last >= 1")
-    own = signed_headings(cells)
-    scores = tables.select("doc_id", "tbl")
+    """For each table of two rows or more: how many signature fields of rolls and of lots its first rows match (either text holding the other). One pass over the cells: a table's fields are bits of a number."""
+    named = F.col("doc_id").isNotNull() & F.col("tbl").isNotNull()  # what isn't named scores nothing
+    heading = F.when(named & (F.col("row") < HEADING_ROWS) & (F.coalesce("text", F.lit("")) != ""), F.nullif(F.replace(F.lower(stripped(F.col("text"))), F.lit("  "), F.lit(" ")), F.lit("")))
+    own, rows = signed_headings(cells), cells.select("doc_id", "tbl", "row", heading.alias("heading"))
+    scores = []
     for name, signature in (("roll", ROLL_SIGNATURE), ("lot", LOT_SIGNATURE)):
-        counted = own.join(signature_meanings(own, signature), "heading").groupBy("doc_id", "tbl").agg(F.count_distinct("field").alias(f"{name}_score"))
-        scores = scores.join(counted, ["doc_id", "tbl"], "left")
-    return scores.select("doc_id", "tbl", F.coalesce("roll_score", F.lit(0)).alias("roll_score"), F.coalesce("lot_score", F.lit(0)).alias("lot_score"))
+        bits = F.coalesce(*[F.when(F.col("field") == f, F.lit(1 << k)) for k, f in enumerate(signature)])
+        rows = rows.join(to_every_task(signature_meanings(own, signature).select("heading", bits.alias(name))), "heading", "left")
+        scores.append(F.coalesce(F.bit_count(F.bit_or(name)), F.lit(0)).cast("long").alias(f"{name}_score"))
+    found = rows.groupBy("doc_id", "tbl").agg(F.max("row").alias("last"), *scores).where("last >= 1")
+    return found.select("doc_id", "tbl", "roll_score", "lot_score")
 
 
 def largest(cells: DataFrame) -> DataFrame:
@@ -162,8 +179,12 @@ def supplier_lines(cells: DataFrame, codes: DataFrame) -> DataFrame:
 
     Rows without a roll number, and totals, are no rolls. Lots that are blank or ditto marks go on from the row above. PEN's shade holds the lot after its name, and its rolls have no weight of their own where a carton's total has it; SFM's grade is the shade wherever there is one.
     """
-    heads = known_columns(cells.where("row = 0").join(codes, "doc_id").select("doc_id", "tbl", "col", "code", F.col("text").alias("heading"))).select("doc_id", "tbl", "col", "code", "field")
-    body = cells.where("row > 0").join(heads, ["doc_id", "tbl", "col"])
+    heads = known_columns(cells.where("row = 0").join(codes, "doc_id").select("doc_id", "tbl", "col", "code", F.col("text").alias("heading")))
+    heads = heads.where("tbl IS NOT NULL").groupBy("doc_id", "code", "tbl").agg(F.collect_list(F.struct("col", "field")).alias("fields"))
+    heads = heads.groupBy("doc_id", "code").agg(F.map_from_entries(F.collect_list(F.struct("tbl", "fields"))).alias("heads"))
+    # By doc_id alone: cells that are dealt by document aren't shuffled.
+    body = cells.where("row > 0").join(heads, "doc_id").withColumn("fields", F.filter(F.try_element_at("heads", "tbl"), lambda x: x["col"] == F.col("col")))
+    body = body.select("doc_id", "tbl", "row", "code", "text", F.explode("fields.field").alias("field"))
     texts = {f: nonempty(stripped(F.max(F.when(F.col("field") == f, F.col("text"))))).alias(f) for f in ("lot", "color", "grade", "piece_number", "meters", "length_yds", "points_per_roll", "points_per_100m2", "weight_gross_kgs", "net_weight")}
     rows = body.groupBy("doc_id", "tbl", "code", F.col("row").alias("seq")).agg(*texts.values())
     rows = rows.where(F.col("piece_number").isNotNull() & ~F.lower("piece_number").rlike(SUMMARY_ROW))

@@ -8,7 +8,7 @@ from ..api import Shipments
 from ..functions import text as T
 from ..functions.fixed import ALIASES, FIELDS, HEADER_PRIORITY, HEADER_WORDS, ITEM_WORDS, LOT_NOT, LOT_PATTERNS, LOT_SIGNATURE, LOT_WORDS, METER_PATTERNS, PATTERNS, PIECE_PATTERNS, ROLL_SIGNATURE, ROLL_WORDS, SHORT_ALIASES, SHOWN_PATTERNS, SUMMARY_WORDS, SUPPLIER_PATTERNS, TABLE_FIELDS, TABLE_PRIORITY, WEIGHT_HEADINGS
 from ..operators import fields, pages, tables
-from ..sources.rendered import CELLS, PAPERS, ROLLS, duck, frame
+from ..sources.rendered import CELLS, PAPERS, ROLLS, dealt, duck, frame, rolls_dealt, table_cells
 from .registry import query
 
 SPACE = r"'^\s+|\s+$'"
@@ -28,11 +28,11 @@ def _score(text: str, words) -> str:
 
 def papers(spark, sf_dir):
     """Papers dealt by document, as pages would be: a table in one file would leave all patterns to one task, and what groups by document needs no other shuffle."""
-    return frame(spark, sf_dir, PAPERS).repartition("doc_id")
+    return spark.sql(PAPERS, orders=dealt(spark, sf_dir, "orders", "o_orderkey"))
 
 
 def cells(spark, sf_dir):
-    return frame(spark, sf_dir, CELLS)
+    return table_cells(spark, sf_dir)
 
 
 WITH_PAPERS = f"WITH papers AS ({duck(PAPERS)})"
@@ -261,7 +261,12 @@ ROLE_CELLS = f"SELECT doc_id, tbl, row, col, text FROM ({CELLS}) WHERE row > 1 U
     w AS (SELECT *, min(mean) OVER same AS low, count(*) OVER same AS k FROM r WINDOW same AS (PARTITION BY doc_id, tbl, role))
     SELECT doc_id, tbl, col, CASE WHEN role = 'length' AND EXISTS (SELECT 1 FROM r o WHERE o.doc_id = w.doc_id AND o.tbl = w.tbl AND o.role = 'length' AND w.mean / o.mean BETWEEN 1.08 AND 1.11) THEN 'length_yds' WHEN role = 'weight' AND k > 1 AND mean = low THEN 'net_weight' WHEN role = 'weight' AND k > 1 THEN 'weight_gross' ELSE role END AS role FROM w""")
 def column_roles(spark, sf_dir):
-    return tables.column_roles(frame(spark, sf_dir, ROLE_CELLS))
+    """The rows of ROLE_CELLS: the cells below the headings, each with the column that is made of it."""
+    text, col = F.col("text"), F.col("col")
+    more = F.when(col == 2, (text.try_cast("decimal(18,2)") * F.lit("1.0936").cast("decimal(5,4)")).cast("decimal(18,2)").cast("string")).when(col == 3, (text.try_cast("bigint") + 100).cast("string"))
+    both = F.array(F.struct("col", "text"), F.when(col.isin(2, 3), F.struct((col + 3).alias("col"), more.alias("text"))))
+    own = cells(spark, sf_dir).where("row > 1").select("doc_id", "tbl", "row", F.explode(both).alias("cell")).where("cell IS NOT NULL")
+    return tables.column_roles(own.select("doc_id", "tbl", "row", "cell.col", "cell.text"))
 
 
 #: Tables of three known suppliers, by doc_id modulo 3, with a total below the rolls.
@@ -280,11 +285,32 @@ SUPPLIER_CELLS = f"""
 CODES = ("AML", "PEN", "SFM")
 
 
+def supplier_cells(spark, sf_dir):
+    """The rows of SUPPLIER_CELLS, in one pass over the rolls: a document's first roll brings its headings and its total along."""
+    c = F.col
+    kind, seq, first = c("doc_id") % 3, c("seq"), c("seq") == 1
+    whole = lambda x: c(x).cast("int").cast("string")
+    cell = lambda col, text: F.struct(F.lit(col).alias("col"), text.cast("string").alias("text"))
+    line = lambda row, *cells_: F.struct(row.cast("int").alias("row"), F.array(*cells_).alias("cells"))
+    headings = [line(F.lit(0), *[cell(k, F.lit(h)) for k, h in enumerate(heads.split("|"))]) for heads in SUPPLIER_HEADS]
+    aml = [F.when(seq % 2 == 0, F.lit('"')).otherwise(c("lot")), c("color"), c("piece_number"), F.concat(whole("meters"), F.lit(".50-FULL")), whole("net_weight")]
+    pen = [c("piece_number"), F.concat(F.lit("DARK "), "color", F.lit(" "), (seq + 3000000).cast("string")), whole("meters"), F.lit(""), (seq % 3).cast("string")]
+    sfm = [c("piece_number"), c("lot"), F.concat(F.lit("R18-"), "color"), F.when(seq % 2 == 0, F.lit("")).otherwise(F.lit("B")), whole("meters")]
+    body = [line(seq, *[cell(k, x) for k, x in enumerate(texts)]) for texts in (aml, pen, sfm)]
+    total = lambda k, n: line(F.lit(1000), cell(k, F.lit("Sub Total")), cell(n, F.lit("999")))
+    heads = F.when(first, F.when(kind == 0, headings[0]).when(kind == 1, headings[1]).when(kind == 2, headings[2]))
+    totals = F.when(first, F.when(kind == 0, total(2, 3)).when(kind == 1, total(0, 3)).otherwise(total(0, 4)))
+    lines = F.array(heads, F.when(kind == 0, body[0]).when(kind == 1, body[1]).otherwise(body[2]), totals)
+    rows = rolls_dealt(spark, sf_dir).select("doc_id", F.explode(lines).alias("line")).where("line IS NOT NULL")
+    rows = rows.select("doc_id", F.col("line.row").alias("row"), F.explode("line.cells").alias("cell"))
+    return rows.select("doc_id", F.lit(0).alias("tbl"), "row", "cell.col", "cell.text")
+
+
 @query("supplier_rolls", f"""WITH rolls AS ({duck(ROLLS)}) SELECT doc_id, seq::INTEGER AS seq, CASE doc_id % 3 WHEN 0 THEN CASE WHEN seq % 2 = 0 THEN lag(lot) OVER (PARTITION BY doc_id ORDER BY seq) ELSE lot END WHEN 1 THEN CAST(3000000 + seq AS VARCHAR) ELSE lot END AS lot,
     CASE doc_id % 3 WHEN 0 THEN color WHEN 1 THEN concat('DARK ', color) ELSE CASE WHEN seq % 2 = 0 THEN concat('R18-', color) ELSE 'B' END END AS color, piece_number, CAST(CAST(trunc(meters) AS INTEGER) + CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS meters, CASE WHEN doc_id % 3 = 0 THEN CAST(trunc(net_weight) AS DOUBLE) END AS net_weight FROM rolls""")
 def supplier_rolls(spark, sf_dir):
-    own = frame(spark, sf_dir, SUPPLIER_CELLS)
-    codes = own.select("doc_id").distinct().withColumn("code", F.get(F.array(*[F.lit(c) for c in CODES]), (F.col("doc_id") % 3).cast("int")))
+    own = supplier_cells(spark, sf_dir)
+    codes = dealt(spark, sf_dir, "lineitem", "l_orderkey").select(F.col("l_orderkey").alias("doc_id")).distinct().withColumn("code", F.get(F.array(*[F.lit(c) for c in CODES]), (F.col("doc_id") % 3).cast("int")))
     return tables.supplier_lines(own, codes).select("doc_id", "seq", "lot", "color", "piece_number", "meters", "net_weight")
 
 

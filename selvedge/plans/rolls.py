@@ -9,14 +9,14 @@ from ..functions import text as T
 from ..operators import extraction as X
 from ..operators import responses
 from ..operators import rolls as R
-from ..sources.rendered import ROLLS, duck, frame
+from ..sources.rendered import ROLLS, duck, rolls_dealt
 from .registry import query
 
 WITH_ROLLS = f"WITH rolls AS ({duck(ROLLS)})"
 
 
 def rolls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, ROLLS)
+    return rolls_dealt(spark, sf_dir)
 
 
 def _mixed_sql(c: str) -> str:

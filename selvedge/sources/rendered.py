@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Order lines as rolls. The order within a document is total.
 ROLLS = """
@@ -61,6 +62,34 @@ CELLS = f"""
 """
 
 
+#: Rows of a table, about, that one task holds when the table is dealt by document.
+DEALT = 250_000
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table dealt by document into parts of about DEALT rows, so that no task grows with the table, and whatever goes by document needs no other shuffle."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // DEALT)), key)
+
+
+def rolls_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROLLS, dealt by document."""
+    return spark.sql(ROLLS, lineitem=dealt(spark, sf_dir, "lineitem", "l_orderkey"))
+
+
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of CELLS, in one pass over the rolls: a document's first roll brings its headings along."""
+    c = F.col
+    below, first = F.when(c("doc_id") % 4 == 0, 1).otherwise(0), c("seq") == 1
+    heads = F.get(F.array(*[F.array(*[F.lit(h) for h in line.split("|")]) for line in HEADINGS]), (c("doc_id") % len(HEADINGS)).cast("int"))
+    whole = lambda x: F.floor(x).cast("int").cast("string")
+    roll = F.array("piece_number", F.when(c("seq") % 3 == 0, "Shade").otherwise(c("color")), whole("meters"), whole("net_weight"), F.when(c("seq") % 4 == 2, "").otherwise(c("lot")))
+    lines = rolls_dealt(spark, sf_dir).select("doc_id", "seq", below.alias("below"), F.array(F.when(first & (c("doc_id") % 4 == 0), F.array(F.lit("Shipment"))), F.when(first, heads), roll).alias("lines"))
+    lines = lines.select("doc_id", "seq", "below", F.posexplode("lines").alias("part", "texts")).where("texts IS NOT NULL")
+    row = F.when(c("part") == 0, 0).when(c("part") == 1, c("below")).otherwise((c("seq") + c("below")).cast("int"))
+    return lines.select("doc_id", F.lit(0).alias("tbl"), row.alias("row"), F.posexplode("texts").alias("col", "text"))
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A statement over tables in braces."""
     names = [n for n in ("lineitem", "orders", "events", "documents", "supplier", "customer") if "{" + n + "}" in sql]
