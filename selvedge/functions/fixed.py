@@ -69,6 +69,24 @@ PATTERNS = {
     "meters": (r"Total\s*(?:Metres?|Meters?|MTR|Mtrs?)[:\s]+([,\d\.]+)", r"(?:Grand\s*Total|Total)[:\s\|]+([,\d\.]+)\s*(?:Metres?|Meters?|MTR|Mtrs?|M\b)", r"Qty\s*\(?(?:MTR|Mtrs?|Meters?)?\)?[:\s]+([,\d\.]+)", r"Length\s*\(?(?:M|Mtr)?\)?[:\s]+([,\d\.]+)"),
 }
 #: Patterns that are tried first for a supplier.
+#: Words (lower case) of which every match of a pattern holds one. Patterns that aren't here have none.
+PATTERN_WORDS = {
+    pattern: words
+    for field, every in {
+        "po_number": (("po", "contract", "order"), ("customer", "buyer")),
+        "invoice_number": (("invoice", "d/a", "list"), ("inv", "pl"), ("ref", "document")),
+        "delivered_date": ((), (), (), ("date",)),
+        "net_weight": (("weight",), ("nett",), ("nw",), ("wt.",), ("total",), ("wt.",)),
+        "order_number": (("order",), ("delivery", "dn"), ("so", "s.o", "sales"), ("shipment", "dispatch")),
+        "lot": (("lot", "batch"), ("lot", "batch"), ("lot",), ("batch",), ("batch/lot",), ("lot/batch",)),
+        "quality": (("quality", "article", "fabric"), ("construction", "composition", "product"), ("material", "style", "fabric"), ("description",)),
+        "color": (("colour", "color", "shade"), ("shade",), ("color",)),
+        "pieces": (("total",), ("total",), ("no.",), ("quantity",)),
+        "meters": (("total",), ("total",), ("qty",), ("length",)),
+    }.items()
+    for pattern, words in zip(PATTERNS[field], every, strict=True)
+    if words
+}
 SUPPLIER_PATTERNS = {
     "techs": {"quality": (r"(?:Article)[:\s]+([\w\-\s]+)",), "color": (r"(?:Color|Colour)[:\s]+([\w\-\s]+)",), "lot": (r"(?:Lot\s*No)[:\s]+([\w\-]+)",)},
     "guston": {"po_number": (r"(?:Client\s*PO)[:\s]+([\w\-]+)",), "quality": (r"(?:Style)[:\s]+([\w\-\s]+)",)},

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,9 +23,14 @@ def once(x: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), then), F.lit(0))
 
 
+def visible_ends(x: Column) -> Column:
+    """Whether a text begins and ends with a visible ASCII character, so that there is nothing to strip."""
+    return x.between("!", "~") & F.substring(x, -1, 1).between("!", "~")
+
+
 def stripped(x: Column) -> Column:
     """Without white space of any kind at either end. Most texts begin and end with a visible ASCII character and are only looked at, since trimming by a set of characters is slow."""
-    return F.when(x.between("!", "~") & F.substring(x, -1, 1).between("!", "~"), x).otherwise(F.trim(x, F.lit(SPACES)))
+    return F.when(visible_ends(x), x).otherwise(F.trim(x, F.lit(SPACES)))
 
 
 def nonempty(x: Column) -> Column:
@@ -32,7 +39,8 @@ def nonempty(x: Column) -> Column:
 
 def field_value(x: Column) -> Column:
     """A captured value: stripped, without commas at its end; null if nothing is left."""
-    return once(F.rtrim(F.rtrim(F.trim(x, F.lit(SPACES)), F.lit(",")), F.lit(SPACES)), lambda v: F.when(v != "", v))
+    trimmed = lambda v: F.nullif(F.rtrim(F.rtrim(F.trim(v, F.lit(SPACES)), F.lit(",")), F.lit(SPACES)), F.lit(""))
+    return once(x, lambda v: F.when(v == "", F.lit(None)).when(visible_ends(v) & ~F.endswith(v, F.lit(",")), v).otherwise(trimmed(v)))
 
 
 def number(x: Column) -> Column:
@@ -114,9 +122,14 @@ def captured(text: Column, pattern: str) -> Column:
     return nonempty(F.regexp_extract(text, f"(?im){pattern}", 1))
 
 
-def first_value(text: Column, patterns: tuple[str, ...]) -> Column:
-    """The value of the first pattern that gives one."""
-    return F.coalesce(*[field_value(F.regexp_extract(text, f"(?im){p}", 1)) for p in patterns])
+def first_value(text: Column, patterns: tuple[str, ...], low: Column | None = None, words: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The value of the first pattern that gives one. With `low`, the text in lower case, a pattern in `words` is tried only on texts that have any of its words: looking for words is much cheaper than a pattern that fails at each place."""
+    out = []
+    for p in patterns:
+        value = field_value(F.regexp_extract(text, f"(?im){p}", 1))
+        needed = (words or {}).get(p) if low is not None else None
+        out.append(F.when(reduce(or_, [F.contains(low, F.lit(w)) for w in needed]), value) if needed else value)
+    return F.coalesce(*out)
 
 
 def mixed(values: Column) -> Column:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import FIELDS, LOT_NOT, LOT_PATTERNS, METER_PATTERNS, PATTERNS, PIECE_PATTERNS, SHOWN_PATTERNS, SUPPLIER_HEADERS, SUPPLIER_PATTERNS
+from ..functions.fixed import FIELDS, LOT_NOT, LOT_PATTERNS, METER_PATTERNS, PATTERN_WORDS, PATTERNS, PIECE_PATTERNS, SHOWN_PATTERNS, SUPPLIER_HEADERS, SUPPLIER_PATTERNS
 from ..functions.text import clean_number, converted_date, first_value, nonempty, normal_date, number, once, stripped
 
 
-def field_columns(text: Column, supplier: Column | None = None) -> dict[str, Column]:
-    """The value of each field: a supplier's own patterns first, then the general ones; dates made ISO."""
+def field_columns(text: Column, supplier: Column | None = None, low: Column | None = None) -> dict[str, Column]:
+    """The value of each field: a supplier's own patterns first, then the general ones; dates made ISO. `low` is the text in lower case, where it is at hand."""
     out = {}
     for field, patterns in PATTERNS.items():
         own = [(name, rules[field]) for name, rules in SUPPLIER_PATTERNS.items() if field in rules] if supplier is not None else []
-        value = F.coalesce(*[F.when(F.lower(supplier) == name, first_value(text, rules)) for name, rules in own], first_value(text, patterns))
+        value = F.coalesce(*[F.when(F.lower(supplier) == name, first_value(text, rules, low, PATTERN_WORDS)) for name, rules in own], first_value(text, patterns, low, PATTERN_WORDS))
         out[field] = normal_date(value) if field == "delivered_date" else value
     return out
 
@@ -27,8 +27,8 @@ def by_document(pages: DataFrame, supplier: str | None = None) -> DataFrame:
 
 def by_page(text: Column, supplier: Column | None = None) -> Column:
     """All fields' values as a struct. Inside a lambda the forty patterns stay out of the generated code, which they would take beyond what the JVM compiles."""
-    page = F.struct(text.alias("text"), (F.lit("") if supplier is None else supplier).alias("supplier"))
-    return F.get(F.transform(F.array(page), lambda p: F.struct(*[v.alias(f) for f, v in field_columns(p["text"], None if supplier is None else p["supplier"]).items()])), F.lit(0))
+    page = F.struct(text.alias("text"), F.lower(text).alias("low"), (F.lit("") if supplier is None else supplier).alias("supplier"))
+    return F.get(F.transform(F.array(page), lambda p: F.struct(*[v.alias(f) for f, v in field_columns(p["text"], None if supplier is None else p["supplier"], p["low"]).items()])), F.lit(0))
 
 
 def supplier_headers(texts: DataFrame) -> DataFrame:
