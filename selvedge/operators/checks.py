@@ -72,17 +72,29 @@ def rule_table(rules: DataFrame) -> tuple:
     return tuple((r["check"], r["field"], r["condition"], r["message"]) for r in rows)
 
 
-def broken(condition: str, field: str, values: str = "values") -> Column:
-    """Whether a record (a map of texts) breaks a rule; what can't be told is no error."""
-    v = f"try_element_at({values}, '{field}')"
-    n = f"(CASE WHEN trim(replace({v}, ',', '')) RLIKE '{PLAIN_NUMBER}' THEN try_cast(trim(replace({v}, ',', '')) AS double) END)"
-    return F.coalesce(F.expr(condition.format(v=v, n=n, has=f"map_contains_key({values}, '{field}')")), F.lit(False))
+def broken(condition: str, field: str, has: str, v: str, n: str) -> str:
+    """Whether a record breaks a rule, as SQL, of what is known of the rule's field: has, v and n; what can't be told is no error."""
+    return f"coalesce({condition.format(v=v, n=n, has=has)}, false)"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def errors_of(values: str, rules: tuple) -> Column:
+    """An array of a record's errors (values: a map of texts by field). Each field is looked up and read as a number once, and the rules are inside a lambda: in generated code they are a method too long for the JVM to compile, at seven times the price."""
+    fields = list(dict.fromkeys(field for _, field, _, _ in rules))
+    facts = [f"transform(array(try_element_at(r, {_quoted(f)})), v -> struct(map_contains_key(r, {_quoted(f)}) AS has, v AS v, CASE WHEN trim(replace(v, ',', '')) RLIKE {_quoted(PLAIN_NUMBER)} THEN try_cast(trim(replace(v, ',', '')) AS double) END AS n))[0]" for f in fields]
+    at = {f: f"f[{k}]" for k, f in enumerate(fields)}
+    found = [f"CASE WHEN {broken(condition, field, *(f'{at[field]}.{x}' for x in ('has', 'v', 'n')))} THEN struct({_quoted(check)} AS check, {_quoted(field)} AS field, {_quoted(message)} AS message) END" for check, field, condition, message in rules]
+    if not found:
+        return F.expr("cast(array() AS array<struct<check: string, field: string, message: string>>)")
+    return F.expr(f"get(transform(array({values}), r -> get(transform(array(array({', '.join(facts)})), f -> array_compact(array({', '.join(found)}))), 0)), 0)")
 
 
 def validated(records: DataFrame, rules: tuple = RULES, counts: Observation | None = None) -> DataFrame:
     """Records (doc_id, values: a map of texts by field) with errors: check, field and message of each rule that they break, in the rules' order. All rules are one expression over the record's row. With `counts`, the number of records that break each rule ("check: message") is counted in the same pass, and can be read from it when the rows have been."""
-    found = F.array(*[F.when(broken(condition, field), F.struct(F.lit(check).alias("check"), F.lit(field).alias("field"), F.lit(message).alias("message"))) for check, field, condition, message in rules])
-    out = records.withColumn("errors", F.array_compact(found))
+    out = records.withColumn("errors", errors_of("values", rules))
     if counts is not None:
         has = lambda check, message: F.exists("errors", lambda e: (e["check"] == check) & (e["message"] == message))
         out = out.observe(counts, F.count("*").alias("records"), *[F.count_if(has(check, message)).alias(f"{check}: {message}") for check, _, _, message in rules])

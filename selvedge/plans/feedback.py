@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import FIELDS, SUPPLIER_COLUMNS
 from ..operators import checks, feedback, rates, responses, tables
-from ..sources.rendered import duck, frame, quoted
+from ..sources.rendered import dealt, duck, frame, quoted
 from .registry import query
 from .rolls import SUMMARY, WITH_ROLLS, rolls
 from ..operators import rolls as R
@@ -208,7 +208,7 @@ _BROKEN = [
 
 
 def record_maps(spark, sf_dir):
-    texts = frame(spark, sf_dir, DATED).selectExpr("doc_id", *[f"{v} AS {f}" for f, v in _TEXTS.items()])
+    texts = spark.sql(DATED, orders=dealt(spark, sf_dir, "orders", "o_orderkey")).selectExpr("doc_id", *[f"{v} AS {f}" for f, v in _TEXTS.items()])
     pairs = F.array(*[F.struct(F.lit(f).alias("k"), F.col(f).alias("v"), (F.col("doc_id") % _GONE[f] == 0 if f in _GONE else F.lit(False)).alias("gone")) for f in _TEXTS])
     kept = F.transform(F.filter(pairs, lambda p: ~p["gone"]), lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value")))
     return texts.select("doc_id", F.map_from_entries(kept).alias("values"))
