@@ -54,15 +54,21 @@ def coerced(x: Column, whole: bool = False) -> Column:
     return value.try_cast("int") if whole else value
 
 
-def clean_number(x: Column) -> Column:
-    """Numbers as suppliers write them: units and grades after them, commas or points for thousands, 1.245,50 too."""
+def leading_number(x: Column) -> Column:
+    """The digits, commas and points that a text begins with; empty where it begins otherwise."""
+    return F.regexp_extract(stripped(x), r"^([+-]?[0-9][0-9.,]*)", 1)
+
 
-    def value(bare: Column) -> Column:
-        european = F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-        is_european = F.contains(bare, F.lit(",")) & F.contains(bare, F.lit(".")) & bare.rlike(r"^[+-]?[0-9]{1,3}(\.[0-9]{3})+,[0-9]+$")
-        return F.when(is_european, european.try_cast("double")).otherwise(F.replace(bare, F.lit(","), F.lit("")).try_cast("double"))
+def leading_value(bare: Column) -> Column:
+    """What a leading_number() comes to; takes commas or points for thousands, 1.245,50 too."""
+    european = F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    is_european = F.contains(bare, F.lit(",")) & F.contains(bare, F.lit(".")) & bare.rlike(r"^[+-]?[0-9]{1,3}(\.[0-9]{3})+,[0-9]+$")
+    return F.when(is_european, european.try_cast("double")).otherwise(F.replace(bare, F.lit(","), F.lit("")).try_cast("double"))
 
-    return once(F.regexp_extract(stripped(x), r"^([+-]?[0-9][0-9.,]*)", 1), value)
+
+def clean_number(x: Column) -> Column:
+    """Numbers as suppliers write them: units and grades after them, commas or points for thousands, 1.245,50 too."""
+    return once(leading_number(x), leading_value)
 
 
 def _month(name: Column) -> Column:

@@ -18,9 +18,14 @@ def so_far() -> WindowSpec:
     return in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
+def unmarked(x: Column) -> Column:
+    """A stripped cell, or null for a blank or a ditto mark."""
+    return F.when(~x.isin("", '"', "''", "“", "”", "〃"), x)
+
+
 def explicit(x: Column) -> Column:
     """A cell's own value: null for a blank or a ditto mark."""
-    return once(stripped(x), lambda v: F.when(~v.isin("", '"', "''", "“", "”", "〃"), v))
+    return once(stripped(x), unmarked)
 
 
 def filled(rolls: DataFrame, *columns: str) -> DataFrame:
@@ -28,10 +33,18 @@ def filled(rolls: DataFrame, *columns: str) -> DataFrame:
     return rolls.withColumns({c: F.last(explicit(F.col(c)), ignorenulls=True).over(so_far()) for c in columns})
 
 
-def sectioned(lines: DataFrame, text: str = "line", heading: str = r"^\s*PO\s*#?\s*[:.]?\s*([A-Z0-9-]+)\s*$") -> DataFrame:
+#: The heading of a section, with its value.
+SECTION = r"^\s*PO\s*#?\s*[:.]?\s*([A-Z0-9-]+)\s*$"
+
+
+def section_value(text: str, heading: str = SECTION) -> Column:
+    """The value of a line that is a section's heading; null for another."""
+    return nonempty(F.regexp_extract(text, heading, 1))
+
+
+def sectioned(lines: DataFrame, text: str = "line", heading: str = SECTION) -> DataFrame:
     """Lines (doc_id, seq, line) with the value of the section heading above them; the headings themselves are left out."""
-    found = nonempty(F.regexp_extract(text, heading, 1))
-    return lines.withColumn("heading", found).withColumn("section", F.last("heading", ignorenulls=True).over(so_far())).where(F.col("heading").isNull()).drop("heading")
+    return lines.withColumn("heading", section_value(text, heading)).withColumn("section", F.last("heading", ignorenulls=True).over(so_far())).where(F.col("heading").isNull()).drop("heading")
 
 
 def without_summaries(rolls: DataFrame, label: str = "piece_number") -> DataFrame:

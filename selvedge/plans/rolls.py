@@ -202,14 +202,16 @@ def rolls_to_lines(spark, sf_dir):
 
 def roll_texts(spark, sf_dir):
     """The rolls of each order as text: a section for each PO, ditto marks, totals."""
-    own = rolls(spark, sf_dir)
     order = Window.partitionBy("doc_id", "po_number").orderBy("seq")
-    lot = F.when(F.lag("lot").over(order) == F.col("lot"), F.lit('"')).otherwise(F.col("lot"))
+    place, last = F.row_number().over(order), F.lead("seq").over(order).isNull()
+    own = rolls(spark, sf_dir).select("*", F.lag("lot").over(order).alias("lot_before"), place.alias("place"), last.alias("is_last"))
+    lot = F.when(F.col("lot_before") == F.col("lot"), F.lit('"')).otherwise(F.col("lot"))
     money = F.format_string("%.2f", F.col("net_weight"))
-    own = own.withColumn("line", F.concat_ws("   ", lot, "piece_number", "color", F.concat(F.col("meters").cast("int").cast("string"), F.lit(" m")), money))
-    section = own.groupBy("doc_id", "po_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("body"), F.count("*").alias("n"))
-    text = F.concat(F.lit("PO # "), "po_number", F.lit("\nLot No   Roll No   Shade   Length (M)   Net Weight\n"), "body", F.lit("\nTotal   "), F.col("n").cast("string"), F.lit("   rolls\n"))
-    return section.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("po_number", text.alias("text")))), lambda x: x["text"]), "\n").alias("full_text"))
+    line = F.concat_ws("   ", lot, "piece_number", "color", F.concat(F.col("meters").cast("int").cast("string"), F.lit(" m")), money)
+    above = F.when(F.col("place") == 1, F.concat(F.lit("PO # "), "po_number", F.lit("\nLot No   Roll No   Shade   Length (M)   Net Weight\n"))).otherwise("")
+    below = F.when(F.col("is_last"), F.concat(F.lit("\nTotal   "), F.col("place").cast("string"), F.lit("   rolls\n"))).otherwise("")
+    listed = F.sort_array(F.collect_list(F.struct("po_number", "seq", F.concat(above, line, below).alias("text"))))
+    return own.where("po_number IS NOT NULL").groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("full_text"))
 
 
 @query("roll_extraction", f"{WITH_ROLLS} SELECT doc_id, lot, po_number, piece_number, color, CAST(meters AS DOUBLE) AS meters, CAST(round(net_weight * 100) AS BIGINT) AS cents FROM rolls")

@@ -256,6 +256,31 @@ GRAND TOTAL | 4"""
     ]
 
 
+def test_rolls_are_read_in_two_windows(spark):
+    lines = spark.createDataFrame([("d", 0, "x")], "doc_id string, seq int, line string")
+    plan = extraction.extracted(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2
+    assert plan.count("lambdafunction(") <= 3  # headings alone are looked at cell by cell
+    assert "keys: [" not in plan  # sets of names, no map that is walked through
+
+
+def test_odd_lines_of_rolls(spark):
+    text = "\r\n".join(["  Lot No|Roll No |  Shade\t\tLength (M) | PO Number ", "|7||17 m|", "L1 | | \" | 1.2.3 | P-1", "\xa0L2\xa0  8  Red  -3,5  ''", " PO: 77 ", "〃  9  |12,|", "only one cell", " sub-total | 3 | x", "SHADE  Lot", "L3   10", "Roll No  Colour  Net Wt.(KGS)", "11  Blue  1.245,50"])
+    frame = spark.createDataFrame([("d", text), ("e", "Lot No  Roll No  Shade\rA  1  R\n\nB  2  \""), ("f", "")], "doc_id string, full_text string")
+    got = extraction.extracted(extraction.lines_of(frame)).orderBy("doc_id", "seq").collect()
+    assert [(r.doc_id, r.seq, r.lot, r.po_number, r.piece_number, r.color, r.meters, r.net_weight) for r in got] == [
+        ("d", 1, None, None, "7", None, 17.0, None),
+        ("d", 2, "L1", "P-1", "2", None, None, None),
+        ("d", 3, "L2", "P-1", "8", "Red", -35.0, None),
+        ("d", 5, "L2", "P-1", "9", "12,", None, None),
+        ("d", 8, "SHADE", "P-1", "Lot", "12,", None, None),
+        ("d", 9, "L3", "P-1", "10", "12,", None, None),
+        ("d", 11, "L3", "P-1", "11", "Blue", None, 1245.5),
+        ("e", 1, "A", None, "1", "R", None, None),
+        ("e", 3, "B", None, "2", "R", None, None),
+    ]
+
+
 def test_upsert_keeps_other_fields(spark):
     old = spark.createDataFrame([("s", {"lot": "A", "color": "red"}, "2", 3), ("t", {"lot": "Z"}, "2", 0)], "supplier_name string, fields map<string,string>, schema_version string, correction_count long")
     new = spark.createDataFrame([("s", {"lot": "B"}, 2), ("u", {"lot": "N"}, 1)], "supplier_name string, fields map<string,string>, correction_count long")
