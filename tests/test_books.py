@@ -2,14 +2,17 @@
 
 import os
 import random
+import re
 
 import pytest
 
 from selvedge.api import Shipments
 from selvedge.operators import books
 from selvedge.plans import books as plan
+from selvedge.plans import registry
 from selvedge.sources.rendered import frame
 
+registry.load()
 DATA = "/root/testdata/sf0.001"
 
 CELL = "doc_id string, page int, tbl int, row int, col int, text string"
@@ -149,3 +152,30 @@ def test_blocks_follow_one_another(spark):
     table = [HEADS, ["L1", "x", "11", "5", "1"], ["L1", "x", "12", "6", "1"], ["", "", "2", "11", "2"], ["Total", "", "", "11", ""], ["L1", "x", "21", "", "1"], ["L1", "x", "1", "", "1"]]
     kinds = [r.kind for r in books.classified_rows(cells_of(spark, [("d", 1, 0, table)])).orderBy("page_row").collect()]
     assert kinds == ["roll", "roll", "count", "summary", "roll", "count"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_pages_as_rows_and_as_cells(spark):
+    """Pages that come as one stream of rows and lines give what their cells and lines give, read one by one."""
+    codes = plan.book(spark, DATA).select("doc_id", "code").distinct()
+    shown = ["doc_id", "page", "page_tbl", "page_row", "tbl", "texts", "code", "section", "section_no", "kind", "piece_number", "meters", "net_weight", "carton"]
+    ours, theirs = (x.select(shown) for x in (plan.rows(spark, DATA), books.classified_rows(plan.page_cells(spark, DATA), plan.page_text(spark, DATA), codes)))
+    assert ours.exceptAll(theirs).isEmpty() and ours.count() == theirs.count()
+
+
+def largest_method(spark, frame):
+    """Bytes of the largest method that Spark generates for a frame; the JVM compiles none beyond 8,000."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(frame()._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", text))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["book_rolls", "rows_left_out"])
+def test_books_shuffle_lines_once_and_compile(spark, name):
+    query = registry.QUERIES[name]
+    assert query(spark, DATA)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert 0 < largest_method(spark, lambda: query(spark, DATA)) <= 8000
