@@ -3,23 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.fixed import FIELDS
+from .functions.fixed import ALIASES, FIELDS
 from .operators import books, evidence, extraction, feedback, fields, pages as page_ops, records, rolls, service, tables
 from .sources import readers
 
 
 class Shipments:
-    """pages: doc_id, page_number, raw_text, supplier_name; cells: doc_id, page (as page_number; 1 where there is no such column), tbl, row, col, text; templates: supplier_name, fields, schema_version; model: evidence of a model, lines: rolls (doc_id, seq, lot, po_number, piece_number, color, quality, meters, net_weight), as responses.line_items gives them, where rolls are read elsewhere (then no others are sought); all but pages may be missing."""
+    """pages: doc_id, page_number, raw_text, supplier_name; cells: doc_id, page (as page_number; 1 where there is no such column), tbl, row, and col and text, or texts (a row's, by column); templates: supplier_name, fields, schema_version; model: evidence of a model, lines: rolls (doc_id, seq, lot, po_number, piece_number, color, quality, meters, net_weight), as responses.line_items gives them, where rolls are read elsewhere (then no others are sought); all but pages may be missing."""
 
     def __init__(self, pages: DataFrame, cells: DataFrame | None = None, templates: DataFrame | None = None, model: DataFrame | None = None, lines: DataFrame | None = None):
         self.pages = readers.classified(readers.with_supplier(pages))
         #: Cells by page, and with a document's tables counted over its pages.
-        self.paged = cells if cells is None or "page" in cells.columns else cells.withColumn("page", F.lit(1))
+        whole = cells is not None and "texts" in cells.columns
+        paged = cells if cells is None or "page" in cells.columns else cells.withColumn("page", F.lit(1))
+        self.paged = paged.select("doc_id", "page", "tbl", "row", F.posexplode("texts").alias("col", "text")) if whole else paged
         self.cells = tables.counted(self.paged) if cells is not None else None
+        #: Rows of the tables, which are counted over the pages.
+        self.rows = None
+        if whole:
+            self.rows = tables.counted(cells) if "page" in cells.columns else cells.select("doc_id", "tbl", "row", "texts")
+        elif cells is not None:
+            self.rows = tables.counted(books.table_rows(paged).withColumnsRenamed({"page_tbl": "tbl", "page_row": "row"}))
         self.templates, self.model, self.lines = templates, model, lines
 
     @classmethod
@@ -96,8 +105,33 @@ class Shipments:
         """Every field of every document as it is shown (see evidence.response)."""
         return evidence.response(evidence.resolve_all(self.documents(), self.evidence()))
 
+    def resolved_at_once(self) -> DataFrame:
+        """What resolved() finds where neither templates nor a model have a say, as records.pivoted() has it, with the weight of the tables: all other sources have fixed confidences, so the first source that has a field's value, in their order, is the winner. A document's pages are read once and its tables once, and running text is tried only for what neither gives."""
+        known = F.nullif(rolls.supplier_code(F.coalesce("supplier_name", F.lit(""))), F.lit("UNKNOWN"))
+        pages = self.pages.select("doc_id", "page_number", "raw_text", "supplier_name", "needs_ocr", known.alias("code"), F.when(~F.col("needs_ocr"), fields.by_page(F.col("raw_text"), F.col("supplier_name"))).alias("found"))
+        text = lambda when: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("page_number", "raw_text")))), lambda p: p["raw_text"]), "\n\n")
+        docs = pages.groupBy("doc_id").agg(*fields.first_found(), F.min("code").alias("code"), text(~F.col("needs_ocr")).alias("full_text"), text(~F.col("needs_ocr") & F.col("code").isNotNull()).alias("known_text"))
+        docs = docs.withColumn("headers", F.when(F.col("code").isNotNull(), fields.header_values(F.col("code"), "known_text")))
+        if self.rows is not None:
+            docs = docs.join(tables.first_values(self.rows), "doc_id", "left")
+        pick = lambda of, name, which: F.get(F.filter(of, lambda x: x[name] == which), F.lit(0))["value"]
+        values, late = {}, fields.text_values(F.col("full_text"))
+        in_tables = {f: k for k, f in enumerate(ALIASES)} if self.rows is not None else {}
+        for f in FIELDS:
+            values[f] = [("regex", F.coalesce(pick("headers", "field", f), F.col(f)))]
+            if f in in_tables:
+                values[f].append(("table_col", pick("firsts", "k", in_tables[f])))
+        docs = docs.select("doc_id", "full_text", *(["weight"] if self.rows is not None else []), *[v.alias(f"{f}_{source}") for f in FIELDS for source, v in values[f]])
+        early = {f: [(source, F.col(f"{f}_{source}")) for source, _ in values[f]] for f in FIELDS}
+        docs = docs.withColumns({f"{f}_text_pattern": F.when(F.coalesce(*[v for _, v in early[f]]).isNull(), late[f]) for f in late})
+        every = {f: early[f] + ([("text_pattern", F.col(f"{f}_text_pattern"))] if f in late else []) for f in FIELDS}
+        source = lambda found: reduce(lambda out, x: F.when(x[1].isNotNull(), F.lit(x[0])).otherwise(out), reversed(found), F.lit("none"))
+        return docs.select("doc_id", *(["weight"] if self.rows is not None else []), *[F.coalesce(*[v for _, v in found]).alias(f) for f, found in every.items()], *[source(found).alias(f"{f}_source") for f, found in every.items()], *[F.lit(None).cast("double").alias(f"{f}_sure") for f in FIELDS])
+
     def result(self) -> DataFrame:
         """One finished record for each document: resolved values, blanks filled from the rolls, several values MIXED, the stated weight set against the tables' sum, the fields to be reviewed, errors."""
+        if self.templates is None and self.model is None:
+            return records.finished(self.resolved_at_once(), self.rolls())
         kinds = self.documents().select("doc_id")
         template = feedback.lookup(self.documents(), self.templates).select("doc_id", F.col("fields").isNotNull().alias("has_template")) if self.templates is not None else kinds.withColumn("has_template", F.lit(False))
         ai = self.model.select("doc_id").distinct().withColumn("has_ai", F.lit(True)) if self.model is not None else kinds.withColumn("has_ai", F.lit(False))

@@ -22,7 +22,12 @@ def field_columns(text: Column, supplier: Column | None = None, low: Column | No
 def by_document(pages: DataFrame, supplier: str | None = None) -> DataFrame:
     """Each document's values, each from the first page that has one."""
     found = pages.select("doc_id", "page_number", by_page(F.col("raw_text"), F.col(supplier) if supplier else None).alias("found"))
-    return found.groupBy("doc_id").agg(*[F.min_by(f"found.{f}", F.when(F.col(f"found.{f}").isNotNull(), F.col("page_number"))).alias(f) for f in PATTERNS])
+    return found.groupBy("doc_id").agg(*first_found())
+
+
+def first_found() -> list[Column]:
+    """For each field, as an aggregate over a document's pages (found, page_number), the value of the first page that has one."""
+    return [F.min_by(f"found.{f}", F.when(F.col(f"found.{f}").isNotNull(), F.col("page_number"))).alias(f) for f in PATTERNS]
 
 
 def by_page(text: Column, supplier: Column | None = None) -> Column:
@@ -33,19 +38,24 @@ def by_page(text: Column, supplier: Column | None = None) -> Column:
 
 def supplier_headers(texts: DataFrame) -> DataFrame:
     """Header values of known suppliers' documents (doc_id, code, full_text), by the places where these write them: doc_id, field, value. Of totals that repeat the last one counts; numbers lose their commas and units, dates become ISO; what isn't there has no row. Each document is tried by its own supplier's patterns alone."""
+    return texts.select("doc_id", F.explode(header_values(F.col("code"), "full_text")).alias("x")).select("doc_id", "x.*").where("value IS NOT NULL")
+
+
+def header_values(known: Column, text: str) -> Column:
+    """field and value (an array) of what a known supplier's text says; null for others."""
     own = F.lit(None)
     for code, rules in SUPPLIER_HEADERS.items():
         values = []
         for field, (pattern, which) in rules.items():
-            every = F.regexp_extract_all("full_text", F.lit(f"(?im){pattern}"), 1)
+            every = F.regexp_extract_all(text, F.lit(f"(?im){pattern}"), 1)
             raw = once(F.try_element_at(every, F.lit(1 if which == "first" else -1)), stripped)
             if field == "delivered_date":
                 raw = F.coalesce(converted_date(raw), raw)
             elif FIELDS[field] != "string":
                 raw = clean_number(raw).cast("decimal(18,2)").cast("string" if FIELDS[field] == "double" else "long").cast("string")
             values.append(F.struct(F.lit(field).alias("field"), nonempty(raw).alias("value")))
-        own = F.when(F.col("code") == code, F.array(*values)).otherwise(own)
-    return texts.select("doc_id", F.explode(own).alias("x")).select("doc_id", "x.*").where("value IS NOT NULL")
+        own = F.when(known == code, F.array(*values)).otherwise(own)
+    return own
 
 
 def text_evidence(texts: DataFrame, has_pieces: DataFrame | None = None) -> DataFrame:
@@ -58,14 +68,17 @@ def text_evidence(texts: DataFrame, has_pieces: DataFrame | None = None) -> Data
     return rows.select("doc_id", "field", "value", "confidence", F.lit(1).alias("page_number"), F.col("n").cast("long").alias("ord"))
 
 
-def lot_values(text: Column) -> Column:
-    """For each lot pattern the first match that isn't a mere label (an array)."""
-
+def _lots(text: Column) -> list[Column]:
     def first(pattern: str) -> Column:
         found = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), 1), stripped)
         return F.get(F.filter(found, lambda x: (x != "") & ~F.lower(x).isin(*LOT_NOT)), F.lit(0))
 
-    return F.filter(F.array(*[first(p) for p in LOT_PATTERNS]), lambda x: x.isNotNull())
+    return [first(p) for p in LOT_PATTERNS]
+
+
+def lot_values(text: Column) -> Column:
+    """For each lot pattern the first match that isn't a mere label (an array)."""
+    return F.filter(F.array(*_lots(text)), lambda x: x.isNotNull())
 
 
 def most_pieces(text: Column) -> Column:
@@ -74,14 +87,22 @@ def most_pieces(text: Column) -> Column:
     return F.array_max(F.transform(found, lambda x: x.try_cast("bigint")))
 
 
-def meter_values(text: Column) -> Column:
-    """For each pattern of totals the first match that is a positive number, its commas gone (an array of text)."""
-
+def _meters(text: Column) -> list[Column]:
     def first(pattern: str) -> Column:
         found = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), 1), lambda x: F.replace(stripped(x), F.lit(","), F.lit("")))
         return F.get(F.filter(found, lambda x: number(x) > 0), F.lit(0))
 
-    return F.filter(F.array(*[first(p) for p in METER_PATTERNS]), lambda x: x.isNotNull())
+    return [first(p) for p in METER_PATTERNS]
+
+
+def meter_values(text: Column) -> Column:
+    """For each pattern of totals the first match that is a positive number, its commas gone (an array of text)."""
+    return F.filter(F.array(*_meters(text)), lambda x: x.isNotNull())
+
+
+def text_values(text: Column) -> dict[str, Column]:
+    """What text_evidence() has first for a field: patterns are tried until one gives a value."""
+    return {"lot": F.coalesce(*_lots(text)), "meters": F.coalesce(*_meters(text)), "pieces": most_pieces(text).cast("string")}
 
 
 def shown(text: Column, field: str, value: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import ALIASES, FIELDS, LOT_SIGNATURE, ROLL_SIGNATURE, SHORT_ALIASES, SUMMARY_ROW, SUPPLIER_COLUMNS, WEIGHT_HEADINGS
-from ..functions.text import clean_number, nonempty, number, stripped
+from ..functions.text import clean_number, nonempty, number, once, stripped
 from .rolls import explicit, shade_and_lot
 
 #: Rows of a table that can be its heading.
@@ -22,7 +24,7 @@ def alias_table(spark: SparkSession, aliases: dict[str, tuple[str, ...]] = ALIAS
 def counted(cells: DataFrame) -> DataFrame:
     """Cells with a page (doc_id, page, tbl, row, col, text) as cells whose tables are counted over the document."""
     place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page", "tbl"))
-    return cells.select("doc_id", (place - 1).alias("tbl"), "row", "col", "text")
+    return cells.select("doc_id", (place - 1).alias("tbl"), "row", *[c for c in ("col", "text", "texts") if c in cells.columns])
 
 
 def echoes() -> list[str]:
@@ -84,10 +86,74 @@ def candidates(cells: DataFrame) -> DataFrame:
     rows = cells.join(heads, "doc_id").withColumn("head", F.try_element_at("heads", "tbl")).where(F.col("row") > F.col("head.header_row"))
     rows = rows.withColumn("field", F.try_element_at("head.fields", "col")).where(F.col("field").isNotNull())
     rows = rows.withColumn("value", stripped(F.col("text"))).where(F.col("value") != "")
-    short = F.col("field").isin("lot", "order_number", "invoice_number", "po_number") & F.col("value").rlike("^[0-9]{1,3}$")
+    short = F.col("field").isin(*NUMBERED) & F.col("value").rlike("^[0-9]{1,3}$")
     return rows.where(~F.lower("value").isin(*echoes()) & ~short).select("doc_id", "tbl", "row", "col", "field", "value")
 
 
+#: Fields whose values are never so short a figure.
+NUMBERED = ("lot", "order_number", "invoice_number", "po_number")
+
+
+def _exact(aliases: dict[str, tuple[str, ...]]) -> dict[str, int]:
+    """The place of the field that meanings() gives to each text that is an alias or a field's name."""
+
+    def means(text: str, field: str) -> bool:
+        names = [n.lower() for n in aliases[field]]
+        short = any(n in SHORT_ALIASES and (text.startswith((n + " ", n + ".")) or text.endswith(" " + n)) for n in names)
+        return text == field.replace("_", " ") or text in names or any(len(n) > 3 and n in text for n in names) or short
+
+    texts = sorted({f.replace("_", " ") for f in aliases} | {n.lower() for names in aliases.values() for n in names})
+    return {text: next(k for k, field in enumerate(aliases) if means(text, field)) for text in texts}
+
+
+def _pattern(field: str, names: tuple[str, ...]) -> str:
+    """What a heading (lower case) matches somewhere if an alias of the field means it."""
+    lower = list(dict.fromkeys(n.lower() for n in names))
+    short = [re.escape(n) for n in lower if n in SHORT_ALIASES]
+    whole = "|".join(re.escape(n) for n in (field.replace("_", " "), *lower))
+    parts = [rf"\A(?:{whole})\z", *[re.escape(n) for n in lower if len(n) > 3], *[rf"\A{n}[ .]| {n}\z" for n in short]]
+    return "|".join(parts)
+
+
+def meaning(heading: Column, aliases: dict[str, tuple[str, ...]] = ALIASES) -> Column:
+    """The place (in the aliases' order) of the field that meanings() gives to a heading; null if it has none. Texts that are an alias are looked up; others are tried by a pattern for each field, if they have two letters side by side, as every alias has: lots such as L12 haven't."""
+    known = _exact(aliases)
+    found = F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), heading)
+    tried = F.coalesce(*[F.when(heading.rlike(_pattern(field, names)), F.lit(k)) for k, (field, names) in enumerate(aliases.items())])
+    return F.when(heading.isin(*known), found).when(heading.rlike("[a-z][a-z]"), tried)
+
+
+def first_values(rows: DataFrame) -> DataFrame:
+    """From tables' rows (doc_id, tbl, row, texts by column): doc_id, firsts (k, the field's place in ALIASES, and value: the first of candidates() for each field, in order of table, row and column, and maybe others behind it) and weight (as in weights()). One pass over the rows, which stay whole: below the first row under a heading only cells of fields that have no value yet are looked at, and only rows that are the first to have a field are listed."""
+    field = lambda t: once(F.lower(stripped(t)), lambda h: meaning(h))
+    weighs = lambda t: F.exists(F.array(*[F.lit(w) for w in WEIGHT_HEADINGS]), lambda w: F.contains(F.lower(stripped(t)), w))
+    rows = rows.where("doc_id IS NOT NULL AND tbl IS NOT NULL").withColumns({"fields": F.when(F.col("row") < HEADING_ROWS, F.transform("texts", field)), "weighs": F.when(F.col("row") == 0, F.array_position(F.transform("texts", weighs), F.lit(True)).cast("int"))})
+    rows = rows.withColumn("n", F.size(F.filter("fields", lambda f: f.isNotNull())))
+    one_table = Window.partitionBy("doc_id", "tbl").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"head": F.max(F.when(F.col("n") > 0, F.struct("n", (-F.col("row")).alias("place"), "fields"))).over(one_table), "weighs": F.max(F.when(F.col("weighs") > 0, F.col("weighs"))).over(one_table)})
+    names = [k for k, f in enumerate(ALIASES) if f in NUMBERED]
+    bit = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    value = lambda t, k: once(stripped(t), lambda v: F.when((v != "") & ~F.lower(v).isin(*echoes()) & ~(k.isin(*names) & v.rlike("^[0-9]{1,3}$")), F.struct(k.alias("k"), v.alias("value"))))
+
+    def found(unless: Column) -> Column:
+        """The cells of a row that are values of fields whose bits aren't set."""
+        cell = lambda t, i: once(F.get("head.fields", i), lambda k: F.when(k.isNotNull() & (unless.bitwiseAND(bit(k)) == 0), value(t, k)))
+        return F.array_compact(F.transform("texts", cell))
+
+    bits = lambda cells: F.reduce(cells, F.lit(0), lambda out, x: out.bitwiseOR(bit(x["k"])))
+    above = lambda c: F.coalesce(F.bit_or(c).over(Window.partitionBy("doc_id").orderBy("tbl", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    weight = number(F.replace(stripped(F.get("texts", F.col("weighs") - 1)), F.lit(","), F.lit(""))).cast("decimal(20,4)")
+    below = F.col("row") + F.col("head.place")  # how far below the heading
+    rows = rows.select("doc_id", "tbl", "row", "texts", "head", F.when(F.col("row") > 0, weight).alias("weight"), F.when(below == 1, found(F.lit(0))).alias("found"))
+    rows = rows.withColumn("has", bits("found")).withColumn("above", above("has"))
+    rows = rows.select("doc_id", "tbl", "row", "weight", F.when(below == 1, F.col("found")).when(below > 1, found(F.col("above"))).alias("found"))
+    rows = rows.withColumn("has", bits("found")).withColumn("above", above("has"))
+    first = F.when(F.col("has").bitwiseAND(F.bitwise_not("above")) != 0, F.struct("tbl", "row", "found"))
+    rows = rows.select("doc_id", first.alias("first"), F.when(F.col("weight") > 0, F.col("weight")).alias("weight"))
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("first")).alias("listed"), F.sum("weight").alias("weight"))
+    return listed.select("doc_id", F.flatten(F.transform("listed", lambda x: x["found"])).alias("firsts"), "weight")
+
+
 def signature_meanings(texts: DataFrame, signature: dict[str, tuple[str, ...]]) -> DataFrame:
     """heading (distinct) and the first field of a signature with an alias that holds it or that it holds."""
     either = F.contains(F.col("heading"), F.col("alias")) | F.contains(F.col("alias"), F.col("heading"))

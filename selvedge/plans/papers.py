@@ -8,7 +8,7 @@ from ..api import Shipments
 from ..functions import text as T
 from ..functions.fixed import ALIASES, FIELDS, HEADER_PRIORITY, HEADER_WORDS, ITEM_WORDS, LOT_NOT, LOT_PATTERNS, LOT_SIGNATURE, LOT_WORDS, METER_PATTERNS, PATTERNS, PIECE_PATTERNS, ROLL_SIGNATURE, ROLL_WORDS, SHORT_ALIASES, SHOWN_PATTERNS, SUMMARY_WORDS, SUPPLIER_PATTERNS, TABLE_FIELDS, TABLE_PRIORITY, WEIGHT_HEADINGS
 from ..operators import fields, pages, tables
-from ..sources.rendered import CELLS, PAPERS, ROLLS, dealt, duck, frame, rolls_dealt, table_cells
+from ..sources.rendered import CELLS, PAPERS, ROLLS, dealt, duck, frame, rolls_dealt, table_cells, table_lines
 from .registry import query
 
 SPACE = r"'^\s+|\s+$'"
@@ -412,9 +412,9 @@ def _full_record_sql() -> str:
 @query("full_record", _full_record_sql())
 def full_record(spark, sf_dir):
     """Papers to finished records: patterns, tables and running text as evidence, rolls and table weights set against it. One document in five has no rolls."""
-    own = frame(spark, sf_dir, SHORT_PAPERS).repartition("doc_id")
-    found = Shipments(own, cells(spark, sf_dir), lines=frame(spark, sf_dir, ROLLS).where("doc_id % 5 <> 0")).result()
-    sources = F.array_join(F.transform(F.array(*[F.lit(f) for f in FIELDS]), lambda f: F.try_element_at("sources", f)), ",")
+    own = spark.sql(SHORT_PAPERS, orders=dealt(spark, sf_dir, "orders", "o_orderkey", beside="lineitem"))
+    found = Shipments(own, table_lines(spark, sf_dir), lines=rolls_dealt(spark, sf_dir).where("doc_id % 5 <> 0")).result()
+    sources = F.array_join(F.map_values("sources"), ",")  # in the order of FIELDS
     return found.select("doc_id", *FIELDS, sources.alias("sources"), "flagged_fields", "weight_mismatch", "mapping_source")
 
 

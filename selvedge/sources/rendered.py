@@ -66,10 +66,10 @@ CELLS = f"""
 DEALT = 250_000
 
 
-def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table dealt by document into parts of about DEALT rows, so that no task grows with the table, and whatever goes by document needs no other shuffle."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // DEALT)), key)
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, beside: str | None = None) -> DataFrame:
+    """A table dealt by document into parts of about DEALT rows, so that no task grows with the table, and whatever goes by document needs no other shuffle; into as many parts as the table `beside`, where that asks for more, so that both can be joined as they are."""
+    tables = [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in (name, beside) if n]
+    return tables[0].repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), *[-(-t.count() // DEALT) for t in tables]), key)
 
 
 def rolls_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +77,8 @@ def rolls_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ROLLS, lineitem=dealt(spark, sf_dir, "lineitem", "l_orderkey"))
 
 
-def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of CELLS, in one pass over the rolls: a document's first roll brings its headings along."""
+def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the tables of CELLS (doc_id, tbl, row, texts), in one pass over the rolls: a document's first roll brings its headings along."""
     c = F.col
     below, first = F.when(c("doc_id") % 4 == 0, 1).otherwise(0), c("seq") == 1
     heads = F.get(F.array(*[F.array(*[F.lit(h) for h in line.split("|")]) for line in HEADINGS]), (c("doc_id") % len(HEADINGS)).cast("int"))
@@ -87,7 +87,12 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rolls_dealt(spark, sf_dir).select("doc_id", "seq", below.alias("below"), F.array(F.when(first & (c("doc_id") % 4 == 0), F.array(F.lit("Shipment"))), F.when(first, heads), roll).alias("lines"))
     lines = lines.select("doc_id", "seq", "below", F.posexplode("lines").alias("part", "texts")).where("texts IS NOT NULL")
     row = F.when(c("part") == 0, 0).when(c("part") == 1, c("below")).otherwise((c("seq") + c("below")).cast("int"))
-    return lines.select("doc_id", F.lit(0).alias("tbl"), row.alias("row"), F.posexplode("texts").alias("col", "text"))
+    return lines.select("doc_id", F.lit(0).alias("tbl"), row.alias("row"), "texts")
+
+
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of CELLS."""
+    return table_lines(spark, sf_dir).select("doc_id", "tbl", "row", F.posexplode("texts").alias("col", "text"))
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

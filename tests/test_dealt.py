@@ -80,3 +80,10 @@ def test_rules_with_quotes_and_fields_that_are_not_there(spark):
     assert checks.validated(records, ()).select(F.size("errors")).collect() == [(0,)] * 3
     plan = checks.validated(records)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") <= 20  # 13 rules look at texts or numbers; a number is read once for a field
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_records_shuffle_each_table_once(spark):
+    """The papers, the tables' rows and the rolls are dealt alike, and meet as they are."""
+    plan = registry.QUERIES["full_record"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3

@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs: golden values, ties, blanks, nulls."""
 
 import io
+import random
 import re
 import zipfile
 
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from selvedge.api import Shipments
 from selvedge.functions import text as T
-from selvedge.operators import checks, evidence, extraction, feedback, fields, pages, rates, responses, rolls, tables
+from selvedge.functions.fixed import ALIASES
+from selvedge.operators import checks, evidence, extraction, feedback, fields, pages, rates, records, responses, rolls, tables
 from selvedge.sources import readers
 from selvedge.streaming import ingest
 
@@ -295,3 +297,53 @@ def test_stripped_of_any_white_space(spark):
     assert got == {1: ("a b", "a b"), 2: ("ab", "ab"), 3: ("", None), 4: (None, None), 5: ("é", "é"), 6: ("x ,,", "x")}
     plan = rows.select(T.normal_date(F.regexp_extract("x", "(q+)", 1)).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(q+)") == 1
+
+
+def test_first_values_of_tables(spark):
+    """What a document's tables say first of each field, and their weight, is what all candidates and weights() say, by one pass over the rows."""
+    rng = random.Random(5)
+    heads = ["Roll No", "Dye Lot", "Total Meters", "NW", "Net Weight", "Shade", "Width", "Customer PO", "Pce No", "", None, "Invoice No", " lot ", "Qty(MTR)"]
+    cells = ["", " ", None, "12", "1234", "L12", "Shade", "roll no", " 7,5 ", "-3", "PO-1", "Navy", "0.5"]
+    rows = [(d, t, r, [rng.choice(heads if r < 3 and rng.random() < 0.6 else cells) for _ in range(rng.randrange(1, 6))]) for d in range(60) for t in range(rng.randrange(1, 4)) for r in range(rng.randrange(1, 9)) if rng.random() < 0.9]
+    frame = spark.createDataFrame(rows, "doc_id long, tbl int, row int, texts array<string>")
+    long = frame.select("doc_id", "tbl", "row", F.posexplode("texts").alias("col", "text"))
+    expected, names = {}, list(ALIASES)
+    for r in sorted(tables.candidates(long).collect(), key=lambda r: (r.tbl, r.row, r.col)):
+        expected.setdefault((r.doc_id, r.field), r.value)
+    got, weights = {}, {}
+    for r in tables.first_values(frame).collect():
+        for x in r.firsts:
+            got.setdefault((r.doc_id, names[x.k]), x.value)
+        weights |= {r.doc_id: r.weight} if r.weight is not None else {}
+    assert got == expected and len(got) > 100
+    assert weights == {r.doc_id: r.weight for r in tables.weights(long).collect()} and weights
+
+
+def test_meaning_of_headings(spark):
+    """A heading's meaning within a row is that of the join with all aliases."""
+    rng = random.Random(6)
+    names = [n.lower() for every in ALIASES.values() for n in every]
+    pieces = [*names, " ", "x", "po", "lot", "mtr", ".", "pcs", "s", "/", "total", "l12"]
+    texts = sorted({*names, *(f.replace("_", " ") for f in ALIASES), *("".join(rng.choice(pieces) for _ in range(rng.randrange(1, 4))) for _ in range(800)), *(f"{a}{b}{c}" for a in ("po", "lot", "q") for b in (" ", ".", "") for c in ("po", "mtr", "z", "")), "l12", "é po", "po\n"})
+    frame = spark.createDataFrame([(t,) for t in texts], "heading string")
+    order = list(ALIASES)
+    ours = {r.heading: order[r.k] for r in frame.select("heading", tables.meaning(F.col("heading")).alias("k")).collect() if r.k is not None}
+    assert ours == {r.heading: r.field for r in tables.meanings(frame, tables.alias_table(spark)).collect()} and len(ours) > 300
+
+
+def test_records_at_once_are_those_of_all_evidence(spark):
+    """Without templates and a model the winners are found without all evidence; they and the records are the same."""
+    pages = [
+        ("a", 1, "ARTISTIC MILLINERS (PVT) LTD\nINVOICE NO : AM2/1  DATED : 7-Jan-26\nTOTAL METERS: 11,120  TOTAL ROLLS: 116\nPO # 140928 X", "Artistic Milliners"), ("a", 2, "Net Weight: 12,5\nLot A77 and Batch B9 of the order", None),
+        ("b", 1, "Lot Z9 and more running text\nRoll No 7 Roll 9\n55.5 Metres in all", "techs"), ("b", 2, "short", "techs"), ("c", 1, "", None), ("c", 2, None, ""), ("d", 2, "Client PO: W12\nStyle: Twill soft\nColour: Navy blue\nTotal Rolls: 3", "Guston"), ("d", 1, "Quality: Drill of the first page", "Guston"),
+    ]
+    own = spark.createDataFrame(pages, "doc_id string, page_number int, raw_text string, supplier_name string")
+    cells = [("a", 0, 0, ["Lot No", "Shade", "Net Weight"]), ("a", 0, 1, ["L1", "Red", "5"]), ("a", 0, 2, ["L2", "Red", "9"]), ("d", 0, 0, ["Shipment"]), ("d", 0, 1, ["Roll No", "Metres", "NW"]), ("d", 0, 2, ["1", "20", "3"]), ("c", 0, 0, ["Width"]), ("c", 1, 0, ["Batch", "Pcs"]), ("c", 1, 1, ["", "4"]), ("c", 1, 2, ["B7", "5"])]
+    rows = spark.createDataFrame(cells, "doc_id string, tbl int, row int, texts array<string>")
+    long = rows.select("doc_id", "tbl", "row", F.posexplode("texts").alias("col", "text"))
+    lines = spark.createDataFrame([("a", "L1", "Red", "x", 5.0), ("a", "L2", "Red", "x", 6.0), ("d", "", "Red", None, 7.25)], "doc_id string, lot string, color string, quality string, meters double")
+    for given in (rows, long, None):
+        paper = Shipments(own, given, lines=lines)
+        weights = None if given is None else tables.weights(paper.cells)
+        theirs = records.finished(paper.resolved(), paper.rolls(), weights)
+        assert sorted(map(repr, paper.result().collect())) == sorted(map(repr, theirs.collect()))
